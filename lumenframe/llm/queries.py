@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import packing, quality_rules, simhash, token_counts
 
-QUERIES = {"op4_quality_rules": quality_rules.query}
+QUERIES = {
+    "op1_packing": packing.query,
+    "op4_quality_rules": quality_rules.query,
+    "op5_simhash": simhash.query,
+    "op6_token_counts": token_counts.query,
+}
 ORACLE_SQL = {"op4_quality_rules": quality_rules.SQL}
