@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, simhash, token_counts
+from . import exact_dedup, line_dedup, packing, quality_rules, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op3_exact_dedup": exact_dedup.query,
     "op4_quality_rules": quality_rules.query,
     "op5_simhash": simhash.query,
     "op6_token_counts": token_counts.query,
+    "op7_line_dedup": line_dedup.query,
+    "op10_substring_dedup": substring_dedup.query,
 }
-ORACLE_SQL = {"op4_quality_rules": quality_rules.SQL}
+ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality_rules.SQL, "op7_line_dedup": line_dedup.SQL}
