@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, quality_rules, simhash, substring_dedup, token_counts
+from . import bpe, exact_dedup, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_simhash": simhash.query,
     "op6_token_counts": token_counts.query,
     "op7_line_dedup": line_dedup.query,
+    "op8_quality_classifier": quality_classifier.query,
+    "op9_bpe": bpe.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality_rules.SQL, "op7_line_dedup": line_dedup.SQL}
