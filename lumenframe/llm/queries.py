@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
+from . import bpe, exact_dedup, gated_lm, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_gated_lm": gated_lm.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_quality_rules": quality_rules.query,
     "op5_simhash": simhash.query,

@@ -1,29 +1,36 @@
-"""SimHash near-duplicates: pigeonhole blocks over 64-bit fingerprints.
+"""SimHash near-duplicates: blocks of fingerprint bits as join keys, then Hamming distance.
 
 Shingles are hashed by built-in expressions; only the bit votes are summed in numpy. Equal
-fingerprints collapse first, so copies never meet each other. With ``blocks`` blocks, two
-fingerprints at ``distance`` or fewer differing bits agree on at least ``blocks - distance``
-blocks; one key per choice of so many blocks finds every close pair. A bucket (the fingerprints
-of one key) is compared inside one task only up to ``TILE`` members; a larger one is divided
-again by the same rule over its remaining bits, and what is still larger is compared tile by tile
-in separate tasks. A task emits a spanning forest of its links, never all pairs.
+fingerprints collapse first, so copies never meet each other. Keys are blocks of bits:
+
+* ``pigeonhole`` keys find every pair within a distance: with ``blocks`` blocks, two 64-bit
+  fingerprints at ``distance`` or fewer differing bits agree on at least ``blocks - distance``
+  of them, and there is a key for each choice of so many blocks;
+* ``similarity`` keys serve pairs of a Jaccard similarity, which differ in far more bits than
+  blocks could cover: wider fingerprints and as many drawn blocks as the wanted recall needs.
+
+A bucket (the fingerprints of one key) is compared inside one task only up to ``TILE`` members; a
+larger one is divided again by pigeonhole keys over its remaining bits where there are such, and
+what is still larger is compared tile by tile in separate tasks. Every link is verified by its
+Hamming distance, and a task emits a spanning forest of its links, never all pairs.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows that
-share a doc_id count as one document with several fingerprints, all of its rows are returned
-with the document's component; an empty table gives an empty result; a row without an id never names its component, and
-``keep_first`` keeps it only where no member has an id; columns besides the id and
-the text are ignored by ``fingerprints`` and carried by ``keep_first``.
+share an id are one document, which links all their fingerprints; a row without an id never names
+its component, and ``keep_first`` keeps it only where no member has an id; an empty table gives an
+empty result; columns besides the id and the text are ignored by ``fingerprints`` and carried by
+``keep_first``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, table, text_or_empty, words_of
@@ -33,63 +40,81 @@ from .components import components
 TILE = 2048
 
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(1)
-        ends = np.asarray(lists.offsets).astype(np.int64)
-        bits = np.asarray(lists.values).view(np.uint64) if len(lists.values) else np.empty(0, np.uint64)
-        out = np.zeros(len(lists), np.uint64)
-        for i in range(len(lists)):
-            h = bits[ends[i] : ends[i + 1]]
-            if len(h):
-                n = np.zeros(64, np.int64)
-                for at in range(0, len(h), 1 << 16):
-                    n += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-                out[i] = np.packbits(2 * n > len(h)).view(">u8")[0]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["id", "fp"])
-
-
-def fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp): the signed long whose bits are the fingerprint's."""
+def _votes(width: int):
+    """Fingerprints of width words of 64 bits; further words vote on mixed hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends, flat = np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values).view(np.uint64)
+            out = np.zeros((width, len(lists)), np.uint64)
+            for i in range(len(lists)):
+                own = flat[ends[i] : ends[i + 1]]
+                for k in range(width if len(own) else 0):
+                    h = own if not k else (own ^ (own >> np.uint64(29 + k))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+                    h = h if not k else h ^ (h >> np.uint64(32))
+                    n = np.zeros(64, np.int64)
+                    for at in range(0, len(h), 1 << 16):
+                        n += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+                    out[k, i] = np.packbits(2 * n > len(h)).view(">u8")[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in out]], names=["id", *[f"f{k}" for k in range(width)]])
+
+    return run
+
+
+def fingerprints(docs: DataFrame, size: int = 5, width: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, f0, f1, ...): signed longs; f0 alone is the 64-bit SimHash of XXH64 (seed 42) shingles."""
     words = docs.select(F.col(id_col).alias("id"), words_of(ascii_lower(text_or_empty(text))).alias("w"))
     w = F.col("w")
     starts = F.when(F.size(w) > size, F.sequence(F.lit(1), F.size(w) - (size - 1))).when(F.size(w) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
-    return words.select("id", hashes.alias("h")).mapInArrow(_votes, f"id {dict(docs.dtypes)[id_col]}, fp long")
+    return words.select("id", hashes.alias("h")).mapInArrow(_votes(width), f"id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"f{k} long" for k in range(width)))
 
 
-def _masks(bits: list[int], blocks: int, distance: int) -> list[int]:
-    """As many masks over the given bits as there are choices of blocks - distance blocks."""
-    parts = [sum(1 << b for b in part) for part in np.array_split(np.array(bits, dtype=object), blocks)]
+def pigeonhole(distance: int, blocks: int, bits: list[int] | None = None) -> list[int]:
+    """A mask for each choice of blocks - distance blocks of the bits."""
+    parts = [sum(1 << int(b) for b in part) for part in np.array_split(np.array(bits if bits is not None else range(64), dtype=object), blocks)]
     return [sum(c) for c in combinations(parts, blocks - distance)]
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
+def similarity(n: int, jaccard: float, recall: float, width: int) -> tuple[list[int], int]:
+    """(masks, distance) for n fingerprints of width words.
+
+    Bits of texts at this Jaccard similarity differ with probability angle / pi. A block has two
+    bits more than n needs to be told apart, so that chance meetings stay in proportion to n, and
+    there are as many blocks as the recall asks for. The distance allows one and a half standard deviations.
+    """
+    differ = math.acos(2 * jaccard / (1 + jaccard)) / math.pi
+    bits = max(16, math.ceil(math.log2(max(n, 2))) + 2)
+    keys = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
+    rng = np.random.default_rng(11)
+    masks = [sum(1 << int(b) for b in rng.choice(64 * width, bits, replace=False)) for _ in range(keys)]
+    return masks, round(64 * width * differ + 1.5 * math.sqrt(64 * width * differ * (1 - differ)))
 
 
-def _keyed(fps: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
-    keys = F.array(*[F.struct(F.lit(k).cast("int").alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("v")) for k, m in masks])
-    return fps.select(F.explode(keys).alias("key"), "fp").select("key.k", "key.v", "fp")
+def _masked(mask: int, width: int) -> Column:
+    """The bits of a mask, as one long: themselves for one word, else their hash."""
+    words = [(mask >> 64 * k) & (1 << 64) - 1 for k in range(width)]
+    cols = [F.col(f"f{k}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for k, m in enumerate(words) if m]
+    return cols[0] if width == 1 else F.xxhash64(*cols)
 
 
-def _forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def _forest(f: np.ndarray, ids: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links of a spanning forest: from each component's first member to its others."""
-    fp, out = np.unique(fp), []
-    left = np.arange(len(fp))
+    out, left = [], np.argsort(ids, kind="stable")
     while len(left) > 1:
         root, front = left[0], left[:1]
         left = left[1:]
         while len(front) and len(left):
             near = np.zeros(len(left), bool)
-            for f in front:
-                near |= np.bitwise_count((fp[left] ^ fp[f]).view(np.uint64)) <= distance
+            for x in front:
+                near |= np.bitwise_count(f[left] ^ f[x]).sum(1) <= distance
             front, left = left[near], left[~near]
-            out += [(fp[root], fp[x]) for x in front]
+            out += [(ids[root], ids[x]) for x in front]
     return out
 
 
-def _link_sorted(distance: int):
+def _link_sorted(distance: int, width: int):
     """Over rows sorted by bucket: the forest of each bucket. A bucket has at most two tiles' members."""
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,79 +126,88 @@ def _link_sorted(distance: int):
             last = cut[-1] if len(cut) else 0
             rest = pdf.iloc[last:]
             if last:
-                yield _frame(pdf["fp"].to_numpy()[:last], np.r_[0, cut[:-1]], cut)
+                yield found(pdf.iloc[:last], np.r_[0, cut[:-1]], cut)
         if rest is not None and len(rest):
-            yield _frame(rest["fp"].to_numpy(), np.array([0]), np.array([len(rest)]))
+            yield found(rest, np.array([0]), np.array([len(rest)]))
 
-    def _frame(fp, starts, ends):
-        size = ends - starts
+    def found(pdf, starts, ends):
+        f, ids, size = pdf[[f"f{k}" for k in range(width)]].to_numpy().view(np.uint64), pdf["id"].to_numpy(), ends - starts
         two = starts[size == 2]
-        a, b = fp[two], fp[two + 1] if len(two) else fp[two]
-        near = np.bitwise_count((a ^ b).view(np.uint64)) <= distance
-        more = [e for s, t in zip(starts[size > 2], ends[size > 2], strict=True) for e in _forest(fp[s:t], distance)]
-        return pd.DataFrame({"a": np.r_[a[near], np.array([e[0] for e in more], np.int64)], "b": np.r_[b[near], np.array([e[1] for e in more], np.int64)]})
+        near = two[np.bitwise_count(f[two] ^ f[two + 1]).sum(1) <= distance] if len(two) else two
+        more = [e for s, t in zip(starts[size > 2], ends[size > 2], strict=True) for e in _forest(f[s:t], ids[s:t], distance)]
+        return pd.DataFrame({"a": np.r_[ids[near], np.array([e[0] for e in more], np.int64)], "b": np.r_[ids[near + 1] if len(near) else ids[near], np.array([e[1] for e in more], np.int64)]})
 
     return link
 
 
-def links(fps: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
-    """(a, b): a spanning forest of all pairs of distinct fingerprints with distance or fewer differing bits.
+def links(fps: DataFrame, masks: list[int], distance: int, width: int = 1, finer: dict[int, list[int]] | None = None) -> DataFrame:
+    """(a, b): ids of a spanning forest of the pairs that share a masked key and differ in at most distance bits.
 
-    fps: one column fp of distinct values. More blocks mean smaller buckets and more keys: 5 serve
-    up to about a hundred million fingerprints, 6 or 7 beyond. The result is the same.
+    fps: a long id and the words, distinct fingerprints. finer: by key number, masks (of that key's
+    bits and more) that divide its buckets over TILE without losing a pair.
+    """
+    own = ["id", *[f"f{k}" for k in range(width)]]
+
+    def keyed(rows: DataFrame, keys: Column) -> DataFrame:
+        return rows.select(F.explode(keys).alias("key"), *own).select("key.k", "key.v", *own)
+
+    def keys_of(numbered: list[tuple[int, int]]) -> Column:
+        return F.array(*[F.struct(F.lit(k).cast("int").alias("k"), _masked(m, width).alias("v")) for k, m in numbered])
+
+    def within(rows: DataFrame) -> DataFrame:
+        return rows.repartition("k", "v", "t").sortWithinPartitions("k", "v", "t").mapInPandas(_link_sorted(distance, width), "a long, b long")
+
+    rows = keyed(fps, keys_of(list(enumerate(masks))))
+    sizes = materialize(rows.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1"))
+    small = rows.join(sizes.where(F.col("n") <= TILE).select("k", "v"), ["k", "v"]).select("k", "v", F.lit(0).alias("t"), *own)
+    out = within(small)
+    over = sizes.where(F.col("n") > TILE)
+    if over.isEmpty():
+        return out
+    large = rows.join(over.select("k", "v"), ["k", "v"])
+    if finer:
+        again = F.lit(None).cast("array<struct<k:int,v:bigint>>")
+        for k, more in finer.items():
+            again = F.when(F.col("k") == k, keys_of([(1000 * (k + 1) + j, m) for j, m in enumerate(more)])).otherwise(again)
+        large = large.select(F.explode(again).alias("key"), *own).select("key.k", "key.v", *own)
+    large = materialize(large)
+    counts = large.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
+    tiled = large.join(counts, ["k", "v"]).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("tiles").cast("long")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(o, F.col("mine")) * F.col("tiles") + F.greatest(o, F.col("mine")))
+    return out.union(within(tiled.select("k", "v", F.explode(meet).alias("t"), *own)))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, distance: int | None = 3, blocks: int = 5, jaccard: float = 0.8, recall: float = 0.95, width: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, f0, ..., component_id): component_id is the smallest id reachable over links.
+
+    With a distance, all pairs of 64-bit fingerprints that close are linked; more blocks mean smaller
+    buckets and more keys (5 serve up to about a hundred million fingerprints, 6 or 7 beyond). With
+    distance None, texts of the Jaccard similarity or more are linked by wider fingerprints.
     """
-    first = list(enumerate(_masks(list(range(64)), blocks, distance)))
-    keyed = _keyed(fps, first)
-    sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    # the sizes of buckets that matter are few against the fingerprints; both levels read them again
-    sizes = materialize(sizes)
-    small = keyed.join(sizes.where(F.col("n") <= TILE).select("k", "v"), ["k", "v"]).select("k", "v", F.lit(0).alias("t"), "fp")
-    large = keyed.join(sizes.where(F.col("n") > TILE).select("k", "v"), ["k", "v"]).select("k", "fp")
-    found = _within(small, distance)
-    if sizes.where(F.col("n") > TILE).isEmpty():
-        return found
-    second = {k: _masks([b for b in range(64) if not m >> b & 1], blocks, distance) for k, m in first}
-    sub = F.lit(None).cast("array<struct<k:int,v:bigint>>")
-    for k, m in first:
-        subs = F.array(*[F.struct(F.lit(1000 * (k + 1) + j).cast("int").alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m | x)).cast("long")).alias("v")) for j, x in enumerate(second[k])])
-        sub = F.when(F.col("k") == k, subs).otherwise(sub)
-    finer = materialize(large.select(F.explode(sub).alias("key"), "fp").select("key.k", "key.v", "fp"))
-    counts = finer.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), tiles.cast("long")).cast("int")
-    tiled = finer.join(counts, ["k", "v"]).withColumn("tiles", tiles).withColumn("mine", mine).select(
-        "k", "v", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(o, F.col("mine")) * F.col("tiles") + F.greatest(o, F.col("mine")))).alias("t"))
-    return found.union(_within(tiled.select("k", "v", "t", "fp"), distance))
-
-
-def _within(rows: DataFrame, distance: int) -> DataFrame:
-    return rows.repartition("k", "v", "t").sortWithinPartitions("k", "v", "t").mapInPandas(_link_sorted(distance), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, distance: int = 3, blocks: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest id reachable over links."""
-    fps = materialize(fingerprints(docs, size, id_col, text))
-    # one document under several fingerprints joins their groups
-    first = materialize(fps.groupBy("fp").agg(F.min("id").alias("first")))
-    edges = links(first.select("fp"), distance, blocks)
-    same = fps.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("id")
-    tie = fps.join(same, "id").groupBy("id", "fp").agg(F.lit(1).alias("x")).select("id", F.col("fp").alias("b"))
-    tie = tie.join(fps.groupBy("id").agg(F.min("fp").alias("a")), "id").where("a <> b").select("a", "b")
-    comp = components(edges.union(tie)).withColumnRenamed("vertex", "fp")
-    rooted = first.join(comp, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    low = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(low, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, size: int = 5, distance: int = 3) -> DataFrame:
+    width = width if distance is None else 1
+    words = [f"f{k}" for k in range(width)]
+    fps = materialize(fingerprints(docs, size, width, id_col, text))
+    first = materialize(fps.groupBy(*words).agg(F.min("id").alias("first")))
+    ids = first.where(F.col("first").isNotNull()).select(F.col("first").cast("long").alias("id"), *words)
+    if distance is None:
+        masks, distance = similarity(first.count(), jaccard, recall, width)
+        edges = links(ids, masks, distance, width)
+    else:
+        masks = pigeonhole(distance, blocks)
+        edges = links(ids, masks, distance, 1, {k: [m | x for x in pigeonhole(distance, blocks, [b for b in range(64) if not m >> b & 1])] for k, m in enumerate(masks)})
+    several = fps.groupBy("id").agg(F.count_distinct(*words).alias("n")).where("n > 1 AND id IS NOT NULL").select("id")
+    ties = fps.join(several, "id").join(first, words).select(F.col("id").cast("long").alias("a"), F.col("first").cast("long").alias("b"))
+    comp = components(edges.union(ties)).withColumnRenamed("vertex", "first")
+    rooted = first.join(comp, "first", "left").select(*words, F.coalesce("root", "first").alias("component_id"))
+    return fps.join(rooted, words).select(F.col("id").alias(id_col), *words, "component_id")
+
+
+def keep_first(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, of each component only the document with the smallest id."""
-    if docs.isEmpty():
-        return docs
-    kept = near_duplicates(docs, size, distance).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep_id")).distinct()
+    kept = near_duplicates(docs, **how).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]), "left_semi")
 
 
 def query(spark, sf_dir) -> DataFrame:
-    out = near_duplicates(table(spark, sf_dir, "documents"), size=3)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = near_duplicates(table(spark, sf_dir, "documents"), size=3, distance=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
