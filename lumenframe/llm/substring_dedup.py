@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, words_of
+from .common import materialize, table, text_or_empty, words_of
 
 #: Words of a minimizer; windows that a chunk holds at once; one document in so many is looked at for hot minimizers.
-INNER, CHUNK, LOOK = 6, 1 << 21, 64
+INNER, CHUNK, LOOK = 6, 1 << 19, 64
 #: A minimizer is hot from this share of the sampled runs (and count) on; it is divided into so many parts.
 HOT_SHARE, HOT_LEAST, PARTS = 0.002, 50, 64
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
@@ -190,7 +190,7 @@ def _reduce(size: int):
         for batch in batches:
             held.append(batch)
             n += batch.nbytes
-            if n > 6 * CHUNK:
+            if n > 16 * CHUNK:
                 rows = pa.Table.from_batches(held)
                 key = rows.column("key").to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))
@@ -216,6 +216,7 @@ def removal_spans(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text:
     """(doc_id, start, end): intervals of words under windows that also start earlier; they may overlap."""
     words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.transform(words_of(text_or_empty(text)), lambda w: F.xxhash64(w)).alias("w"))
     seen = words.where(F.pmod(F.xxhash64("doc_id"), F.lit(LOOK)) == 0).mapInArrow(_count_hot(size), "key long").groupBy("key").agg(F.count("*").alias("n"))
+    seen = materialize(seen)
     # each hot key holds at least HOT_SHARE of the sample, so there are at most 1 / HOT_SHARE
     total = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     hot = [r["key"] for r in seen.where(F.col("n") >= max(HOT_LEAST, HOT_SHARE * total)).collect()]
