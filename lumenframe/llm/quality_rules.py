@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_or_empty, words_of
+from .common import SPACE, materialize, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct_words")
@@ -132,7 +132,10 @@ def ablation(led: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 def judge(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """The documents that pass the policy, with their own columns only."""
-    return with_ledger(docs).where(verdict(F.col("_q_fail_bits"), policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = [F.col(f"`{c}`") for c in docs.columns]
+    # stored before it is filtered: a filter over the measures would be pushed below them and repeat their work
+    stored = materialize(with_ledger(docs).select(*keep, "_q_fail_bits"))
+    return stored.where(verdict(F.col("_q_fail_bits"), policy)).select(*keep)
 
 
 def query(spark, sf_dir) -> DataFrame:
