@@ -18,6 +18,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 from .tokenizer_files import default_path
 
-#: Characters of text that are split at once, and distinct pretokens that a task remembers before it starts anew.
-SPLIT_CHARS, REMEMBER = 1 << 20, 1 << 20
+#: Characters of text that are split at once, bytes of pretokens in one index, and distinct pretokens that a
+#: task remembers before it starts anew.
+SPLIT_CHARS, INDEX_BYTES, REMEMBER = 1 << 20, 1 << 21, 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -83,12 +85,12 @@ class PairIndex:
         self.ends = np.cumsum([len(p) for p in pieces])
         self.sym = vocab.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         n = len(self.sym)
-        self.next, self.prev = np.arange(1, n + 1, dtype=np.int64), np.arange(-1, n - 1, dtype=np.int64)
+        self.next, self.prev = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         self.next[self.ends - 1] = -1
         self.prev[np.r_[0, self.ends[:-1]]] = -1
         self.lists: dict[int, list[np.ndarray]] = {}
         self.active: list[int] = []
-        self._add(np.flatnonzero(self.next >= 0))
+        self._add(np.flatnonzero(self.next >= 0).astype(np.int32))
 
     def _add(self, at: np.ndarray) -> None:
         rank = self.v.ranks(self.sym[at], self.sym[self.next[at]])
@@ -162,6 +164,14 @@ class Encoder:
         return out + self.split.findall(text[at:])
 
     def _learn(self, new: list[str]) -> None:
+        at, size = 0, 0
+        for i, p in enumerate(new):
+            size += len(p)
+            if size > INDEX_BYTES or i + 1 == len(new):
+                self._learn_some(new[at : i + 1])
+                at, size = i + 1, 0
+
+    def _learn_some(self, new: list[str]) -> None:
         plain = [p for p in new if p not in self.v.added]
         ids, n = PairIndex(self.v, [p.encode() for p in plain]).run() if plain else (np.empty(0, np.int32), np.empty(0, np.int64))
         if len(plain) < len(new):
@@ -194,8 +204,7 @@ class Encoder:
             parts.append((flat, counts))
             at = upto
         if len(code) > known:
-            new = list(code)[known:] if known else list(code)
-            self._learn(new)
+            self._learn(list(islice(code, known, None)))
         out = []
         for flat, counts in parts:
             n = (self.starts[flat + 1] - self.starts[flat]) if len(flat) else np.empty(0, np.int64)
@@ -205,14 +214,21 @@ class Encoder:
         return out
 
 
-def _encode(path: str):
+def _texts(vocab: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+    return [b"".join(map(vocab.bytes_of.__getitem__, ids[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _encode(path: str, back: bool):
+    """Ids of each text and, if asked, the text that they stand for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(path)
         for batch in batches:
             at = 0
             for ids, offsets in enc.encode(batch.column(1).to_pylist()):
                 n = len(offsets) - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
+                cols = [batch.column(0).slice(at, n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(_texts(enc.v, ids, offsets), pa.string())] * back, names=["doc_id", "ids", "text"][: 2 + back])
                 at += n
 
     return run
@@ -220,11 +236,10 @@ def _encode(path: str):
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = vocabulary(path).bytes_of
         for batch in batches:
-            lists = batch.column(1)
-            texts = [b"".join(map(bytes_of.__getitem__, np.asarray(x.values).tolist() if x.is_valid else ())).decode("utf-8", "replace") for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            lists = batch.column(1).fill_null([])
+            texts = _texts(vocabulary(path), np.asarray(lists.flatten()), np.r_[0, np.cumsum(np.asarray(lists.value_lengths()))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return run
 
@@ -232,7 +247,7 @@ def _decode(path: str):
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row."""
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(_encode(path or default_path()), f"doc_id {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(_encode(path or default_path(), False), f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -241,6 +256,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path or default_path()), f"doc_id {kind}, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, text) as decode(encode(docs)) gives them, in one worker."""
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(_encode(path or default_path(), True), f"doc_id {kind}, ids array<int>, text string")
+
+
 def query(spark, sf_dir) -> DataFrame:
-    out = decode(encode(table(spark, sf_dir, "documents")))
+    out = round_trip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
