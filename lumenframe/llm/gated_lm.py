@@ -31,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, table, text_or_empty, words_of
+from .common import materialize, table, text_or_empty
 
-HEAD, HEAD_CLASSES, MEMBERS, ENDINGS, LAST = 1023, 40, 32, 48, 3
-HIDDEN, WINDOW, LANES, ROUNDS, RATE = 16, 16, 512, 3, 0.01
+HEAD, HEAD_CLASSES, MEMBERS, ENDINGS, LAST = 2047, 24, 128, 32, 3
+#: Documents whose words are split at once.
+SPLIT_DOCS = 256
+HIDDEN, WINDOW, LANES, ROUNDS, RATE = 12, 16, 512, 3, 0.01
 ENCODED = "doc_id {id}, held_out boolean, n_tokens long, ids binary, word binary, docs array<{id}>, times array<int>"
 
 
@@ -72,6 +74,23 @@ class Symbols:
         return s if s is not None else self.first_ending + zlib.crc32(word[-LAST:]) % ENDINGS
 
 
+def _codes(texts: pa.Array, code: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Words per text and the number of each word; new words get the next number in code."""
+    sizes, parts = [], [np.empty(0, np.int32)]
+    for at in range(0, len(texts), SPLIT_DOCS):
+        words = [t.encode().lower().split() for t in texts.slice(at, SPLIT_DOCS).to_pylist()]
+        sizes += map(len, words)
+        parts.append(np.fromiter((code.setdefault(w, len(code)) for ws in words for w in ws), np.int32, sum(map(len, words))))
+    return np.array(sizes, np.int64), np.concatenate(parts)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        code: dict[bytes, int] = {}
+        codes = _codes(batch.column(0), code)[1]
+        yield pa.RecordBatch.from_arrays([pa.array(list(code), pa.binary()), pa.array(np.bincount(codes, minlength=len(code)).astype(np.int64))], names=["word", "c"])
+
+
 def _encode(shared):
     """Per document its symbols, and per chunk of documents a posting for each word that is no head word."""
 
@@ -79,11 +98,8 @@ def _encode(shared):
         sym: Symbols = shared.value
         for batch in batches:
             n = batch.num_rows
-            words = [(t or "").encode().lower().split() for t in batch.column(2).to_pylist()]
-            size = np.array([len(w) for w in words])
             code: dict[bytes, int] = {}
-            codes = np.fromiter((code.setdefault(w, len(code)) for ws in words for w in ws), np.int32, int(size.sum()))
-            del words
+            size, codes = _codes(batch.column(2), code)
             names = list(code)
             of = np.fromiter(map(sym.of_word, names), np.int16, len(names))
             ids, ends = of[codes], np.cumsum(size)
@@ -343,8 +359,8 @@ def log_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     spark, kind, ctx = docs.sparkSession, dict(docs.dtypes)[id_col], docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("held_out", held_out())
     learn = rows.where(~F.col("held_out") & F.col("doc_id").isNotNull())
-    words = learn.select(F.explode(words_of(ascii_lower(F.col("text")))).alias("word"))
-    counts = materialize(words.groupBy(F.col("word").cast("binary").alias("word")).agg(F.count("*").alias("c")))
+    words = learn.select("text").mapInArrow(_count_words, "word binary, c long")
+    counts = materialize(words.groupBy("word").agg(F.sum("c").alias("c")))
     n_docs = learn.count()
     top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
     head, head_counts = [bytes(r["word"]) for r in top], np.array([n_docs] + [r["c"] for r in top], np.float64)
