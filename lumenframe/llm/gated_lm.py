@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
 
-HEAD, HEAD_CLASSES, MEMBERS, ENDINGS, LAST = 2047, 24, 128, 32, 3
+HEAD, HEAD_CLASSES, MEMBERS, ENDINGS, LAST = 2047, 16, 160, 24, 3
 #: Documents whose words are split at once.
 SPLIT_DOCS = 256
-HIDDEN, WINDOW, LANES, ROUNDS, RATE = 12, 16, 512, 3, 0.01
+HIDDEN, WINDOW, LANES, ROUNDS, RATE = 10, 16, 512, 3, 0.01
 ENCODED = "doc_id {id}, held_out boolean, n_tokens long, ids binary, word binary, docs array<{id}>, times array<int>"
 
 
