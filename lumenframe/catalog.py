@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import signals, spatial  # noqa: F401
+from .plans.common import ORACLE_SQL, QUERIES  # noqa: F401
