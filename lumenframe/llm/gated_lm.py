@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_or_empty
 
 HEAD, HEAD_CLASSES, MEMBERS, ENDINGS, LAST = 2047, 16, 160, 24, 3
-#: Documents whose words are split at once.
-SPLIT_DOCS = 256
+#: Documents whose words are split at once, that share postings, and that are scored or learned from together.
+SPLIT_DOCS, POSTING_DOCS, TOGETHER = 256, 5000, 4096
 HIDDEN, WINDOW, LANES, ROUNDS, RATE = 10, 16, 512, 3, 0.01
 ENCODED = "doc_id {id}, held_out boolean, n_tokens long, ids binary, word binary, docs array<{id}>, times array<int>"
 
@@ -74,6 +74,12 @@ class Symbols:
         return s if s is not None else self.first_ending + zlib.crc32(word[-LAST:]) % ENDINGS
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _codes(texts: pa.Array, code: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Words per text and the number of each word; new words get the next number in code."""
     sizes, parts = [], [np.empty(0, np.int32)]
@@ -85,7 +91,7 @@ def _codes(texts: pa.Array, code: dict[bytes, int]) -> tuple[np.ndarray, np.ndar
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches, POSTING_DOCS):
         code: dict[bytes, int] = {}
         codes = _codes(batch.column(0), code)[1]
         yield pa.RecordBatch.from_arrays([pa.array(list(code), pa.binary()), pa.array(np.bincount(codes, minlength=len(code)).astype(np.int64))], names=["word", "c"])
@@ -96,7 +102,7 @@ def _encode(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sym: Symbols = shared.value
-        for batch in batches:
+        for batch in _slices(batches, POSTING_DOCS):
             n = batch.num_rows
             code: dict[bytes, int] = {}
             size, codes = _codes(batch.column(2), code)
@@ -110,7 +116,7 @@ def _encode(shared):
             none = lambda t, k: pa.nulls(k, t)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size + 1, pa.int64()), blobs, none(pa.binary(), n), none(pa.list_(kind), n), none(pa.list_(pa.int32()), n)], names=names_)
             rare = np.flatnonzero(ids >= sym.first_ending)
-            pair, times = np.unique(codes[rare].astype(np.int64) * n + np.repeat(np.arange(n), size)[rare], return_counts=True)
+            pair, times = np.unique(codes[rare].astype(np.int64) * n + np.repeat(np.arange(n, dtype=np.int32), size)[rare], return_counts=True)
             word, doc = pair // n, pair % n
             cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
             offsets = pa.array(np.r_[cut, len(word)].astype(np.int32)) if len(word) else pa.array([0], pa.int32())
@@ -265,7 +271,7 @@ def _train(shared, flat):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sym: Symbols = shared.value
         net, opt, n = Network(sym).unpack(np.frombuffer(flat.value, np.float32)), {}, 0
-        for batch in batches:
+        for batch in _slices(batches, TOGETHER):
             if batch.num_rows:
                 ids, begins = _stream(batch)
                 train_stream(net, sym, ids, begins, int(min(LANES, max(1, len(ids) // (4 * WINDOW)))), opt)
@@ -339,7 +345,7 @@ def _score(shared, flat):
         sym: Symbols = shared.value
         net = Network(sym).unpack(np.frombuffer(flat.value, np.float32))
         log_count = np.r_[sym.counts[: sym.first_ending], np.zeros(ENDINGS)]
-        for batch in batches:
+        for batch in _slices(batches, TOGETHER):
             if not batch.num_rows:
                 continue
             docs = [np.frombuffer(b, "<i2") for b in batch.column("ids").to_pylist()]
