@@ -33,8 +33,8 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def text_or_empty(column: str | Column = "text") -> Column:
+    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -45,3 +45,13 @@ def ascii_lower(c: Column) -> Column:
 def words_of(c: Column) -> Column:
     """Runs of characters that are not ASCII white space; none for an empty text."""
     return F.array_remove(F.split(c, f"{SPACE}+"), "")
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """docs as one struct column row, so that no column's name can clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unboxed(df: DataFrame, **instead: Column) -> DataFrame:
+    """The columns of row again; instead replaces some."""
+    return df.select(*[instead.get(c, F.col("row").getField(c)).alias(c) for c in df.schema["row"].dataType.names])

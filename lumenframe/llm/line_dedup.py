@@ -13,7 +13,7 @@ line spreads over its documents.
 Defined results: a null or empty text is one empty line; rows that share a doc_id are one document
 (their lines are judged by that id and each row keeps its own); a row without an id keeps all its
 lines and claims none; an empty table gives an empty result; other columns are carried by
-``drop_repeated``, whose own working columns start with ``_l_``.
+``drop_repeated``.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, shared_dir, table, text_or_empty
+from .common import ascii_lower, boxed, materialize, shared_dir, table, text_or_empty, unboxed
 
 HASH = ["h1", "h2"]
 
@@ -95,29 +95,26 @@ def repeated_lines(docs: DataFrame, batches: int = 6, fanout: int = 3, min_chars
     return dropped
 
 
-def with_kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with _l_n_lines, _l_n_dropped and _l_kept, the text of the lines that stay."""
-    lost, t = repeated_lines(docs, id_col=id_col, text=text, **how), text_or_empty(text)
-    lost = lost.select(F.col("id").alias("_l_id"), F.col("th").alias("_l_th"), F.col("dropped").alias("_l_dropped")).hint("shuffle_hash")
-    joined = docs.join(lost, (F.col(id_col) == F.col("_l_id")) & (F.xxhash64(t) == F.col("_l_th")), "left")
-    split = joined.withColumn("_l_lines", F.split(t, "\n"))
-    lines, gone = F.col("_l_lines"), F.col("_l_dropped")
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """row (the columns of docs), n_lines, n_dropped and kept, the text of the lines that stay."""
+    lost = repeated_lines(docs, id_col=id_col, text=text, **how).hint("shuffle_hash")
+    t = text_or_empty(F.col("row").getField(text))
+    joined = boxed(docs).join(lost, (F.col("row").getField(id_col) == F.col("id")) & (F.xxhash64(t) == F.col("th")), "left")
+    split = joined.withColumn("lines", F.split(t, "\n"))
+    lines, gone = F.col("lines"), F.col("dropped")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     kept = F.when(gone.isNull(), t).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return split.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.size(lines).cast("long").alias("_l_n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("_l_n_dropped"), kept.alias("_l_kept"))
+    return split.select("row", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
 def drop_repeated(docs: DataFrame, **how) -> DataFrame:
     """docs with the repeated lines gone from the text; texts that lose none stay as they are."""
-    out = with_kept(docs, **how)
-    return out.select(*[F.when(F.col("_l_n_dropped") > 0, F.col("_l_kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(kept_lines(docs, **how), text=F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("row").getField("text")))
 
 
 def query(spark, sf_dir) -> DataFrame:
-    out = with_kept(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_l_n_lines").alias("n_lines"), F.col("_l_n_dropped").alias("n_dropped"), F.sha2("_l_kept", 256).alias("kept_sha256"))
+    out = kept_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -9,8 +9,7 @@ Everything is built-in column expressions; no shuffle but for the ablation's cou
 
 Defined results: a null text has no words and fails ``few_words``; repeated rows are measured
 one by one; an empty table gives an empty ledger; columns besides the id and the text are
-ignored by ``ledger`` and carried along by ``with_ledger``, whose own columns then have the
-prefix ``_q_`` so that names cannot clash.
+ignored by ``ledger`` and carried along by ``judge``, boxed so that names cannot clash.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, text_or_empty, words_of
+from .common import boxed, table, text_or_empty, unboxed, words_of
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct_words")
@@ -56,11 +55,11 @@ def _failed(rule: str) -> Column:
     }[rule]
 
 
-def with_ledger(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
-    """docs with a column ``_q_<measure>`` for each measure and ``_q_fail_bits``."""
-    t, keep = text_or_empty(text), [F.col(f"`{c}`") for c in docs.columns]
-    one = docs.select(
-        *keep,
+def measured(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
+    """row (the columns of docs), the measures and fail_bits."""
+    t = text_or_empty(F.col("row").getField(text))
+    one = boxed(docs).select(
+        "row",
         words_of(t).alias("_q_words"),
         F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_q_line_list"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("_q_n_symbols"),
@@ -70,7 +69,7 @@ def with_ledger(docs: DataFrame, text: str = "text", window: int = 5) -> DataFra
     w, lines = F.col("_q_words"), F.col("_q_line_list")
     starts = F.sequence(F.lit(1), F.size(w) - (window - 1))
     two = one.select(
-        *keep, "_q_words", "_q_n_symbols", "_q_n_upper", "_q_n_letters",
+        "row", "_q_words", "_q_n_symbols", "_q_n_upper", "_q_n_letters",
         F.size(w).cast("long").alias("_q_n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("_q_word_chars"),
         F.size(lines).cast("long").alias("_q_n_lines"),
@@ -95,16 +94,16 @@ def with_ledger(docs: DataFrame, text: str = "text", window: int = 5) -> DataFra
         lambda a, i: F.struct((a["n"] + i + window - F.greatest(a["end"], i)).alias("n"), (i + window).alias("end")),
         lambda a: a["n"],
     )
-    measured = three.withColumn("_q_n_repeat_words", F.coalesce(F.when(s.isNotNull(), covered), F.lit(0)).cast("long"))
+    out = three.withColumn("_q_n_repeat_words", F.coalesce(F.when(s.isNotNull(), covered), F.lit(0)).cast("long"))
     bits = F.lit(0).cast("long")
     for rule, bit in RULES.items():
         bits = bits.bitwiseOR(F.when(_failed(rule), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
-    return measured.select(*keep, *[F.col(f"_q_{m}") for m in MEASURES], bits.alias("_q_fail_bits"))
+    return out.select("row", *[F.col(f"_q_{m}").alias(m) for m in MEASURES], bits.alias("fail_bits"))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The ledger alone: id, measures, fail_bits; small enough to store and to judge again and again."""
-    return with_ledger(docs.select(id_col, text), text).select(id_col, *[F.col(f"_q_{m}").alias(m) for m in MEASURES], F.col("_q_fail_bits").alias("fail_bits"))
+    return measured(docs.select(id_col, text), text).select(F.col("row").getField(id_col).alias(id_col), *MEASURES, "fail_bits")
 
 
 def verdict(fail_bits: Column, policy: Policy) -> Column:
@@ -132,15 +131,12 @@ def ablation(led: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 def judge(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """The documents that pass the policy, with their own columns only."""
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    # stored before it is filtered: a filter over the measures would be pushed below them and repeat their work
-    stored = materialize(with_ledger(docs).select(*keep, "_q_fail_bits"))
-    return stored.where(verdict(F.col("_q_fail_bits"), policy)).select(*keep)
+    # always true, but not to the optimizer: else the filter would be pushed below the measures and repeat their work
+    ok = verdict(F.col("fail_bits"), policy) & (F.monotonically_increasing_id() >= 0)
+    return unboxed(measured(docs).select("row", ok.alias("ok")).where("ok"))
 
 
 def query(spark, sf_dir) -> DataFrame:
-    from .common import table
-
     led = ledger(table(spark, sf_dir, "documents"))
     base = verdict(F.col("fail_bits"), BASE)
     return led.select(

@@ -14,7 +14,7 @@ every other occurrence is reported. Reported windows merge into maximal interval
 Defined results: a null or empty text has no words; rows with one doc_id and the same text are
 one document; rows that share a doc_id with different texts get the intervals of all of them;
 a row without an id keeps every word and claims none; an empty table gives an empty result; other
-columns are carried by ``drop_repeated``, whose own working columns start with ``_s_``.
+columns are carried by ``drop_repeated``.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty, words_of
+from .common import boxed, materialize, table, text_or_empty, unboxed, words_of
 
 #: Words of a minimizer; windows that a chunk holds at once; one document in so many is looked at for hot minimizers.
 INNER, CHUNK, LOOK = 6, 1 << 19, 64
@@ -224,24 +224,23 @@ def removal_spans(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text:
     return runs.repartition("key").sortWithinPartitions("key").mapInArrow(_reduce(size), SPANS)
 
 
-def with_kept(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with _s_n_words, _s_n_removed and _s_kept (the words that stay, joined by one space)."""
-    spans = removal_spans(docs, size, id_col, text).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_s_spans")).withColumnRenamed("doc_id", "_s_id").hint("shuffle_hash")
-    joined = docs.join(spans, F.col(id_col) == F.col("_s_id"), "left").withColumn("_s_words", words_of(text_or_empty(text)))
-    words, n = F.col("_s_words"), F.size("_s_words")
-    gone = F.array_distinct(F.flatten(F.transform("_s_spans", lambda s: F.sequence(s["start"], s["end"] - 1))))
-    cut = joined.withColumn("_s_gone", gone)
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_s_gone"))
-    kept = F.when(F.col("_s_gone").isNull(), F.array_join(words, " ")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(words, i)), " "))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns], n.cast("long").alias("_s_n_words"), F.coalesce(F.size("_s_gone"), F.lit(0)).cast("long").alias("_s_n_removed"), kept.alias("_s_kept"))
+def kept_words(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """row (the columns of docs), n_words, n_removed and kept (the words that stay, joined by one space)."""
+    spans = removal_spans(docs, size, id_col, text).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")).hint("shuffle_hash")
+    t = text_or_empty(F.col("row").getField(text))
+    joined = boxed(docs).join(spans, F.col("row").getField(id_col) == F.col("doc_id"), "left").withColumn("words", words_of(t))
+    words, n = F.col("words"), F.size("words")
+    cut = joined.withColumn("gone", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.array_join(words, " ")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(words, i)), " "))
+    return cut.select("row", n.cast("long").alias("n_words"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
 
 
 def drop_repeated(docs: DataFrame, size: int = 20) -> DataFrame:
     """docs with repeated passages gone; a text that loses words becomes its kept words, others stay as they are."""
-    out = with_kept(docs, size)
-    return out.select(*[F.when(F.col("_s_n_removed") > 0, F.col("_s_kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(kept_words(docs, size), text=F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row").getField("text")))
 
 
 def query(spark, sf_dir) -> DataFrame:
-    out = with_kept(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_s_n_words").alias("n_words"), F.col("_s_n_removed").alias("n_removed"), F.sha2("_s_kept", 256).alias("kept_sha256"))
+    out = kept_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
