@@ -204,7 +204,7 @@ def student_two_sided(t: float, df: float) -> float:
         f *= c * d
         if abs(c * d - 1) < 1e-12:
             break
-    p = front * f
+    p = front * (f - 1)
     return 1 - p if flip else p
 
 

@@ -156,9 +156,9 @@ def masked_elements(spark, d):
     return masks.masked(two_masks(spark, d)[1], "channel")
 
 
-@query(f"WITH {TS}, v AS (SELECT {KEYS}, var_pop(value) AS variance FROM ts GROUP BY ALL), b AS (SELECT *, variance = 0 OR channel IN ('C1', 'C7') AS bad FROM v) SELECT {KEYS}, {r('CASE WHEN bad THEN 1e6 * max(CASE WHEN NOT bad THEN variance END) OVER (PARTITION BY wavelength) ELSE variance END', 'variance')} FROM b")
+@query(f"WITH {TS}, v AS (SELECT {KEYS}, var_pop(value) AS variance FROM ts GROUP BY ALL), b AS (SELECT *, variance = 0 OR channel IN ('C1', 'C7') AS bad FROM v) SELECT {KEYS}, {r('CASE WHEN bad THEN 100 * max(CASE WHEN NOT bad THEN variance END) OVER (PARTITION BY wavelength) ELSE variance END', 'variance')} FROM b")
 def measurement_variance(spark, d):
-    return quality.measurement_variance(ts(spark, d), ["C1", "C7"])
+    return quality.measurement_variance(ts(spark, d), ["C1", "C7"], 100.0)
 
 
 FIRST = "short AS (SELECT * FROM ts WHERE sample < 12)"
@@ -337,7 +337,7 @@ def binned_statistics(spark, d):
 EPOCHS = f"""e0 AS (SELECT {CELL}, value, row_number() OVER ({WO}) - 1 AS i, count(*) OVER ({W}) AS n, lag(time) OVER ({WO}) AS tp, lead(time) OVER ({WO}) AS tn, lead(value) OVER ({WO}) AS vn FROM ts),
 e1 AS (SELECT *, coalesce((tp + time) / 2, time - (tn - time) / 2) AS lo, coalesce((tn + time) / 2, time + (time - tp) / 2) AS hi FROM e0),
 mid AS (SELECT DISTINCT {KEYS}, event_id AS epoch, onset, trial_type FROM e1 JOIN stim ON onset >= lo AND onset < hi WHERE i - 3 >= 0 AND i + 10 < n),
-grid AS (SELECT {KEYS}, epoch, trial_type, k::INT AS rel_idx, round(k * 0.1, 3) AS reltime, onset + round(k * 0.1, 3) AS q FROM mid, (SELECT unnest(range(-3, 11)) AS k)),
+grid AS (SELECT {KEYS}, epoch, trial_type, k::INT AS rel_idx, round(k * 0.1::DOUBLE, 3) AS reltime, onset + round(k * 0.1::DOUBLE, 3) AS q FROM mid, (SELECT unnest(range(-3, 11)) AS k)),
 hit AS (SELECT g.*, e.time AS t, e.value AS v, e.tn, e.vn FROM grid g JOIN e1 e ON e.channel = g.channel AND e.wavelength = g.wavelength AND (q >= e.time OR e.i = 0) AND (q < e.tn OR e.i = e.n - 2) AND e.tn IS NOT NULL),
 epochs AS (SELECT {KEYS}, epoch, trial_type, rel_idx, reltime, v + (q - t) * (vn - v) / (tn - t) AS value FROM hit)"""
 EP = f"{TS}, {STIM}, {EPOCHS}"
