@@ -139,3 +139,69 @@ def temporally_embedded_cca(x: DataFrame, y: DataFrame, shifts: list[int], **how
 
     e = temporal_embedding(x.select("channel", "sample", "value"), shifts)
     return cca(e.select(F.concat_ws("@", "channel", F.col("shift").cast("string")).alias("channel"), "sample", "value"), y, **how)
+
+
+def optimal_shift(embedded: DataFrame, y: DataFrame) -> DataFrame:
+    """(component, shift, corr): the lag of largest |correlation| with y. embedded: component, shift, sample, value."""
+    c = embedded.join(y.select("component", "sample", F.col("value").alias("_y")), ["component", "sample"]).groupBy("component", "shift").agg(F.corr("value", "_y").alias("corr"))
+    return c.groupBy("component").agg(F.max_by(F.struct("shift", "corr"), F.struct(F.abs("corr").alias("a"), (-F.col("shift")).alias("s"))).alias("m")).select("component", "m.shift", "m.corr")
+
+
+def shift_by_optimal(x: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Each component advanced by its shift, zero at the tail."""
+    moved = x.join(F.broadcast(shifts.select("component", "shift")), "component")
+    later = moved.select("component", (F.col("sample") - F.col("shift")).alias("sample"), F.col("value").alias("_v"))
+    return x.join(later, ["component", "sample"], "left").select("component", "sample", F.coalesce("_v", F.lit(0.0)).alias("value"))
+
+
+def bandpower(x: DataFrame, weights: DataFrame, bins: int) -> DataFrame:
+    """(component, bin, value): variance of each standardised projection in equal bins of samples."""
+    p = project(x, weights)
+    w = Window.partitionBy("component")
+    sd = F.stddev_pop("value").over(w)
+    z = p.withColumn("value", (F.col("value") - F.avg("value").over(w)) / F.when(sd == 0, 1.0).otherwise(sd))
+    at = F.least(F.floor((F.col("sample") - F.min("sample").over(w)) / (F.max("sample").over(w) - F.min("sample").over(w)) * bins), F.lit(bins - 1)).cast("int")
+    return z.withColumn("bin", at).groupBy("component", "bin").agg(F.var_pop("value").alias("value"))
+
+
+def mspoc(x: DataFrame, y: DataFrame, bins: int, shifts: tuple[int, ...] = (0,), restarts: int = 2, rounds: int = 200, tol: float = 1e-5, seed: int = 0) -> tuple[DataFrame, DataFrame, np.ndarray, float]:
+    """(weights of x, weights of y, weights of the lags, correlation) of the leading component.
+
+    The power of a projection of x in each bin, at several lags, is to follow a projection of y
+    (one sample per bin). Spark computes the covariances by bin; the alternation of a one-component
+    correlation analysis and an eigenvector is on the driver.
+    """
+    lx, ly = _labels(x), _labels(y)
+    span = x.agg(F.min("sample").alias("a"), F.max("sample").alias("b"))
+    binned = x.join(F.broadcast(span)).withColumn("bin", F.least(F.floor((F.col("sample") - F.col("a")) / (F.col("b") - F.col("a")) * bins), F.lit(bins - 1)).cast("int"))
+    a = binned.select("bin", "sample", F.col("channel").alias("a"), F.col("value").alias("va"))
+    b = binned.select("sample", F.col("channel").alias("b"), F.col("value").alias("vb"))
+    cov = np.zeros((bins, len(lx), len(lx)))
+    at = {c: i for i, c in enumerate(lx)}
+    for r in a.join(b, "sample").groupBy("bin", "a", "b").agg(F.covar_samp("va", "vb").alias("c")).collect():
+        cov[r["bin"], at[r["a"]], at[r["b"]]] = r["c"] or 0.0
+    ys = np.zeros((bins, len(ly)))
+    for r in y.where(F.col("sample") < bins).collect():
+        ys[r["sample"], ly.index(r["channel"])] = r["value"]
+    ys = (ys - ys.mean(0)) / np.where(ys.std(0) == 0, 1, ys.std(0))
+    mean, rng, best = cov.mean(0), np.random.default_rng(seed), None
+    half = _power(mean)
+    for _ in range(restarts):
+        w, last = rng.normal(size=len(lx)), -np.inf
+        for _ in range(rounds):
+            power = np.einsum("i,tij,j->t", w, cov, w)
+            lagged = np.column_stack([np.r_[np.zeros(s), power[: bins - s]] for s in shifts])
+            lagged = (lagged - lagged.mean(0)) / np.where(lagged.std(0) == 0, 1, lagged.std(0))
+            u, s, vt = np.linalg.svd(_power(lagged.T @ lagged / bins) @ (lagged.T @ ys / bins) @ _power(ys.T @ ys / bins))
+            wt, wy = _power(lagged.T @ lagged / bins) @ u[:, 0], _power(ys.T @ ys / bins) @ vt[0]
+            target = ys @ wy
+            weighted = sum(k * np.tensordot(np.r_[target[g:], np.zeros(g)], cov, 1) for k, g in zip(wt, shifts, strict=True)) / bins
+            lam, e = np.linalg.eigh(half @ weighted @ half)
+            w = half @ e[:, np.abs(lam).argmax()]
+            if abs(s[0] - last) < tol:
+                break
+            last = s[0]
+        if best is None or last > best[3]:
+            best = (w, wy, wt, float(last))
+    spark = x.sparkSession
+    return weights_table(spark, lx, oriented(best[0][:, None])), weights_table(spark, ly, best[1][:, None]), best[2], best[3]
