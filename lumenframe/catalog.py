@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import more, signals, spatial  # noqa: F401
+from .plans import labels, more, signals, spatial  # noqa: F401
 from .plans.common import ORACLE_SQL, QUERIES  # noqa: F401

@@ -219,3 +219,53 @@ def design_groups(design: DataFrame) -> DataFrame:
     """(channel, group): channels with the same regressors share a group number's hash."""
     cells = design.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("regressor", "sample", "value"))).alias("c"))
     return cells.select("channel", F.xxhash64("c").alias("group"))
+
+
+def student_quantile(p: float, df: float) -> float:
+    """t with P(|T| >= t) = 1 - p, by bisection."""
+    lo, hi = 0.0, 1e3
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if student_two_sided(mid, df) > 1 - p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def confidence_intervals(results: DataFrame, level: float = 0.95) -> DataFrame:
+    """(keys, regressor, low, high)."""
+    keys = [c for c in results.columns if c not in ("regressors", "params", "bse", "cov", "df_resid", "sigma2")]
+
+    @F.pandas_udf("double")
+    def width(df: pd.Series) -> pd.Series:
+        known = {v: student_quantile(level, v) for v in df.unique()}
+        return df.map(known)
+
+    rows = results.select(*keys, width("df_resid").alias("_q"), F.explode(F.arrays_zip(F.col("regressors").alias("regressor"), F.col("params").alias("param"), F.col("bse").alias("se"))).alias("c"))
+    return rows.select(*keys, "c.regressor", (F.col("c.param") - F.col("_q") * F.col("c.se")).alias("low"), (F.col("c.param") + F.col("_q") * F.col("c.se")).alias("high"))
+
+
+def contrast(results: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(keys, effect, sd, t, p) of a weighted sum of parameters."""
+    keys = [c for c in results.columns if c not in ("regressors", "params", "bse", "cov", "df_resid", "sigma2")]
+    kinds = dict(results.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for names, b, cov, df in zip(pdf["regressors"], pdf["params"], pdf["cov"], pdf["df_resid"], strict=True):
+                c = np.array([weights.get(n, 0.0) for n in names])
+                effect, sd = float(c @ np.asarray(b)), math.sqrt(max(float(c @ np.asarray(cov).reshape(len(c), -1) @ c), 0.0))
+                t = effect / sd if sd else math.nan
+                rows.append((effect, sd, t, student_two_sided(t, df) if sd else math.nan))
+            out = pdf[keys].copy()
+            for i, name in enumerate(("effect", "sd", "t", "p")):
+                out[name] = [r[i] for r in rows]
+            yield out
+
+    return results.mapInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + "effect double, sd double, t double, p double")
+
+
+def regressor_variances(results: DataFrame) -> DataFrame:
+    """(keys, regressor, variance): the diagonal of the covariance."""
+    keys = [c for c in results.columns if c not in ("regressors", "params", "bse", "cov", "df_resid", "sigma2")]
+    n = F.size("regressors")
+    return results.select(*keys, F.posexplode("regressors").alias("_i", "regressor"), n.alias("_n"), "cov").select(*keys, "regressor", F.get("cov", F.col("_i") * (F.col("_n") + 1)).alias("variance"))

@@ -113,3 +113,10 @@ def tissue_properties(volume: DataFrame, table: dict[str, tuple[float, float, fl
     props = volume.sparkSession.createDataFrame(rows, "seg_type string, absorption double, scattering double, anisotropy double, refraction double")
     out = volume.select("seg_type").distinct().join(F.broadcast(props), "seg_type", "left")
     return out.withColumn("absorption", F.coalesce(F.assert_true(F.col("absorption").isNotNull(), "unknown tissue").cast("double"), F.col("absorption")))
+
+
+def spatial_activation(distances: DataFrame, scale: float, intensity: float, hbr_scale: float | None = None) -> DataFrame:
+    """(vertex, chromo, value): Gaussian of the geodesic distance (vertex, distance); HbR as a share of HbO if asked."""
+    blob = distances.select("vertex", (F.exp(-((F.col("distance") / scale) ** 2) / 2) * intensity).alias("value"))
+    out = blob.withColumn("chromo", F.lit("HbO"))
+    return out if hbr_scale is None else out.unionByName(blob.select("vertex", (F.col("value") * hbr_scale).alias("value"), F.lit("HbR").alias("chromo")))

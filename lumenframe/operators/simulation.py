@@ -94,3 +94,10 @@ def synthetic_hrf(pattern: DataFrame, regressors: DataFrame, stim: DataFrame) ->
     keys = [c for c in pattern.columns if c != "value"]
     r = regressors.join(F.broadcast(top), "regressor").groupBy("sample").agg(F.sum(F.col("value") * F.col("_m")).alias("_r"))
     return pattern.join(F.broadcast(r)).select(*keys, "sample", (F.col("value") * F.col("_r")).alias("value"))
+
+
+def add_chromo_artifacts(od: DataFrame, events: DataFrame, distances: DataFrame, dpf: dict[float, float], coef: DataFrame, **how) -> DataFrame:
+    """Artefacts added to the concentrations of od and taken back to optical density."""
+    from .optics import conc2od, od2conc
+
+    return conc2od(add_artifacts(od2conc(od, distances, dpf, coef), events, **how), distances, dpf, coef)

@@ -240,3 +240,71 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("wq").agg(F.sum("n")).first()[0] == 40
+
+
+def test_head_model(spark, tmp_path):
+    from lumenframe.operators.head_model import HeadModel, fluence_at, object_sizes
+
+    vertices, faces, v = sphere(spark, 8)
+    vox = spark.createDataFrame([(i, *map(float, 0.9 * p)) for i, p in enumerate(v)], "voxel long, x double, y double, z double")
+    v2s = vox.select("voxel", F.col("voxel").alias("vertex")).where("voxel <> 3")
+    head = HeadModel(vox, vertices, faces, vertices, faces, cloud(spark, v[:6]), None, v2s)
+    assert head.crs is None
+    moved = head.apply_transform(transforms.m_trans([1, 0, 0]), "ras")
+    assert moved.crs == "ras" and moved.brain_vertices.agg(F.avg("x")).first()[0] == pytest.approx(1 + v[:, 0].mean())
+    head.save(str(tmp_path / "h"))
+    assert HeadModel.load(spark, str(tmp_path / "h")).scalp_faces.count() == faces.count()
+    p = cloud(spark, 1.3 * v[[2, 3, 10]])
+    got = {r.label: r.voxel for r in head.snap_to_scalp_voxels(p).collect()}
+    assert got["P0"] == 2 and got["P2"] == 10 and got["P1"] != 3
+    t = transforms.m_trans([5, 1, 0]) @ transforms.m_scale1(2)
+    far = cloud(spark, (v[:6] - [5, 1, 0]) / 2)
+    snapped = {r.label: (r.x, r.y, r.z) for r in head.align_and_snap(far).collect()}
+    assert all(snapped[f"P{i}"] == pytest.approx(tuple(v[i]), abs=1e-6) for i in range(6)), t
+    flu = spark.createDataFrame([("S", 760.0, k, float(k > 1)) for k in range(4)], "label string, wavelength double, voxel long, value double")
+    rays = spark.createDataFrame([("D", s, s) for s in range(4)], "other string, step int, voxel long")
+    assert fluence_at(flu, rays).first()["value"] == 1.0
+    cells = [(x, 0, 0) for x in range(6)] + [(8, 0, 0), (8, 1, 0), (9, 1, 1)]
+    step = iter(range(1000))
+
+    def keep(df):
+        path = str(tmp_path / f"o{next(step)}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    assert [r.n for r in object_sizes(spark.createDataFrame(cells, "i int, j int, k int"), keep).collect()] == [6, 2, 1]
+
+
+def test_lags_and_power(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=120)
+    lagged = [(0, s, i, float(x[i - s]) if i >= s else 0.0) for s in (0, 3, 5) for i in range(120)]
+    y = [(0, i, float(x[i - 3]) if i >= 3 else 0.0) for i in range(120)]
+    e = spark.createDataFrame(lagged, "component int, shift int, sample long, value double")
+    best = decomposition.optimal_shift(e, spark.createDataFrame(y, "component int, sample long, value double"))
+    assert best.first()["shift"] == 3
+    moved = decomposition.shift_by_optimal(spark.createDataFrame(y, "component int, sample long, value double"), best)
+    got = [r.value for r in moved.orderBy("sample").collect()]
+    assert got[:117] == pytest.approx(list(x[:117])) and got[117:] == [0, 0, 0]
+    power = np.repeat(np.abs(np.sin(np.arange(24))) + 0.1, 60)
+    s = np.column_stack([rng.normal(size=1440) * power, rng.normal(size=(1440, 2))]) @ rng.normal(size=(3, 3))
+    long = spark.createDataFrame([(f"c{j}", i, float(s[i, j])) for i in range(1440) for j in range(3)], "channel string, sample long, value double")
+    target = spark.createDataFrame([(c, i, float(v)) for i in range(24) for c, v in (("y0", power[60 * i] ** 2), ("y1", rng.normal()))], "channel string, sample long, value double")
+    wx, wy, wt, corr = decomposition.mspoc(long, target, 24)
+    assert corr > 0.8 and wx.count() == 3
+
+
+def test_motion_pca_and_baseline(spark):
+    from lumenframe.operators import motion
+
+    rng = np.random.default_rng(9)
+    n, jump = 200, np.zeros(200)
+    jump[80:90] = 50 * np.sin(np.linspace(0, 3.14, 10))
+    rows = [(f"c{c}", 760.0, i, i / 10, float(rng.normal() + (c + 1) * jump[i])) for c in range(4) for i in range(n)]
+    ts = spark.createDataFrame(rows, "channel string, wavelength double, sample long, time double, value double")
+    mask = spark.createDataFrame([(i, not 80 <= i < 90) for i in range(n)], "sample long, mask boolean")
+    fixed = motion.motion_correct_pca(ts, mask, 0.9)
+    assert fixed.count() == 4 * n
+    sd = lambda df: df.where("sample BETWEEN 80 AND 89").groupBy("channel").agg(F.stddev_pop("value").alias("s")).agg(F.max("s")).first()[0]
+    assert sd(fixed) < 0.2 * sd(ts)
+    assert motion.motion_correct_pca_recurse(ts.where("sample < 70"), 10.0).count() == 280
