@@ -66,6 +66,7 @@ class Symbols:
         self.class_of[self.first_ending :] = k + 1 + np.arange(ENDINGS)
         self.n_head_classes, self.n_classes = k + 1, k + 1 + ENDINGS
         self.counts = np.concatenate([counts[: self.first_ending], endings]).astype(np.float64)
+        self.size_of = np.bincount(self.class_of[: self.first_ending], minlength=self.n_head_classes)
         self.symbol_at = np.full((self.n_head_classes, MEMBERS), -1)
         self.symbol_at[self.class_of[: self.first_ending], self.member[: self.first_ending]] = np.arange(self.first_ending)
 
@@ -179,9 +180,12 @@ def _head_terms(net: Network, sym: Symbols, h: np.ndarray, y: np.ndarray, grads:
     cut = np.flatnonzero(np.diff(cls[some])) + 1
     for part in np.split(some, cut) if len(some) else ():
         c = cls[part[0]]
-        if sym.symbol_at[c, 1] < 0:
+        m = sym.size_of[c]
+        if m == 1:
             continue
-        z = h[part] @ net.members[c] + net.member_bias[c]
+        hp, weights = h[part], net.members[c][:, :m]
+        z = hp @ weights
+        z += net.member_bias[c, :m]
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         total = p.sum(1, keepdims=True)
@@ -190,9 +194,9 @@ def _head_terms(net: Network, sym: Symbols, h: np.ndarray, y: np.ndarray, grads:
         if grads is not None:
             p /= total
             p[at] -= 1
-            grads["members"][c] += h[part].T @ p
-            grads["member_bias"][c] += p.sum(0)
-            dh[part] += p @ net.members[c].T
+            grads["members"][c][:, :m] += hp.T @ p
+            grads["member_bias"][c, :m] += p.sum(0)
+            dh[part] += p @ weights.T
     return out
 
 
@@ -387,7 +391,9 @@ def log_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     table_ = F.broadcast(spark.createDataFrame([(e, float(c), d, float(d * v)) for e, c, v, d in stats], "e int, total double, discount double, unseen double"))
     posted = encoded.where("word IS NOT NULL").select("word", "docs", "times").join(counts, "word", "left").withColumn("e", ending_of(F.col("word"))).join(table_, "e", "left")
     term = F.coalesce(F.log10(F.when(F.col("c").isNotNull(), F.col("c") - F.col("discount")).otherwise(F.col("unseen")) / F.col("total")), F.lit(0.0))
-    parts = posted.select(F.explode(F.arrays_zip("docs", "times")).alias("d"), F.log10(F.coalesce("c", F.lit(0)) + 0.5).alias("base"), term.alias("score"), F.col("c").isNotNull().cast("long").alias("known"))
+    # logarithms once per posting, before its documents are taken apart
+    logs = posted.select("docs", "times", F.log10(F.coalesce("c", F.lit(0)) + 0.5).alias("base"), term.alias("score"), F.col("c").isNotNull().cast("long").alias("known"))
+    parts = logs.select(F.explode(F.arrays_zip("docs", "times")).alias("d"), "base", "score", "known")
     tails = parts.select(F.col("d.docs").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("n_tokens"), (F.col("known") * F.col("d.times")).alias("n_known"), (F.col("base") * F.col("d.times")).alias("base"), (F.col("score") * F.col("d.times")).alias("score"))
     total = scored.unionByName(tails).groupBy("doc_id").agg(F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     down = float(np.log10(n_train + 0.5 * (vocab + 1)))

@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_or_empty
+from .common import materialize, shared_dir, table, text_or_empty
 from .tokenizer_files import default_path, file_digest, library_encoder
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -61,8 +61,9 @@ def count_tokens(docs: DataFrame, cache: str, path: str | None = None, id_col: s
     """(doc_id, n_bytes, n_tokens) for every row of docs."""
     path, t = path or default_path(), text_or_empty(text)
     fill_cache(docs, cache, path, text)
-    known = read_cache(docs.sparkSession, cache, file_digest(path))
     rows = docs.select(F.col(id_col), F.octet_length(t).cast("long").alias("n_bytes"), F.unhex(F.sha2(t, 256)).alias("digest"))
+    # the counts of these documents as a table of their own: Spark can then split a hot digest in the last join
+    known = materialize(rows.select("digest").distinct().join(read_cache(docs.sparkSession, cache, file_digest(path)), "digest"))
     return rows.join(known, "digest").select(id_col, "n_bytes", "n_tokens")
 
 
