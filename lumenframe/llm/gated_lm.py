@@ -4,8 +4,8 @@ Tokens are words and one end per document. Spark counts them over all training d
 ``HEAD`` most frequent become symbols of their own, in classes of about equal mass; every other
 word is the symbol of its ending's class (``ENDINGS`` classes by a checksum of its last bytes), so
 unknown words have a symbol too. A gated recurrent unit reads symbols; the output is factored:
-softmax over classes, then, within a class of head words, softmax over its members, and within an
-ending's class the counts with absolute discounting, whose discounted mass belongs to the words
+softmax over classes, then, within a class of frequent head words, softmax over its members, within
+an ending's class the counts with absolute discounting, whose discounted mass belongs to the words
 not seen in training (one event per class, as the base's unknown token is one event).
 
 Training is truncated backpropagation over windows of ``WINDOW`` tokens with the state carried
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
 
-HEAD, HEAD_CLASSES, MEMBERS, ENDINGS, LAST = 2047, 16, 160, 24, 3
+HEAD, HEAD_CLASSES, MEMBERS, ENDINGS, LAST = 2047, 16, 96, 32, 3
 #: Documents whose words are split at once, that share postings, and that are scored or learned from together.
 SPLIT_DOCS, POSTING_DOCS, TOGETHER = 256, 5000, 4096
 HIDDEN, WINDOW, LANES, ROUNDS, RATE = 10, 16, 512, 3, 0.01
@@ -50,25 +50,42 @@ def ending_of(word: Column) -> Column:
 
 
 class Symbols:
-    """Symbols 0 (end) and 1.. (head words by count), then one for each ending; and their classes."""
+    """Symbols 0 (end) and 1.. (head words by count), then one for each ending; and their classes.
 
-    def __init__(self, head: list[bytes], counts: np.ndarray, endings: np.ndarray):
+    The most frequent fill classes of about equal mass of up to MEMBERS words, whose members the
+    network tells apart. Rarer head words belong to their ending's class, as all other words do.
+    tail, kinds and discount: by ending, what the words outside the head count, how many they are,
+    and what is taken off each count of the class.
+    """
+
+    def __init__(self, head: list[bytes], counts: np.ndarray, tail: np.ndarray, kinds: np.ndarray | None = None, discount: np.ndarray | None = None):
         self.index = {w: i + 1 for i, w in enumerate(head)}
         self.first_ending = len(head) + 1
         self.n = self.first_ending + ENDINGS
-        self.n_classes, self.class_of, self.member = 0, np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
-        goal, mass, k, m = counts[: self.first_ending].sum() / HEAD_CLASSES, 0.0, 0, 0
+        self.class_of, self.member = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        goal, mass, k, m, n_soft = counts.sum() / HEAD_CLASSES, 0.0, 0, 0, self.first_ending
         for s in range(self.first_ending):
-            if m and (mass + counts[s] > goal or m == MEMBERS):
+            if m and mass + counts[s] > goal:
                 k, m, mass = k + 1, 0, 0.0
+            if m == MEMBERS:
+                n_soft = s - m
+                break
             self.class_of[s], self.member[s] = k, m
             m, mass = m + 1, mass + counts[s]
-        self.class_of[self.first_ending :] = k + 1 + np.arange(ENDINGS)
-        self.n_head_classes, self.n_classes = k + 1, k + 1 + ENDINGS
-        self.counts = np.concatenate([counts[: self.first_ending], endings]).astype(np.float64)
-        self.size_of = np.bincount(self.class_of[: self.first_ending], minlength=self.n_head_classes)
-        self.symbol_at = np.full((self.n_head_classes, MEMBERS), -1)
-        self.symbol_at[self.class_of[: self.first_ending], self.member[: self.first_ending]] = np.arange(self.first_ending)
+        self.n_soft = k + (n_soft == self.first_ending)
+        self.n_classes = self.n_soft + ENDINGS
+        self.symbol_at = np.full((self.n_soft, MEMBERS), -1)
+        self.symbol_at[self.class_of[:n_soft], self.member[:n_soft]] = np.arange(n_soft)
+        self.size_of = (self.symbol_at >= 0).sum(1)
+        rarer = np.arange(n_soft, self.first_ending)
+        ending = np.array([zlib.crc32(head[s - 1][-LAST:]) % ENDINGS for s in rarer], np.int64)
+        self.class_of[rarer], self.class_of[self.first_ending :] = self.n_soft + ending, self.n_soft + np.arange(ENDINGS)
+        self.counts = np.concatenate([counts, tail]).astype(np.float64)
+        self.totals = tail + np.bincount(ending, counts[rarer], ENDINGS)
+        self.discount = np.full(ENDINGS, 0.75) if discount is None else discount
+        self.unseen = self.discount * ((tail > 0 if kinds is None else kinds) + np.bincount(ending, minlength=ENDINGS))
+        self.log_static = np.zeros(self.n, np.float32)
+        self.log_static[rarer] = np.log((self.counts[rarer] - self.discount[ending]) / self.totals[ending])
 
     def of_word(self, word: bytes) -> int:
         s = self.index.get(word)
@@ -137,7 +154,7 @@ class Network:
         rng, h = np.random.default_rng(5), HIDDEN
         scale = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         self.inputs, self.recurrent = scale(sym.n, 3 * h), scale(h, 3 * h)
-        self.classes, self.members = scale(h, sym.n_classes), scale(sym.n_head_classes, h, MEMBERS)
+        self.classes, self.members = scale(h, sym.n_classes), scale(sym.n_soft, h, MEMBERS)
         mass = np.bincount(sym.class_of, sym.counts + 0.5, sym.n_classes)
         self.class_bias = np.log(mass / mass.sum()).astype(np.float32)
         held = sym.symbol_at >= 0
@@ -173,9 +190,9 @@ class Network:
 
 def _head_terms(net: Network, sym: Symbols, h: np.ndarray, y: np.ndarray, grads: dict | None = None, dh: np.ndarray | None = None) -> np.ndarray:
     """log P(member | class, h) where the class is one of head words, by class; adds gradients if asked."""
-    out = np.zeros(len(y), np.float32)
+    out = sym.log_static[y]
     cls = sym.class_of[y]
-    some = np.flatnonzero(cls < sym.n_head_classes)
+    some = np.flatnonzero(cls < sym.n_soft)
     some = some[np.argsort(cls[some], kind="stable")]
     cut = np.flatnonzero(np.diff(cls[some])) + 1
     for part in np.split(some, cut) if len(some) else ():
@@ -305,8 +322,8 @@ def train(encoded: DataFrame, sym: Symbols, shared, rounds: int = ROUNDS) -> byt
     mine = encoded.where("ids IS NOT NULL AND NOT held_out AND doc_id IS NOT NULL").select("doc_id", "ids")
     for r in range(rounds):
         share = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
-        # a task's own sum, then one vector of each of some tasks, then one
-        sums = share.mapInArrow(_train(shared, ctx.broadcast(flat)), "n long, w binary").mapInArrow(_sum, "n long, w binary")
+        # one vector of each task, then of eight, then one
+        sums = share.mapInArrow(_train(shared, ctx.broadcast(flat)), "n long, w binary")
         total = sums.repartition(8).mapInArrow(_sum, "n long, w binary").repartition(1).mapInArrow(_sum, "n long, w binary").first()
         if total is not None:
             flat = (np.frombuffer(total["w"]) / total["n"]).astype(np.float32).tobytes()
@@ -376,19 +393,20 @@ def log_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     head, head_counts = [bytes(r["word"]) for r in top], np.array([n_docs] + [r["c"] for r in top], np.float64)
     tail = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in head], "word binary")), "word", "left_anti") if head else counts
     by_ending = tail.groupBy(ending_of(F.col("word")).alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
-    stats = [(r["e"], r["c"], r["v"], r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.75) for r in by_ending.collect()]
-    endings = np.zeros(ENDINGS)
-    for e, c, _, _ in stats:
-        endings[e] = c
-    n_train = int(head_counts.sum() + endings.sum())
-    vocab = sum(v for _, _, v, _ in stats) + len(head) + (1 if n_docs else 0)
-    sym = Symbols(head, head_counts, endings)
+    tail_c, kinds, discount = np.zeros(ENDINGS), np.zeros(ENDINGS), np.full(ENDINGS, 0.75)
+    for r in by_ending.collect():
+        tail_c[r["e"]], kinds[r["e"]] = r["c"], r["v"]
+        if r["n1"] and r["n2"]:
+            discount[r["e"]] = r["n1"] / (r["n1"] + 2 * r["n2"])
+    n_train = int(head_counts.sum() + tail_c.sum())
+    vocab = int(kinds.sum()) + len(head) + (1 if n_docs else 0)
+    sym = Symbols(head, head_counts, tail_c, kinds, discount)
     shared = ctx.broadcast(sym)
     encoded = materialize(rows.select("doc_id", "held_out", "text").mapInArrow(_encode(shared), ENCODED.format(id=kind)))
     flat = ctx.broadcast(train(encoded, sym, shared))
     scored = encoded.where("ids IS NOT NULL").select("doc_id", "held_out", "n_tokens", "ids").mapInArrow(_score(shared, flat), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     # within its ending's class, a word has (c - discount) / total, an unseen one the discounted mass
-    table_ = F.broadcast(spark.createDataFrame([(e, float(c), d, float(d * v)) for e, c, v, d in stats], "e int, total double, discount double, unseen double"))
+    table_ = F.broadcast(spark.createDataFrame([(e, float(sym.totals[e]), float(sym.discount[e]), float(sym.unseen[e])) for e in range(ENDINGS) if sym.totals[e]], "e int, total double, discount double, unseen double"))
     posted = encoded.where("word IS NOT NULL").select("word", "docs", "times").join(counts, "word", "left").withColumn("e", ending_of(F.col("word"))).join(table_, "e", "left")
     term = F.coalesce(F.log10(F.when(F.col("c").isNotNull(), F.col("c") - F.col("discount")).otherwise(F.col("unseen")) / F.col("total")), F.lit(0.0))
     # logarithms once per posting, before its documents are taken apart
