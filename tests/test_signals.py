@@ -285,3 +285,18 @@ def test_recording_and_units(spark):
     with pytest.raises(schema.SchemaError):
         schema.has_channel(ts)
     assert schema.build_timeseries(schema.pack(ts)).count() == 2
+
+
+def test_gvtd_thresholds(spark):
+    rng = np.random.default_rng(12)
+    x = np.exp(rng.normal(0, 0.3, 400))
+    g = spark.createDataFrame([(i / 10, float(v)) for i, v in enumerate(x)], "time double, gvtd double")
+    got = {k: quality.gvtd_threshold(g, k).first()["threshold"] for k in ("default", "histogram_mode", "kdensity_mode", "parabolic_mode", "median", "mean", "MAD")}
+    left = lambda c: c + 10 * math.sqrt(((x[x < c] - c) ** 2).mean())
+    assert got["median"] == pytest.approx(left(np.median(x))) and got["mean"] == pytest.approx(left(x.mean()))
+    assert got["MAD"] == pytest.approx(10 * np.median(np.abs(x - np.median(x))))
+    count, edge = np.histogram(x, 80, (0, x.max()))
+    mode = edge[count.argmax()] + x.max() / 160
+    assert got["default"] == pytest.approx(2 * mode - x.min()) and got["histogram_mode"] == pytest.approx(left(mode))
+    assert 0.7 < quality.density_mode(g) < 1.3
+    assert abs(got["parabolic_mode"] - got["histogram_mode"]) < 2
