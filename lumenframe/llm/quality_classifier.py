@@ -16,6 +16,7 @@ result; columns besides the id and the text never enter a score.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,11 +129,12 @@ def fit(train: DataFrame, passes: int = PASSES, c: float = 1 / PENALTY) -> Model
     n = train.count()
     if not n:
         return Model(np.zeros(BUCKETS), np.ones(BUCKETS))
-    ratio = log_ratios(train)
-    parts = train.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // PART_ROWS))).cast("int"))
+    ratio, groups = log_ratios(train), -(-n // PART_ROWS)
+    parts = train.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
     fitted = materialize(parts.groupBy("part").applyInArrow(_fit(ratio, passes, c), "n long, w binary"))
-    # each task sums its vectors first, so the last task gets one of each task
-    total = fitted.mapInArrow(_sum_weights, "n long, w binary").repartition(1).mapInArrow(_sum_weights, "n long, w binary").first()
+    # summed within each task, then in the square root of the parts' number of tasks, then in one
+    sums = fitted.mapInArrow(_sum_weights, "n long, w binary")
+    total = sums.repartition(math.isqrt(groups) + 1).mapInArrow(_sum_weights, "n long, w binary").repartition(1).mapInArrow(_sum_weights, "n long, w binary").first()
     return Model(np.frombuffer(total["w"]) / total["n"] * ratio, ratio**2)
 
 
