@@ -1,6 +1,7 @@
 """Recordings made of the driver's tables, with the SQL of the same tables.
 
-ts: one trace per user and wavelength from events, sampled at 10 Hz in order of time. geo: a point
+ts: one trace per user and wavelength from events, sampled at 10 Hz in order of time,
+lifted by 1 as amplitudes are positive. geo: a point
 per embedding. faces: a strip of triangles over the points. adot: the embedding as a sensitivity.
 """
 
@@ -20,13 +21,13 @@ def ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     odd = F.pmod("event_id", F.lit(2))
     i = F.row_number().over(Window.partitionBy("user_id", odd).orderBy("ts", "event_id")).cast("long") - 1
-    cells = e.select(F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("channel"), F.when(odd == 0, 760.0).otherwise(850.0).alias("wavelength"), i.alias("sample"), F.col("value").cast("double").alias("value"))
+    cells = e.select(F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("channel"), F.when(odd == 0, 760.0).otherwise(850.0).alias("wavelength"), i.alias("sample"), (F.col("value").cast("double") + 1.0).alias("value"))
     return cells.select("channel", "wavelength", "sample", (F.col("sample") / FS).alias("time"), "value")
 
 
 TS = """ts AS (SELECT channel, wavelength, sample, sample / 10.0::DOUBLE AS time, value FROM (
   SELECT 'C' || user_id AS channel, CASE WHEN event_id % 2 = 0 THEN 760.0::DOUBLE ELSE 850.0::DOUBLE END AS wavelength,
-         row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) - 1 AS sample, value::DOUBLE AS value FROM events))"""
+         row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) - 1 AS sample, value::DOUBLE + 1.0::DOUBLE AS value FROM events))"""
 W = "PARTITION BY channel, wavelength"
 WO = "PARTITION BY channel, wavelength ORDER BY sample"
 
