@@ -1,12 +1,13 @@
 """Gated recurrent language model in numpy, trained and applied by Spark tasks.
 
 Tokens are words and one end per document. Spark counts them over all training documents. The
-``HEAD`` most frequent become symbols of their own, in classes of about equal mass; every other
-word is the symbol of its ending's class (``ENDINGS`` classes by a checksum of its last bytes), so
-unknown words have a symbol too. A gated recurrent unit reads symbols; the output is factored:
-softmax over classes, then, within a class of frequent head words, softmax over its members, within
-an ending's class the counts with absolute discounting, whose discounted mass belongs to the words
-not seen in training (one event per class, as the base's unknown token is one event).
+most frequent become symbols of their own, in classes of about equal mass; every other word is the
+symbol of its ending's class (by a checksum of its last bytes), so unknown words have a symbol too.
+``HEAD`` and ``ENDINGS`` are the least numbers of both, which grow with the square root of the
+counted vocabulary. A gated recurrent unit reads symbols; the output is factored: softmax over
+classes, then, within a class of head words, softmax over its members, within an ending's class the
+counts with absolute discounting, whose discounted mass belongs to the words not seen in training
+(one event per class, as the base's unknown token is one event).
 
 Training is truncated backpropagation over windows of ``WINDOW`` tokens with the state carried
 from window to window and cleared where a document begins; each task trains on its own part of
@@ -23,6 +24,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -33,10 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
 
-HEAD, HEAD_CLASSES, MEMBERS, ENDINGS, LAST = 2047, 16, 96, 32, 3
+HEAD, HEAD_CLASSES, MEMBERS, ENDINGS, LAST = 2047, 40, 128, 32, 3
 #: Documents whose words are split at once, that share postings, and that are scored or learned from together.
 SPLIT_DOCS, POSTING_DOCS, TOGETHER = 256, 5000, 4096
-HIDDEN, WINDOW, LANES, ROUNDS, RATE = 10, 16, 512, 3, 0.01
+HIDDEN, WINDOW, LANES, ROUNDS, RATE = 16, 16, 512, 3, 0.01
 ENCODED = "doc_id {id}, held_out boolean, n_tokens long, ids binary, word binary, docs array<{id}>, times array<int>"
 
 
@@ -44,52 +46,48 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
 
 
-def ending_of(word: Column) -> Column:
+def sizes_for(vocab: int) -> tuple[int, int]:
+    """Numbers of head words and of endings for so many distinct words."""
+    return max(HEAD, 4 * math.isqrt(vocab)), max(ENDINGS, math.isqrt(vocab) // 20)
+
+
+def ending_of(word: Column, endings: int) -> Column:
     """Of a binary column: its class by the checksum of its last bytes."""
-    return (F.crc32(F.substring(word, -LAST, LAST)) % ENDINGS).cast("int")
+    return (F.crc32(F.substring(word, -LAST, LAST)) % endings).cast("int")
 
 
 class Symbols:
     """Symbols 0 (end) and 1.. (head words by count), then one for each ending; and their classes.
 
-    The most frequent fill classes of about equal mass of up to MEMBERS words, whose members the
-    network tells apart. Rarer head words belong to their ending's class, as all other words do.
-    tail, kinds and discount: by ending, what the words outside the head count, how many they are,
-    and what is taken off each count of the class.
+    All head words fill classes of about equal mass of up to MEMBERS words, whose members the network
+    tells apart; a class is a run of symbols. tail, kinds and discount: by ending, what the words
+    outside the head count, how many they are, and what is taken off each count of the class.
     """
 
     def __init__(self, head: list[bytes], counts: np.ndarray, tail: np.ndarray, kinds: np.ndarray | None = None, discount: np.ndarray | None = None):
         self.index = {w: i + 1 for i, w in enumerate(head)}
-        self.first_ending = len(head) + 1
-        self.n = self.first_ending + ENDINGS
+        self.first_ending, self.endings = len(head) + 1, len(tail)
+        self.n = self.first_ending + self.endings
+        self.id_type = "<i2" if self.n < 1 << 15 else "<i4"
         self.class_of, self.member = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
-        goal, mass, k, m, n_soft = counts.sum() / HEAD_CLASSES, 0.0, 0, 0, self.first_ending
+        goal, mass, k, m = counts.sum() / HEAD_CLASSES, 0.0, 0, 0
         for s in range(self.first_ending):
-            if m and mass + counts[s] > goal:
+            if m and (mass + counts[s] > goal or m == MEMBERS):
                 k, m, mass = k + 1, 0, 0.0
-            if m == MEMBERS:
-                n_soft = s - m
-                break
             self.class_of[s], self.member[s] = k, m
             m, mass = m + 1, mass + counts[s]
-        self.n_soft = k + (n_soft == self.first_ending)
-        self.n_classes = self.n_soft + ENDINGS
-        self.symbol_at = np.full((self.n_soft, MEMBERS), -1)
-        self.symbol_at[self.class_of[:n_soft], self.member[:n_soft]] = np.arange(n_soft)
-        self.size_of = (self.symbol_at >= 0).sum(1)
-        rarer = np.arange(n_soft, self.first_ending)
-        ending = np.array([zlib.crc32(head[s - 1][-LAST:]) % ENDINGS for s in rarer], np.int64)
-        self.class_of[rarer], self.class_of[self.first_ending :] = self.n_soft + ending, self.n_soft + np.arange(ENDINGS)
+        self.n_soft = k + 1
+        self.n_classes = self.n_soft + self.endings
+        self.class_of[self.first_ending :] = self.n_soft + np.arange(self.endings)
+        self.cuts = np.r_[0, np.cumsum(np.bincount(self.class_of[: self.first_ending]))]
         self.counts = np.concatenate([counts, tail]).astype(np.float64)
-        self.totals = tail + np.bincount(ending, counts[rarer], ENDINGS)
-        self.discount = np.full(ENDINGS, 0.75) if discount is None else discount
-        self.unseen = self.discount * ((tail > 0 if kinds is None else kinds) + np.bincount(ending, minlength=ENDINGS))
-        self.log_static = np.zeros(self.n, np.float32)
-        self.log_static[rarer] = np.log((self.counts[rarer] - self.discount[ending]) / self.totals[ending])
+        self.totals = tail
+        self.discount = np.full(self.endings, 0.75) if discount is None else discount
+        self.unseen = self.discount * (tail > 0 if kinds is None else kinds)
 
     def of_word(self, word: bytes) -> int:
         s = self.index.get(word)
-        return s if s is not None else self.first_ending + zlib.crc32(word[-LAST:]) % ENDINGS
+        return s if s is not None else self.first_ending + zlib.crc32(word[-LAST:]) % self.endings
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -125,11 +123,11 @@ def _encode(shared):
             code: dict[bytes, int] = {}
             size, codes = _codes(batch.column(2), code)
             names = list(code)
-            of = np.fromiter(map(sym.of_word, names), np.int16, len(names))
+            of = np.fromiter(map(sym.of_word, names), sym.id_type, len(names))
             ids, ends = of[codes], np.cumsum(size)
             whole = np.insert(ids, ends, 0)
-            ends = (ends + np.arange(1, n + 1)) * 2
-            blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(whole.astype("<i2"))])
+            ends = (ends + np.arange(1, n + 1)) * of.itemsize
+            blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(whole)])
             kind = batch.schema.field(0).type
             none = lambda t, k: pa.nulls(k, t)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size + 1, pa.int64()), blobs, none(pa.binary(), n), none(pa.list_(kind), n), none(pa.list_(pa.int32()), n)], names=names_)
@@ -154,11 +152,10 @@ class Network:
         rng, h = np.random.default_rng(5), HIDDEN
         scale = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         self.inputs, self.recurrent = scale(sym.n, 3 * h), scale(h, 3 * h)
-        self.classes, self.members = scale(h, sym.n_classes), scale(sym.n_soft, h, MEMBERS)
+        self.classes, self.members = scale(h, sym.n_classes), scale(sym.first_ending, h)
         mass = np.bincount(sym.class_of, sym.counts + 0.5, sym.n_classes)
         self.class_bias = np.log(mass / mass.sum()).astype(np.float32)
-        held = sym.symbol_at >= 0
-        self.member_bias = np.where(held, np.log(np.where(held, sym.counts[sym.symbol_at], 1) + 0.5), -1e9).astype(np.float32)
+        self.member_bias = np.log(sym.counts[: sym.first_ending] + 0.5).astype(np.float32)
 
     def pack(self) -> bytes:
         return b"".join(getattr(self, k).astype(np.float32).tobytes() for k in self.SHAPES)
@@ -190,30 +187,31 @@ class Network:
 
 def _head_terms(net: Network, sym: Symbols, h: np.ndarray, y: np.ndarray, grads: dict | None = None, dh: np.ndarray | None = None) -> np.ndarray:
     """log P(member | class, h) where the class is one of head words, by class; adds gradients if asked."""
-    out = sym.log_static[y]
+    out = np.zeros(len(y), np.float32)
     cls = sym.class_of[y]
     some = np.flatnonzero(cls < sym.n_soft)
     some = some[np.argsort(cls[some], kind="stable")]
     cut = np.flatnonzero(np.diff(cls[some])) + 1
     for part in np.split(some, cut) if len(some) else ():
         c = cls[part[0]]
-        m = sym.size_of[c]
-        if m == 1:
+        own = slice(sym.cuts[c], sym.cuts[c + 1])
+        if own.stop - own.start == 1:
             continue
-        hp, weights = h[part], net.members[c][:, :m]
-        z = hp @ weights
-        z += net.member_bias[c, :m]
+        hp, weights = h[part], net.members[own]
+        z = hp @ weights.T
+        z += net.member_bias[own]
         z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        total = p.sum(1, keepdims=True)
         at = (np.arange(len(part)), sym.member[y[part]])
-        out[part] = z[at] - np.log(total[:, 0])
+        chosen = z[at]
+        p = np.exp(z, out=z)
+        total = p.sum(1, keepdims=True)
+        out[part] = chosen - np.log(total[:, 0])
         if grads is not None:
             p /= total
             p[at] -= 1
-            grads["members"][c][:, :m] += hp.T @ p
-            grads["member_bias"][c, :m] += p.sum(0)
-            dh[part] += p @ weights.T
+            grads["members"][own] += p.T @ hp
+            grads["member_bias"][own] += p.sum(0)
+            dh[part] += p @ weights
     return out
 
 
@@ -280,8 +278,8 @@ def _adam(net: Network, grads: dict, opt: dict, scale: float) -> None:
         getattr(net, k)[...] -= fix * m / (np.sqrt(v) + np.float32(1e-6))
 
 
-def _stream(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(b, "<i2") for b in batch.column("ids").to_pylist()]
+def _stream(batch: pa.RecordBatch, id_type: str) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.frombuffer(b, id_type) for b in batch.column("ids").to_pylist()]
     size = np.array([len(p) for p in parts])
     begins = np.zeros(size.sum(), bool)
     begins[np.r_[0, np.cumsum(size)[:-1]]] = True
@@ -294,26 +292,26 @@ def _train(shared, flat):
         net, opt, n = Network(sym).unpack(np.frombuffer(flat.value, np.float32)), {}, 0
         for batch in _slices(batches, TOGETHER):
             if batch.num_rows:
-                ids, begins = _stream(batch)
+                ids, begins = _stream(batch, sym.id_type)
                 train_stream(net, sym, ids, begins, int(min(LANES, max(1, len(ids) // (4 * WINDOW)))), opt)
                 n += len(ids)
         if n:
-            yield _weighted(n, np.frombuffer(net.pack(), np.float32).astype(np.float64) * n)
+            yield _weighted(n, net.pack())
 
     return run
 
 
-def _weighted(n: int, w: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["n", "w"])
+def _weighted(n: int, w: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w], pa.binary())], names=["n", "w"])
 
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, w = 0, 0.0
     for batch in batches:
         for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n, w = n + k, w + np.frombuffer(v)
+            n, w = n + k, w + np.frombuffer(v, np.float32) * np.float64(k)
     if n:
-        yield _weighted(n, w)
+        yield _weighted(n, (w / n).astype(np.float32).tobytes())
 
 
 def train(encoded: DataFrame, sym: Symbols, shared, rounds: int = ROUNDS) -> bytes:
@@ -324,9 +322,9 @@ def train(encoded: DataFrame, sym: Symbols, shared, rounds: int = ROUNDS) -> byt
         share = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
         # one vector of each task, then of eight, then one
         sums = share.mapInArrow(_train(shared, ctx.broadcast(flat)), "n long, w binary")
-        total = sums.repartition(8).mapInArrow(_sum, "n long, w binary").repartition(1).mapInArrow(_sum, "n long, w binary").first()
+        total = sums.repartition(8).mapInArrow(_mean, "n long, w binary").repartition(1).mapInArrow(_mean, "n long, w binary").first()
         if total is not None:
-            flat = (np.frombuffer(total["w"]) / total["n"]).astype(np.float32).tobytes()
+            flat = bytes(total["w"])
     return flat
 
 
@@ -365,11 +363,11 @@ def _score(shared, flat):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sym: Symbols = shared.value
         net = Network(sym).unpack(np.frombuffer(flat.value, np.float32))
-        log_count = np.r_[sym.counts[: sym.first_ending], np.zeros(ENDINGS)]
+        log_count = np.r_[sym.counts[: sym.first_ending], np.zeros(sym.endings)]
         for batch in _slices(batches, TOGETHER):
             if not batch.num_rows:
                 continue
-            docs = [np.frombuffer(b, "<i2") for b in batch.column("ids").to_pylist()]
+            docs = [np.frombuffer(b, sym.id_type) for b in batch.column("ids").to_pylist()]
             lp = score_sequences(net, sym, docs) / np.log(10)
             base, known = [], []
             for d in docs:
@@ -389,11 +387,12 @@ def log_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     words = learn.select("text").mapInArrow(_count_words, "word binary, c long")
     counts = materialize(words.groupBy("word").agg(F.sum("c").alias("c")))
     n_docs = learn.count()
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    most, endings = sizes_for(counts.count())
+    top = counts.orderBy(F.desc("c"), "word").limit(most).collect()
     head, head_counts = [bytes(r["word"]) for r in top], np.array([n_docs] + [r["c"] for r in top], np.float64)
     tail = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in head], "word binary")), "word", "left_anti") if head else counts
-    by_ending = tail.groupBy(ending_of(F.col("word")).alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
-    tail_c, kinds, discount = np.zeros(ENDINGS), np.zeros(ENDINGS), np.full(ENDINGS, 0.75)
+    by_ending = tail.groupBy(ending_of(F.col("word"), endings).alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
+    tail_c, kinds, discount = np.zeros(endings), np.zeros(endings), np.full(endings, 0.75)
     for r in by_ending.collect():
         tail_c[r["e"]], kinds[r["e"]] = r["c"], r["v"]
         if r["n1"] and r["n2"]:
@@ -406,8 +405,8 @@ def log_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     flat = ctx.broadcast(train(encoded, sym, shared))
     scored = encoded.where("ids IS NOT NULL").select("doc_id", "held_out", "n_tokens", "ids").mapInArrow(_score(shared, flat), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     # within its ending's class, a word has (c - discount) / total, an unseen one the discounted mass
-    table_ = F.broadcast(spark.createDataFrame([(e, float(sym.totals[e]), float(sym.discount[e]), float(sym.unseen[e])) for e in range(ENDINGS) if sym.totals[e]], "e int, total double, discount double, unseen double"))
-    posted = encoded.where("word IS NOT NULL").select("word", "docs", "times").join(counts, "word", "left").withColumn("e", ending_of(F.col("word"))).join(table_, "e", "left")
+    table_ = F.broadcast(spark.createDataFrame([(e, float(sym.totals[e]), float(sym.discount[e]), float(sym.unseen[e])) for e in range(endings) if sym.totals[e]], "e int, total double, discount double, unseen double"))
+    posted = encoded.where("word IS NOT NULL").select("word", "docs", "times").join(counts, "word", "left").withColumn("e", ending_of(F.col("word"), endings)).join(table_, "e", "left")
     term = F.coalesce(F.log10(F.when(F.col("c").isNotNull(), F.col("c") - F.col("discount")).otherwise(F.col("unseen")) / F.col("total")), F.lit(0.0))
     # logarithms once per posting, before its documents are taken apart
     logs = posted.select("docs", "times", F.log10(F.coalesce("c", F.lit(0)) + 0.5).alias("base"), term.alias("score"), F.col("c").isNotNull().cast("long").alias("known"))

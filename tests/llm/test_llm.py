@@ -465,6 +465,19 @@ def test_language_model_training_lowers_the_loss():
     assert opt["t"] and gated_lm.score_sequences(net, sym, [ids[:11]])[0] > before / 2
 
 
+def test_every_head_word_depends_on_the_state():
+    """Also the rarest of a large head, whose size grows with the vocabulary."""
+    assert gated_lm.sizes_for(100) == (gated_lm.HEAD, gated_lm.ENDINGS)
+    head, endings = gated_lm.sizes_for(4_000_000)
+    assert head > gated_lm.HEAD and endings > gated_lm.ENDINGS
+    counts = 1e6 / np.arange(1, head + 2)
+    sym = gated_lm.Symbols([f"w{i}".encode() for i in range(head)], counts, np.ones(endings))
+    assert sym.class_of[: sym.first_ending].max() < sym.n_soft
+    net, h = gated_lm.Network(sym), np.random.default_rng(0).normal(size=(2, gated_lm.HIDDEN)).astype(np.float32)
+    terms = np.array([gated_lm._head_terms(net, sym, h, np.full(2, s)) for s in (head // 2, head - 1)])
+    assert (terms[:, 0] != terms[:, 1]).all()
+
+
 def test_scoring_is_the_same_alone_and_together():
     sym = gated_lm.Symbols([b"a", b"b"], np.array([3.0, 2.0, 1.0]), np.ones(gated_lm.ENDINGS))
     net, rng = gated_lm.Network(sym), np.random.default_rng(1)
