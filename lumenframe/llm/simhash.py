@@ -7,7 +7,9 @@ fingerprints collapse first, so copies never meet each other. Keys are blocks of
   fingerprints at ``distance`` or fewer differing bits agree on at least ``blocks - distance``
   of them, and there is a key for each choice of so many blocks;
 * ``similarity`` keys serve pairs of a Jaccard similarity, which differ in far more bits than
-  blocks could cover: wider fingerprints and as many drawn blocks as the wanted recall needs.
+  blocks could cover: wider fingerprints and as many drawn blocks as the wanted recall needs. Their
+  links are candidates only: inside each component of candidates the exact Jaccard similarity of
+  the shingle sets decides.
 
 A bucket (the fingerprints of one key) is compared inside one task only up to ``TILE`` members; a
 larger one is divided again by pigeonhole keys over its remaining bits where there are such, and
@@ -38,6 +40,8 @@ from .components import components
 
 #: Members of a bucket that one task compares at once.
 TILE = 2048
+#: Shingles of a tile's documents that are compared by their sets.
+TILE_SHINGLES = 1 << 21
 
 
 def _votes(width: int):
@@ -57,18 +61,29 @@ def _votes(width: int):
                     for at in range(0, len(h), 1 << 16):
                         n += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
                     out[k, i] = np.packbits(2 * n > len(h)).view(">u8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in out]], names=["id", *[f"f{k}" for k in range(width)]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in out], *batch.columns[2:]], names=["id", *[f"f{k}" for k in range(width)], *batch.schema.names[2:]])
 
     return run
 
 
-def fingerprints(docs: DataFrame, size: int = 5, width: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, f0, f1, ...): signed longs; f0 alone is the 64-bit SimHash of XXH64 (seed 42) shingles."""
-    words = docs.select(F.col(id_col).alias("id"), words_of(ascii_lower(text_or_empty(text))).alias("w"))
+def shingles(docs: DataFrame, size: int, text: str, *keep: Column) -> DataFrame:
+    """The kept columns and h: the XXH64 (seed 42) hashes of a text's runs of size words."""
+    words = docs.select(*keep, words_of(ascii_lower(text_or_empty(text))).alias("w"))
     w = F.col("w")
     starts = F.when(F.size(w) > size, F.sequence(F.lit(1), F.size(w) - (size - 1))).when(F.size(w) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
-    return words.select("id", hashes.alias("h")).mapInArrow(_votes(width), f"id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"f{k} long" for k in range(width)))
+    return words.select(*words.columns[:-1], hashes.alias("h"))
+
+
+def fingerprints(docs: DataFrame, size: int = 5, width: int = 1, id_col: str = "doc_id", text: str = "text", distinct: bool = False) -> DataFrame:
+    """(id, f0, f1, ...): signed longs; f0 alone is the 64-bit SimHash of XXH64 (seed 42) shingles.
+
+    distinct: each shingle votes once, and a column s tells apart sets of one fingerprint.
+    """
+    rows, schema = shingles(docs, size, text, F.col(id_col).alias("id")), f"id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"f{k} long" for k in range(width))
+    if distinct:
+        rows, schema = rows.select("id", F.array_sort(F.array_distinct("h")).alias("h")).withColumn("s", F.xxhash64("h")), schema + ", s long"
+    return rows.mapInArrow(_votes(width), schema)
 
 
 def pigeonhole(distance: int, blocks: int, bits: list[int] | None = None) -> list[int]:
@@ -82,14 +97,14 @@ def similarity(n: int, jaccard: float, recall: float, width: int) -> tuple[list[
 
     Bits of texts at this Jaccard similarity differ with probability angle / pi. A block has two
     bits more than n needs to be told apart, so that chance meetings stay in proportion to n, and
-    there are as many blocks as the recall asks for. The distance allows one and a half standard deviations.
+    there are as many blocks as the recall asks for. The distance allows three standard deviations.
     """
     differ = math.acos(2 * jaccard / (1 + jaccard)) / math.pi
     bits = max(16, math.ceil(math.log2(max(n, 2))) + 2)
     keys = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
     rng = np.random.default_rng(11)
     masks = [sum(1 << int(b) for b in rng.choice(64 * width, bits, replace=False)) for _ in range(keys)]
-    return masks, round(64 * width * differ + 1.5 * math.sqrt(64 * width * differ * (1 - differ)))
+    return masks, round(64 * width * differ + 3 * math.sqrt(64 * width * differ * (1 - differ)))
 
 
 def _masked(mask: int, width: int) -> Column:
@@ -177,29 +192,102 @@ def links(fps: DataFrame, masks: list[int], distance: int, width: int = 1, finer
     return out.union(within(tiled.select("k", "v", F.explode(meet).alias("t"), *own)))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, distance: int | None = 3, blocks: int = 5, jaccard: float = 0.8, recall: float = 0.95, width: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _forest_of_sets(sets: list[np.ndarray], ids: np.ndarray, jaccard: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the pairs of sets with the similarity or more."""
+    size = np.array([len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends, mark = np.cumsum(size), np.zeros(len(flat), bool)
+    parts = [flat[e - n : e] for e, n in zip(ends, size, strict=True)]
+
+    def near(x: int, others: np.ndarray, those: np.ndarray) -> np.ndarray:
+        mark[parts[x]] = True
+        both = np.diff(np.r_[0, np.cumsum(mark[those])][np.r_[0, np.cumsum(size[others])]])
+        mark[parts[x]] = False
+        union = size[x] + size[others] - both
+        return (both >= jaccard * union - 1e-9) | (union == 0)
+
+    out, left = [], np.argsort(ids, kind="stable")
+    while len(left) > 1:
+        root, front, left = left[0], left[:1], left[1:]
+        while len(front) and len(left):
+            # from the smaller side, so that a few left over cost little
+            few, many = (front, left) if len(front) <= len(left) else (left, front)
+            those = np.concatenate([parts[i] for i in many])
+            hits = [near(x, many, those) for x in few]
+            found = np.any(hits, axis=0) if few is front else np.array([h.any() for h in hits])
+            front, left = left[found], left[~found]
+            out += [(ids[root], ids[x]) for x in front]
+    return out
+
+
+def _link_sets(jaccard: float):
+    """Over rows (root, t, id, h) sorted by root and t: the forest of each group."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
+
+        def found():
+            e = _forest_of_sets(sets, np.array(ids), jaccard) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in e], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            ends, flat = np.asarray(batch.column("h").offsets).astype(np.int64), np.asarray(batch.column("h").values)
+            for i, (r, t, d) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "t", "id")), strict=True)):
+                if (r, t) != key:
+                    yield found()
+                    key, ids, sets = (r, t), [], []
+                ids.append(d)
+                sets.append(flat[ends[i] : ends[i + 1]].copy())
+        yield found()
+
+    return link
+
+
+def verified(edges: DataFrame, docs: DataFrame, jaccard: float, size: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b): a spanning forest of the pairs of the Jaccard similarity or more inside each component of edges.
+
+    Every pair of a component is decided by its shingle sets; a component of more than TILE
+    documents or TILE_SHINGLES shingles is compared tile by tile in separate tasks.
+    """
+    member = components(edges).withColumnRenamed("vertex", "id")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(member, "id")
+    sets = materialize(shingles(own, size, "text", F.col("root"), F.col("id")).select("root", "id", F.array_distinct("h").alias("h")).distinct())
+    counts = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("h")).alias("m"))
+    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("m") / TILE_SHINGLES), F.lit(1)).cast("int")
+    tiled = sets.join(counts.select("root", tiles.alias("tiles")), "root").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("tiles").cast("long")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(o, F.col("mine")) * F.col("tiles") + F.greatest(o, F.col("mine")))
+    rows = tiled.select("root", F.explode(meet).alias("t"), "id", "h")
+    return rows.repartition("root", "t").sortWithinPartitions("root", "t").mapInArrow(_link_sets(jaccard), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, distance: int | None = 3, blocks: int = 5, jaccard: float = 0.8, recall: float = 0.99, width: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, f0, ..., component_id): component_id is the smallest id reachable over links.
 
     With a distance, all pairs of 64-bit fingerprints that close are linked; more blocks mean smaller
     buckets and more keys (5 serve up to about a hundred million fingerprints, 6 or 7 beyond). With
-    distance None, texts of the Jaccard similarity or more are linked by wider fingerprints.
+    distance None, texts of the Jaccard similarity or more are linked: wider fingerprints find the
+    candidates, a pair at the similarity with the recall, and the shingle sets decide.
     """
     width = width if distance is None else 1
     words = [f"f{k}" for k in range(width)]
-    fps = materialize(fingerprints(docs, size, width, id_col, text))
-    first = materialize(fps.groupBy(*words).agg(F.min("id").alias("first")))
+    fps = materialize(fingerprints(docs, size, width, id_col, text, distance is None))
+    same = words + ["s"] * (distance is None)
+    first = materialize(fps.groupBy(*same).agg(F.min("id").alias("first")))
     ids = first.where(F.col("first").isNotNull()).select(F.col("first").cast("long").alias("id"), *words)
     if distance is None:
         masks, distance = similarity(first.count(), jaccard, recall, width)
-        edges = links(ids, masks, distance, width)
+        # sets that share a fingerprint are candidates too
+        alike = first.groupBy(*words).agg(F.min("first").cast("long").alias("b")).join(ids, words).select(F.col("id").alias("a"), "b")
+        one = first.groupBy(*words).agg(F.min("first").cast("long").alias("id")).where("id IS NOT NULL").select("id", *words)
+        edges = materialize(verified(links(one, masks, distance, width).union(alike.where("a <> b")), docs, jaccard, size, id_col, text))
     else:
         masks = pigeonhole(distance, blocks)
         edges = links(ids, masks, distance, 1, {k: [m | x for x in pigeonhole(distance, blocks, [b for b in range(64) if not m >> b & 1])] for k, m in enumerate(masks)})
-    several = fps.groupBy("id").agg(F.count_distinct(*words).alias("n")).where("n > 1 AND id IS NOT NULL").select("id")
-    ties = fps.join(several, "id").join(first, words).select(F.col("id").cast("long").alias("a"), F.col("first").cast("long").alias("b"))
+    several = fps.groupBy("id").agg(F.count_distinct(*same).alias("n")).where("n > 1 AND id IS NOT NULL").select("id")
+    ties = fps.join(several, "id").join(first, same).select(F.col("id").cast("long").alias("a"), F.col("first").cast("long").alias("b"))
     comp = components(edges.union(ties)).withColumnRenamed("vertex", "first")
-    rooted = first.join(comp, "first", "left").select(*words, F.coalesce("root", "first").alias("component_id"))
-    return fps.join(rooted, words).select(F.col("id").alias(id_col), *words, "component_id")
+    rooted = first.join(comp, "first", "left").select(*same, F.coalesce("root", "first").alias("component_id"))
+    return fps.join(rooted, same).select(F.col("id").alias(id_col), *words, "component_id")
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:

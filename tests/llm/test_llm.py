@@ -256,6 +256,24 @@ def test_simhash_similarity_keeps_one(spark):
     assert kept == {10 * i for i in range(60)}
 
 
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_simhash_jaccard_by_brute_force(spark, monkeypatch, tile):
+    """Pairs of similarity 0.65 to 0.95: none below 0.8 is linked, of the others nearly all are."""
+    rng, rows, alike = random.Random(3), [], {}
+    monkeypatch.setattr(simhash, "TILE", tile)
+    for i in range(300):
+        w = [f"w{rng.randrange(100000)}" for _ in range(304)]
+        v = w[: 304 - rng.randint(4, 64)]
+        v += [f"w{rng.randrange(100000)}" for _ in range(304 - len(v))]
+        a, b = ({tuple(x[k : k + 5]) for k in range(300)} for x in (w, v))
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        alike[2 * i + 1] = len(a & b) / len(a | b)
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), size=5, distance=None, jaccard=0.8).collect()}
+    below, above = {d for d, j in alike.items() if j < 0.8}, {d for d, j in alike.items() if j >= 0.8}
+    assert min(len(below), len(above)) > 50 and below <= kept
+    assert len(above & kept) <= 0.02 * len(above)
+
+
 def test_simhash_null_ids_and_shared_ids(spark):
     a, b = "a b c d e f g h", "q r s t u v w x y z"
     df = spark.createDataFrame([(5, a), (5, b), (3, b), (None, a), (None, "zz yy xx")], "doc_id long, text string")
