@@ -125,9 +125,20 @@ def spread_of(points: DataFrame) -> DataFrame:
 
 
 def register(source: DataFrame, target: DataFrame, mode: str = "trans_rot") -> np.ndarray:
-    """4x4 transform on common labels: trans_rot, trans_rot_isoscale, trans_rot_scale or general."""
-    both = source.select("label", *"xyz").join(target.select("label", *[F.col(c).alias(f"_{c}") for c in "xyz"]), "label").orderBy("label").limit(10_000).collect()
-    a, b = np.array([[r[c] for c in "xyz"] for r in both]), np.array([[r[f"_{c}"] for c in "xyz"] for r in both])
+    """4x4 transform on all common labels: trans_rot, trans_rot_isoscale, trans_rot_scale or general.
+
+    The fit needs only the count, the centroids and the second moments, which Spark sums; twelve
+    points that have the same moments stand for the rows.
+    """
+    six = [*"xyz", "_x", "_y", "_z"]
+    both = source.select("label", *"xyz").join(target.select("label", *[F.col(c).alias(f"_{c}") for c in "xyz"]), "label")
+    sums = both.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in six], *[F.covar_pop(p, q).alias(f"{p}{q}") for i, p in enumerate(six) for q in six[i:]]).first()
+    transforms._needs(sums["n"], 4 if mode == "general" else 3)
+    moments = np.array([[sums[p + q] if i <= j else sums[q + p] for j, q in enumerate(six)] for i, p in enumerate(six)])
+    size, axes = np.linalg.eigh(moments)
+    root = (axes * np.sqrt(np.maximum(size, 0))).T
+    points = np.array([sums[c] for c in six]) + np.r_[root, -root]
+    a, b = points[:, :3], points[:, 3:]
     if mode == "general":
         return transforms.affine(a, b)
     return transforms.rigid(a, b, {"trans_rot": "none", "trans_rot_isoscale": "iso", "trans_rot_scale": "axes"}[mode])

@@ -106,6 +106,18 @@ def test_sphere(spark):
     assert smooth.count() == nv
 
 
+@pytest.mark.parametrize("mode", ["trans_rot", "trans_rot_isoscale", "trans_rot_scale", "general"])
+def test_register_fits_all_common_labels(spark, mode):
+    """Over 10,000 labels, of which the later ones lie elsewhere."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(12_000, 3)) * [1.0, 2.0, 3.0]
+    b = a @ np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]]).T * 1.5 + rng.normal(size=a.shape) * 0.1
+    b[10_000:] += 5.0
+    df = lambda p: spark.createDataFrame([(f"{i:05d}", *map(float, r)) for i, r in enumerate(p)], "label string, x double, y double, z double")
+    want = transforms.affine(a, b) if mode == "general" else transforms.rigid(a, b, {"trans_rot": "none", "trans_rot_isoscale": "iso", "trans_rot_scale": "axes"}[mode])
+    assert geometry.register(df(a), df(b), mode) == pytest.approx(want, abs=1e-5)
+
+
 def test_gradient_and_geodesic(spark):
     vertices, faces, v = sphere(spark, 10)
     g = geometry.surface_gradient(faces, vertices, vertices.select("vertex", F.col("z").alias("value")))
