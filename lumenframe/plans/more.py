@@ -79,22 +79,22 @@ def design_groups(spark, d):
 
 @query()
 def temporally_embedded_cca(spark, d):
-    f = features(spark, d).where(F.col("channel").startswith("A1"))
+    f = features(spark, d)
     return decomposition.temporally_embedded_cca(f.where(F.col("channel").endswith("760")), f.where(F.col("channel").endswith("850")), [0, 1, 2], l2=(0.1, 0.1))[0]
 
 
 @query()
 def mspoc(spark, d):
-    f = features(spark, d).where(F.col("channel").startswith("A1"))
+    f = features(spark, d)
     y = spark.range(10).select(F.lit("y0").alias("channel"), F.col("id").alias("sample"), F.sin("id").alias("value")).unionByName(spark.range(10).select(F.lit("y1").alias("channel"), F.col("id").alias("sample"), F.cos("id").alias("value")))
     return decomposition.mspoc(f, y, 10, (0, 1))[0]
 
 
 @query()
 def optimal_shift(spark, d):
-    one = ts(spark, d).where("channel = 'C1' AND wavelength = 760").select(F.lit(0).alias("component"), "sample", "value")
-    lagged = windows.temporal_embedding(one.withColumn("time", F.col("sample") / FS), [0, 2, 5]).select("component", "shift", "sample", "value")
-    return decomposition.shift_by_optimal(one, decomposition.optimal_shift(lagged, one))
+    each = ts(spark, d).select(F.concat_ws("_", "channel", F.col("wavelength").cast("int").cast("string")).alias("component"), "sample", "value")
+    lagged = windows.temporal_embedding(each.withColumn("time", F.col("sample") / FS), [0, 2, 5]).select("component", "shift", "sample", "value")
+    return decomposition.shift_by_optimal(each, decomposition.optimal_shift(lagged, each))
 
 
 @query()

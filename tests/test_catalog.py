@@ -34,3 +34,19 @@ def test_query_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", ["freq_filter", "sci", "tddr", "glm_ols", "pca", "cca", "register_rigid"])
 def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["temporally_embedded_cca", "mspoc", "spoc", "optimal_shift"])
+def test_decompositions_use_all_traces(spark, name):
+    from lumenframe.plans.spatial import features
+    from lumenframe.plans.tables import ts
+
+    d = "/root/testdata/sf0.001"
+    got = {c for r in catalog.QUERIES[name](spark, d).collect() for c in [r["component"] if name == "optimal_shift" else r["channel"]]}
+    if name == "optimal_shift":
+        want = {f"{r.channel}_{int(r.wavelength)}" for r in ts(spark, d).select("channel", "wavelength").distinct().collect()}
+    else:
+        want = {r.channel for r in features(spark, d).select("channel").distinct().collect()}
+    if name == "temporally_embedded_cca":
+        want = {f"{c}@{k}" for c in want if c.endswith("760") for k in (0, 1, 2)}
+    assert got == want
