@@ -292,12 +292,13 @@ def geodesic_path(faces: DataFrame, distances: dict[int, float], start: int, lon
         near.setdefault(r["i"], []).append(r["j"])
         near.setdefault(r["j"], []).append(r["i"])
     path = [start]
-    while len(path) < longest:
+    while True:
         best = min(near.get(path[-1], ()), key=distances.__getitem__, default=None)
         if best is None or distances[best] >= distances[path[-1]]:
-            break
+            return path
+        if len(path) == longest:
+            raise RuntimeError("the path is longer than allowed")
         path.append(best)
-    return path
 
 
 def voxels_from_segmentation(volume: DataFrame, types: list[str]) -> DataFrame:

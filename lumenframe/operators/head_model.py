@@ -105,4 +105,6 @@ def object_sizes(voxels: DataFrame, materialize, rounds: int = 200) -> DataFrame
         labels = new.select("v", "label")
         if not changed:
             break
+    else:
+        raise RuntimeError("object labels did not settle")
     return labels.groupBy(F.col("label").alias("object")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "object")

@@ -320,3 +320,16 @@ def test_motion_pca_and_baseline(spark):
     sd = lambda df: df.where("sample BETWEEN 80 AND 89").groupBy("channel").agg(F.stddev_pop("value").alias("s")).agg(F.max("s")).first()[0]
     assert sd(fixed) < 0.2 * sd(ts)
     assert motion.motion_correct_pca_recurse(ts.where("sample < 70"), 10.0).count() == 280
+
+
+def test_rounds_that_run_out_raise(spark):
+    from lumenframe.operators.head_model import object_sizes
+
+    cells = spark.createDataFrame([(i, 0, 0) for i in range(12)], "i int, j int, k int")
+    with pytest.raises(RuntimeError):
+        object_sizes(cells, lambda df: df.localCheckpoint(), rounds=1)
+    strip = spark.createDataFrame([(i, i, i + 1, i + 2) for i in range(8)], "face int, a int, b int, c int")
+    distances = {i: float(i) for i in range(10)}
+    assert geometry.geodesic_path(strip, distances, 9, longest=6) == [9, 7, 5, 3, 1, 0]
+    with pytest.raises(RuntimeError):
+        geometry.geodesic_path(strip, distances, 9, longest=5)
