@@ -16,4 +16,4 @@ QUERIES = {
     "op9_bpe": bpe.query,
     "op10_substring_dedup": substring_dedup.query,
 }
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality_rules.SQL, "op7_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality_rules.SQL, "op7_line_dedup": line_dedup.SQL, "op10_substring_dedup": substring_dedup.SQL}

@@ -321,6 +321,13 @@ def test_substring_dedup_odd_rows(spark, empty):
     assert substring_dedup.drop_repeated(empty).count() == 0
 
 
+def test_substring_dedup_rows_that_share_an_id_keep_their_own_words(spark):
+    t, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(40))
+    df = spark.createDataFrame([(1, t), (2, t), (2, "only three words"), (2, other), (3, other + " " + t)], "doc_id long, text string")
+    got = collections.Counter((r.row.doc_id, r.row.text, r.n_words, r.n_removed, r.kept) for r in substring_dedup.kept_words(df).collect())
+    assert got == collections.Counter([(1, t, 30, 0, t), (2, t, 30, 30, ""), (2, "only three words", 3, 0, "only three words"), (2, other, 40, 0, other), (3, other + " " + t, 70, 70, "")])
+
+
 # tokens, packing, byte-pair encoding
 
 
