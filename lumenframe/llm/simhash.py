@@ -18,9 +18,10 @@ Hamming distance, and a task emits a spanning forest of its links, never all pai
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows that
 share an id are one document, which links all their fingerprints; a row without an id never names
-its component, and ``keep_first`` keeps it only where no member has an id; an empty table gives an
-empty result; columns besides the id and the text are ignored by ``fingerprints`` and carried by
-``keep_first``.
+its component: without any id in it, the component is null and made of equal shingle sets (or
+fingerprints); ``keep_first`` keeps exactly one row of each component, of those with its smallest
+id (or none has one) a row of the smallest text hash; an empty table gives an empty result; columns
+besides the id and the text are ignored by ``fingerprints`` and carried by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, table, text_or_empty, words_of
+from .common import ascii_lower, boxed, materialize, table, text_or_empty, unboxed, words_of
 from .components import components
 
 #: Members of a bucket that one task compares at once.
@@ -76,14 +77,14 @@ def shingles(docs: DataFrame, size: int, text: str, *keep: Column) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, size: int = 5, width: int = 1, id_col: str = "doc_id", text: str = "text", distinct: bool = False) -> DataFrame:
-    """(id, f0, f1, ...): signed longs; f0 alone is the 64-bit SimHash of XXH64 (seed 42) shingles.
+    """(id, f0, f1, ..., th): signed longs; f0 alone is the 64-bit SimHash of XXH64 (seed 42) shingles, th the text's hash.
 
     distinct: each shingle votes once, and a column s tells apart sets of one fingerprint.
     """
-    rows, schema = shingles(docs, size, text, F.col(id_col).alias("id")), f"id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"f{k} long" for k in range(width))
-    if distinct:
-        rows, schema = rows.select("id", F.array_sort(F.array_distinct("h")).alias("h")).withColumn("s", F.xxhash64("h")), schema + ", s long"
-    return rows.mapInArrow(_votes(width), schema)
+    rows = shingles(docs, size, text, F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text)).alias("th"))
+    h = F.array_sort(F.array_distinct("h")) if distinct else F.col("h")
+    rows = rows.select("id", h.alias("h"), "th", *[F.xxhash64(h).alias("s")] * distinct)
+    return rows.mapInArrow(_votes(width), f"id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"f{k} long" for k in range(width)) + ", th long" + ", s long" * distinct)
 
 
 def pigeonhole(distance: int, blocks: int, bits: list[int] | None = None) -> list[int]:
@@ -260,14 +261,8 @@ def verified(edges: DataFrame, docs: DataFrame, jaccard: float, size: int, id_co
     return rows.repartition("root", "t").sortWithinPartitions("root", "t").mapInArrow(_link_sets(jaccard), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, distance: int | None = 3, blocks: int = 5, jaccard: float = 0.8, recall: float = 0.99, width: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, f0, ..., component_id): component_id is the smallest id reachable over links.
-
-    With a distance, all pairs of 64-bit fingerprints that close are linked; more blocks mean smaller
-    buckets and more keys (5 serve up to about a hundred million fingerprints, 6 or 7 beyond). With
-    distance None, texts of the Jaccard similarity or more are linked: wider fingerprints find the
-    candidates, a pair at the similarity with the recall, and the shingle sets decide.
-    """
+def _classes(docs: DataFrame, size: int, distance: int | None, blocks: int, jaccard: float, recall: float, width: int, id_col: str, text: str) -> tuple[DataFrame, list[str]]:
+    """(id, words, th, component_id) of every row and the columns that tell fingerprints (and sets) apart."""
     width = width if distance is None else 1
     words = [f"f{k}" for k in range(width)]
     fps = materialize(fingerprints(docs, size, width, id_col, text, distance is None))
@@ -287,13 +282,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, distance: int | None = 3, bl
     ties = fps.join(several, "id").join(first, same).select(F.col("id").cast("long").alias("a"), F.col("first").cast("long").alias("b"))
     comp = components(edges.union(ties)).withColumnRenamed("vertex", "first")
     rooted = first.join(comp, "first", "left").select(*same, F.coalesce("root", "first").alias("component_id"))
-    return fps.join(rooted, same).select(F.col("id").alias(id_col), *words, "component_id")
+    return fps.join(rooted, same).select("id", *same, "th", "component_id"), same
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, of each component only the document with the smallest id."""
-    kept = near_duplicates(docs, **how).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]), "left_semi")
+def near_duplicates(docs: DataFrame, size: int = 5, distance: int | None = 3, blocks: int = 5, jaccard: float = 0.8, recall: float = 0.99, width: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, f0, ..., component_id): component_id is the smallest id reachable over links.
+
+    With a distance, all pairs of 64-bit fingerprints that close are linked; more blocks mean smaller
+    buckets and more keys (5 serve up to about a hundred million fingerprints, 6 or 7 beyond). With
+    distance None, texts of the Jaccard similarity or more are linked: wider fingerprints find the
+    candidates, a pair at the similarity with the recall, and the shingle sets decide.
+    """
+    out, same = _classes(docs, size, distance, blocks, jaccard, recall, width, id_col, text)
+    return out.select(F.col("id").alias(id_col), *[c for c in same if c != "s"], "component_id")
+
+
+def keep_first(docs: DataFrame, size: int = 5, distance: int | None = 3, blocks: int = 5, jaccard: float = 0.8, recall: float = 0.99, width: int = 4) -> DataFrame:
+    """The rows of docs, of each component only one, with its smallest id."""
+    classed, same = _classes(docs, size, distance, blocks, jaccard, recall, width, "doc_id", "text")
+    rows = materialize(classed)
+    named = rows.where("id = component_id").groupBy("id").agg(F.min("th").alias("th"))
+    nameless = rows.where("component_id IS NULL").groupBy(*same).agg(F.min("th").alias("th")).select(F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "th").distinct()
+    chosen = named.unionByName(nameless)
+    # rows of one id and text are told apart by nothing else: of them one is taken
+    n = rows.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    again = n.alias("n").join(chosen.alias("c"), F.col("n.id").eqNullSafe(F.col("c.id")) & (F.col("n.th") == F.col("c.th"))).select("n.id", "n.th")
+    hits = lambda keys, how: boxed(docs).join(keys, F.col("row.doc_id").eqNullSafe(keys["id"]) & (F.xxhash64(text_or_empty(F.col("row.text"))) == keys["th"]), how)
+    again = materialize(again)
+    if again.isEmpty():
+        return unboxed(hits(chosen, "left_semi"))
+    single = chosen.join(again, chosen["id"].eqNullSafe(again["id"]) & (chosen["th"] == again["th"]), "left_anti")
+    folded = hits(again, "inner").groupBy("id", "th").agg(F.first("row").alias("row")).select("row")
+    return unboxed(hits(single, "left_semi").unionByName(folded))
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -281,6 +281,16 @@ def test_simhash_null_ids_and_shared_ids(spark):
     assert got == collections.Counter({(5, 3): 2, (3, 3): 1, (None, 3): 1, (None, None): 1})
 
 
+@pytest.mark.parametrize("distance", [3, None])
+def test_simhash_keeps_one_row_of_each_component(spark, distance):
+    a, b, c = "a b c d e f g h", "q r s t u v w x y z", "k l m n o p q r s t"
+    rows = [(3, a, "en"), (None, a, "en"), (None, c, "en"), (None, c, "de"), (7, b, "en"), (7, b, "en"), (8, b, "fr"), (None, None, "en"), (None, "", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string").withColumn("th", F.lit(1)).withColumn("row", F.lit("clash"))
+    out = simhash.keep_first(df, distance=distance)
+    assert out.columns == df.columns
+    assert collections.Counter((r.doc_id, r.text or "") for r in out.collect()) == collections.Counter([(3, a), (None, c), (7, b), (None, "")])
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 101), (101, 100), (102, 102), (200, 7)]
     got = {r.vertex: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
