@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -132,15 +133,43 @@ def test_exact_dedup(spark, docs, texts, empty):
 
 def test_exact_dedup_index_splits_and_grows(spark, docs, texts):
     small = 2000
-    path = exact_dedup.insert(docs.where("doc_id < 150"), None, bucket_bytes=small)
-    path = exact_dedup.insert(docs.where("doc_id >= 150"), path, bucket_bytes=small)
-    slots = spark.read.parquet(f"{path}/directory")
-    assert slots.count() > 4 and slots.agg(F.sum(F.pow(F.lit(0.5), "depth"))).first()[0] == 1.0
-    got = {r.text: (r.first, r.n) for r in exact_dedup.open_index(spark, path).collect()}
+    first = exact_dedup.insert(docs.where("doc_id < 150"), None, bucket_bytes=small)
+    files = {p: p.stat().st_mtime_ns for p in Path(first.path).glob("buckets/*/*.parquet")}
+    one = exact_dedup.insert(docs.where("doc_id >= 150"), first, bucket_bytes=small)
+    assert one.depth >= 2 and sum(0.5**b.depth for b in one.buckets) == 1.0
+    got = {r.text: (r.first, r.n) for r in exact_dedup.open_index(spark, one).collect()}
     want = collections.defaultdict(list)
     for d, t in ids_of(texts).items():
         want[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(d)
     assert got == {t: (min(g), len(g)) for t, g in want.items()}
+    # a batch of one short text writes its own bucket only; the version before it can still be read
+    two = exact_dedup.insert(spark.createDataFrame([(5000, "a new short text")], "doc_id long, text string"), one, bucket_bytes=1 << 20)
+    kept = {b.number for b in one.buckets} & {b.number for b in two.buckets}
+    assert len(kept) == len(one.buckets) - 1 and len(two.buckets) == len(one.buckets)
+    assert all(p.stat().st_mtime_ns == t for p, t in files.items())
+    assert exact_dedup.open_index(spark, two).count() == len(want) + 1
+    assert exact_dedup.open_index(spark, exact_dedup.Directory.open(spark, one.path, one.version)).count() == len(want)
+
+
+def test_exact_dedup_splits_double_the_directory_when_they_must():
+    b = exact_dedup.Bucket(0, 0)
+    got = exact_dedup._divided(b, {0: (5, 1, 2), 3: (5, 3, 4), 12: (3, 7, 9)}, 4, 6)
+    assert [(x.slot, x.depth, x.bytes, s) for x, s in got] == [(0, 3, 5, True), (1, 3, 5, True), (1, 2, 0, True), (1, 1, 3, True)]
+    assert exact_dedup._divided(b, {0: (50, 1, 1)}, 4, 6) == [(exact_dedup.Bucket(0, 0, 0, 50), True)]
+    assert [s for _, s in exact_dedup._divided(b, {0: (50, 1, 2)}, 0, 6)] == [False]
+
+
+def test_exact_dedup_keeps_one_row_of_each_text(spark, empty):
+    rows = [(2, "a  b"), (2, "a b"), (5, "a b"), (None, "a b"), (None, "c"), (None, "c"), (7, None), (8, ""), (2, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("sha", F.lit(1)).withColumn("row", F.lit(2))
+    got = exact_dedup.classes(df).collect()
+    assert collections.Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == collections.Counter({(2, 2, 4): 2, (5, 2, 4): 1, (None, 2, 4): 1, (None, None, 2): 2, (7, 7, 2): 1, (8, 7, 2): 1, (2, 2, 1): 1})
+    assert all(r.kept is not None for r in got)
+    assert collections.Counter((r.doc_id, r.group_size) for r in got if r.kept) == collections.Counter([(2, 4), (None, 2), (7, 2), (2, 1)])
+    kept = exact_dedup.keep_first(df)
+    assert kept.columns == df.columns
+    assert collections.Counter((r.doc_id, " ".join((r.text or "").split())) for r in kept.collect()) == collections.Counter([(2, "a b"), (None, "c"), (7, ""), (2, "other")])
+    assert exact_dedup.keep_first(empty).count() == 0
 
 
 def test_exact_dedup_one_key_cannot_split(spark):
