@@ -1,13 +1,20 @@
 """Line deduplication by levelled sorted runs of line hashes.
 
-Documents are taken in batches of ascending id. A batch's line keys (two independent XXH64 of the
-key, 128 bits) are first reduced to the smallest id of each; the keys that no earlier run holds
-become the batch's own run, written sorted by hash into hash buckets (a bucketed, sorted table in
-the warehouse), so that merging with the runs needs no shuffle of them. When a level has ``fanout``
-runs they are compacted into one run of the next level. As the batches ascend, a run's id is the
-first document that holds the line: a line stays only where its own document is that one.
-
-All of it is DataFrame expressions. The join that decides a line is on key and document, so a hot
+A run is a table of line hashes (two independent XXH64 of the line's key, 128 bits) with the first
+document that holds each, bucketed by hash and sorted within a bucket; all runs of a store have the
+same buckets. Documents are taken in batches of ascending id. A batch's hashes are reduced to the
+smallest id of each and anti-joined with every run by sort-merge: the runs are read as they lie,
+bucketed and sorted, so only the batch is shuffled and sorted. What no run holds becomes the batch's
+own run on level 0. When a level has ``fanout`` runs, they are merged bucket by bucket, by sort-merge
+joins without a shuffle, into one run of the next level. Over n batches a hash is rewritten some
+log(n) times.
+
+``SortedRuns`` is a store: it keeps its runs and a manifest of its levels, so that later batches
+meet the runs of earlier ones (a hash belongs to the batch that brought it first, and within a
+batch to its smallest id). ``repeated_lines`` uses a store of its own, which it drops at its end,
+unless the caller passes one.
+
+All of it is DataFrame expressions. The join that decides a line is on hash and document, so a hot
 line spreads over its documents.
 
 Defined results: a null or empty text is one empty line; rows that share a doc_id are one document
@@ -19,6 +26,7 @@ lines and claims none; an empty table gives an empty result; other columns are c
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,49 +40,93 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
 
 
+@contextmanager
+def _runs_as_sorted(spark):
+    """Take runs' rows as sorted, which Spark does only when told (a run has one file per bucket)."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class SortedRuns:
-    """Levelled runs of (h1, h2, first); a hash is in one run only."""
+    """Levelled runs of (h1, h2, first); a hash is in one run only.
+
+    name: a store's name, for opening it again; its tables lie in the warehouse.
+    """
 
-    def __init__(self, spark, buckets: int, fanout: int = 3):
+    def __init__(self, spark, buckets: int, fanout: int = 2, name: str | None = None):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
+        self.name = name or f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = [[]]
-        self.old: list[str] = []
+
+    @classmethod
+    def open(cls, spark, name: str, fanout: int = 2) -> SortedRuns:
+        rows = spark.table(f"{name}_manifest").orderBy("level", "at").collect()
+        out = cls(spark, rows[0]["buckets"], fanout, name)
+        out.levels = [[r["run"] for r in rows if r["level"] == k and r["run"]] for k in range(1 + max(r["level"] for r in rows))]
+        return out
+
+    def save(self) -> None:
+        """Write the manifest: a row per run (a null run stands for a level without one)."""
+        rows = [(k, i, run, self.buckets) for k, level in enumerate(self.levels) for i, run in enumerate(level or [None])]
+        self.spark.createDataFrame(rows, "level int, at int, run string, buckets int").coalesce(1).write.mode("overwrite").saveAsTable(f"{self.name}_manifest")
+
+    def runs(self) -> list[str]:
+        return [n for level in self.levels for n in level]
 
     def _write(self, df: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        df.repartition(self.buckets, *HASH).write.bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name)
+        """df, which is partitioned as the buckets are, as a run with one file per bucket."""
+        name = f"{self.name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name)
         return name
 
-    def _union(self, names: list[str]) -> DataFrame:
-        out = self.spark.table(names[0])
-        for n in names[1:]:
-            out = out.unionByName(self.spark.table(n))
-        return out
+    def _merged(self, a: str, b: str) -> str:
+        """One run of two, by a full outer sort-merge join, which neither shuffles nor sorts them."""
+        other = self.spark.table(b).withColumnRenamed("first", "other").hint("merge")
+        both = self.spark.table(a).join(other, HASH, "full_outer")
+        return self._write(both.select(*HASH, F.coalesce("first", "other").alias("first")))
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def add(self, firsts: DataFrame) -> DataFrame:
         """Merge-anti-join (h1, h2, first) with every run; what is new becomes a run of level 0, returned."""
-        for name in (n for level in self.levels for n in level):
-            firsts = firsts.join(self.spark.table(name), HASH, "left_anti")
-        mine = self._write(firsts)
-        self.levels[0].append(mine)
-        return self.spark.table(mine)
+        with _runs_as_sorted(self.spark):
+            for name in self.runs():
+                firsts = firsts.join(self.spark.table(name).hint("merge"), HASH, "left_anti")
+            self.levels[0].append(self._write(firsts.repartition(self.buckets, *HASH)))
+        return self.spark.table(self.levels[0][-1])
 
     def compact(self) -> None:
+        """Merge the runs of every full level; the merged runs' tables go."""
         for k, level in enumerate(self.levels):
             if len(level) >= self.fanout:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(self._write(self._union(level)))
-                self.old += level
+                merged = level[0]
+                with _runs_as_sorted(self.spark):
+                    for name in level[1:]:
+                        one = self._merged(merged, name)
+                        self._drop([merged, name])
+                        merged = one
+                self.levels[k + 1].append(merged)
                 self.levels[k] = []
 
     def drop(self) -> None:
-        for name in [*self.old, *(n for level in self.levels for n in level)]:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._drop([*self.runs(), f"{self.name}_manifest"])
+        self.levels = [[]]
+
 
+def repeated_lines(docs: DataFrame, batches: int = 6, fanout: int = 2, min_chars: int = 10, id_col: str = "doc_id", text: str = "text", store: SortedRuns | None = None) -> DataFrame:
+    """(id, th, dropped): for each text (th: its hash) the 0-based numbers of the lines it loses.
 
-def repeated_lines(docs: DataFrame, batches: int = 6, fanout: int = 3, min_chars: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, th, dropped): for each text (th: its hash) the 0-based numbers of the lines it loses."""
+    store: runs of earlier documents, whose lines are lost here too; this call's runs are added.
+    """
     spark, t = docs.sparkSession, text_or_empty(text)
     bounds = sorted(set(docs.approxQuantile(id_col, [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     batch = sum((F.when(F.col("id") > b, 1).otherwise(0) for b in bounds), F.lit(0))
@@ -84,14 +136,21 @@ def repeated_lines(docs: DataFrame, batches: int = 6, fanout: int = 3, min_chars
     hashed = keyed.select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), batch.cast("int").alias("batch"))
     hashed.write.partitionBy("batch").parquet(path)
     stored = spark.read.schema(hashed.schema).parquet(path)
-    runs, dropped = SortedRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout), None
-    for b in range(len(bounds) + 1):
-        mine = stored.where(F.col("batch") == b).drop("batch")
-        own = runs.add(mine.groupBy(*HASH).agg(F.min("id").alias("first")))
-        lost = materialize(mine.join(own.withColumnRenamed("first", "id"), [*HASH, "id"], "left_anti").groupBy("id", "th").agg(F.collect_set("pos").alias("dropped")))
-        dropped = lost if dropped is None else dropped.unionByName(lost)
-        runs.compact()
-    runs.drop()
+    runs = store or SortedRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
+    dropped = None
+    try:
+        for b in range(len(bounds) + 1):
+            mine = stored.where(F.col("batch") == b).drop("batch")
+            own = runs.add(mine.groupBy(*HASH).agg(F.min("id").alias("first"))).withColumnRenamed("first", "id")
+            with _runs_as_sorted(spark):
+                lost = materialize(mine.join(own, [*HASH, "id"], "left_anti").groupBy("id", "th").agg(F.collect_set("pos").alias("dropped")))
+            dropped = lost if dropped is None else dropped.unionByName(lost)
+            runs.compact()
+        if store is not None:
+            store.save()
+    finally:
+        if store is None:
+            runs.drop()
     return dropped
 
 

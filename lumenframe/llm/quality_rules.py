@@ -1,15 +1,18 @@
 """Quality rules as a bitmask ledger: each rule is evaluated once, policies are applied later.
 
-``ledger`` measures every document and stores one bit per failed rule. A policy is a named,
-versioned mask over those bits, so a verdict is one bitwise AND and rules can be switched
-without reading a text again. ``ablation`` says, for each rule of a policy, how many documents
-it rejects, how many only it rejects, and how many would be kept without it.
+``ledger`` measures every document and gives one bit per failed rule; ``store`` writes it as Parquet
+with the version of the rules, and ``open_ledger`` refuses one of other rules. A policy is a named,
+versioned mask over those bits, so a verdict on a stored ledger is one bitwise AND, and rules can be
+switched without reading a text again. ``ablation`` says, for each rule of a policy, how many
+documents it rejects, how many only it rejects, and how many would be kept without it: the ledger is
+folded to its distinct masks first.
 
 Everything is built-in column expressions; no shuffle but for the ablation's counts.
 
 Defined results: a null text has no words and fails ``few_words``; repeated rows are measured
 one by one; an empty table gives an empty ledger; columns besides the id and the text are
-ignored by ``ledger`` and carried along by ``judge``, boxed so that names cannot clash.
+ignored by ``ledger`` and carried along by ``judge``, boxed so that names cannot clash; the ablation
+of an empty ledger has a row of zeros for each rule.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, table, text_or_empty, unboxed, words_of
+from .common import boxed, shared_dir, table, text_or_empty, unboxed, words_of
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct_words")
 #: Bit of each rule; bits are never reused, so that stored ledgers stay readable.
+RULE_SET = "rules-1"
 RULES = {"few_words": 0, "repeats": 1, "symbols": 2, "dup_lines": 3, "shouting": 4, "word_length": 5, "poor_vocabulary": 6}
 
 
@@ -38,6 +42,7 @@ class Policy:
 
 
 BASE = Policy("base-1", ("few_words", "repeats"))
+LENIENT = Policy("lenient-1", ("few_words", "repeats", "symbols", "word_length"))
 DEFAULT = Policy("default-1", ("few_words", "repeats", "symbols", "dup_lines", "shouting", "word_length", "poor_vocabulary"))
 
 
@@ -106,6 +111,21 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     return measured(docs.select(id_col, text), text).select(F.col("row").getField(id_col).alias(id_col), *MEASURES, "fail_bits")
 
 
+def store(led: DataFrame, path: str | None = None) -> str:
+    """Write a ledger (or measured rows) with its rule set's version; the folder's path."""
+    path = path or shared_dir(led.sparkSession)
+    led.withColumn("rule_set", F.lit(RULE_SET)).write.parquet(path)
+    return path
+
+
+def open_ledger(spark, path: str) -> DataFrame:
+    """A stored ledger; raises if other rules wrote it."""
+    led = spark.read.parquet(path)
+    if not led.where(F.col("rule_set") != RULE_SET).isEmpty():
+        raise ValueError(f"the ledger was not written by {RULE_SET}")
+    return led.drop("rule_set")
+
+
 def verdict(fail_bits: Column, policy: Policy) -> Column:
     """True where no rule of the policy failed."""
     return fail_bits.bitwiseAND(F.lit(policy.mask)) == 0
@@ -114,37 +134,48 @@ def verdict(fail_bits: Column, policy: Policy) -> Column:
 def ablation(led: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """One row per rule: rejected by it, by it alone, kept in all, kept if it were dropped.
 
-    The documents are counted by their masked bits first (at most two to the number of rules rows).
+    The documents are counted by their masked bits first (at most two to the number of rules rows),
+    then every mask is taken apart into the policy's rules.
     """
     seen = led.groupBy(F.col("fail_bits").bitwiseAND(F.lit(policy.mask)).alias("bits")).agg(F.count("*").alias("n"))
-    rules = led.sparkSession.createDataFrame([(policy.version, r, 1 << RULES[r]) for r in policy.rules], "version string, rule string, bit long")
-    sums = seen.agg(
-        *[f(F.when(cond(1 << RULES[r]), F.col("n")).otherwise(0), f"{k}_{r}") for r in policy.rules for k, f, cond in (
-            ("by", lambda c, a: F.sum(c).alias(a), lambda b: F.col("bits").bitwiseAND(F.lit(b)) != 0),
-            ("only", lambda c, a: F.sum(c).alias(a), lambda b: F.col("bits") == b))],
-        F.sum(F.when(F.col("bits") == 0, F.col("n")).otherwise(0)).alias("kept"),
-    )
-    pick = lambda k: F.coalesce(*[F.when(F.col("rule") == r, F.col(f"{k}_{r}")) for r in policy.rules], F.lit(0)).cast("long")
-    kept = F.coalesce(F.col("kept"), F.lit(0)).cast("long")
-    return rules.join(F.broadcast(sums)).select("version", "rule", pick("by").alias("n_rejected"), pick("only").alias("n_only"), kept.alias("n_kept"), (kept + pick("only")).alias("n_kept_without"))
+    # a row of no documents, so that every rule has a row
+    seen = seen.unionByName(led.sparkSession.createDataFrame([(0, 0)], "bits long, n long"))
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << RULES[r]).cast("long").alias("bit")) for r in policy.rules])
+    each = seen.select("bits", "n", F.explode(rules).alias("r")).select("bits", "n", "r.rule", "r.bit")
+    count = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    return each.groupBy("rule").agg(
+        count(F.col("bits").bitwiseAND(F.col("bit")) != 0).alias("n_rejected"),
+        count(F.col("bits") == F.col("bit")).alias("n_only"),
+        count(F.col("bits") == 0).alias("n_kept"),
+        count((F.col("bits") == 0) | (F.col("bits") == F.col("bit"))).alias("n_kept_without"),
+    ).select(F.lit(policy.version).alias("version"), "rule", "n_rejected", "n_only", "n_kept", "n_kept_without")
 
 
 def judge(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """The documents that pass the policy, with their own columns only."""
-    # always true, but not to the optimizer: else the filter would be pushed below the measures and repeat their work
-    ok = verdict(F.col("fail_bits"), policy) & (F.monotonically_increasing_id() >= 0)
-    return unboxed(measured(docs).select("row", ok.alias("ok")).where("ok"))
+    """The documents that pass the policy, with their own columns only; the ledger is stored with them first."""
+    led = open_ledger(docs.sparkSession, store(measured(docs).select("row", "fail_bits")))
+    return unboxed(led.where(verdict(F.col("fail_bits"), policy)))
+
+
+def stored_ledger(spark, sf_dir) -> DataFrame:
+    """The ledger of documents, written and read back."""
+    return open_ledger(spark, store(ledger(table(spark, sf_dir, "documents"))))
 
 
 def query(spark, sf_dir) -> DataFrame:
-    led = ledger(table(spark, sf_dir, "documents"))
     base = verdict(F.col("fail_bits"), BASE)
-    return led.select(
+    return stored_ledger(spark, sf_dir).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~base).alias("base_failed"), (base & verdict(F.col("fail_bits"), DEFAULT)).alias("kept"), "fail_bits",
     )
 
 
+def ablation_query(spark, sf_dir) -> DataFrame:
+    """Ablations of two policy versions over one stored ledger."""
+    led = stored_ledger(spark, sf_dir)
+    return ablation(led, DEFAULT).unionByName(ablation(led, LENIENT))
+
+
 SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
@@ -163,5 +194,14 @@ m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(wor
 b AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (100 * n_symbols > 4 * word_chars)::BIGINT
              + 8 * (n_dup_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (n_letters >= 20 AND 100 * n_upper > 40 * n_letters)::BIGINT
              + 32 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::BIGINT + 64 * (n_words >= 20 AND 100 * n_distinct < CASE WHEN n_words < 200 THEN 30 ELSE 5 END * n_words)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+"""
+_MEASURED = SQL
+SQL = _MEASURED + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b"
+ABLATION_SQL = _MEASURED + """,
+p AS (SELECT unnest([{'version': 'default-1', 'mask': 127}, {'version': 'lenient-1', 'mask': 39}]) AS p),
+r AS (SELECT unnest([{'rule': 'few_words', 'bit': 1}, {'rule': 'repeats', 'bit': 2}, {'rule': 'symbols', 'bit': 4}, {'rule': 'dup_lines', 'bit': 8},
+                     {'rule': 'shouting', 'bit': 16}, {'rule': 'word_length', 'bit': 32}, {'rule': 'poor_vocabulary', 'bit': 64}]) AS r)
+SELECT p.version AS version, r.rule AS rule, count(*) FILTER (WHERE fail_bits & r.bit <> 0) AS n_rejected, count(*) FILTER (WHERE fail_bits & p.mask = r.bit) AS n_only,
+       count(*) FILTER (WHERE fail_bits & p.mask = 0) AS n_kept, count(*) FILTER (WHERE fail_bits & p.mask & ~r.bit = 0) AS n_kept_without
+FROM b, p, r WHERE r.bit & p.mask <> 0 GROUP BY ALL
 """

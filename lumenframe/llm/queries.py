@@ -15,5 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.query,
     "op9_bpe": bpe.query,
     "op10_substring_dedup": substring_dedup.query,
+    "rule_ablation": quality_rules.ablation_query,
+    "token_counts_warm": token_counts.warm_query,
 }
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality_rules.SQL, "op7_line_dedup": line_dedup.SQL, "op10_substring_dedup": substring_dedup.SQL}
+ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality_rules.SQL, "rule_ablation": quality_rules.ABLATION_SQL, "op7_line_dedup": line_dedup.SQL, "op10_substring_dedup": substring_dedup.SQL}

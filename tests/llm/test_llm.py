@@ -116,6 +116,24 @@ def test_quality_policies_and_ablation(docs, empty):
     assert {r.n_kept for r in quality_rules.ablation(quality_rules.ledger(empty)).collect()} == {0}
 
 
+def test_quality_policies_over_one_stored_ledger(spark, docs, tmp_path):
+    path = quality_rules.store(quality_rules.ledger(docs), str(tmp_path / "ledger"))
+    led = quality_rules.open_ledger(spark, path)
+    for policy in (quality_rules.DEFAULT, quality_rules.LENIENT):
+        n = led.where(quality_rules.verdict(F.col("fail_bits"), policy)).count()
+        assert {r.n_kept for r in quality_rules.ablation(led, policy).collect()} == {n} and n == quality_rules.judge(docs, policy).count()
+    led.withColumn("rule_set", F.lit("rules-0")).write.parquet(str(tmp_path / "older"))
+    with pytest.raises(ValueError, match="rules-1"):
+        quality_rules.open_ledger(spark, str(tmp_path / "older"))
+
+
+def test_quality_odd_rows(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None), (3, "x " * 30)], "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("fail_bits", F.lit(0))
+    got = collections.Counter((r.doc_id, r.n_words, r.fail_bits & 3) for r in quality_rules.ledger(df).collect())
+    assert got == collections.Counter({(None, 2, 1): 2, (3, 0, 1): 1, (3, 30, 2): 1})
+    assert quality_rules.judge(df).columns == df.columns
+
+
 # exact dedup
 
 
@@ -214,6 +232,30 @@ def test_line_dedup_odd_rows(spark, empty):
 # simhash
 
 
+def test_line_dedup_runs_are_kept_and_read_as_sorted(spark):
+    runs = line_dedup.SortedRuns(spark, 4, fanout=2)
+    try:
+        df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+        one, two, three = "the first long line", "the second long line", "the third long line"
+        assert line_dedup.repeated_lines(df([(5, one), (6, one)]), batches=1, store=runs).select("id").collect()[0].id == 6
+        again = line_dedup.SortedRuns.open(spark, runs.name, fanout=2)
+        got = line_dedup.repeated_lines(df([(1, one + "\n" + two), (2, two)]), batches=1, store=again).collect()
+        assert {r.id: r.dropped for r in got} == {1: [0], 2: [0]}
+        assert [len(level) for level in again.levels] == [0, 1]
+        # one file per bucket after the merge of a level; the merged run is read without a sort or an exchange
+        assert spark.table(again.runs()[0]).select(F.input_file_name()).distinct().count() <= 4
+        with line_dedup._runs_as_sorted(spark):
+            batch = spark.range(10).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"))
+            plan = batch.join(spark.table(again.runs()[0]).hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().toString()
+        physical = plan[plan.index("== Physical Plan ==") :]
+        assert "SortMergeJoin" in physical and physical.count("Sort [") == 1 and physical.count("Exchange") == 1
+        line_dedup.repeated_lines(df([(9, three)]), batches=1, store=again)
+        assert [len(level) for level in again.levels] == [1, 1]
+    finally:
+        runs.drop()
+        again.drop()
+
+
 def simhash_by_hand(t, size):
     w = words((t or "").translate(LOWER))
     g = [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] if len(w) >= size else [" ".join(w)] if w else []
@@ -389,6 +431,22 @@ def test_token_counts_and_cache(spark, docs, texts, empty):
     assert token_counts.count_tokens(empty, shared_dir(spark)).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_token_cache_is_asked_before_the_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(token_counts, "FEW", few)
+    df = lambda *t: spark.createDataFrame([(i, x) for i, x in enumerate(t)], "doc_id long, text string")
+    cache, path = shared_dir(spark), default_path()
+    assert token_counts.fill_cache(df(), cache, path) == 0
+    assert token_counts.fill_cache(df("one two", "one two", None, ""), cache, path) == 2
+    assert token_counts.fill_cache(df("one two", "three"), cache, path) == 1
+    assert token_counts.fill_cache(df("three", None, "three"), cache, path) == 0
+    rows = spark.createDataFrame([(None, "one two"), (None, "one two"), (4, None), (4, "three")], "doc_id long, text string").withColumn("digest", F.lit("clash"))
+    n = len(library_encoder(path).encode("one two", add_special_tokens=False).ids)
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(rows, cache).collect())
+    assert got[None, 7, n] == 2 and got[4, 0, 0] == 1 and sum(got.values()) == 4
+    assert spark.read.parquet(cache).count() == 3
+
+
 def test_packing(docs, texts, empty):
     lib = library_encoder(default_path())
     ids = {d: lib.encode(t or "", add_special_tokens=False).ids + [1] for d, t in ids_of(texts).items()}
