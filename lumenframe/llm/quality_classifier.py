@@ -2,11 +2,13 @@
 
 A text's features are indicators of its byte n-grams (``ORDERS``) and of runs of one repeated
 word, hashed to ``BUCKETS``. Each is scaled by its log-count ratio between the two classes, which
-Spark counts over every labelled training text; a hinge loss with an L2 penalty is then fitted by
-dual coordinate descent. The training texts are dealt by id into parts of about ``PART_ROWS``;
-each part is fitted in its own task and the parts' weights are averaged, so no task or driver
-holds more than one part, whatever the number of labels. Only the weights (``BUCKETS`` numbers)
-travel. A score is the logistic function of the margin.
+Spark counts over every labelled training text; one hinge loss with an L2 penalty over all of them is
+then minimised by distributed dual coordinate descent. The training rows are dealt evenly; each
+carries its dual variable. In a round, every block of at most ``BLOCK_ROWS`` rows of a task descends
+from the common weights on its own dual variables; the blocks' changes are averaged, which never
+lowers the dual objective, and the next round starts from the new weights. One block is plain dual
+coordinate descent; more blocks reach the same optimum. Rows and dual variables stay in a table;
+only the weights (``BUCKETS`` numbers) travel. A score is the logistic function of the margin.
 
 Defined results: a null or empty text is scored by the bias alone; labels that are null are not
 learned from; documents with several labels are learned from once for each; without any training
@@ -27,10 +29,9 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_or_empty
 
 ORDERS, BUCKETS = (3, 4, 5), 1 << 18
-#: Training texts of one fit; passes of the descent; the penalty's weight; slope of the score.
-PART_ROWS, PASSES, PENALTY, SLOPE = 4000, 6, 0.1, 2.0
-#: Labels up to which their table is broadcast (16 bytes each); beyond, the join shuffles.
-BROADCAST_LABELS = 2_000_000
+#: Training texts that one block descends over; rounds, and passes of each; the penalty's weight; slope of the score.
+BLOCK_ROWS, ROUNDS, PASSES, PENALTY, SLOPE = 4000, 5, 3, 0.1, 2.0
+STATE = "text string, label int, alpha double, change double, blocks int, w binary"
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -76,9 +77,9 @@ def log_ratios(train: DataFrame) -> np.ndarray:
     return ratio
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, passes: int, c: float) -> np.ndarray:
-    """Weights over the scaled indicators, by dual coordinate descent for the hinge loss."""
-    w, alpha = np.zeros(BUCKETS), np.zeros(len(rows))
+def descend(rows: list[np.ndarray], y: np.ndarray, alpha: np.ndarray, w: np.ndarray, ratio: np.ndarray, passes: int, c: float) -> tuple[np.ndarray, np.ndarray]:
+    """New dual variables and weights over the scaled indicators, by dual coordinate descent for the hinge loss."""
+    w, alpha = w.copy(), alpha.copy()
     norms = [np.sqrt((ratio[r] ** 2).sum()) for r in rows]
     rng = np.random.default_rng(7)
     for _ in range(passes):
@@ -90,27 +91,63 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, passes: in
             if new != alpha[i]:
                 w[r] += (new - alpha[i]) * y[i] * x
                 alpha[i] = new
-    return w
+    return alpha, w
 
 
-def _fit(ratio: np.ndarray, passes: int, c: float):
-    def run(key, part):
-        part = part.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        rows = [features(t.as_py().encode()) for t in part.column("text")]
-        y = 2 * part.column("label").to_numpy().astype(np.int64) - 1
-        w = descend(rows, y, ratio, passes, c) * len(rows)
-        return pa.table({"n": pa.array([len(rows)], pa.int64()), "w": pa.array([w.tobytes()], pa.binary())})
+def _round(shared, share: float, passes: int, c: float):
+    """A round over the rows of a task: each row with its dual variable and the change it asks for, and one row of weights.
+
+    share: what part of the change asked for in the round before is taken.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio, w = shared.value
+        asked, blocks = np.zeros(BUCKETS), 0
+        for text, label, alpha in _blocks(batches, share):
+            rows = [features(t.encode()).astype(np.int32) for t in text]
+            new, moved = descend(rows, 2 * label.astype(np.int64) - 1, alpha, w, ratio, passes, c)
+            asked += moved - w
+            blocks += 1
+            n = len(text)
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(label, pa.int32()), pa.array(alpha), pa.array(new - alpha), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_names)
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()), pa.array([blocks], pa.int32()), pa.array([asked.tobytes()], pa.binary())], names=_names)
 
     return run
 
 
+_names = [c.split()[0] for c in STATE.split(", ")]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(texts, labels, dual variables) of at most BLOCK_ROWS rows."""
+    held, n = [], 0
+
+    def block():
+        t = pa.Table.from_batches(held)
+        alpha, change = (t.column(k).to_numpy() for k in ("alpha", "change"))
+        return t.column("text").to_pylist(), t.column("label").to_numpy(), alpha + share * change
+
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, BLOCK_ROWS - n)
+            held.append(part)
+            at, n = at + part.num_rows, n + part.num_rows
+            if n == BLOCK_ROWS:
+                yield block()
+                held, n = [], 0
+    if n:
+        yield block()
+
+
 def _sum_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, w = 0, np.zeros(BUCKETS)
     for batch in batches:
         for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             n, w = n + k, w + np.frombuffer(v)
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["n", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([w.tobytes()], pa.binary())], names=["blocks", "w"])
 
 
 class Model:
@@ -124,18 +161,25 @@ class Model:
         return float(1 / (1 + np.exp(-SLOPE * self.weights[f].sum() / np.sqrt(self.squares[f].sum()))))
 
 
-def fit(train: DataFrame, passes: int = PASSES, c: float = 1 / PENALTY) -> Model:
-    """A model from training rows (doc_id, text, label 0 or 1)."""
+def fit(train: DataFrame, rounds: int = ROUNDS, passes: int = PASSES, c: float = 1 / PENALTY) -> Model:
+    """A model from training rows (text, label 0 or 1)."""
     n = train.count()
     if not n:
         return Model(np.zeros(BUCKETS), np.ones(BUCKETS))
-    ratio, groups = log_ratios(train), -(-n // PART_ROWS)
-    parts = train.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
-    fitted = materialize(parts.groupBy("part").applyInArrow(_fit(ratio, passes, c), "n long, w binary"))
-    # summed within each task, then in the square root of the parts' number of tasks, then in one
-    sums = fitted.mapInArrow(_sum_weights, "n long, w binary")
-    total = sums.repartition(math.isqrt(groups) + 1).mapInArrow(_sum_weights, "n long, w binary").repartition(1).mapInArrow(_sum_weights, "n long, w binary").first()
-    return Model(np.frombuffer(total["w"]) / total["n"] * ratio, ratio**2)
+    dealt = train.select("text", F.col("label").cast("int").alias("label"), F.lit(0.0).alias("alpha"), F.lit(0.0).alias("change")).repartition(-(-n // BLOCK_ROWS))
+    rows = materialize(dealt)
+    ratio, w, share = log_ratios(rows), np.zeros(BUCKETS), 0.0
+    ctx, few = train.sparkSession.sparkContext, math.isqrt(-(-n // BLOCK_ROWS)) + 1
+    for _ in range(rounds):
+        shared = ctx.broadcast((ratio, w))
+        state = materialize(rows.mapInArrow(_round(shared, share, passes, c), STATE))
+        asked = state.where("w IS NOT NULL").select("blocks", "w").mapInArrow(_sum_weights, "blocks int, w binary")
+        # summed within each task, then in the square root of the blocks' number of tasks, then in one
+        total = asked.repartition(few).mapInArrow(_sum_weights, "blocks int, w binary").repartition(1).mapInArrow(_sum_weights, "blocks int, w binary").first()
+        share = 1 / total["blocks"]
+        w = w + share * np.frombuffer(total["w"])
+        rows = state.where("text IS NOT NULL").select("text", "label", "alpha", "change")
+    return Model(w * ratio, ratio**2)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,8 +201,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """(doc_id, text, label) of the labelled documents that may be learned from."""
     lab = labels.where(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
-    if lab.count() <= BROADCAST_LABELS:
-        lab = F.broadcast(lab)
     return docs.where(~held_out()).select("doc_id", text_or_empty().alias("text")).join(lab, "doc_id")
 
 

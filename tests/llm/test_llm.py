@@ -530,12 +530,53 @@ def test_quality_classifier(spark):
     assert quality_classifier.score(docs.limit(0), none).count() == 0
 
 
-def test_descent_separates():
+def test_quality_classifier_odd_rows(spark):
+    docs, labels = labelled(spark)
+    odd = docs.union(docs).withColumn("label", F.lit("clash")).withColumn("score", F.lit("clash"))
+    model = quality_classifier.fit(quality_classifier.training_rows(odd, labels.withColumn("text", F.lit("clash"))))
+    got = quality_classifier.score(odd, model)
+    assert got.columns == ["doc_id", "score"] and got.count() == odd.count()
+    scores = collections.defaultdict(set)
+    for r in got.where("doc_id >= 400").collect():
+        scores[r.doc_id].add(r.score)
+    assert scores[400] == scores[401] and len(scores[400]) == 1
+    assert {r.held for r in docs.select(quality_classifier.held_out().alias("held")).where("doc_id IS NULL").collect()} == {False}
+
+
+def hinge(rows, y, w, c):
+    """The objective over rows of unit length."""
+    return 0.5 * w @ w + c * sum(max(0.0, 1 - s * (w[r].sum() / np.sqrt(len(r)))) for r, s in zip(rows, y, strict=True))
+
+
+def test_descent_separates_and_is_optimal():
     rng = np.random.default_rng(0)
     rows = [np.unique(np.r_[0, rng.integers(10, 50, 5), 60 + i % 2]) for i in range(100)]
     y = np.array([1 if i % 2 else -1 for i in range(100)])
-    w = quality_classifier.descend(rows, y, np.ones(quality_classifier.BUCKETS), 10, 10.0)
+    alpha, w = quality_classifier.descend(rows, y, np.zeros(100), np.zeros(quality_classifier.BUCKETS), np.ones(quality_classifier.BUCKETS), 300, 10.0)
     assert all(np.sign(w[r].sum()) == s for r, s in zip(rows, y, strict=True))
+    # no duality gap: the dual objective equals the primal one
+    assert abs(hinge(rows, y, w, 10.0) - (alpha.sum() - 0.5 * w @ w)) < 0.01 * alpha.sum()
+
+
+@pytest.mark.parametrize("block", [4000, 30])
+def test_distributed_descent_reaches_the_optimum(spark, monkeypatch, block):
+    """A few rounds over several blocks close all but 0.5 % of the gap to the descent over all rows at once."""
+    monkeypatch.setattr(quality_classifier, "BLOCK_ROWS", block)
+    docs, labels = labelled(spark, 300)
+    train = quality_classifier.training_rows(docs, labels).orderBy("doc_id")
+    texts = [(r.text, r.label) for r in train.collect()]
+    ratio = quality_classifier.log_ratios(train)
+    rows, y = [quality_classifier.features(t.encode()) for t, _ in texts], np.array([2 * k - 1 for _, k in texts])
+    norms = [np.sqrt((ratio[r] ** 2).sum()) for r in rows]
+
+    def loss(w):
+        return 0.5 * w @ w + 10 * sum(max(0.0, 1 - s * (w[r] @ ratio[r]) / n) for r, s, n in zip(rows, y, norms, strict=True))
+
+    whole = quality_classifier.descend(rows, y, np.zeros(len(y)), np.zeros(quality_classifier.BUCKETS), ratio, 200, 10.0)[1]
+    model = quality_classifier.fit(train, rounds=6, passes=5)
+    w = np.divide(model.weights, ratio, out=np.zeros_like(ratio), where=ratio != 0)
+    nothing = loss(np.zeros(quality_classifier.BUCKETS))
+    assert loss(whole) <= loss(w) + 1e-6 and loss(w) - loss(whole) <= 0.005 * (nothing - loss(whole))
 
 
 def lm_rows(spark):
