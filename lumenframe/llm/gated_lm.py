@@ -12,14 +12,20 @@ counts with absolute discounting, whose discounted mass belongs to the words not
 Training is truncated backpropagation over windows of ``WINDOW`` tokens with the state carried
 from window to window and cleared where a document begins; each task trains on its own part of
 the training documents and the parts' parameters are averaged, for ``ROUNDS`` rounds over disjoint
-shares of the documents, which together cover all of them. Scoring runs many documents side by
-side, each in full with its state carried through; its static within-class terms are added by a
-join of word postings with the counts, in which a frequent word is one row per chunk of documents.
-
-Defined results: a null or empty text is one end token; rows that share an id are summed into one
-row; a row without an id is scored with the others of no id and never learned from; without any
-training document all tokens are unknown; an empty table gives an empty result; other columns are
-ignored.
+shares of the documents, which together cover all of them. A part's documents are one stream, cut
+into lanes that run side by side (a lane may begin inside a document, with an empty state); every
+token is trained on, and what pads the last lanes is masked. Scoring runs many documents side by
+side, each in full with its state carried through.
+
+The static within-class terms need each word's count. The counts of the most frequent words after
+the head (at most ``MID``, by XXH64) are known to the encoding tasks, which sum their terms by
+document; rarer and unknown words leave as postings (one row per word and chunk of documents) and
+meet the counts in a join.
+
+Defined results: a null or empty text is one end token; every row is scored by itself, whatever ids
+it shares; a row without an id is never learned from; a word of more than ``LONGEST`` bytes is never
+a head word; without any training document all tokens are unknown; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +46,9 @@ HEAD, HEAD_CLASSES, MEMBERS, ENDINGS, LAST = 2047, 40, 128, 32, 3
 #: Documents whose words are split at once, that share postings, and that are scored or learned from together.
 SPLIT_DOCS, POSTING_DOCS, TOGETHER = 256, 5000, 4096
 HIDDEN, WINDOW, LANES, ROUNDS, RATE = 16, 16, 512, 3, 0.01
-ENCODED = "doc_id {id}, held_out boolean, n_tokens long, ids binary, word binary, docs array<{id}>, times array<int>"
+#: Words after the head whose counts (16 bytes each) travel to the encoding tasks; longest head word in bytes.
+MID, LONGEST = 1 << 17, 256
+ENCODED = "rn long, doc_id {id}, held_out boolean, n_tokens long, ids binary, known long, base double, score double, word binary, docs array<long>, times array<int>"
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -84,6 +93,24 @@ class Symbols:
         self.totals = tail
         self.discount = np.full(self.endings, 0.75) if discount is None else discount
         self.unseen = self.discount * (tail > 0 if kinds is None else kinds)
+        self.mid, self.mid_counts = np.empty(0, np.uint64), np.empty(0)
+
+    def know(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        """The counts of some words outside the head, by XXH64."""
+        order = np.argsort(hashes)
+        self.mid, self.mid_counts = hashes[order], counts[order].astype(np.float64)
+
+    def static(self, names: list[bytes], of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(is its count known, log10 of what the base has for it, log10 of its share of its class) of words; 0 for others."""
+        hit, base, term = np.zeros(len(names), bool), np.zeros(len(names)), np.zeros(len(names))
+        outside = np.flatnonzero(of >= self.first_ending)
+        if len(outside) and len(self.mid):
+            h = np.fromiter((xxhash.xxh64_intdigest(names[i], 42) for i in outside), np.uint64, len(outside))
+            at = np.minimum(np.searchsorted(self.mid, h), len(self.mid) - 1)
+            found = self.mid[at] == h
+            those, c, e = outside[found], self.mid_counts[at[found]], of[outside[found]].astype(np.int64) - self.first_ending
+            hit[those], base[those], term[those] = True, np.log10(c + 0.5), np.log10((c - self.discount[e]) / self.totals[e])
+        return hit, base, term
 
     def of_word(self, word: bytes) -> int:
         s = self.index.get(word)
@@ -114,32 +141,35 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encode(shared):
-    """Per document its symbols, and per chunk of documents a posting for each word that is no head word."""
+    """Per row its symbols and sums of known terms, and per chunk of rows a posting for each other word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sym: Symbols = shared.value
+        none = lambda t, k: pa.nulls(k, t)
         for batch in _slices(batches, POSTING_DOCS):
             n = batch.num_rows
             code: dict[bytes, int] = {}
-            size, codes = _codes(batch.column(2), code)
+            size, codes = _codes(batch.column("text"), code)
             names = list(code)
             of = np.fromiter(map(sym.of_word, names), sym.id_type, len(names))
+            hit, base, term = sym.static(names, of)
+            doc = np.repeat(np.arange(n, dtype=np.int32), size)
+            sums = [np.bincount(doc, x[codes], n) for x in (hit, base, term)]
             ids, ends = of[codes], np.cumsum(size)
             whole = np.insert(ids, ends, 0)
             ends = (ends + np.arange(1, n + 1)) * of.itemsize
             blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(whole)])
-            kind = batch.schema.field(0).type
-            none = lambda t, k: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size + 1, pa.int64()), blobs, none(pa.binary(), n), none(pa.list_(kind), n), none(pa.list_(pa.int32()), n)], names=names_)
-            rare = np.flatnonzero(ids >= sym.first_ending)
-            pair, times = np.unique(codes[rare].astype(np.int64) * n + np.repeat(np.arange(n, dtype=np.int32), size)[rare], return_counts=True)
+            kind = batch.schema.field("doc_id").type
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rn", "doc_id", "held_out")), pa.array(size + 1, pa.int64()), blobs, pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), none(pa.binary(), n), none(pa.list_(pa.int64()), n), none(pa.list_(pa.int32()), n)], names=names_)
+            rare = np.flatnonzero((ids >= sym.first_ending) & ~hit[codes])
+            pair, times = np.unique(codes[rare].astype(np.int64) * n + doc[rare], return_counts=True)
             word, doc = pair // n, pair % n
             cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
             offsets = pa.array(np.r_[cut, len(word)].astype(np.int32)) if len(word) else pa.array([0], pa.int32())
             k = len(cut)
-            yield pa.RecordBatch.from_arrays([none(kind, k), none(pa.bool_(), k), none(pa.int64(), k), none(pa.binary(), k), pa.array([names[i] for i in word[cut]], pa.binary()), pa.ListArray.from_arrays(offsets, batch.column(0).take(pa.array(doc))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))], names=names_)
+            yield pa.RecordBatch.from_arrays([none(pa.int64(), k), none(kind, k), none(pa.bool_(), k), none(pa.int64(), k), none(pa.binary(), k), none(pa.int64(), k), none(pa.float64(), k), none(pa.float64(), k), pa.array([names[i] for i in word[cut]], pa.binary()), pa.ListArray.from_arrays(offsets, batch.column("rn").take(pa.array(doc))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))], names=names_)
 
-    names_ = ["doc_id", "held_out", "n_tokens", "ids", "word", "docs", "times"]
+    names_ = [c.split()[0] for c in ENCODED.split(", ")]
     return run
 
 
@@ -217,11 +247,11 @@ def _head_terms(net: Network, sym: Symbols, h: np.ndarray, y: np.ndarray, grads:
 
 def train_stream(net: Network, sym: Symbols, ids: np.ndarray, begins: np.ndarray, lanes: int, opt: dict) -> None:
     """Truncated backpropagation over one long stream of documents, cut into lanes that run side by side."""
-    n, hid = len(ids) // lanes, HIDDEN
-    if n < 2:
-        return
-    y_all, b_all = ids[: n * lanes].reshape(lanes, n), begins[: n * lanes].reshape(lanes, n)
-    x_all = np.where(b_all, 0, np.roll(ids, 1)[: n * lanes].reshape(lanes, n))
+    total, n, hid = len(ids), -(-len(ids) // lanes), HIDDEN
+    pad = n * lanes - total
+    y_all, b_all = np.pad(ids, (0, pad)).reshape(lanes, n), np.pad(begins, (0, pad)).reshape(lanes, n)
+    x_all = np.where(b_all, 0, np.pad(np.roll(ids, 1), (0, pad)).reshape(lanes, n))
+    place = np.arange(lanes)[None, :] * n
     state = np.zeros((lanes, hid), np.float32)
     for at in range(0, n, WINDOW):
         steps = min(WINDOW, n - at)
@@ -236,9 +266,16 @@ def train_stream(net: Network, sym: Symbols, ids: np.ndarray, begins: np.ndarray
         grads = {k: np.zeros_like(getattr(net, k)) for k in net.SHAPES}
         p = np.exp(net.class_log_probs(h))
         p[np.arange(len(y)), sym.class_of[y]] -= 1
+        real = (place + np.arange(at, at + steps)[:, None] < total).reshape(-1)
+        if real.all():
+            dh_out = p @ net.classes.T
+            _head_terms(net, sym, h, y, grads, dh_out)
+        else:
+            p[~real] = 0
+            dh_out, own = p @ net.classes.T, p[real] @ net.classes.T
+            _head_terms(net, sym, h[real], y[real], grads, own)
+            dh_out[real] = own
         grads["classes"], grads["class_bias"] = h.T @ p, p.sum(0)
-        dh_out = p @ net.classes.T
-        _head_terms(net, sym, h, y, grads, dh_out)
         dh_out = dh_out.reshape(steps, lanes, hid)
         dh, d_in = np.zeros((lanes, hid), np.float32), np.empty((steps, lanes, 3 * hid), np.float32)
         u = net.recurrent
@@ -260,7 +297,7 @@ def train_stream(net: Network, sym: Symbols, ids: np.ndarray, begins: np.ndarray
         order = np.argsort(x, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
         grads["inputs"][x[order][cut]] = np.add.reduceat(d_in.reshape(-1, 3 * hid)[order], cut, axis=0)
-        _adam(net, grads, opt, 1 / len(y))
+        _adam(net, grads, opt, 1 / max(int(real.sum()), 1))
 
 
 def _adam(net: Network, grads: dict, opt: dict, scale: float) -> None:
@@ -317,9 +354,9 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(encoded: DataFrame, sym: Symbols, shared, rounds: int = ROUNDS) -> bytes:
     """Averaged parameters after the given rounds, each over its own share of the training documents."""
     ctx, flat = encoded.sparkSession.sparkContext, Network(sym).pack()
-    mine = encoded.where("ids IS NOT NULL AND NOT held_out AND doc_id IS NOT NULL").select("doc_id", "ids")
+    mine = encoded.where("ids IS NOT NULL AND NOT held_out AND doc_id IS NOT NULL").select("rn", "ids")
     for r in range(rounds):
-        share = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
+        share = mine.where(F.pmod(F.xxhash64("rn"), F.lit(rounds)) == r)
         # one vector of each task, then of eight, then one
         sums = share.mapInArrow(_train(shared, ctx.broadcast(flat)), "n long, w binary")
         total = sums.repartition(8).mapInArrow(_mean, "n long, w binary").repartition(1).mapInArrow(_mean, "n long, w binary").first()
@@ -363,18 +400,17 @@ def _score(shared, flat):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sym: Symbols = shared.value
         net = Network(sym).unpack(np.frombuffer(flat.value, np.float32))
-        log_count = np.r_[sym.counts[: sym.first_ending], np.zeros(sym.endings)]
+        head = sym.counts[: sym.first_ending]
+        log_base, is_known = np.r_[np.log10(head + 0.5), np.zeros(sym.endings)], np.r_[head > 0, np.zeros(sym.endings)].astype(np.int64)
         for batch in _slices(batches, TOGETHER):
             if not batch.num_rows:
                 continue
             docs = [np.frombuffer(b, sym.id_type) for b in batch.column("ids").to_pylist()]
             lp = score_sequences(net, sym, docs) / np.log(10)
-            base, known = [], []
-            for d in docs:
-                c = log_count[d[d < sym.first_ending]]
-                base.append(float(np.log10(c + 0.5).sum()))
-                known.append(int((c > 0).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(lp, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+            of, size = np.concatenate(docs).astype(np.int64), np.array([len(d) for d in docs])
+            ends = np.cumsum(size)
+            base, known = np.add.reduceat(log_base[of], ends - size), np.add.reduceat(is_known[of], ends - size)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rn", "doc_id", "held_out", "n_tokens")), pa.array(known + batch.column("known").to_numpy()), pa.array(base + batch.column("base").to_numpy()), pa.array(lp + batch.column("score").to_numpy())], names=["rn", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     return run
 
@@ -382,13 +418,13 @@ def _score(shared, flat):
 def log_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark, kind, ctx = docs.sparkSession, dict(docs.dtypes)[id_col], docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("held_out", held_out())
+    rows = docs.select(F.monotonically_increasing_id().alias("rn"), F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("held_out", held_out())
     learn = rows.where(~F.col("held_out") & F.col("doc_id").isNotNull())
     words = learn.select("text").mapInArrow(_count_words, "word binary, c long")
     counts = materialize(words.groupBy("word").agg(F.sum("c").alias("c")))
     n_docs = learn.count()
     most, endings = sizes_for(counts.count())
-    top = counts.orderBy(F.desc("c"), "word").limit(most).collect()
+    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(most).collect()
     head, head_counts = [bytes(r["word"]) for r in top], np.array([n_docs] + [r["c"] for r in top], np.float64)
     tail = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in head], "word binary")), "word", "left_anti") if head else counts
     by_ending = tail.groupBy(ending_of(F.col("word"), endings).alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
@@ -400,10 +436,20 @@ def log_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     n_train = int(head_counts.sum() + tail_c.sum())
     vocab = int(kinds.sum()) + len(head) + (1 if n_docs else 0)
     sym = Symbols(head, head_counts, tail_c, kinds, discount)
+    # the least count from which on there are at most MID words
+    below, least = 0, None
+    for r in tail.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(MID).collect():
+        below += r["n"]
+        if below > MID:
+            break
+        least = r["c"]
+    mid = tail.where(F.col("c") >= least).select(F.xxhash64("word").alias("h"), "c").toPandas() if least is not None else None
+    if mid is not None:
+        sym.know(mid["h"].to_numpy(np.int64).view(np.uint64), mid["c"].to_numpy())
     shared = ctx.broadcast(sym)
-    encoded = materialize(rows.select("doc_id", "held_out", "text").mapInArrow(_encode(shared), ENCODED.format(id=kind)))
+    encoded = materialize(rows.select("rn", "doc_id", "held_out", "text").mapInArrow(_encode(shared), ENCODED.format(id=kind)))
     flat = ctx.broadcast(train(encoded, sym, shared))
-    scored = encoded.where("ids IS NOT NULL").select("doc_id", "held_out", "n_tokens", "ids").mapInArrow(_score(shared, flat), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
+    scored = encoded.where("ids IS NOT NULL").select("rn", "doc_id", "held_out", "n_tokens", "ids", "known", "base", "score").mapInArrow(_score(shared, flat), f"rn long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     # within its ending's class, a word has (c - discount) / total, an unseen one the discounted mass
     table_ = F.broadcast(spark.createDataFrame([(e, float(sym.totals[e]), float(sym.discount[e]), float(sym.unseen[e])) for e in range(endings) if sym.totals[e]], "e int, total double, discount double, unseen double"))
     posted = encoded.where("word IS NOT NULL").select("word", "docs", "times").join(counts, "word", "left").withColumn("e", ending_of(F.col("word"), endings)).join(table_, "e", "left")
@@ -411,8 +457,8 @@ def log_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     # logarithms once per posting, before its documents are taken apart
     logs = posted.select("docs", "times", F.log10(F.coalesce("c", F.lit(0)) + 0.5).alias("base"), term.alias("score"), F.col("c").isNotNull().cast("long").alias("known"))
     parts = logs.select(F.explode(F.arrays_zip("docs", "times")).alias("d"), "base", "score", "known")
-    tails = parts.select(F.col("d.docs").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("n_tokens"), (F.col("known") * F.col("d.times")).alias("n_known"), (F.col("base") * F.col("d.times")).alias("base"), (F.col("score") * F.col("d.times")).alias("score"))
-    total = scored.unionByName(tails).groupBy("doc_id").agg(F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    tails = parts.select(F.col("d.docs").alias("rn"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("n_tokens"), (F.col("known") * F.col("d.times")).alias("n_known"), (F.col("base") * F.col("d.times")).alias("base"), (F.col("score") * F.col("d.times")).alias("score"))
+    total = scored.unionByName(tails).groupBy("rn").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     down = float(np.log10(n_train + 0.5 * (vocab + 1)))
     return total.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * down).alias("base_score"), "score")
 

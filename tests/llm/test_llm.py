@@ -605,6 +605,35 @@ def test_language_model(spark):
     assert gated_lm.log_likelihood(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_language_model_scores_every_row_and_by_both_ways_to_a_count(spark, monkeypatch):
+    """Rows that share an id or have none stay rows; known and joined counts give one score; a word too long is no head word."""
+    monkeypatch.setattr(gated_lm, "HEAD", 7)
+    rows = lm_rows(spark) + [(5, "aa1 bb2"), (5, "aa1 bb2"), (None, ""), (None, "x " * 9), (7, "q" * 5000 + " q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("clash")).withColumn("rn", F.lit(0)).coalesce(1)
+    got = []
+    for mid in (0, 50, 1 << 17):
+        monkeypatch.setattr(gated_lm, "MID", mid)
+        out = sorted(gated_lm.log_likelihood(df).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.n_tokens, r.score))
+        assert len(out) == len(rows)
+        got.append(out)
+    for other in got[1:]:
+        assert [(r.doc_id, r.n_tokens, r.n_known) for r in other] == [(r.doc_id, r.n_tokens, r.n_known) for r in got[0]]
+        assert [r.score for r in other] == pytest.approx([r.score for r in got[0]], rel=1e-6)
+        assert [r.base_score for r in other] == pytest.approx([r.base_score for r in got[0]])
+    assert len({r.score for r in got[0] if r.doc_id == 5 and r.n_tokens == 3}) == 1
+
+
+def test_language_model_trains_on_every_token():
+    """Also on what does not fill the lanes; padding changes nothing."""
+    sym = gated_lm.Symbols([f"w{i}".encode() for i in range(20)], np.full(21, 10.0), np.ones(gated_lm.ENDINGS))
+    ids = np.array([3, 5, 0, 7, 9, 11, 2], np.int64)
+    for lanes in (1, 2, 4, 5):
+        net, opt = gated_lm.Network(sym), {}
+        gated_lm.train_stream(net, sym, ids, np.r_[True, ids[:-1] == 0], lanes, opt)
+        assert {int(i) for i in np.flatnonzero(opt["class_bias"][0] < 0)} == {int(i) for i in sym.class_of[ids]} and opt["t"] == 1
+        assert opt["class_bias"][0].sum() == pytest.approx(0, abs=1e-5)
+
+
 def test_language_model_is_a_distribution():
     """The classes and the members of each class sum to one, and gradients agree with differences."""
     sym = gated_lm.Symbols([f"w{i}".encode() for i in range(40)], np.arange(41, 0, -1.0), np.arange(1.0, gated_lm.ENDINGS + 1))
