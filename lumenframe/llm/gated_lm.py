@@ -43,9 +43,11 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_or_empty
 
 HEAD, HEAD_CLASSES, MEMBERS, ENDINGS, LAST = 2047, 40, 128, 32, 3
-#: Documents whose words are split at once, that share postings, and that are scored or learned from together.
+#: Documents whose words are split at once, that share postings, and that are learned from together.
 SPLIT_DOCS, POSTING_DOCS, TOGETHER = 256, 5000, 4096
 HIDDEN, WINDOW, LANES, ROUNDS, RATE = 16, 16, 512, 3, 0.01
+#: Tokens whose output is computed at once.
+FLUSH = 1 << 14
 #: Words after the head whose counts (16 bytes each) travel to the encoding tasks; longest head word in bytes.
 MID, LONGEST = 1 << 17, 256
 ENCODED = "rn long, doc_id {id}, held_out boolean, n_tokens long, ids binary, known long, base double, score double, word binary, docs array<long>, times array<int>"
@@ -380,15 +382,15 @@ def score_sequences(net: Network, sym: Symbols, docs: list[np.ndarray]) -> np.nd
         lp = net.class_log_probs(hh)[np.arange(len(yy)), sym.class_of[yy]] + _head_terms(net, sym, hh, yy)
         np.add(out, np.bincount(dd, lp, len(out)), out=out)
 
-    for t in range(size[0] if len(size) else 0):
-        k = int(np.searchsorted(-size, -t, "left"))
+    alive = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left").tolist()
+    for t, k in enumerate(alive):
         h = net.step(x[:k], h[:k])[0]
         x = flat[starts[:k] + t]
         held_h.append(h)
         held_y.append(x)
         held_d.append(order[:k])
         n += k
-        if n >= 1 << 13:
+        if n >= FLUSH:
             flush()
             held_h, held_y, held_d, n = [], [], [], 0
     if n:
@@ -402,7 +404,8 @@ def _score(shared, flat):
         net = Network(sym).unpack(np.frombuffer(flat.value, np.float32))
         head = sym.counts[: sym.first_ending]
         log_base, is_known = np.r_[np.log10(head + 0.5), np.zeros(sym.endings)], np.r_[head > 0, np.zeros(sym.endings)].astype(np.int64)
-        for batch in _slices(batches, TOGETHER):
+        # whole batches (Spark bounds their rows): the more documents side by side, the fewer steps
+        for batch in batches:
             if not batch.num_rows:
                 continue
             docs = [np.frombuffer(b, sym.id_type) for b in batch.column("ids").to_pylist()]

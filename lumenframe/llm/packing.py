@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
-from .tokenizer_files import default_path, rank_encoder
+from .tokenizer_files import default_path, id_encoder
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 #: Remainders that one task packs; a group's waste is one part-filled sequence or two.
@@ -35,11 +35,11 @@ GROUP_ROWS = 20_000
 
 def encode_pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = rank_encoder(path)
+        encode = id_encoder(path)
         for batch in batches:
             rows, cols = [], ([], [], [], [])
             for i, text in enumerate(batch.column(1)):
-                ids = np.append(enc.encode_to_numpy(text.as_py() or "", allowed_special="all").astype("<u4"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 for s in range(0, len(ids), capacity):
                     part = ids[s : s + capacity]
                     rows.append(i)
@@ -121,7 +121,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"))
     pieces = materialize(texts.mapInArrow(encode_pieces(path or default_path(), capacity, end_id), f"doc_id {kind}, {PIECES}"))
     groups = -(-max(pieces.count(), 1) // GROUP_ROWS)
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(7)), F.lit(groups)))
+    # by the stored row's number, so that equal rows spread too
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(7)), F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(pack_group(capacity), f"doc_id {kind}, {PIECES}, sequence_id long, offset long")
 
 

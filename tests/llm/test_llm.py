@@ -470,6 +470,15 @@ def test_packing(docs, texts, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_equal_rows_and_a_file_without_ranks(spark, tmp_path):
+    rows = [(None, "same words")] * 30 + [(4, "other")] * 30 + [(None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("clash")).withColumn("g", F.lit(1))
+    path = tmp_path / "only.json"
+    path.write_bytes(Path(default_path()).read_bytes())
+    got = [collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in packing.pack(df, p).collect()) for p in (None, str(path))]
+    assert got[0] == got[1] and sorted(got[0].values()) == [5, 30, 30]
+
+
 def test_fill_finds_the_fullest_window():
     rng = random.Random(2)
     for _ in range(60):
