@@ -31,7 +31,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, boxed, materialize, shared_dir, table, text_or_empty, unboxed
+from .common import ascii_lower, boxed, discard, materialize, shared_dir, table, text_or_empty, unboxed
 
 HASH = ["h1", "h2"]
 
@@ -149,6 +149,7 @@ def repeated_lines(docs: DataFrame, batches: int = 6, fanout: int = 2, min_chars
         if store is not None:
             store.save()
     finally:
+        discard(spark, path)
         if store is None:
             runs.drop()
     return dropped

@@ -114,7 +114,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 def store(led: DataFrame, path: str | None = None) -> str:
     """Write a ledger (or measured rows) with its rule set's version; the folder's path."""
     path = path or shared_dir(led.sparkSession)
-    led.withColumn("rule_set", F.lit(RULE_SET)).write.parquet(path)
+    led.withColumn("rule_set", F.lit(RULE_SET)).write.option("compression", "zstd").parquet(path)
     return path
 
 
