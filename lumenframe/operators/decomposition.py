@@ -7,6 +7,8 @@ driver and Spark projects the data.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +25,50 @@ def _labels(ts: DataFrame) -> list[str]:
     return out
 
 
+def _vectors(ts: DataFrame, name: str) -> DataFrame:
+    return ts.groupBy("sample").agg(F.collect_list(F.struct("channel", "value")).alias("c")).select("sample", F.col("c.channel").alias(f"{name}_at"), F.col("c.value").alias(name))
+
+
+def _outer(rows: list, cols: list):
+    """Sums over a task's samples of the products of two vectors given by cells; pairs that never meet are left out."""
+
+    def matrix(cells: pa.ListArray, at: pa.ListArray, labels: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.asarray(at.offsets).astype(np.int64)
+        i = np.repeat(np.arange(len(at)), np.diff(ends))
+        k = pc.index_in(at.values.slice(ends[0], ends[-1] - ends[0]), value_set=labels).to_numpy(zero_copy_only=False)
+        v = cells.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False)
+        x, n = np.zeros((len(at), len(labels))), np.zeros((len(at), len(labels)))
+        some = ~np.isnan(v)
+        np.add.at(x, (i[some], k[some]), v[some])
+        np.add.at(n, (i[some], k[some]), 1)
+        return x, n
+
+    def run(batches):
+        left, right, g, n = pa.array(rows), pa.array(cols), np.zeros((len(rows), len(cols))), np.zeros((len(rows), len(cols)))
+        for batch in batches:
+            x, nx = matrix(batch.column("x"), batch.column("x_at"), left)
+            y, ny = matrix(batch.column("y"), batch.column("y_at"), right)
+            g += x.T @ y
+            n += nx.T @ ny
+        a, b = np.nonzero(n)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([left.take(pa.array(a)), right.take(pa.array(b)), pa.array(g[a, b])], names=["a", "b", "g"])
+
+    return run
+
+
 def cross_gram(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(a, b, g): sum over samples of x[a] * y[b]; (channel, sample, value) tables."""
-    a = x.select("sample", F.col("channel").alias("a"), F.col("value").alias("va"))
-    b = y.select("sample", F.col("channel").alias("b"), F.col("value").alias("vb"))
-    return a.join(b, "sample").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("g"))
+    """(a, b, g): sum over samples of x[a] * y[b]; (channel, sample, value) tables.
+
+    Each sample's channels travel as one vector and a task adds up outer products (checked size), so a
+    row is shuffled once, not once per channel. Null and NaN values are left out; repeated cells add up.
+    """
+    rows, cols = _labels(x), _labels(y)
+    kinds = dict(x.dtypes)["channel"], dict(y.dtypes)["channel"]
+    value = lambda df: df.select("sample", "channel", F.col("value").cast("double").alias("value")).where(F.col("channel").isNotNull())
+    both = _vectors(value(x), "x").join(_vectors(value(y), "y"), "sample").drop("sample")
+    sums = both.mapInArrow(_outer(rows, cols), f"a {kinds[0]}, b {kinds[1]}, g double")
+    return sums.groupBy("a", "b").agg(F.sum("g").alias("g"))
 
 
 def dense(g: DataFrame, rows: list[str], cols: list[str]) -> np.ndarray:
@@ -48,7 +89,7 @@ def weights_table(spark, labels: list[str], w: np.ndarray) -> DataFrame:
 
 def project(ts: DataFrame, weights: DataFrame) -> DataFrame:
     """(sample, component, value)."""
-    return ts.join(F.broadcast(weights), "channel").groupBy("sample", "component").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
+    return ts.join(weights, "channel").groupBy("sample", "component").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
 
 
 def pca(ts: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
@@ -67,8 +108,8 @@ def remove_components(ts: DataFrame, k: float) -> DataFrame:
     n = int(k) if k >= 1 else min(int(np.searchsorted(np.cumsum(share), k)) + 1, len(labels) - 1)
     w = full.where(F.col("component") < n)
     mean = ts.groupBy("channel").agg(F.avg("value").alias("_m"))
-    centred = ts.join(F.broadcast(mean), "channel").withColumn("value", F.col("value") - F.col("_m"))
-    parts = project(centred.drop("_m"), w).join(F.broadcast(w), "component").groupBy("channel", "sample").agg(F.sum(F.col("value") * F.col("weight")).alias("_p"))
+    centred = ts.join(mean, "channel").withColumn("value", F.col("value") - F.col("_m"))
+    parts = project(centred.drop("_m"), w).join(w, "component").groupBy("channel", "sample").agg(F.sum(F.col("value") * F.col("weight")).alias("_p"))
     return ts.join(parts, ["channel", "sample"]).withColumn("value", F.col("value") - F.col("_p")).select(*ts.columns)
 
 

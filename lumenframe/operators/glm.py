@@ -28,9 +28,9 @@ def stim_array(times: DataFrame, stim: DataFrame) -> DataFrame:
     """
     begun = stim.join(times, times["time"] >= stim["onset"]).groupBy(*[stim[c] for c in ("event_id", "trial_type", "onset", "duration", "value")]).agg(F.min("sample").alias("s0"), F.min("time").alias("t0"))
     span = begun.select("event_id", "trial_type", F.col("value").alias("v"), "s0", "onset", "duration")
-    hit = times.join(F.broadcast(span), (F.col("sample") == F.col("s0")) | ((F.col("sample") > F.col("s0")) & (F.col("time") < F.col("onset") + F.col("duration"))))
+    hit = times.join(span, (F.col("sample") == F.col("s0")) | ((F.col("sample") > F.col("s0")) & (F.col("time") < F.col("onset") + F.col("duration"))))
     on = hit.groupBy("sample", "trial_type").agg(F.max_by("v", "event_id").alias("value"))
-    return times.select("sample").join(F.broadcast(stim.select("trial_type").distinct())).join(on, ["sample", "trial_type"], "left").select("sample", "trial_type", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return times.select("sample").join(stim.select("trial_type").distinct()).join(on, ["sample", "trial_type"], "left").select("sample", "trial_type", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def hrf_regressors(times: DataFrame, stim: DataFrame, basis, fs: float) -> DataFrame:
@@ -45,7 +45,7 @@ def hrf_regressors(times: DataFrame, stim: DataFrame, basis, fs: float) -> DataF
     on = stim_array(times, stim).where("value <> 0")
     name = F.concat(F.lit("HRF "), F.col("trial_type"), F.concat(F.lit(" "), F.col("component")) if many else F.lit(""))
     spread = on.join(F.broadcast(taps)).groupBy((F.col("sample") + F.col("lag")).alias("sample"), name.alias("regressor")).agg(F.sum(F.col("value") * F.col("tap")).alias("v"))
-    full = times.select("sample").join(F.broadcast(spread.select("regressor").distinct())).join(spread, ["sample", "regressor"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    full = times.select("sample").join(spread.select("regressor").distinct()).join(spread, ["sample", "regressor"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     top = F.max("v").over(Window.partitionBy("regressor"))
     return full.select("sample", "regressor", F.when(top == 0, F.col("v")).otherwise(F.col("v") / top).alias("value"))
 

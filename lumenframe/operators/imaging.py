@@ -13,13 +13,13 @@ def sensitivity(fluence: DataFrame, at_optodes: DataFrame, voxel_to_vertex: Data
     fluence: label, wavelength, voxel, value. at_optodes: label, other, wavelength, value.
     """
     f = lambda role: fluence.select(F.col("label").alias(role), "wavelength", "voxel", F.col("value").alias(f"f_{role}"))
-    pair = F.broadcast(channels.select("channel", "source", "detector"))
+    pair = channels.select("channel", "source", "detector")
     product = f("source").join(pair, "source").join(f("detector"), ["detector", "wavelength", "voxel"])
     by = product.join(voxel_to_vertex.select("voxel", "vertex"), "voxel").groupBy("channel", "source", "detector", "wavelength", "vertex").agg(F.sum(F.col("f_source") * F.col("f_detector")).alias("s"))
     one = at_optodes.select(F.col("label").alias("source"), F.col("other").alias("detector"), "wavelength", F.col("value").alias("n1"))
     two = at_optodes.select(F.col("label").alias("detector"), F.col("other").alias("source"), "wavelength", F.col("value").alias("n2"))
     keys = ["source", "detector", "wavelength"]
-    return by.join(F.broadcast(one), keys).join(F.broadcast(two), keys).select("channel", "wavelength", "vertex", (F.col("s") / ((F.col("n1") + F.col("n2")) / 2) * unit_mm**3).alias("value"))
+    return by.join(one, keys).join(two, keys).select("channel", "wavelength", "vertex", (F.col("s") / ((F.col("n1") + F.col("n2")) / 2) * unit_mm**3).alias("value"))
 
 
 def stacked_sensitivity(adot: DataFrame, coef: DataFrame) -> DataFrame:

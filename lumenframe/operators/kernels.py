@@ -121,18 +121,18 @@ def motion_correct_spline_sg(ts: DataFrame, mask: DataFrame, fs: float, p: float
 
 
 def two_wavelengths(ts: DataFrame, fs: float, window_s: float, kernel: Callable, name: str, threshold: float) -> DataFrame:
-    """(channel, window, <name>, mask) of a kernel over the two wavelengths of each channel."""
+    """(channel, window, <name>, mask) of a kernel over the two wavelengths of each channel, at the samples that both have.
+
+    Window k ends at the k * n-th of those samples (n: samples of a window), so there is one for each n begun.
+    """
     n = int(np.ceil(window_s * fs))
-    packed = ts.groupBy("channel", "wavelength").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("c"))
-    pairs = packed.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("wavelength", F.col("c.value").alias("v")))).alias("w")).where(F.size("w") == 2)
-    pairs = pairs.select("channel", F.col("w")[0]["v"].alias("a"), F.col("w")[1]["v"].alias("b"))
+    both = ts.groupBy("channel", "sample").agg(F.array_sort(F.collect_list(F.struct("wavelength", "value"))).alias("w")).where(F.size("w") == 2)
+    pairs = both.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("sample", F.col("w")[0]["value"].alias("a"), F.col("w")[1]["value"].alias("b")))).alias("c"))
+    pairs = pairs.select("channel", F.col("c.a").alias("a"), F.col("c.b").alias("b"))
 
     def run(batches):
         for pdf in batches:
-            values = []
-            for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                m = min(len(a), len(b))
-                values.append(kernel(np.asarray(a[:m], float), np.asarray(b[:m], float), n) if m >= n else np.empty(0))
+            values = [kernel(np.asarray(a, float), np.asarray(b, float), n) for a, b in zip(pdf["a"], pdf["b"], strict=True)]
             yield pd.DataFrame({"channel": pdf["channel"], "v": values})
 
     out = pairs.mapInPandas(run, f"channel {dict(ts.dtypes)['channel']}, v array<double>").select("channel", F.posexplode("v").alias("window", name))

@@ -166,11 +166,15 @@ def outliers(ts_std: DataFrame, ts_grad: DataFrame) -> DataFrame:
 
 
 def stimulus_mask(stim: DataFrame, mask: DataFrame) -> DataFrame:
-    """(event, channel, mask): whether all samples within [onset, onset + duration) are clean; none: true."""
+    """(event, channel, mask): whether all samples within [onset, onset + duration) are clean; none: true.
+
+    Events meet samples by the seconds they touch, so the join is on a key.
+    """
     events = stim.select(F.col("event_id").alias("event"), "onset", (F.col("onset") + F.col("duration")).alias("stop"))
-    bad = mask.where(~F.col("mask")).select("channel", "time")
-    hit = bad.join(F.broadcast(events), (F.col("time") >= F.col("onset")) & (F.col("time") < F.col("stop"))).select("event", "channel").distinct().withColumn("mask", F.lit(False))
-    every = mask.select("channel").distinct().join(F.broadcast(events.select("event")))
+    bad = mask.where(~F.col("mask")).select("channel", "time", F.floor("time").alias("_s"))
+    binned = events.withColumn("_s", F.explode(F.sequence(F.floor("onset"), F.greatest(F.floor("onset"), F.floor("stop")))))
+    hit = bad.join(binned, "_s").where((F.col("time") >= F.col("onset")) & (F.col("time") < F.col("stop"))).select("event", "channel").distinct().withColumn("mask", F.lit(False))
+    every = mask.select("channel").distinct().join(events.select("event"))
     return every.join(hit, ["event", "channel"], "left").select("event", "channel", F.coalesce("mask", F.lit(True)).alias("mask"))
 
 

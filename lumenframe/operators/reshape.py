@@ -48,9 +48,9 @@ def denormalize_measurements(ml: DataFrame, sources: DataFrame, detectors: DataF
 
     sources, detectors: (index, label); wavelengths: (index, wavelength).
     """
-    name = lambda df, k: F.broadcast(df.select(F.col("index").alias(f"{k}_index"), F.col("label").alias(k)))
+    name = lambda df, k: df.select(F.col("index").alias(f"{k}_index"), F.col("label").alias(k))
     out = ml.join(name(sources, "source"), "source_index", "left").join(name(detectors, "detector"), "detector_index", "left")
-    out = out.join(F.broadcast(wavelengths.select(F.col("index").alias("wavelength_index"), "wavelength")), "wavelength_index", "left")
+    out = out.join(wavelengths.select(F.col("index").alias("wavelength_index"), "wavelength"), "wavelength_index", "left")
     bad = F.assert_true((F.col("source_index") >= 1) & (F.col("detector_index") >= 1), "indices start at 1")
     return out.withColumn("channel", F.coalesce(bad.cast("string"), F.concat("source", "detector")))
 
@@ -60,5 +60,5 @@ def measurement_list(ts: DataFrame) -> DataFrame:
     rank = lambda df, c: df.select(c).distinct().select(c, F.dense_rank().over(Window.orderBy(c)).alias(f"{c}_index"))
     rows = ts.select("channel", "source", "detector", "wavelength").distinct()
     for c in ("source", "detector", "wavelength"):
-        rows = rows.join(F.broadcast(rank(rows, c)), c)
+        rows = rows.join(rank(rows, c), c)
     return rows.select("channel", "source", "detector", "wavelength", "source_index", "detector_index", "wavelength_index")

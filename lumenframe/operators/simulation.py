@@ -92,8 +92,8 @@ def synthetic_hrf(pattern: DataFrame, regressors: DataFrame, stim: DataFrame) ->
     """(channel, ..., sample, value): spatial pattern times response times the largest event value, summed over trial types."""
     top = stim.groupBy(F.concat(F.lit("HRF "), "trial_type").alias("regressor")).agg(F.max("value").alias("_m"))
     keys = [c for c in pattern.columns if c != "value"]
-    r = regressors.join(F.broadcast(top), "regressor").groupBy("sample").agg(F.sum(F.col("value") * F.col("_m")).alias("_r"))
-    return pattern.join(F.broadcast(r)).select(*keys, "sample", (F.col("value") * F.col("_r")).alias("value"))
+    r = regressors.join(top, "regressor").groupBy("sample").agg(F.sum(F.col("value") * F.col("_m")).alias("_r"))
+    return pattern.join(r).select(*keys, "sample", (F.col("value") * F.col("_r")).alias("value"))
 
 
 def add_chromo_artifacts(od: DataFrame, events: DataFrame, distances: DataFrame, dpf: dict[float, float], coef: DataFrame, **how) -> DataFrame:

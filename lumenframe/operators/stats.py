@@ -8,12 +8,41 @@ from pyspark.sql import functions as F
 from ..core.schema import spectral, trace_keys
 
 
+#: Ranges of p that are ranked in tasks of their own.
+P_RANGES = 64
+
+
 def benjamini_hochberg(df: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
-    """df with q: p times n over rank, made monotone from the right and clipped at 1. by: families of tests."""
-    w = Window.partitionBy(*(by or []))
-    order = w.orderBy(p, *[c for c in df.columns if c != p])
-    raw = F.col(p) * F.count(p).over(w) / F.row_number().over(order)
-    return df.withColumn("_q", raw).withColumn("q", F.least(F.min("_q").over(order.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0))).drop("_q")
+    """df with q: p times n over rank, made monotone from the right and clipped at 1. by: families of tests.
+
+    Equal p share a q; a null p has none and does not count. Distinct p are ranked within ranges of p,
+    whose counts and least values (at most P_RANGES a family) make the ranks and minima whole.
+    """
+    by = by or []
+    seen = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n"))
+    cuts = sorted(set(seen.approxQuantile(p, [i / P_RANGES for i in range(1, P_RANGES)], 0.5 / P_RANGES)))
+    part = seen.withColumn("_r", sum((F.when(F.col(p) > c, 1).otherwise(0) for c in cuts), F.lit(0)))
+    families, inner = Window.partitionBy(*by), Window.partitionBy(*by, "_r").orderBy(p)
+    ranges = part.groupBy(*by, "_r").agg(F.sum("_n").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(families.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*by, "_r", before.alias("_before"), F.sum("_m").over(families).alias("_all"))
+    both = _beside(part, ranges, [*by, "_r"])
+    rank = F.col("_before") + F.sum("_n").over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    raw = both.withColumn("_q", F.col(p) * F.col("_all") / rank)
+    least = raw.groupBy(*by, "_r").agg(F.min("_q").alias("_l"))
+    least = least.select(*by, "_r", F.min("_l").over(families.orderBy("_r").rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    q = F.least(F.min("_q").over(inner.rowsBetween(0, Window.unboundedFollowing)), "_after", F.lit(1.0))
+    own = _beside(raw, least, [*by, "_r"]).select(*by, p, q.alias("q"))
+    return _beside(df, own, [*by, p]).select(*df.columns, "q")
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys, of which nulls match nulls too."""
+    other = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return left.join(other, cond, "left").drop(*[f"_of_{k}" for k in keys])
 
 
 def mad(ts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.core import recording, schema, units
 from lumenframe.functions import basis, signal
-from lumenframe.operators import epochs, glm, kernels, masks, optics, quality, simulation, stats, windows
+from lumenframe.operators import decomposition, epochs, glm, kernels, masks, optics, quality, simulation, stats, windows
 
 TS = "channel string, wavelength double, sample long, time double, value double"
 
@@ -133,6 +133,34 @@ def test_benjamini_hochberg(spark):
     assert [got[i] for i in order] == pytest.approx(np.minimum(q, 1))
 
 
+def test_benjamini_hochberg_ties_nulls_and_families(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.random(400) ** 3, 2)
+    rows = [(i, "ab"[i % 2], float(v)) for i, v in enumerate(p)] + [(900, "a", None), (901, None, 0.5)]
+    df = spark.createDataFrame(rows, "i int, f string, p double")
+    for by in (None, ["f"]):
+        got = {r.i: r.q for r in stats.benjamini_hochberg(df, by=by).collect()}
+        assert len(got) == 402 and got[900] is None and got[901] == (0.5 if by else got[901])
+        for family in ("ab",) if by is None else ("a", "b"):
+            own = [(i, v) for i, f, v in rows if v is not None and (by is None or f == family)]
+            v = np.array([x for _, x in own])
+            order, n = np.argsort(v), len(v)
+            q = np.minimum(np.minimum.accumulate((v[order] * n / np.arange(1, n + 1))[::-1])[::-1], 1)
+            assert [got[own[k][0]] for k in order] == pytest.approx(q)
+
+
+def test_cross_gram_by_brute_force(spark):
+    rows = [(c, s, float(hash((c, s)) % 7)) for c in ("a", "b", "c") for s in range(20) if (c, s) != ("b", 3)] + [("a", 2, 1.5), ("b", 5, None), ("z", 99, 2.0)]
+    df = spark.createDataFrame(rows, "channel string, sample long, value double")
+    got = {(r.a, r.b): r.g for r in decomposition.cross_gram(df, df).collect()}
+    want = {}
+    for c, s, v in rows:
+        for d, t, w in rows:
+            if s == t and v is not None and w is not None:
+                want[c, d] = want.get((c, d), 0.0) + v * w
+    assert got == pytest.approx(want)
+
+
 def test_global_component(spark):
     rng = np.random.default_rng(0)
     g = rng.normal(size=50)
@@ -188,6 +216,9 @@ def test_peaks_ar_and_resample():
     t = np.arange(400) / 10.0
     peaks = np.flatnonzero(signal.ampd(np.sin(2 * np.pi * 0.5 * t)))
     assert len(peaks) >= 18 and np.abs(np.diff(peaks) - 20).max() <= 1
+    long = np.arange(1150) / 10.0
+    last = np.flatnonzero(signal.ampd(np.sin(2 * np.pi * 0.2 * long)))[-1]
+    assert last >= 1100 and signal.ampd(np.arange(2.0)).tolist() == [0, 0]
     rng = np.random.default_rng(3)
     x = np.zeros(4000)
     for i in range(2, 4000):
@@ -205,6 +236,19 @@ def test_sci_of_equal_traces_is_one(spark):
     assert kernels.psp(ts, 10.0, 2.0, 0.1).count() == 10
 
 
+def test_windows_end_at_every_nth_sample():
+    w = signal.trailing_windows(np.arange(1.0, 12.0), 5)
+    assert w.tolist() == [[1e-6] * 4 + [1.0], [2.0, 3.0, 4.0, 5.0, 6.0], [7.0, 8.0, 9.0, 10.0, 11.0]]
+    assert len(signal.trailing_windows(np.zeros(1150), 100)) == 12 and len(signal.trailing_windows(np.zeros(3), 5)) == 1
+
+
+def test_two_wavelengths_meet_by_sample(spark):
+    """A sample that one wavelength lacks moves nothing."""
+    x = np.sin(np.arange(60.0))
+    ts = series(spark, {("a", 760): x, ("a", 850): x}).where("NOT (sample = 7 AND wavelength = 850)")
+    assert [r.sci for r in kernels.sci(ts, 10.0, 2.0, 0.5).orderBy("window").collect()] == pytest.approx([1, 1, 1])
+
+
 def test_kernels_keep_cells_and_refuse_streams(spark):
     ts = series(spark, {("a", 760): np.arange(40.0), ("b", 850): np.ones(40)})
     assert {r.channel for r in kernels.freq_filter(ts, 10.0, 0, 1.0).collect()} == {"a", "b"}
