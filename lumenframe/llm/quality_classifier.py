@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
+from .common import discard, shared_dir, table, text_or_empty
 
 ORDERS, BUCKETS = (3, 4, 5), 1 << 18
 #: Training texts that one block descends over; rounds, and passes of each; the penalty's weight; slope of the score.
 BLOCK_ROWS, ROUNDS, PASSES, PENALTY, SLOPE = 4000, 5, 3, 0.1, 2.0
+#: Labels up to which their table (16 bytes each) travels to the texts; beyond, the texts are shuffled.
+BROADCAST_LABELS = 2_000_000
 STATE = "text string, label int, alpha double, change double, blocks int, w binary"
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -167,18 +169,22 @@ def fit(train: DataFrame, rounds: int = ROUNDS, passes: int = PASSES, c: float =
     if not n:
         return Model(np.zeros(BUCKETS), np.ones(BUCKETS))
     dealt = train.select("text", F.col("label").cast("int").alias("label"), F.lit(0.0).alias("alpha"), F.lit(0.0).alias("change")).repartition(-(-n // BLOCK_ROWS))
-    rows = materialize(dealt)
+    spark, few, path = train.sparkSession, math.isqrt(-(-n // BLOCK_ROWS)) + 1, shared_dir(train.sparkSession)
+    dealt.write.option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
     ratio, w, share = log_ratios(rows), np.zeros(BUCKETS), 0.0
-    ctx, few = train.sparkSession.sparkContext, math.isqrt(-(-n // BLOCK_ROWS)) + 1
     for _ in range(rounds):
-        shared = ctx.broadcast((ratio, w))
-        state = materialize(rows.mapInArrow(_round(shared, share, passes, c), STATE))
+        shared, before, path = spark.sparkContext.broadcast((ratio, w)), path, shared_dir(spark)
+        rows.mapInArrow(_round(shared, share, passes, c), STATE).write.option("compression", "zstd").parquet(path)
+        discard(spark, before)
+        state = spark.read.schema(STATE).parquet(path)
         asked = state.where("w IS NOT NULL").select("blocks", "w").mapInArrow(_sum_weights, "blocks int, w binary")
         # summed within each task, then in the square root of the blocks' number of tasks, then in one
         total = asked.repartition(few).mapInArrow(_sum_weights, "blocks int, w binary").repartition(1).mapInArrow(_sum_weights, "blocks int, w binary").first()
         share = 1 / total["blocks"]
         w = w + share * np.frombuffer(total["w"])
         rows = state.where("text IS NOT NULL").select("text", "label", "alpha", "change")
+    discard(spark, path)
     return Model(w * ratio, ratio**2)
 
 
@@ -201,6 +207,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """(doc_id, text, label) of the labelled documents that may be learned from."""
     lab = labels.where(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
+    if lab.count() <= BROADCAST_LABELS:
+        lab = F.broadcast(lab)
     return docs.where(~held_out()).select("doc_id", text_or_empty().alias("text")).join(lab, "doc_id")
 
 

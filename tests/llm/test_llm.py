@@ -552,6 +552,15 @@ def test_quality_classifier_odd_rows(spark):
     assert {r.held for r in docs.select(quality_classifier.held_out().alias("held")).where("doc_id IS NULL").collect()} == {False}
 
 
+def test_labels_are_joined_alike_by_both_ways(spark, monkeypatch):
+    docs, labels = labelled(spark, 60)
+    got = []
+    for most in (0, 2_000_000):
+        monkeypatch.setattr(quality_classifier, "BROADCAST_LABELS", most)
+        got.append(collections.Counter((r.doc_id, r.text, r.label) for r in quality_classifier.training_rows(docs, labels).collect()))
+    assert got[0] == got[1] and sum(got[0].values()) > 20
+
+
 def hinge(rows, y, w, c):
     """The objective over rows of unit length."""
     return 0.5 * w @ w + c * sum(max(0.0, 1 - s * (w[r].sum() / np.sqrt(len(r)))) for r, s in zip(rows, y, strict=True))
