@@ -72,6 +72,39 @@ class DiracDelta:
         return np.zeros(1), {"dirac": np.ones(1)}
 
 
+def tapered(n: int, share: float) -> np.ndarray:
+    """A window of ones with cosine flanks that take the share of its n points."""
+    flank = share * (n - 1) / 2
+    if n < 2 or flank <= 0:
+        return np.ones(n)
+    i = np.arange(n)
+    edge = np.minimum(np.minimum(i, n - 1 - i) / flank, 1.0)
+    return 0.5 * (1 - np.cos(np.pi * edge))
+
+
+@dataclass(frozen=True)
+class RandomGaussianSum:
+    """One response: Gaussians of random weights, spread most in the middle, tapered, with its peak at 1."""
+
+    t_start: float
+    t_end: float
+    t_delta: float
+    t_std: float
+    weight_std_max: float = 0.5
+    weight_std_min: float = 0.05
+    weight_mean: float = 0.7
+    seed: int | None = None
+
+    def __call__(self, fs: float) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        first, last = self.t_start + 2 * self.t_std, self.t_end - 2 * self.t_std
+        t = np.arange(math.floor(round((first - 3 * self.t_std) * fs, 9)), math.ceil(round((last + 3 * self.t_std) * fs, 9)) + 1) / fs
+        centres = first + self.t_delta * np.arange(max(1, math.floor(round((last - first) / self.t_delta, 9))))
+        middle = np.exp(-(((centres - (first + last) / 2) / ((last - first) / 2.5)) ** 2))
+        weights = np.random.default_rng(self.seed).normal(self.weight_mean, self.weight_std_min + (self.weight_std_max - self.weight_std_min) * middle)
+        hrf = (np.exp(-(((t[:, None] - centres) / self.t_std) ** 2)) @ weights) * tapered(len(t), 0.1)
+        return t, {"random_gaussian_sum": hrf / hrf.max()}
+
+
 def normal_hrf(t: np.ndarray, t_peak: float, t_std: float, vmax: float) -> np.ndarray:
     g = np.exp(-0.5 * ((t - t_peak) / t_std) ** 2)
     return g / g.max() * vmax

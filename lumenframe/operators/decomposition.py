@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import multimodal_checks as checks
 from .windows import standardize
 
 #: Channels up to which a Gram matrix may come to the driver.
@@ -122,14 +123,18 @@ def _soft(v: np.ndarray, penalty: float) -> np.ndarray:
     return np.sign(v) * np.maximum(np.abs(v) - penalty / 2, 0)
 
 
-def cca(x: DataFrame, y: DataFrame, k: int = 1, l1: tuple[float, float] = (0, 0), l2: tuple[float, float] = (0, 0), pls: bool = False, rounds: int = 1000, tol: float = 1e-6, laplacians: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
+def cca(x: DataFrame, y: DataFrame, k: int = 1, l1: float | tuple[float, float] = (0, 0), l2: float | tuple[float, float] = (0, 0), pls: bool = False, rounds: int = 1000, tol: float = 1e-6, laplacians: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(weights of x, weights of y, singular values) of standardised series on common samples.
 
     l1 makes it sparse, l2 ridge (elastic net with both), laplacians replace the identity of the
-    ridge, pls leaves out the whitening.
+    ridge, pls leaves out the whitening. A single l1 or l2 serves both sides.
     """
+    checks.columns(x, y)
+    l1, l2 = checks.penalties(l1, "l1"), checks.penalties(l2, "l2")
     x, y = standardize(x.select("channel", "sample", "value")), standardize(y.select("channel", "sample", "value"))
     lx, ly = _labels(x), _labels(y)
+    if k > min(len(lx), len(ly)):
+        raise ValueError(f"{k} components are more than {min(len(lx), len(ly))} features")
     n = max(x.select("sample").distinct().count() - 1, 1)
     cxy, cxx, cyy = dense(cross_gram(x, y), lx, ly) / n, dense(cross_gram(x, x), lx, lx) / n, dense(cross_gram(y, y), ly, ly) / n
     ix, iy = laplacians or (np.eye(len(lx)), np.eye(len(ly)))
@@ -178,7 +183,8 @@ def temporally_embedded_cca(x: DataFrame, y: DataFrame, shifts: list[int], **how
     """CCA of time-lagged copies of x with y; a lagged copy's channel is <channel>@<shift>."""
     from .windows import temporal_embedding
 
-    e = temporal_embedding(x.select("channel", "sample", "value"), shifts)
+    n = (x.agg(F.max("sample")).first()[0] or 0) + 1
+    e = temporal_embedding(x.select("channel", "sample", "value"), checks.time_shifts(n, shifts))
     return cca(e.select(F.concat_ws("@", "channel", F.col("shift").cast("string")).alias("channel"), "sample", "value"), y, **how)
 
 
@@ -205,30 +211,16 @@ def bandpower(x: DataFrame, weights: DataFrame, bins: int) -> DataFrame:
     return z.withColumn("bin", at).groupBy("component", "bin").agg(F.var_pop("value").alias("value"))
 
 
-def mspoc(x: DataFrame, y: DataFrame, bins: int, shifts: tuple[int, ...] = (0,), restarts: int = 2, rounds: int = 200, tol: float = 1e-5, seed: int = 0) -> tuple[DataFrame, DataFrame, np.ndarray, float]:
-    """(weights of x, weights of y, weights of the lags, correlation) of the leading component.
+def complement(w: np.ndarray) -> np.ndarray:
+    """Orthonormal basis of what is orthogonal to the columns of w."""
+    return np.linalg.svd(w, full_matrices=True)[0][:, np.linalg.matrix_rank(w) :]
 
-    The power of a projection of x in each bin, at several lags, is to follow a projection of y
-    (one sample per bin). Spark computes the covariances by bin; the alternation of a one-component
-    correlation analysis and an eigenvector is on the driver.
-    """
-    lx, ly = _labels(x), _labels(y)
-    span = x.agg(F.min("sample").alias("a"), F.max("sample").alias("b"))
-    binned = x.join(F.broadcast(span)).withColumn("bin", F.least(F.floor((F.col("sample") - F.col("a")) / (F.col("b") - F.col("a")) * bins), F.lit(bins - 1)).cast("int"))
-    a = binned.select("bin", "sample", F.col("channel").alias("a"), F.col("value").alias("va"))
-    b = binned.select("sample", F.col("channel").alias("b"), F.col("value").alias("vb"))
-    cov = np.zeros((bins, len(lx), len(lx)))
-    at = {c: i for i, c in enumerate(lx)}
-    for r in a.join(b, "sample").groupBy("bin", "a", "b").agg(F.covar_samp("va", "vb").alias("c")).collect():
-        cov[r["bin"], at[r["a"]], at[r["b"]]] = r["c"] or 0.0
-    ys = np.zeros((bins, len(ly)))
-    for r in y.where(F.col("sample") < bins).collect():
-        ys[r["sample"], ly.index(r["channel"])] = r["value"]
-    ys = (ys - ys.mean(0)) / np.where(ys.std(0) == 0, 1, ys.std(0))
-    mean, rng, best = cov.mean(0), np.random.default_rng(seed), None
-    half = _power(mean)
+
+def _follow(cov: np.ndarray, ys: np.ndarray, shifts: tuple[int, ...], restarts: int, rounds: int, tol: float, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(filter of x, filter of y, weights of the lags, correlation): one component, the best of some starts."""
+    half, bins, best = _power(cov.mean(0)), len(cov), None
     for _ in range(restarts):
-        w, last = rng.normal(size=len(lx)), -np.inf
+        w, last = rng.normal(size=cov.shape[1]), -np.inf
         for _ in range(rounds):
             power = np.einsum("i,tij,j->t", w, cov, w)
             lagged = np.column_stack([np.r_[np.zeros(s), power[: bins - s]] for s in shifts])
@@ -244,5 +236,48 @@ def mspoc(x: DataFrame, y: DataFrame, bins: int, shifts: tuple[int, ...] = (0,),
             last = s[0]
         if best is None or last > best[3]:
             best = (w, wy, wt, float(last))
+    return best
+
+
+def mspoc_components(x: DataFrame, y: DataFrame, bins: int, k: int, shifts: tuple[int, ...] = (0,), restarts: int = 2, rounds: int = 200, tol: float = 1e-5, seed: int = 0) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray]:
+    """(weights of x, weights of y, weights of the lags by component, correlations) of k components.
+
+    The power of a projection of x in each bin, at several lags, is to follow a projection of y
+    (one sample per bin). Spark computes the covariances by bin; the alternation of a one-component
+    correlation analysis and an eigenvector is on the driver. Each further component is sought where
+    the filters are orthogonal to those before.
+    """
+    checks.columns(x, y)
+    shifts = tuple(checks.time_shifts(bins, shifts))
+    lx, ly = _labels(x), _labels(y)
+    if not 1 <= k <= min(len(lx), len(ly)):
+        raise ValueError(f"{k} components do not fit {len(lx)} and {len(ly)} features")
+    span = x.agg(F.min("sample").alias("a"), F.max("sample").alias("b"))
+    binned = x.join(F.broadcast(span)).withColumn("bin", F.least(F.floor((F.col("sample") - F.col("a")) / (F.col("b") - F.col("a")) * bins), F.lit(bins - 1)).cast("int"))
+    a = binned.select("bin", "sample", F.col("channel").alias("a"), F.col("value").alias("va"))
+    b = binned.select("sample", F.col("channel").alias("b"), F.col("value").alias("vb"))
+    cov = np.zeros((bins, len(lx), len(lx)))
+    at = {c: i for i, c in enumerate(lx)}
+    for r in a.join(b, "sample").groupBy("bin", "a", "b").agg(F.covar_samp("va", "vb").alias("c")).collect():
+        cov[r["bin"], at[r["a"]], at[r["b"]]] = r["c"] or 0.0
+    ys = np.zeros((bins, len(ly)))
+    for r in y.where(F.col("sample") < bins).collect():
+        ys[r["sample"], ly.index(r["channel"])] = r["value"]
+    ys = (ys - ys.mean(0)) / np.where(ys.std(0) == 0, 1, ys.std(0))
+    rng, bx, by = np.random.default_rng(seed), np.eye(len(lx)), np.eye(len(ly))
+    wx, wy, wt, corr = [], [], [], []
+    for _ in range(k):
+        u, v, lags, c = _follow(np.einsum("ia,tij,jb->tab", bx, cov, bx, optimize=True), ys @ by, shifts, restarts, rounds, tol, rng)
+        wx.append(bx @ u)
+        wy.append(by @ v)
+        wt.append(lags)
+        corr.append(c)
+        bx, by = complement(np.array(wx).T), complement(np.array(wy).T)
     spark = x.sparkSession
-    return weights_table(spark, lx, oriented(best[0][:, None])), weights_table(spark, ly, best[1][:, None]), best[2], best[3]
+    return weights_table(spark, lx, oriented(np.array(wx).T)), weights_table(spark, ly, np.array(wy).T), np.array(wt), np.array(corr)
+
+
+def mspoc(x: DataFrame, y: DataFrame, bins: int, shifts: tuple[int, ...] = (0,), **how) -> tuple[DataFrame, DataFrame, np.ndarray, float]:
+    """(weights of x, weights of y, weights of the lags, correlation) of the leading component."""
+    wx, wy, wt, corr = mspoc_components(x, y, bins, 1, shifts, **how)
+    return wx, wy, wt[0], float(corr[0])

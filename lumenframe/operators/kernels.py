@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..core.schema import pack, trace_keys
 from ..functions import signal
+from . import quality
 
 
 def _types(df: DataFrame, names: list[str]) -> str:
@@ -52,6 +53,26 @@ def split_frequency_bands(ts: DataFrame, fs: float) -> DataFrame:
     return freq_filter(ts, fs, 0.5, 2.5).withColumn("band", F.lit("cardiac")).unionByName(freq_filter(ts, fs, 0.1, 0.5).withColumn("band", F.lit("respiratory")))
 
 
+def detect_outliers_std(ts: DataFrame, fs: float, window_s: float, threshold: float = 2.0) -> DataFrame:
+    """Clean where the rolling deviation over window_s seconds of the trace below 0.5 Hz stays by its quartiles.
+
+    A window has at least one sample; a trace of one sample is clean.
+    """
+    return quality.outliers_std(freq_filter(ts, fs, 0, 0.5), max(round(fs * window_s), 1), threshold)
+
+
+def detect_outliers_grad(ts: DataFrame, fs: float, threshold: float = 1.5) -> DataFrame:
+    """Clean where the central difference of the trace below 2 Hz stays by its quartiles; fs must exceed 4 Hz."""
+    if fs / 2 <= 2.0:
+        raise ValueError("the sampling rate is too low for a cutoff of 2 Hz")
+    return quality.outliers_grad(freq_filter(ts, fs, 0, 2.0), threshold)
+
+
+def detect_outliers(ts: DataFrame, fs: float, window_s: float, threshold_std: float = 2.0, threshold_grad: float = 1.5) -> DataFrame:
+    """Clean by both masks."""
+    return quality.outliers(detect_outliers_std(ts, fs, window_s, threshold_std), detect_outliers_grad(ts, fs, threshold_grad))
+
+
 def tddr(ts: DataFrame, fs: float) -> DataFrame:
     return map_traces(ts, lambda t, x: signal.tddr(x, fs))
 

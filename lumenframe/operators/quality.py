@@ -140,20 +140,20 @@ def id_motion_refine(mask: DataFrame, operator: str) -> tuple[DataFrame, DataFra
 
 
 def iqr_mask(df: DataFrame, threshold: float) -> Column:
-    """Inside the quartiles widened by a multiple of their distance, within each trace."""
+    """Not beyond the quartiles widened by a multiple of their distance, within each trace; the limits and unknown values are clean."""
     q = F.percentile("_x", F.array(F.lit(0.25), F.lit(0.75))).over(trace(df))
     low, high = F.get(q, 0), F.get(q, 1)
-    return (F.col("_x") > low - threshold * (high - low)) & (F.col("_x") < high + threshold * (high - low))
+    return F.coalesce((F.col("_x") >= low - threshold * (high - low)) & (F.col("_x") <= high + threshold * (high - low)), F.lit(True))
 
 
 def outliers_std(ts: DataFrame, n: int, threshold: float = 2.0) -> DataFrame:
-    """Centred rolling deviation over n samples against its quartiles; ts is low-passed by the caller."""
+    """Centred rolling deviation over n samples against its quartiles; ts is taken as it is (kernels.detect_outliers_std filters first)."""
     x = ts.withColumn("_x", F.stddev_pop("value").over(along_time(ts).rowsBetween(-(n // 2), (n - 1) // 2)))
     return x.withColumn("mask", iqr_mask(ts, threshold)).drop("_x", "value")
 
 
 def outliers_grad(ts: DataFrame, threshold: float = 1.5) -> DataFrame:
-    """Central difference (zero beyond the edges) against its quartiles; ts is low-passed by the caller."""
+    """Central difference (zero beyond the edges) against its quartiles; ts is taken as it is (kernels.detect_outliers_grad filters first)."""
     w = along_time(ts)
     x = ts.withColumn("_x", F.lag("value", 1, 0.0).over(w) - F.lead("value", 1, 0.0).over(w))
     return x.withColumn("mask", iqr_mask(ts, threshold)).drop("_x", "value")

@@ -59,18 +59,49 @@ def add_artifacts(ts: DataFrame, events: DataFrame, scale: float = 1.0, window:
     return total.withColumn("value", F.col("value") + scale * (F.col("scale") if auto else F.lit(1.0)) * F.coalesce("_a", F.lit(0.0))).select(*keys, "sample", "time", "value")
 
 
-def random_events(spark, t_end: float, n: int, types: list[str], min_dur: float = 0.1, max_dur: float = 0.4, seed: int = 0) -> DataFrame:
-    """n events of uniform onset and duration; types take turns."""
+def add_event_timing(events: DataFrame | None, timing: list[tuple], trial_type: str, channels: list[str] | None = None, *, spark=None) -> DataFrame:
+    """events and further ones of one type: (onset, duration) or (onset, duration, value), on the channels (None: all)."""
+    for x in timing:
+        if len(x) not in (2, 3):
+            raise ValueError(f"an event is (onset, duration) or (onset, duration, value), not {x!r}")
+    rows = [(float(x[0]), float(x[1]), trial_type, float(x[2]) if len(x) == 3 else 1.0, channels) for x in timing]
+    session = spark or events.sparkSession
+    new = session.createDataFrame(rows, "onset double, duration double, trial_type string, value double, channel array<string>")
+    new = new.withColumn("channel", F.explode_outer("channel"))
+    return new if events is None else events.unionByName(new, allowMissingColumns=True)
+
+
+def _on_channels(events: DataFrame, channels: list[str] | None) -> DataFrame:
+    """A row of each event for each channel; without channels one of channel NULL, which means all."""
+    names = F.array(*[F.lit(c) for c in channels]) if channels else F.array(F.lit(None).cast("string"))
+    return events.withColumn("channel", F.explode(names))
+
+
+def random_events(spark, t_end: float, n: int, types: list[str], channels: list[str] | None = None, seed: int = 0, t_start: float = 0.0) -> DataFrame:
+    """n events of a random type, uniform in onset and, from 0.1 up to the record's end, in duration."""
     names = F.array(*[F.lit(t) for t in types])
-    return spark.range(n).select(F.col("id").alias("event_id"), (F.rand(seed) * t_end).alias("onset"), (min_dur + F.rand(seed + 1) * (max_dur - min_dur)).alias("duration"), F.lit(1.0).alias("value"), F.get(names, F.pmod("id", F.lit(len(types))).cast("int")).alias("trial_type"))
+    base = spark.range(n).select(F.col("id").alias("event_id"), (t_start + F.rand(seed) * (t_end - t_start)).alias("onset"), F.rand(seed + 1).alias("_u"), F.floor(F.rand(seed + 2) * len(types)).cast("int").alias("_k"))
+    duration = 0.1 + F.col("_u") * (t_end - F.col("onset") - 0.1)
+    return _on_channels(base.select("event_id", "onset", duration.alias("duration"), F.lit(1.0).alias("value"), F.get(names, F.col("_k")).alias("trial_type")), channels)
 
 
-def random_events_share(spark, t_end: float, share: float, types: list[str], min_dur: float = 0.1, max_dur: float = 0.4, seed: int = 0) -> DataFrame:
-    """As many random events as cover the share of the time."""
-    most = int(share * t_end / min_dur) + 1
-    events = random_events(spark, t_end, most, types, min_dur, max_dur, seed)
-    before = F.sum("duration").over(Window.orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
-    return events.withColumn("_s", F.coalesce(before, F.lit(0.0))).where(F.col("_s") < share * t_end).drop("_s")
+def random_events_share(spark, t_end: float, share: float, types: list[str], channels: list[str] | None = None, min_dur: float = 0.1, max_dur: float = 0.4, seed: int = 0, t_start: float = 0.0) -> DataFrame:
+    """Random events that end inside the record, until their durations reach the share of its time.
+
+    Candidates are drawn for the most events that can be needed; those past the record's end are left
+    out and the others are counted in the order of their ids.
+    """
+    span = t_end - t_start
+    if max_dur >= span:
+        raise ValueError("events must be shorter than the record")
+    need = share * span / min_dur + 1
+    most = int((need + 10 * need**0.5 + 10) / (1 - max_dur / span)) + 1
+    names = F.array(*[F.lit(t) for t in types])
+    drawn = spark.range(most).select(F.col("id").alias("event_id"), (t_start + F.rand(seed) * span).alias("onset"), (min_dur + F.rand(seed + 1) * (max_dur - min_dur)).alias("duration"), F.floor(F.rand(seed + 2) * len(types)).cast("int").alias("_k"))
+    inside = drawn.where(F.col("onset") + F.col("duration") < t_end)
+    before = F.coalesce(F.sum("duration").over(Window.orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    events = inside.withColumn("_s", before).where(F.col("_s") < share * span)
+    return _on_channels(events.select("event_id", "onset", "duration", F.lit(1.0).alias("value"), F.get(names, F.col("_k")).alias("trial_type")), channels)
 
 
 def stimulus_schedule(spark, t_end: float, types: list[str], min_dur: float, max_dur: float, min_gap: float, max_gap: float, order: str = "alternating", seed: int = 0) -> DataFrame:

@@ -90,6 +90,19 @@ def mspoc(spark, d):
     return decomposition.mspoc(f, y, 10, (0, 1))[0]
 
 
+@query()
+def mspoc_two(spark, d):
+    """Two components: powers of the embeddings against mean price and discount of the same bins of lineitem."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.pmod("l_orderkey", F.lit(10)).alias("sample"), "l_extendedprice", "l_discount")
+    means = rows.groupBy("sample").agg(F.avg("l_extendedprice").alias("price"), F.avg("l_discount").alias("discount"))
+    return decomposition.mspoc_components(features(spark, d), means.unpivot("sample", ["price", "discount"], "channel", "value"), 10, 2, (0, 1))[0]
+
+
+@query()
+def random_events(spark, d):
+    return simulation.random_events(spark, 600.0, 20, ["spike", "bl_shift"], ["S1", "S2"], seed=3)
+
+
 @query()
 def optimal_shift(spark, d):
     each = ts(spark, d).select(F.concat_ws("_", "channel", F.col("wavelength").cast("int").cast("string")).alias("component"), "sample", "value")

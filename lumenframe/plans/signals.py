@@ -248,7 +248,7 @@ def segment_snr(spark, d):
 
 
 def iqr(expr: str, k: float) -> str:
-    return f"x AS (SELECT {CELL}, {expr} AS x FROM ts), q AS (SELECT {KEYS}, quantile_cont(x, 0.25) AS lo, quantile_cont(x, 0.75) AS hi FROM x GROUP BY ALL) SELECT {CELL}, x > lo - {k} * (hi - lo) AND x < hi + {k} * (hi - lo) AS mask FROM x JOIN q USING (channel, wavelength)"
+    return f"x AS (SELECT {CELL}, {expr} AS x FROM ts), q AS (SELECT {KEYS}, quantile_cont(x, 0.25) AS lo, quantile_cont(x, 0.75) AS hi FROM x GROUP BY ALL) SELECT {CELL}, coalesce(x >= lo - {k} * (hi - lo) AND x <= hi + {k} * (hi - lo), true) AS mask FROM x JOIN q USING (channel, wavelength)"
 
 
 @query(f"WITH {TS}, {iqr(f'stddev_pop(value) OVER ({WO} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', 2)}")
@@ -450,7 +450,12 @@ def long_traces(spark, d):
 
 @query()
 def freq_filter(spark, d):
-    return kernels.freq_filter(long_traces(spark, d), FS, 0.1, 2.0)
+    return kernels.freq_filter(ts(spark, d), FS, 0.1, 2.0)
+
+
+@query()
+def detect_outliers(spark, d):
+    return kernels.detect_outliers(ts(spark, d), FS, 1.0)
 
 
 @query()

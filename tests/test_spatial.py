@@ -304,6 +304,13 @@ def test_lags_and_power(spark):
     target = spark.createDataFrame([(c, i, float(v)) for i in range(24) for c, v in (("y0", power[60 * i] ** 2), ("y1", rng.normal()))], "channel string, sample long, value double")
     wx, wy, wt, corr = decomposition.mspoc(long, target, 24)
     assert corr > 0.8 and wx.count() == 3
+    two, ty, wt, corr = decomposition.mspoc_components(long, target, 24, 2)
+    filters = lambda df: np.array([[r.weight for r in df.where(F.col("component") == k).orderBy("channel").collect()] for k in (0, 1)])
+    for w in (filters(two), filters(ty)):
+        assert abs(w[0] @ w[1]) < 1e-6 * np.linalg.norm(w[0]) * np.linalg.norm(w[1])
+    assert corr.shape == (2,) and wt.shape == (2, 1) and corr[0] > 0.8
+    with pytest.raises(ValueError):
+        decomposition.mspoc_components(long, target, 24, 3)
 
 
 def test_motion_pca_and_baseline(spark):
@@ -327,7 +334,7 @@ def test_rounds_that_run_out_raise(spark):
 
     cells = spark.createDataFrame([(i, 0, 0) for i in range(12)], "i int, j int, k int")
     with pytest.raises(RuntimeError):
-        object_sizes(cells, lambda df: df.localCheckpoint(), rounds=1)
+        object_sizes(cells, lambda df: df.checkpoint(), rounds=1)
     strip = spark.createDataFrame([(i, i, i + 1, i + 2) for i in range(8)], "face int, a int, b int, c int")
     distances = {i: float(i) for i in range(10)}
     assert geometry.geodesic_path(strip, distances, 9, longest=6) == [9, 7, 5, 3, 1, 0]
