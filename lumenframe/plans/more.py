@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decomposition, glm, motion, quality, simulation, views, windows
 from .common import query, r
-from .signals import CELL, KEYS, MOTION, OD, design, long_traces, od, times
+from .signals import CELL, KEYS, MOTION, OD, design, od, times
 from .signals import motion as motion_mask
 from .spatial import features
 from .tables import CHANNELS, FS, GEO, TS, WO, channels, geo, stim, ts
@@ -14,14 +14,14 @@ from .tables import CHANNELS, FS, GEO, TS, WO, channels, geo, stim, ts
 
 @query()
 def motion_correct_pca(spark, d):
-    x = long_traces(spark, d)
+    x = ts(spark, d)
     mask = quality.id_motion_refine(quality.id_motion(x, FS, stdev_thresh=2.0, amp_thresh=150.0), "all")[0].select("sample", "mask")
     return motion.motion_correct_pca(x, mask, 0.9)
 
 
 @query()
 def baseline_shifts(spark, d):
-    return motion.baseline_shifts(long_traces(spark, d), quality.outliers_grad(long_traces(spark, d)), FS)
+    return motion.baseline_shifts(ts(spark, d), quality.outliers_grad(ts(spark, d)), FS)
 
 
 @query(f"WITH {TS}, {OD}, {MOTION} SELECT time, count(*) FILTER (WHERE mask) AS clean, count(*) FILTER (WHERE NOT mask) AS tainted FROM mo GROUP BY 1")

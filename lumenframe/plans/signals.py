@@ -442,12 +442,6 @@ def artifact_scale(spark, d):
     return simulation.artifact_scale(ts(spark, d), 8)
 
 
-def long_traces(spark, d):
-    """Kernels need some samples: traces of 16 or more."""
-    x = ts(spark, d)
-    return x.join(x.groupBy("channel", "wavelength").count().where("count >= 16"), ["channel", "wavelength"], "left_semi")
-
-
 @query()
 def freq_filter(spark, d):
     return kernels.freq_filter(ts(spark, d), FS, 0.1, 2.0)
@@ -460,48 +454,48 @@ def detect_outliers(spark, d):
 
 @query()
 def sci(spark, d):
-    return kernels.sci(kernels.cardiac(long_traces(spark, d), FS), FS, 0.8, 0.5)
+    return kernels.sci(kernels.cardiac(ts(spark, d), FS), FS, 0.8, 0.5)
 
 
 @query()
 def psp(spark, d):
-    return kernels.psp(kernels.cardiac(long_traces(spark, d), FS), FS, 0.8, 0.03)
+    return kernels.psp(kernels.cardiac(ts(spark, d), FS), FS, 0.8, 0.03)
 
 
 @query()
 def tddr(spark, d):
-    return kernels.tddr(long_traces(spark, d), FS)
+    return kernels.tddr(ts(spark, d), FS)
 
 
 @query()
 def motion_correct_wavelet(spark, d):
-    return kernels.motion_correct_wavelet(long_traces(spark, d))
+    return kernels.motion_correct_wavelet(ts(spark, d))
 
 
 @query()
 def motion_correct_spline_sg(spark, d):
-    x = long_traces(spark, d)
+    x = ts(spark, d)
     return kernels.motion_correct_spline_sg(x, quality.outliers_grad(x), FS, 0.01, 0.9)
 
 
 @query()
 def ampd(spark, d):
-    return kernels.ampd(long_traces(spark, d))
+    return kernels.ampd(ts(spark, d))
 
 
 @query()
 def resample(spark, d):
-    return kernels.resample(long_traces(spark, d), 4.0)
+    return kernels.resample(ts(spark, d), 4.0)
 
 
 @query()
 def fit_ar_coefs(spark, d):
-    return kernels.fit_ar_coefs(long_traces(spark, d), 4)
+    return kernels.fit_ar_coefs(ts(spark, d), 4)
 
 
 @query()
 def split_frequency_bands(spark, d):
-    return kernels.split_frequency_bands(long_traces(spark, d), FS)
+    return kernels.split_frequency_bands(ts(spark, d), FS)
 
 
 def design(spark, d):
@@ -518,14 +512,14 @@ def hrf_regressors(spark, d):
 
 @query()
 def glm_ols(spark, d):
-    return glm.coefficients(glm.fit(long_traces(spark, d), design(spark, d)))
+    return glm.coefficients(glm.fit(ts(spark, d), design(spark, d)))
 
 
 @query()
 def glm_ar_irls(spark, d):
-    return glm.coefficients(glm.fit(long_traces(spark, d), design(spark, d), "ar_irls", 4))
+    return glm.coefficients(glm.fit(ts(spark, d), design(spark, d), "ar_irls", 4))
 
 
 @query()
 def glm_glsar(spark, d):
-    return glm.coefficients(glm.fit(long_traces(spark, d), design(spark, d), "glsar"))
+    return glm.coefficients(glm.fit(ts(spark, d), design(spark, d), "glsar"))
