@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import glm, head_model, imaging, reshape
 from .common import query, r
-from .signals import design, long_traces
+from .signals import design
 from .tables import CHANNELS, GEO, TS, WO, channels, geo, read, ts
 
 KEYS = "channel, wavelength"
@@ -77,14 +77,14 @@ def inward_rays(spark, d):
 
 @query()
 def glm_confidence(spark, d):
-    return glm.confidence_intervals(glm.fit(long_traces(spark, d), design(spark, d)))
+    return glm.confidence_intervals(glm.fit(ts(spark, d), design(spark, d)))
 
 
 @query()
 def glm_contrast(spark, d):
-    return glm.contrast(glm.fit(long_traces(spark, d), design(spark, d)), {"HRF T0": 1.0, "HRF T1": -1.0})
+    return glm.contrast(glm.fit(ts(spark, d), design(spark, d)), {"HRF T0": 1.0, "HRF T1": -1.0})
 
 
 @query()
 def glm_regressor_variances(spark, d):
-    return glm.regressor_variances(glm.fit(long_traces(spark, d), design(spark, d)))
+    return glm.regressor_variances(glm.fit(ts(spark, d), design(spark, d)))
