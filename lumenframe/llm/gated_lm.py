@@ -32,7 +32,9 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +82,8 @@ class Symbols:
         self.first_ending, self.endings = len(head) + 1, len(tail)
         self.n = self.first_ending + self.endings
         self.id_type = "<i2" if self.n < 1 << 15 else "<i4"
-        self.class_of, self.member = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        # short integers, which a stable sort takes by their digits
+        self.class_of, self.member = np.zeros(self.n, np.int16), np.zeros(self.n, np.int64)
         goal, mass, k, m = counts.sum() / HEAD_CLASSES, 0.0, 0, 0
         for s in range(self.first_ending):
             if m and (mass + counts[s] > goal or m == MEMBERS):
@@ -125,19 +128,24 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
             yield batch.slice(at, rows)
 
 
-def _codes(texts: pa.Array, code: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def _numbers() -> defaultdict[bytes, int]:
+    """Gives each new word the next number."""
+    return defaultdict(count().__next__)
+
+
+def _codes(texts: pa.Array, code: defaultdict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Words per text and the number of each word; new words get the next number in code."""
     sizes, parts = [], [np.empty(0, np.int32)]
     for at in range(0, len(texts), SPLIT_DOCS):
         words = [t.encode().lower().split() for t in texts.slice(at, SPLIT_DOCS).to_pylist()]
         sizes += map(len, words)
-        parts.append(np.fromiter((code.setdefault(w, len(code)) for ws in words for w in ws), np.int32, sum(map(len, words))))
+        parts.append(np.fromiter(map(code.__getitem__, chain.from_iterable(words)), np.int32, sum(map(len, words))))
     return np.array(sizes, np.int64), np.concatenate(parts)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches, POSTING_DOCS):
-        code: dict[bytes, int] = {}
+        code = _numbers()
         codes = _codes(batch.column(0), code)[1]
         yield pa.RecordBatch.from_arrays([pa.array(list(code), pa.binary()), pa.array(np.bincount(codes, minlength=len(code)).astype(np.int64))], names=["word", "c"])
 
@@ -150,7 +158,7 @@ def _encode(shared):
         none = lambda t, k: pa.nulls(k, t)
         for batch in _slices(batches, POSTING_DOCS):
             n = batch.num_rows
-            code: dict[bytes, int] = {}
+            code = _numbers()
             size, codes = _codes(batch.column("text"), code)
             names = list(code)
             of = np.fromiter(map(sym.of_word, names), sym.id_type, len(names))
@@ -209,13 +217,26 @@ class Network:
         cand = np.tanh(e[:, 2 * n :] + rh @ self.recurrent[:, 2 * n :])
         return h + gate[:, :n] * (cand - h), gate, cand, rh
 
-    def class_log_probs(self, h: np.ndarray) -> np.ndarray:
-        z = h @ self.classes
-        z += self.class_bias
-        z -= z.max(1, keepdims=True)
-        np.subtract(z, np.log(np.exp(z).sum(1, keepdims=True)), out=z)
+    def class_scores(self, h: np.ndarray) -> np.ndarray:
+        """Logits less their maximum; a row per class, so that sums and maxima run along tokens."""
+        z = self.classes.T @ h.T
+        z += self.class_bias[:, None]
+        z -= z.max(0)
         return z
 
+    def class_log_probs(self, h: np.ndarray) -> np.ndarray:
+        """log P(class | h), a row per state."""
+        z = self.class_scores(h)
+        z -= np.log(np.exp(z).sum(0))
+        return z.T
+
+    def class_probs(self, h: np.ndarray) -> np.ndarray:
+        """P(class | h), a row per class."""
+        p = self.class_scores(h)
+        np.exp(p, out=p)
+        p /= p.sum(0)
+        return p
+
 
 def _head_terms(net: Network, sym: Symbols, h: np.ndarray, y: np.ndarray, grads: dict | None = None, dh: np.ndarray | None = None) -> np.ndarray:
     """log P(member | class, h) where the class is one of head words, by class; adds gradients if asked."""
@@ -230,20 +251,21 @@ def _head_terms(net: Network, sym: Symbols, h: np.ndarray, y: np.ndarray, grads:
         if own.stop - own.start == 1:
             continue
         hp, weights = h[part], net.members[own]
-        z = hp @ weights.T
-        z += net.member_bias[own]
-        z -= z.max(1, keepdims=True)
-        at = (np.arange(len(part)), sym.member[y[part]])
+        # a row per member, as class_scores has a row per class
+        z = weights @ hp.T
+        z += net.member_bias[own, None]
+        z -= z.max(0)
+        at = (sym.member[y[part]], np.arange(len(part)))
         chosen = z[at]
         p = np.exp(z, out=z)
-        total = p.sum(1, keepdims=True)
-        out[part] = chosen - np.log(total[:, 0])
+        total = p.sum(0)
+        out[part] = chosen - np.log(total)
         if grads is not None:
             p /= total
             p[at] -= 1
-            grads["members"][own] += p.T @ hp
-            grads["member_bias"][own] += p.sum(0)
-            dh[part] += p @ weights
+            grads["members"][own] += p @ hp
+            grads["member_bias"][own] += p.sum(1)
+            dh[part] += p.T @ weights
     return out
 
 
@@ -266,18 +288,19 @@ def train_stream(net: Network, sym: Symbols, ids: np.ndarray, begins: np.ndarray
         state = hs[steps].copy()
         h, y = hs[1:].reshape(-1, hid), y_all[:, at : at + steps].T.reshape(-1)
         grads = {k: np.zeros_like(getattr(net, k)) for k in net.SHAPES}
-        p = np.exp(net.class_log_probs(h))
-        p[np.arange(len(y)), sym.class_of[y]] -= 1
+        p = net.class_probs(h)
+        p[sym.class_of[y], np.arange(len(y))] -= 1
         real = (place + np.arange(at, at + steps)[:, None] < total).reshape(-1)
         if real.all():
-            dh_out = p @ net.classes.T
+            dh_out = p.T @ net.classes.T
             _head_terms(net, sym, h, y, grads, dh_out)
         else:
-            p[~real] = 0
-            dh_out, own = p @ net.classes.T, p[real] @ net.classes.T
+            p[:, ~real] = 0
+            dh_out = p.T @ net.classes.T
+            own = dh_out[real]
             _head_terms(net, sym, h[real], y[real], grads, own)
             dh_out[real] = own
-        grads["classes"], grads["class_bias"] = h.T @ p, p.sum(0)
+        grads["classes"], grads["class_bias"] = h.T @ p.T, p.sum(1)
         dh_out = dh_out.reshape(steps, lanes, hid)
         dh, d_in = np.zeros((lanes, hid), np.float32), np.empty((steps, lanes, 3 * hid), np.float32)
         u = net.recurrent
@@ -295,7 +318,7 @@ def train_stream(net: Network, sym: Symbols, ids: np.ndarray, begins: np.ndarray
             grads["recurrent"][:, 2 * hid :] += rh.T @ d_cand
             dh = dh * (1 - z) + d_rh * r + d[:, : 2 * hid] @ u[:, : 2 * hid].T
             dh[b_all[:, at + t]] = 0
-        x = x_all[:, at : at + steps].T.reshape(-1)
+        x = x_all[:, at : at + steps].T.reshape(-1).astype(sym.id_type)
         order = np.argsort(x, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
         grads["inputs"][x[order][cut]] = np.add.reduceat(d_in.reshape(-1, 3 * hid)[order], cut, axis=0)
