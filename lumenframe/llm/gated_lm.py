@@ -32,12 +32,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,26 +127,25 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
             yield batch.slice(at, rows)
 
 
-def _numbers() -> defaultdict[bytes, int]:
-    """Gives each new word the next number."""
-    return defaultdict(count().__next__)
-
-
-def _codes(texts: pa.Array, code: defaultdict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Words per text and the number of each word; new words get the next number in code."""
-    sizes, parts = [], [np.empty(0, np.int32)]
+def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words per text, the number of each word, and the distinct words by number."""
+    sizes, parts = [], []
     for at in range(0, len(texts), SPLIT_DOCS):
-        words = [t.encode().lower().split() for t in texts.slice(at, SPLIT_DOCS).to_pylist()]
-        sizes += map(len, words)
-        parts.append(np.fromiter(map(code.__getitem__, chain.from_iterable(words)), np.int32, sum(map(len, words))))
-    return np.array(sizes, np.int64), np.concatenate(parts)
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, SPLIT_DOCS)))
+        flat = words.flatten()
+        # white space at an end leaves an empty word
+        real = pc.not_equal(pc.binary_length(flat), 0)
+        ends = np.cumsum(pc.list_value_length(words).to_numpy())
+        sizes.append(np.diff(np.r_[0, np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][ends]]))
+        parts.append(flat.filter(real).dictionary_encode())
+    chunks = pa.chunked_array(parts).unify_dictionaries().chunks
+    return np.concatenate(sizes), np.concatenate([c.indices.to_numpy() for c in chunks]), chunks[0].dictionary.cast(pa.binary())
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches, POSTING_DOCS):
-        code = _numbers()
-        codes = _codes(batch.column(0), code)[1]
-        yield pa.RecordBatch.from_arrays([pa.array(list(code), pa.binary()), pa.array(np.bincount(codes, minlength=len(code)).astype(np.int64))], names=["word", "c"])
+        _, codes, words = _codes(batch.column(0))
+        yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(codes, minlength=len(words)).astype(np.int64))], names=["word", "c"])
 
 
 def _encode(shared):
@@ -158,9 +156,8 @@ def _encode(shared):
         none = lambda t, k: pa.nulls(k, t)
         for batch in _slices(batches, POSTING_DOCS):
             n = batch.num_rows
-            code = _numbers()
-            size, codes = _codes(batch.column("text"), code)
-            names = list(code)
+            size, codes, words = _codes(batch.column("text"))
+            names = words.to_pylist()
             of = np.fromiter(map(sym.of_word, names), sym.id_type, len(names))
             hit, base, term = sym.static(names, of)
             doc = np.repeat(np.arange(n, dtype=np.int32), size)
@@ -177,7 +174,7 @@ def _encode(shared):
             cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
             offsets = pa.array(np.r_[cut, len(word)].astype(np.int32)) if len(word) else pa.array([0], pa.int32())
             k = len(cut)
-            yield pa.RecordBatch.from_arrays([none(pa.int64(), k), none(kind, k), none(pa.bool_(), k), none(pa.int64(), k), none(pa.binary(), k), none(pa.int64(), k), none(pa.float64(), k), none(pa.float64(), k), pa.array([names[i] for i in word[cut]], pa.binary()), pa.ListArray.from_arrays(offsets, batch.column("rn").take(pa.array(doc))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))], names=names_)
+            yield pa.RecordBatch.from_arrays([none(pa.int64(), k), none(kind, k), none(pa.bool_(), k), none(pa.int64(), k), none(pa.binary(), k), none(pa.int64(), k), none(pa.float64(), k), none(pa.float64(), k), words.take(pa.array(word[cut])), pa.ListArray.from_arrays(offsets, batch.column("rn").take(pa.array(doc))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))], names=names_)
 
     names_ = [c.split()[0] for c in ENCODED.split(", ")]
     return run
