@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, gated_lm, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
+from . import bpe, exact_dedup, gated_lm, lexical_search, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.query,
     "op9_bpe": bpe.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op13_lexical_search": lexical_search.query,
     "rule_ablation": quality_rules.ablation_query,
     "token_counts_warm": token_counts.warm_query,
 }
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality_rules.SQL, "rule_ablation": quality_rules.ABLATION_SQL, "op7_line_dedup": line_dedup.SQL, "op10_substring_dedup": substring_dedup.SQL}
+ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality_rules.SQL, "rule_ablation": quality_rules.ABLATION_SQL, "op7_line_dedup": line_dedup.SQL, "op10_substring_dedup": substring_dedup.SQL, "op13_lexical_search": lexical_search.SQL}
