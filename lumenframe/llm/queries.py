@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, gated_lm, lexical_search, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
+from . import bpe, chunked_bpe, exact_dedup, gated_lm, lexical_search, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.query,
     "op9_bpe": bpe.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op11_chunked_bpe": chunked_bpe.query,
     "op13_lexical_search": lexical_search.query,
     "rule_ablation": quality_rules.ablation_query,
     "token_counts_warm": token_counts.warm_query,
