@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +18,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def noted_scratch() -> Iterator[list[str]]:
+    """The folders that shared_dir names meanwhile, so that a caller can discard them once nothing reads them."""
+    _noted.append(paths := [])
+    try:
+        yield paths
+    finally:
+        _noted.pop()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path below the session's spark.checkpoint.dir, which driver and executors share.
 
     Without that setting (a local test) the folder lies below the session's warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    for paths in _noted:
+        paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, shared_dir
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,10 +30,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges are written to the shared folder, so that lineage stays short. The number of edges never
     grows, and a hub's edges are spread over tasks by its neighbours in the aggregation.
     """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    spark, path = edges.sparkSession, shared_dir(edges.sparkSession)
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), path)
     state = None
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges)))
+        before, path = path, shared_dir(spark)
+        edges = materialize(_small_star(_large_star(edges)), path)
+        discard(spark, before)
         now = edges.agg(F.count("*").alias("n"), F.count_distinct("b").alias("roots"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
             break
