@@ -14,8 +14,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver'
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("events", "embeddings", "lineitem"):
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for f in os.listdir(SF):
+        c.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
     return c
 
 
