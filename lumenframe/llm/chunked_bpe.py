@@ -122,7 +122,7 @@ def _encode_whole(path: str):
 
 
 def _cut(chunk: int, overlap: int):
-    """(doc, k, last, doc_id, start, text) chunks of rows (doc, doc_id, text); the last one is longer than the overlap."""
+    """(doc, k, last, doc_id, start, stop, text) chunks of rows (doc, doc_id, text); the last one is longer than the overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +131,8 @@ def _cut(chunk: int, overlap: int):
                 starts = range(0, max(len(text) - overlap, 1), chunk - overlap)
                 one = pa.array(np.zeros(len(starts), np.int64) + i)
                 k = pa.array(range(len(starts)), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(one), k, k, batch.column(1).take(one), pa.array(starts, pa.int64()), pa.array([text[s : s + chunk] for s in starts], pa.string())], names=["doc", "k", "last", "doc_id", "start", "text"])
+                stops = pa.array([min(s + chunk, len(text)) for s in starts], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(one), k, k, batch.column(1).take(one), pa.array(starts, pa.int64()), stops, pa.array([text[s : s + chunk] for s in starts], pa.string())], names=["doc", "k", "last", "doc_id", "start", "stop", "text"])
 
     return run
 
@@ -152,16 +153,16 @@ def _join(overlap: int):
         rows = rows.sort_by("k")
         parts = rows.column("text").to_pylist()
         text = parts[0] + "".join(p[overlap:] for p in parts[1:])
-        first = rows.slice(0, 1)
-        return pa.table([first["doc"], first["k"], rows.slice(rows.num_rows - 1)["last"], first["doc_id"], first["start"], pa.array([text], pa.string()), pa.array([begins(text)], pa.list_(pa.int32()))], ["doc", "k", "last", "doc_id", "start", "text", "cuts"])
+        first, end = rows.slice(0, 1), rows.slice(rows.num_rows - 1)
+        return pa.table([first["doc"], first["k"], end["last"], first["doc_id"], first["start"], end["stop"], pa.array([text], pa.string()), pa.array([begins(text)], pa.list_(pa.int32()))], ["doc", "k", "last", "doc_id", "start", "stop", "text", "cuts"])
 
     return run
 
 
 def stitches(chunks: DataFrame, overlap: int) -> DataFrame:
     """(doc, k, at) of every chunk but a text's first: where it and its predecessor first agree, null if nowhere."""
-    size, at = F.length("text"), F.transform("cuts", lambda c: F.col("start") + c)
-    ends = chunks.select("doc", "k", "last", F.filter(at, lambda c: c < F.col("start") + overlap).alias("head"), F.filter(at, lambda c: c.between(F.col("start") + size - overlap, F.col("start") + size - MARGIN)).alias("tail"))
+    at = chunks.select("doc", "k", "last", "start", "stop", F.transform("cuts", lambda c: F.col("start") + c).alias("at"))
+    ends = at.select("doc", "k", "last", F.filter("at", lambda c: c < F.col("start") + overlap).alias("head"), F.filter("at", lambda c: c.between(F.col("stop") - overlap, F.col("stop") - MARGIN)).alias("tail"))
     before, after = ends.select("doc", (F.col("last") + 1).alias("k"), "tail"), ends.where("k > 0").select("doc", "k", "head")
     return after.join(before, ["doc", "k"]).select("doc", "k", F.array_min(F.array_intersect("tail", "head")).alias("at"))
 
@@ -186,9 +187,9 @@ def _encode_pieces(path: str):
 
 
 def stitched_chunks(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """Chunks (doc, k, doc_id, start, text, cuts, begin, end) of (doc, doc_id, text): each one's own pre-tokens begin from begin to before end."""
+    """Chunks (doc, k, doc_id, start, stop, text, cuts, begin, end) of (doc, doc_id, text): each one's own pre-tokens begin from begin to before end."""
     kind = dict(texts.dtypes)["doc_id"]
-    fields = f"doc long, k long, last long, doc_id {kind}, start long, text string"
+    fields = f"doc long, k long, last long, doc_id {kind}, start long, stop long, text string"
     path = shared_dir(texts.sparkSession)
     chunks = materialize(texts.select("doc", "doc_id", "text").mapInArrow(_cut(chunk, overlap), fields).repartition("doc", "k").mapInArrow(_pretokenise, f"{fields}, cuts array<int>"), path)
     while True:
