@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import labels, more, probe, signals, spatial  # noqa: F401
+from .plans import containers, labels, more, probe, signals, spatial  # noqa: F401
 from .plans.common import ORACLE_SQL, QUERIES  # noqa: F401
