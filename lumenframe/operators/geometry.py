@@ -233,74 +233,6 @@ def smooth(faces: DataFrame, vertices: DataFrame, rounds: int = 10, grow: float
     return vertices
 
 
-def geodesic_distance(faces: DataFrame, vertices: DataFrame, sources: list[int], m: float = 1.0, rounds: int = 2000) -> dict[int, float]:
-    """Distance to the nearest source by the heat method: conjugate gradients on the mesh's sparse matrices.
-
-    The mesh of one head comes to the driver as index arrays (some hundred thousand vertices).
-    """
-    ids = np.array([r[0] for r in vertices.select("vertex").orderBy("vertex").collect()])
-    at = {v: i for i, v in enumerate(ids.tolist())}
-    lap = laplacian(faces, vertices).toPandas()
-    rows, cols, w = lap["i"].map(at).to_numpy(), lap["j"].map(at).to_numpy(), lap["weight"].to_numpy()
-    area = np.zeros(len(ids))
-    for r in vertex_areas(faces, vertices).collect():
-        area[at[r["vertex"]]] = r["area"]
-    h = average_edge_length(faces, vertices).first()["length"]
-    mul = lambda x: np.bincount(rows, w * x[cols], len(ids))
-    heat = np.zeros(len(ids))
-    heat[[at[s] for s in sources]] = 1.0
-    t = m * h * h
-    u = _cg(lambda x: area * x - t * mul(x), heat, rounds)
-    spark = faces.sparkSession
-    g = surface_gradient(faces, vertices, spark.createDataFrame([(int(v), float(x)) for v, x in zip(ids, u, strict=True)], "vertex long, value double"))
-    size = F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2 + F.col("gz") ** 2)
-    unit = g.select("face", *[(-F.coalesce(F.try_divide(F.col(f"g{c}"), size), F.lit(0.0))).alias(f"g{c}") for c in "xyz"])
-    f = corners(faces, vertices).join(unit, "face")
-    gv = [F.col(f"g{c}") for c in "xyz"]
-    parts = []
-    for p, q, r in ("abc", "bca", "cab"):
-        e1, e2 = _edge(p, q), _edge(p, r)
-        cot = lambda x, y: F.coalesce(F.try_divide(_dot(x, y), F.sqrt(_dot(_cross(x, y), _cross(x, y)))), F.lit(0.0))
-        at_r, at_q = cot(_edge(r, p), _edge(r, q)), cot(_edge(q, p), _edge(q, r))
-        parts.append(F.struct(F.col(p).alias("v"), ((at_r * _dot(e1, gv) + at_q * _dot(e2, gv)) / 2).alias("d")))
-    div = np.zeros(len(ids))
-    for r in f.select(F.explode(F.array(*parts)).alias("e")).groupBy("e.v").agg(F.sum("e.d").alias("d")).collect():
-        div[at[r["v"]]] = r["d"]
-    phi = _cg(lambda x: -mul(x), -(div - div.mean()), rounds)
-    phi -= phi.min()
-    return dict(zip(ids.tolist(), phi.tolist(), strict=True))
-
-
-def _cg(a, b: np.ndarray, rounds: int, tol: float = 1e-12) -> np.ndarray:
-    x, r = np.zeros_like(b), b.copy()
-    p, rs = r.copy(), float(r @ r)
-    for _ in range(rounds):
-        if rs <= tol * max(float(b @ b), 1e-300):
-            break
-        ap = a(p)
-        alpha = rs / max(float(p @ ap), 1e-300)
-        x, r = x + alpha * p, r - alpha * ap
-        new = float(r @ r)
-        p, rs = r + new / rs * p, new
-    return x
-
-
-def geodesic_path(faces: DataFrame, distances: dict[int, float], start: int, longest: int = 1000) -> list[int]:
-    """Vertices from start downhill to a source."""
-    near: dict[int, list[int]] = {}
-    for r in edges(faces).collect():
-        near.setdefault(r["i"], []).append(r["j"])
-        near.setdefault(r["j"], []).append(r["i"])
-    path = [start]
-    while True:
-        best = min(near.get(path[-1], ()), key=distances.__getitem__, default=None)
-        if best is None or distances[best] >= distances[path[-1]]:
-            return path
-        if len(path) == longest:
-            raise RuntimeError("the path is longer than allowed")
-        path.append(best)
-
-
 def voxels_from_segmentation(volume: DataFrame, types: list[str]) -> DataFrame:
     return volume.where(F.col("seg_type").isin(types) & (F.col("label") > 0)).select("i", "j", "k").distinct()
 

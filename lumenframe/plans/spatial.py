@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import transforms
-from ..operators import decomposition, geometry, imaging
+from ..operators import decomposition, geodesics, geometry, imaging
 from .common import query, r
 from .tables import ADOT, COEF, FACES, GEO, adot, faces, geo, spectrum, ts
 
@@ -136,10 +136,43 @@ def surface_gradient(spark, d):
     return geometry.surface_gradient(faces(spark, d), g, g.select("vertex", F.col("x").alias("value")))
 
 
+def source(spark, d):
+    return geo(spark, d).where("vertex = 0").select("vertex")
+
+
 @query()
 def geodesic_distance(spark, d):
-    dist = geometry.geodesic_distance(faces(spark, d), geo(spark, d), [0])
-    return spark.createDataFrame([(k, float(v)) for k, v in dist.items()], "vertex long, distance double")
+    """Along the strip of triangles, which is numbered along, from its first vertex."""
+    return geodesics.geodesic_distance(faces(spark, d), geo(spark, d), source(spark, d), by=F.col("a"))
+
+
+STRIP = """st AS (SELECT v.vertex AS v, sqrt((v.x-p.x)*(v.x-p.x)+(v.y-p.y)*(v.y-p.y)+(v.z-p.z)*(v.z-p.z)) AS e1, sqrt((v.x-q.x)*(v.x-q.x)+(v.y-q.y)*(v.y-q.y)+(v.z-q.z)*(v.z-q.z)) AS e2 FROM geo v LEFT JOIN geo p ON p.vertex = v.vertex - 1 LEFT JOIN geo q ON q.vertex = v.vertex - 2),
+sp AS (SELECT 0::BIGINT AS v, 0.0::DOUBLE AS d, 'inf'::DOUBLE AS before UNION ALL SELECT st.v, least(sp.d + e1, sp.before + coalesce(e2, 'inf')), sp.d FROM sp JOIN st ON st.v = sp.v + 1)"""
+
+
+@query(f"WITH RECURSIVE {GEO}, {STRIP} SELECT v AS vertex, {r('d', 'distance')} FROM sp")
+def edge_distance(spark, d):
+    """The shortest way that follows edges, by the same rounds."""
+    return geodesics.geodesic_distance(faces(spark, d), geo(spark, d), source(spark, d), by=F.col("a"), through_faces=False)
+
+
+@query(f"WITH RECURSIVE {GEO}, {STRIP}, o AS (SELECT x, y, z FROM geo WHERE vertex = 0) SELECT v AS vertex, {r('sqrt((g.x-o.x)*(g.x-o.x)+(g.y-o.y)*(g.y-o.y)+(g.z-o.z)*(g.z-o.z))', 'straight')}, {r('d', 'edges')}, TRUE AS between FROM sp JOIN geo g ON g.vertex = v, o")
+def geodesic_bounds(spark, d):
+    """The way across faces is no shorter than the straight line and no longer than the way along edges."""
+    g, f = geo(spark, d), faces(spark, d)
+    over = geodesics.geodesic_distance(f, g, source(spark, d), by=F.col("a"))
+    edge = geodesics.geodesic_distance(f, g, source(spark, d), by=F.col("a"), through_faces=False).withColumnRenamed("distance", "edges")
+    at = g.where("vertex = 0").select(*[F.col(c).alias(f"_{c}") for c in "xyz"])
+    straight = g.crossJoin(F.broadcast(at)).select("vertex", F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in "xyz"), F.lit(0.0))).alias("straight"))
+    return straight.join(edge, "vertex").join(over, "vertex").select("vertex", "straight", "edges", F.col("distance").between(F.col("straight") - 1e-9, F.col("edges") + 1e-9).alias("between"))
+
+
+@query()
+def geodesic_path(spark, d):
+    """Down from every vertex whose number divides by 50."""
+    g, f = geo(spark, d), faces(spark, d)
+    distances = geodesics.geodesic_distance(f, g, source(spark, d), by=F.col("a"))
+    return geodesics.geodesic_path(f, distances, g.where("vertex % 50 = 0").select("vertex"), longest=1_000_000)
 
 
 @query(f"WITH {ADOT}, {COEF} SELECT channel, wavelength, chromo, vertex, {r('value * coef', 'value')} FROM adot JOIN coef USING (wavelength)")
