@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.schema import spectral
-from ..functions.signal import ar_fit
+from ..functions.linear_models import recursive, solve, student_quantile, student_two_sided
 
 
 def drift_regressors(times: DataFrame, order: int) -> DataFrame:
@@ -82,74 +82,25 @@ def max_corr_short_channel(ts_long: DataFrame, ts_short: DataFrame) -> DataFrame
 RESULT = "regressors array<string>, params array<double>, bse array<double>, cov array<double>, df_resid double, sigma2 double"
 
 
-def _ols(y: np.ndarray, x: np.ndarray, w: np.ndarray | None = None):
-    xw, yw = (x, y) if w is None else (x * np.sqrt(w)[:, None], y * np.sqrt(w))
-    inv = np.linalg.pinv(xw.T @ xw)
-    b = inv @ xw.T @ yw
-    e = yw - xw @ b
-    df = max(len(y) - x.shape[1], 1)
-    s2 = float(e @ e) / df
-    return b, s2 * inv, df, s2
-
-
-def _huber(y: np.ndarray, x: np.ndarray, k: float = 1.345):
-    w = np.ones(len(y))
-    b = np.zeros(x.shape[1])
-    for _ in range(50):
-        old, (b, *_rest) = b, _ols(y, x, w)
-        e = y - x @ b
-        s = np.median(np.abs(e - np.median(e))) / 0.6744897501960817 or 1.0
-        w = np.minimum(1.0, k / np.maximum(np.abs(e) / s, 1e-12))
-        if np.abs(b - old).max(initial=0) < 1e-8:
-            break
-    return (b, *_ols(y, x, w)[1:])
-
-
-def _filtered(v: np.ndarray, a: np.ndarray) -> np.ndarray:
-    return np.convolve(v - v[0], np.r_[1, -a])[: len(v)] + v[0] * (1 - a.sum() if len(a) else 1)
-
-
-def solve(y: np.ndarray, x: np.ndarray, noise: str, ar_order: int = 30):
-    """(params, covariance, degrees of freedom, residual variance)."""
-    ok = np.isfinite(y)
-    y, x = y[ok], x[ok]
-    if noise == "ols":
-        return _ols(y, x)
-    if noise == "wls":
-        return _ols(y, x, np.ones(len(y)))
-    if noise == "rls":
-        return _huber(y, x)
-    if noise in ("gls", "glsar"):
-        b, out = _ols(y, x)[0], None
-        for _ in range(1 if noise == "gls" else 4):
-            e = y - x @ b
-            rho = float(e[1:] @ e[:-1] / max(e[:-1] @ e[:-1], 1e-300))
-            lead = math.sqrt(max(1 - rho * rho, 1e-12)) if noise == "gls" else None
-            first = (lambda v: np.concatenate([v[:1] * lead, v[1:] - rho * v[:-1]])) if lead else (lambda v: v[1:] - rho * v[:-1])
-            out = _ols(first(y), first(x))
-            b = out[0]
-        return out
-    if noise == "ar_irls":
-        b, out = _huber(y, x)[0], None
-        for _ in range(4):
-            a = ar_fit(y - x @ b, ar_order)
-            out = _huber(_filtered(y, a), np.column_stack([_filtered(x[:, j], a) for j in range(x.shape[1])]))
-            b = out[0]
-        return out
-    raise NotImplementedError(noise)
+def packed(ts: DataFrame, design: DataFrame) -> DataFrame:
+    """(channel, spectral label, y, x, regressors, samples): each trace with its rows of the design, in order of the sample."""
+    keys = ["channel", *spectral(ts)]
+    shared = [k for k in keys if k in design.columns]
+    row = design.groupBy("sample", *shared).agg(F.array_sort(F.collect_list(F.struct("regressor", F.col("value").alias("x")))).alias("xs"))
+    both = ts.select(*keys, "sample", "value").join(row, ["sample", *shared])
+    cells = both.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample", "value", "xs"))).alias("c"))
+    return cells.select(*keys, F.col("c.value").alias("y"), F.transform("c", lambda c: c["xs"]["x"]).alias("x"), F.col("c")[0]["xs"]["regressor"].alias("regressors"), F.col("c.sample").alias("samples"))
 
 
 def fit(ts: DataFrame, design: DataFrame, noise: str = "ols", ar_order: int = 30) -> DataFrame:
     """One row per channel and spectral label: regressors, params, bse, cov, df_resid, sigma2.
 
+    noise: ols, wls (equal weights), rls (recursive), gls (correlation falling with the distance), glsar
+    (autoregression of ar_order) or ar_irls (robust, autoregression of up to ar_order); see functions.linear_models.
     design: (sample, regressor, value), with channel or the spectral label where regressors differ.
     Each trace is one group, so a task holds one trace and its regressors.
     """
-    keys = ["channel", *spectral(ts)]
-    shared = [k for k in keys if k in design.columns]
-    row = design.groupBy("sample", *shared).agg(F.array_sort(F.collect_list(F.struct("regressor", F.col("value").alias("x")))).alias("xs"))
-    both = ts.select(*keys, "sample", "value").join(row, ["sample", *shared])
-    packed = both.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample", "value", "xs"))).alias("c")).select(*keys, F.col("c.value").alias("y"), F.transform("c", lambda c: c["xs"]["x"]).alias("x"), F.col("c")[0]["xs"]["regressor"].alias("regressors"))
+    keys, traces = ["channel", *spectral(ts)], packed(ts, design).drop("samples")
     kinds = dict(ts.dtypes)
 
     def run(batches):
@@ -163,7 +114,30 @@ def fit(ts: DataFrame, design: DataFrame, noise: str = "ols", ar_order: int = 30
                 out[name] = [r[i] for r in rows]
             yield out
 
-    return packed.mapInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + RESULT)
+    return traces.mapInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + RESULT)
+
+
+def recursive_coefficients(ts: DataFrame, design: DataFrame) -> DataFrame:
+    """(channel, spectral label, sample, regressor, param, residual): the parameters after each sample, and its recursive residual.
+
+    Samples that do not determine all parameters yet are left out; the first that do have a null residual.
+    """
+    keys, kinds = ["channel", *spectral(ts)], dict(ts.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                y, x = np.asarray(row.y, float), np.vstack([np.asarray(r, float) for r in row.x])
+                ok = np.isfinite(y)
+                _, paths, residuals = recursive(y[ok], x[ok])
+                known = np.isfinite(paths).all(1)
+                n, k = int(known.sum()), x.shape[1]
+                e = residuals[known]
+                out = {c: [getattr(row, c)] * (n * k) for c in keys}
+                out |= {"sample": np.repeat(np.asarray(row.samples)[ok][known], k), "regressor": list(row.regressors) * n, "param": paths[known].reshape(-1), "residual": np.repeat(np.where(np.isnan(e), None, e), k)}
+                yield pd.DataFrame(out)
+
+    return packed(ts, design).mapInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + "sample long, regressor string, param double, residual double")
 
 
 def fit_line(ts: DataFrame) -> DataFrame:
@@ -181,33 +155,12 @@ def coefficients(results: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([student_two_sided(a, b) if a == a and a is not None else None for a, b in zip(t, df, strict=True)])
+        p = student_two_sided(t.to_numpy(float), df.to_numpy(float))
+        return pd.Series(np.where(np.isnan(p), None, p), dtype=object)
 
     return flat.withColumn("p", p_value("t", "df_resid")).drop("df_resid")
 
 
-def student_two_sided(t: float, df: float) -> float:
-    """P(|T| >= |t|), by the continued fraction of the incomplete beta function."""
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x >= 1:
-        return 1.0
-    flip = x > (a + 1) / (a + b + 2)
-    if flip:
-        x, a, b = 1 - x, b, a
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(max(x, 1e-300)) + b * math.log(max(1 - x, 1e-300))) / a
-    c, d, f = 1.0, 0.0, 1.0
-    for i in range(400):
-        m = i // 2
-        num = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / ((1 + num * d) or 1e-300)
-        c = (1 + num / c) or 1e-300
-        f *= c * d
-        if abs(c * d - 1) < 1e-12:
-            break
-    p = front * (f - 1)
-    return 1 - p if flip else p
-
-
 def predict(design: DataFrame, params: DataFrame) -> DataFrame:
     """(keys, sample, value): sum over regressors of design times param. params: keys, regressor, param."""
     keys = [c for c in params.columns if c not in ("regressor", "param")]
@@ -221,23 +174,14 @@ def design_groups(design: DataFrame) -> DataFrame:
     return cells.select("channel", F.xxhash64("c").alias("group"))
 
 
-def student_quantile(p: float, df: float) -> float:
-    """t with P(|T| >= t) = 1 - p, by bisection."""
-    lo, hi = 0.0, 1e3
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if student_two_sided(mid, df) > 1 - p else (lo, mid)
-    return (lo + hi) / 2
-
-
 def confidence_intervals(results: DataFrame, level: float = 0.95) -> DataFrame:
     """(keys, regressor, low, high)."""
     keys = [c for c in results.columns if c not in ("regressors", "params", "bse", "cov", "df_resid", "sigma2")]
 
     @F.pandas_udf("double")
     def width(df: pd.Series) -> pd.Series:
-        known = {v: student_quantile(level, v) for v in df.unique()}
-        return df.map(known)
+        values, at = np.unique(df.to_numpy(float), return_inverse=True)
+        return pd.Series(student_quantile(level, values)[at])
 
     rows = results.select(*keys, width("df_resid").alias("_q"), F.explode(F.arrays_zip(F.col("regressors").alias("regressor"), F.col("params").alias("param"), F.col("bse").alias("se"))).alias("c"))
     return rows.select(*keys, "c.regressor", (F.col("c.param") - F.col("_q") * F.col("c.se")).alias("low"), (F.col("c.param") + F.col("_q") * F.col("c.se")).alias("high"))
@@ -254,12 +198,9 @@ def contrast(results: DataFrame, weights: dict[str, float]) -> DataFrame:
             for names, b, cov, df in zip(pdf["regressors"], pdf["params"], pdf["cov"], pdf["df_resid"], strict=True):
                 c = np.array([weights.get(n, 0.0) for n in names])
                 effect, sd = float(c @ np.asarray(b)), math.sqrt(max(float(c @ np.asarray(cov).reshape(len(c), -1) @ c), 0.0))
-                t = effect / sd if sd else math.nan
-                rows.append((effect, sd, t, student_two_sided(t, df) if sd else math.nan))
-            out = pdf[keys].copy()
-            for i, name in enumerate(("effect", "sd", "t", "p")):
-                out[name] = [r[i] for r in rows]
-            yield out
+                rows.append((effect, sd, effect / sd if sd else math.nan, df))
+            effect, sd, t, df = np.array(rows, float).reshape(-1, 4).T
+            yield pdf[keys].assign(effect=effect, sd=sd, t=t, p=student_two_sided(t, df))
 
     return results.mapInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + "effect double, sd double, t double, p double")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..core.schema import pack, trace_keys
 from ..functions import signal
+from ..functions.linear_models import autoregression
 from . import quality
 
 
@@ -94,16 +95,17 @@ def ar_whiten(ts: DataFrame, top: int = 12) -> DataFrame:
 
 
 def fit_ar_coefs(ts: DataFrame, top: int = 12) -> DataFrame:
-    """(trace keys, lag, coef)."""
+    """(trace keys, lag, coef): lag 0 is the intercept of the trace less its mean; a trace of white noise has no other."""
     keys = trace_keys(ts)
 
     def run(batches):
         for pdf in batches:
-            pdf["coefs"] = [signal.ar_fit(np.asarray(v, float), top) for v in pdf["values"]]
+            fits = [autoregression(np.asarray(v, float), top) for v in pdf["values"]]
+            pdf["coefs"] = [np.r_[constant, lags] for constant, lags in fits]
             yield pdf[[*keys, "coefs"]]
 
     out = pack(ts).select(*keys, "values").mapInPandas(run, _types(ts, keys) + "coefs array<double>")
-    return out.select(*keys, F.posexplode("coefs").alias("lag", "coef")).withColumn("lag", F.col("lag") + 1)
+    return out.select(*keys, F.posexplode("coefs").alias("lag", "coef"))
 
 
 def resample(ts: DataFrame, fs: float = 4.0) -> DataFrame:

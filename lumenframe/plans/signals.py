@@ -522,4 +522,54 @@ def glm_ar_irls(spark, d):
 
 @query()
 def glm_glsar(spark, d):
-    return glm.coefficients(glm.fit(ts(spark, d), design(spark, d), "glsar"))
+    return glm.coefficients(glm.fit(ts(spark, d), design(spark, d), "glsar", 3))
+
+
+@query()
+def glm_gls(spark, d):
+    return glm.coefficients(glm.fit(ts(spark, d), design(spark, d), "gls"))
+
+
+def line(spark, d):
+    """A constant, the sample over 64, and its square."""
+    x = F.col("sample") / 64
+    rows = times(spark, d).select("sample", F.explode(F.array(*[F.struct(F.lit(n).alias("regressor"), v.cast("double").alias("value")) for n, v in (("a", F.lit(1.0)), ("b", x), ("c", x * x))])).alias("r"))
+    return rows.select("sample", "r.*")
+
+
+NORMAL = f"""m AS (SELECT {KEYS}, count(*)::DOUBLE AS n, sum(x) AS s1, sum(x*x) AS s2, sum(x*x*x) AS s3, sum(x*x*x*x) AS s4, sum(y) AS t0, sum(x*y) AS t1, sum(x*x*y) AS t2 FROM (SELECT {KEYS}, sample / 64.0::DOUBLE AS x, value AS y FROM ts) GROUP BY {KEYS} HAVING count(*) > 6),
+inv AS (SELECT *, s2*s4-s3*s3 AS c00, s2*s3-s1*s4 AS c01, s1*s3-s2*s2 AS c02, n*s4-s2*s2 AS c11, s1*s2-n*s3 AS c12, n*s2-s1*s1 AS c22, n*(s2*s4-s3*s3)-s1*(s1*s4-s3*s2)+s2*(s1*s3-s2*s2) AS det FROM m),
+b AS (SELECT *, (c00*t0+c01*t1+c02*t2)/det AS b0, (c01*t0+c11*t1+c12*t2)/det AS b1, (c02*t0+c12*t1+c22*t2)/det AS b2 FROM inv),
+e AS (SELECT {KEYS}, sum(pow(value - b0 - b1 * sample / 64.0 - b2 * sample * sample / 4096.0, 2)) AS ssr FROM ts JOIN b USING (channel, wavelength) GROUP BY {KEYS}),
+se AS (SELECT b.*, ssr / (n - 3) AS v FROM b JOIN e USING (channel, wavelength))"""
+LINE_SQL = f"""WITH {TS}, {NORMAL} SELECT {KEYS}, u.regressor AS regressor, round(u.param + 1.3e-8, 5) + 0.0 AS param, round(u.bse + 1.3e-8, 5) + 0.0 AS bse
+FROM (SELECT {KEYS}, unnest([{{'regressor': 'a', 'param': b0, 'bse': sqrt(v*c00/det)}}, {{'regressor': 'b', 'param': b1, 'bse': sqrt(v*c11/det)}}, {{'regressor': 'c', 'param': b2, 'bse': sqrt(v*c22/det)}}]) AS u FROM se)"""
+
+
+def fitted_line(spark, d, noise):
+    """Coefficients and their errors of traces of more than six samples."""
+    x = ts(spark, d)
+    long = x.groupBy("channel", "wavelength").count().where("count > 6").drop("count")
+    c = glm.coefficients(glm.fit(x.join(long, ["channel", "wavelength"]), line(spark, d), noise))
+    five = lambda k: (F.round(F.col(k) + 1.3e-8, 5) + F.lit(0.0)).alias(k)
+    return c.select("channel", "wavelength", "regressor", five("param"), five("bse"))
+
+
+@query(LINE_SQL)
+def glm_ols_line(spark, d):
+    return fitted_line(spark, d, "ols")
+
+
+@query(LINE_SQL)
+def glm_rls_line(spark, d):
+    """Sample by sample; the last estimate and its error are those of the normal equations."""
+    return fitted_line(spark, d, "rls")
+
+
+@query(f"""WITH {TS}, m AS (SELECT {KEYS}, sample, count(*) OVER w AS n, avg(sample + 1) OVER w AS mx, regr_slope(value, sample + 1) OVER w AS slope, avg(value) OVER w AS my FROM ts WINDOW w AS ({WO}))
+SELECT {KEYS}, sample, u.regressor AS regressor, round(u.param + 1.3e-8, 5) + 0.0 AS param FROM (SELECT {KEYS}, sample, unnest([{{'regressor': 'one', 'param': my - slope * mx}}, {{'regressor': 'x', 'param': slope}}]) AS u FROM m WHERE n > 1)""")
+def glm_recursive_path(spark, d):
+    """Constant and slope after each sample of every trace."""
+    rows = F.explode(F.array(F.struct(F.lit("one").alias("regressor"), F.lit(1.0).alias("value")), F.struct(F.lit("x").alias("regressor"), (F.col("sample") + 1).cast("double").alias("value"))))
+    path = glm.recursive_coefficients(ts(spark, d), times(spark, d).select("sample", rows.alias("r")).select("sample", "r.*"))
+    return path.select("channel", "wavelength", "sample", "regressor", (F.round(F.col("param") + 1.3e-8, 5) + F.lit(0.0)).alias("param"))

@@ -257,22 +257,6 @@ def test_kernels_keep_cells_and_refuse_streams(spark):
         kernels.freq_filter(spark.readStream.format("rate").load().selectExpr("'a' channel", "value sample", "1.0D time", "1.0D value"), 10.0, 0, 1.0)
 
 
-def test_glm_solvers(spark):
-    rng = np.random.default_rng(2)
-    n = 200
-    x = np.column_stack([np.ones(n), np.linspace(0, 1, n), np.sin(np.arange(n) / 9)])
-    beta, noise = np.array([2.0, -1.0, 0.5]), rng.normal(size=n) * 0.1
-    y = x @ beta + noise
-    for kind in ("ols", "wls", "rls", "gls", "glsar", "ar_irls"):
-        assert glm.solve(y, x, kind, 5)[0] == pytest.approx(beta, abs=0.15), kind
-    y[::20] += 30
-    assert glm.solve(y, x, "rls")[0] == pytest.approx(beta, abs=0.2)
-    with pytest.raises(NotImplementedError):
-        glm.solve(y, x, "other")
-    assert glm.student_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-6)
-    assert glm.student_two_sided(0.0, 5) == pytest.approx(1.0)
-
-
 def test_glm_fit_and_predict(spark):
     n = 50
     ts = series(spark, {("a", 760): [1 + 2 * (i + 1) / n for i in range(n)]})
