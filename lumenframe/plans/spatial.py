@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import transforms
 from ..operators import decomposition, geodesics, geometry, imaging
+from ..operators import landmarks as landmark_lines
 from .common import query, r
 from .tables import ADOT, COEF, FACES, GEO, adot, faces, geo, spectrum, ts
 
@@ -103,6 +104,17 @@ def vertex_normals(spark, d):
 ED = "ed AS (SELECT least(p, q) AS i, greatest(p, q) AS j, count(*) AS n FROM (SELECT a AS p, b AS q FROM faces UNION ALL SELECT b, c FROM faces UNION ALL SELECT c, a FROM faces) GROUP BY ALL)"
 
 
+@query(f"""WITH {MESH}, di AS (SELECT vertex, z - 0.25 * x AS d, x, y, z FROM geo), si AS (SELECT face, p.d >= 0 AS pu, q.d >= 0 AS qu, s.d >= 0 AS su, p, q, s FROM faces JOIN di p ON p.vertex = a JOIN di q ON q.vertex = b JOIN di s ON s.vertex = c),
+al AS (SELECT face, CASE WHEN pu <> qu AND pu <> su THEN [p, q, s] WHEN qu <> pu AND qu <> su THEN [q, s, p] WHEN su <> pu AND su <> qu THEN [s, p, q] END AS t FROM si)
+SELECT face, least(t[1].vertex, t[2].vertex) AS i1, greatest(t[1].vertex, t[2].vertex) AS j1, {r('t[1].x + t[1].d / (t[1].d - t[2].d) * (t[2].x - t[1].x)', 'x1')}, {r('t[1].z + t[1].d / (t[1].d - t[2].d) * (t[2].z - t[1].z)', 'z1')},
+  least(t[1].vertex, t[3].vertex) AS i2, greatest(t[1].vertex, t[3].vertex) AS j2, {r('t[1].x + t[1].d / (t[1].d - t[3].d) * (t[3].x - t[1].x)', 'x2')}, {r('t[1].z + t[1].d / (t[1].d - t[3].d) * (t[3].z - t[1].z)', 'z2')} FROM al WHERE t IS NOT NULL""")
+def surface_cut(spark, d):
+    """Where the plane z = x / 4 crosses the surface."""
+    line = (np.zeros(3), np.array([4.0, 0.0, 1.0]), np.array([0.0, 1.0, 0.0]))
+    cut = landmark_lines.plane_cut(geometry.corners(faces(spark, d), geo(spark, d)), {"slope": line})
+    return cut.select("face", "i1", "j1", "x1", "z1", "i2", "j2", "x2", "z2")
+
+
 @query(f"WITH {MESH}, {ED} SELECT i, j, n FROM ed")
 def surface_edges(spark, d):
     return geometry.edges(faces(spark, d))
