@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..core.scratch import scratch_dir
-from ..sources import snirf
+from ..operators import geometry
+from ..sources import nifti, nirs, snirf
 from .common import query, r
 from .tables import TS, read, ts
 
@@ -78,3 +80,79 @@ def snirf_aux(spark, d):
 @query(f"SELECT {FILE} AS file, 'MeasurementCount' AS name, count(*)::VARCHAR AS value FROM events GROUP BY 1 UNION ALL SELECT DISTINCT {FILE}, 'LengthUnit', 'mm' FROM events")
 def snirf_tags(spark, d):
     return recordings(spark, d)["tags"].select("file", "name", "value")
+
+
+AFFINE = np.array([[2.0, 0, 0, -20], [0, 0, 1.5, 4], [0, -1.0, 0, 30], [0, 0, 0, 1]])
+SHAPE = (40, 30, 50)
+CELLS = "SELECT event_type AS seg_type, user_id % 40 AS i, event_id % 30 AS j, (event_id // 30) % 50 AS k FROM events"
+
+
+def volumes(spark, d, compressed: bool = False):
+    """Where NIfTI masks of events lie: one for each event type, over user and event numbers."""
+    e = read(spark, d, "events")
+    cells = e.select(F.col("event_type").alias("file"), F.pmod("user_id", F.lit(40)).alias("i"), F.pmod("event_id", F.lit(30)).alias("j"), F.pmod(F.floor(F.col("event_id") / 30), F.lit(50)).alias("k"), F.lit(1.0).alias("value"))
+    path = scratch_dir(spark)
+    nifti.write_nifti(path, cells.distinct(), SHAPE, AFFINE, "u1", "aligned", compressed)
+    spark.dataSource.register(nifti.NiftiSource)
+    return path
+
+
+def tissue():
+    return F.regexp_extract("file", r"([^/]+)\.nii(\.gz)?$", 1).alias("seg_type")
+
+
+@query(f"SELECT DISTINCT seg_type, i::INTEGER AS i, j::INTEGER AS j, k::INTEGER AS k, 1.0::DOUBLE AS value FROM ({CELLS})")
+def nifti_voxels(spark, d):
+    return spark.read.format("nifti").load(volumes(spark, d)).select(tissue(), "i", "j", "k", "value")
+
+
+@query(f"SELECT DISTINCT seg_type, 40 AS ni, 30 AS nj, 50 AS nk, 'uint8' AS datatype, 'aligned' AS space, '2.0,0.0,0.0,-20.0,0.0,0.0,1.5,4.0,0.0,-1.0,0.0,30.0,0.0,0.0,0.0,1.0' AS affine FROM ({CELLS})")
+def nifti_headers(spark, d):
+    h = spark.read.format("nifti").option("table", "header").load(volumes(spark, d, True))
+    return h.select(tissue(), "ni", "nj", "nk", "datatype", "space", F.array_join(F.col("affine").cast("array<string>"), ",").alias("affine"))
+
+
+@query(f"SELECT DISTINCT seg_type, i::INTEGER AS i, j::INTEGER AS j, k::INTEGER AS k, {r('2.0 * i - 20', 'x')}, {r('1.5 * k + 4', 'y')}, {r('30.0 - j', 'z')} FROM ({CELLS})")
+def cell_coordinates(spark, d):
+    """World coordinates of the voxels of compressed volumes, by the affine in their headers."""
+    path = volumes(spark, d, True)
+    h = spark.read.format("nifti").option("table", "header").load(path).first()
+    cells = spark.read.format("nifti").load(path).select(tissue(), "i", "j", "k")
+    return geometry.cell_coordinates(cells, np.reshape(h["affine"], (4, 4))).select("seg_type", "i", "j", "k", "x", "y", "z")
+
+
+def nirs_tables(spark, d):
+    """The tables of .nirs files of all traces and events, eight users a file."""
+    u = F.substring("channel", 2, 20).cast("long")
+    s = ts(spark, d).select(file_of(u).alias("file"), (u % 8 + 1).cast("int").alias("source_index"), (u % 3 + 1).cast("int").alias("detector_index"), "wavelength", "sample", "time", "value", u.alias("u"))
+    events = s.where("sample % 7 = 0 AND wavelength = 760").select("file", "sample", F.concat(F.lit("T"), (F.col("u") % 3).cast("string")).alias("trial_type")).distinct()
+    index = F.explode(F.sequence(F.lit(1), F.when(F.col("type") == "source", 8).otherwise(3)))
+    points = s.select("file").distinct().select("file", F.explode(F.array(F.lit("source"), F.lit("detector"))).alias("type")).select("file", "type", index.alias("index"))
+    points = points.withColumns({"x": F.col("index") * 1.5, "y": F.length("type") / 2, "z": F.lit(0.25)})
+    path = scratch_dir(spark)
+    nirs.write_nirs(path, s.drop("u"), events, points)
+    name = F.regexp_extract("file", r"([^/]+)\.nirs$", 1)
+    return {t: df.withColumn("file", name) for t, df in nirs.read_nirs(spark, path).items()}
+
+
+NIRS = f"""{TS}, ns AS (SELECT 'r' || (u // 8) AS file, 'S' || (u % 8 + 1) AS source, 'D' || (u % 3 + 1) AS detector, u % 8 AS si, u % 3 AS di, u, wavelength, sample, time, value FROM (SELECT *, channel[2:]::BIGINT AS u FROM ts))"""
+
+
+@query(f"WITH {NIRS} SELECT file, source || detector AS channel, source, detector, wavelength, sample, {r('time')}, {r('value')} FROM ns")
+def nirs_timeseries(spark, d):
+    return nirs_tables(spark, d)["timeseries"].where(~F.isnan("value"))
+
+
+@query(f"WITH {NIRS} SELECT DISTINCT file, si::INTEGER AS \"sourceIndex\", di::INTEGER AS \"detectorIndex\", (wavelength > 800)::INTEGER AS \"wavelengthIndex\", wavelength, source || detector AS channel FROM ns")
+def nirs_measurements(spark, d):
+    return nirs_tables(spark, d)["measurements"].select("file", "sourceIndex", "detectorIndex", "wavelengthIndex", "wavelength", "channel")
+
+
+@query(f"WITH {NIRS} SELECT DISTINCT file, {r('time', 'onset')}, 0.0::DOUBLE AS duration, 1.0::DOUBLE AS value, 'T' || (u % 3) AS trial_type FROM ns WHERE sample % 7 = 0 AND wavelength = 760")
+def nirs_stim(spark, d):
+    return nirs_tables(spark, d)["stim"]
+
+
+@query(f"WITH {NIRS}, f AS (SELECT DISTINCT file FROM ns) SELECT file, 'S' || i AS label, 'source' AS type, i * 1.5::DOUBLE AS x, 3.0::DOUBLE AS y, 0.25::DOUBLE AS z, 'mm' AS unit FROM f, range(1, 9) t(i) UNION ALL SELECT file, 'D' || i, 'detector', i * 1.5, 4.0, 0.25, 'mm' FROM f, range(1, 4) t(i)")
+def nirs_geometry(spark, d):
+    return nirs_tables(spark, d)["geometry"].select("file", "label", "type", "x", "y", "z", "unit")
