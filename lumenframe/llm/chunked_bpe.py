@@ -8,8 +8,9 @@ overlap, both agree (they have resynchronised), and there the two are stitched.
 ``MARGIN`` characters of a chunk's end does not count, as the cut may have changed it. Chunks that do
 not meet (a run of letters longer than the overlap) are joined and pre-tokenised again until all
 neighbours meet, so nothing is guessed. By induction from the text's begin every stitch is a begin of
-the whole text's own pre-tokens. Each chunk then encodes its pre-tokens between two stitches, and a
-document's ids are put together in order.
+the whole text's own pre-tokens. Each chunk then encodes its pre-tokens between two stitches (it splits
+its text once more, which costs less than to store and shuffle every begin), and a document's ids are put
+together in order.
 
 Pre-tokens' ids come from the tiktoken library, one pre-token at a time, and are remembered by the task.
 Decoding concatenates the bytes of the ids.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +87,7 @@ class PretokenEncoder:
         known = len(self.code)
         code, counts = self.code, np.array([len(p) for p in pretokens], np.int64)
         number = np.fromiter((code.setdefault(p, len(code)) for part in pretokens for p in part), np.int64, int(counts.sum()))
-        new = [self.one.encode_ordinary(p) for p in list(code)[known:]] if len(code) > known else []
+        new = [self.one.encode_ordinary(p) for p in islice(code, known, None)] if len(code) > known else []
         if new:
             self.flat = np.concatenate([self.flat, np.fromiter((i for p in new for i in p), np.int32, sum(map(len, new)))])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(p) for p in new])])
@@ -137,13 +139,22 @@ def _cut(chunk: int, overlap: int):
     return run
 
 
-def _pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks with the begins of their pre-tokens."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            cuts = pa.array([begins(row.column("text")[0].as_py())], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*row.columns, cuts], names=[*batch.schema.names, "cuts"])
+def _ends(text: str, start: int, overlap: int) -> tuple[list[int], list[int]]:
+    """Begins of pre-tokens that a chunk may share with its predecessor, and with its successor, as places of the whole text."""
+    at, stop = np.array(begins(text)) + start, start + len(text)
+    return at[at < start + overlap].tolist(), at[(at >= stop - overlap) & (at <= stop - MARGIN)].tolist()
+
+
+def _pretokenise(overlap: int):
+    """Chunks with the begins of pre-tokens near their ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [_ends(text.as_py(), start.as_py(), overlap) for text, start in zip(batch.column("text"), batch.column("start"), strict=True)]
+            both = [pa.array([e[i] for e in ends], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *both], names=[*batch.schema.names, "head", "tail"])
+
+    return run
 
 
 def _join(overlap: int):
@@ -154,61 +165,61 @@ def _join(overlap: int):
         parts = rows.column("text").to_pylist()
         text = parts[0] + "".join(p[overlap:] for p in parts[1:])
         first, end = rows.slice(0, 1), rows.slice(rows.num_rows - 1)
-        return pa.table([first["doc"], first["k"], end["last"], first["doc_id"], first["start"], end["stop"], pa.array([text], pa.string()), pa.array([begins(text)], pa.list_(pa.int32()))], ["doc", "k", "last", "doc_id", "start", "stop", "text", "cuts"])
+        both = [pa.array([x], pa.list_(pa.int64())) for x in _ends(text, first["start"][0].as_py(), overlap)]
+        return pa.table([first["doc"], first["k"], end["last"], first["doc_id"], first["start"], end["stop"], pa.array([text], pa.string()), *both], ["doc", "k", "last", "doc_id", "start", "stop", "text", "head", "tail"])
 
     return run
 
 
-def stitches(chunks: DataFrame, overlap: int) -> DataFrame:
+def stitches(chunks: DataFrame) -> DataFrame:
     """(doc, k, at) of every chunk but a text's first: where it and its predecessor first agree, null if nowhere."""
-    at = chunks.select("doc", "k", "last", "start", "stop", F.transform("cuts", lambda c: F.col("start") + c).alias("at"))
-    ends = at.select("doc", "k", "last", F.filter("at", lambda c: c < F.col("start") + overlap).alias("head"), F.filter("at", lambda c: c.between(F.col("stop") - overlap, F.col("stop") - MARGIN)).alias("tail"))
-    before, after = ends.select("doc", (F.col("last") + 1).alias("k"), "tail"), ends.where("k > 0").select("doc", "k", "head")
+    before, after = chunks.select("doc", (F.col("last") + 1).alias("k"), "tail"), chunks.where("k > 0").select("doc", "k", "head")
     return after.join(before, ["doc", "k"]).select("doc", "k", F.array_min(F.array_intersect("tail", "head")).alias("at"))
 
 
 def _encode_pieces(path: str):
     """(doc, k, doc_id, ids) of chunks with the columns begin and end: ids of their pre-tokens between the two."""
 
+    def own(text: str, start: int, begin: int, end: int | None) -> list[str]:
+        at = begins(text)
+        a, b = np.searchsorted(at, [begin - start, len(text) + 1 if end is None else end - start])
+        edges = [*at, len(text)][a : b + 1]
+        return [text[x:y] for x, y in zip(edges, edges[1:], strict=False)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = PretokenEncoder(path)
         for batch in batches:
-            cols = {c: batch.column(c) for c in batch.schema.names}
-            start, begin, end = (cols[c].to_pylist() for c in ("start", "begin", "end"))
-            for i in range(batch.num_rows):
-                text = cols["text"][i].as_py()
-                cuts = np.asarray(cols["cuts"][i].values).astype(np.int64)
-                a, b = np.searchsorted(cuts, [begin[i] - start[i], len(text) + 1 if end[i] is None else end[i] - start[i]])
-                edges = np.r_[cuts, len(text)][a : b + 1].tolist()
-                ids = enc.encode([[text[x:y] for x, y in zip(edges, edges[1:])]])
-                yield pa.RecordBatch.from_arrays([cols[c].slice(i, 1) for c in ("doc", "k", "doc_id")] + [ids], names=["doc", "k", "doc_id", "ids"])
+            texts, start, begin, end = (batch.column(c).to_pylist() for c in ("text", "start", "begin", "end"))
+            for a, b in _groups(texts):
+                ids = enc.encode([own(texts[i], start[i], begin[i], end[i]) for i in range(a, b)])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in ("doc", "k", "doc_id")] + [ids], names=["doc", "k", "doc_id", "ids"])
 
     return run
 
 
 def stitched_chunks(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """Chunks (doc, k, doc_id, start, stop, text, cuts, begin, end) of (doc, doc_id, text): each one's own pre-tokens begin from begin to before end."""
+    """Chunks (doc, k, doc_id, start, stop, text, begin, end, ...) of (doc, doc_id, text): each one's own pre-tokens begin from begin to before end."""
     kind = dict(texts.dtypes)["doc_id"]
     fields = f"doc long, k long, last long, doc_id {kind}, start long, stop long, text string"
     path = shared_dir(texts.sparkSession)
-    chunks = materialize(texts.select("doc", "doc_id", "text").mapInArrow(_cut(chunk, overlap), fields).repartition("doc", "k").mapInArrow(_pretokenise, f"{fields}, cuts array<int>"), path)
+    chunks = materialize(texts.select("doc", "doc_id", "text").mapInArrow(_cut(chunk, overlap), fields).repartition("doc", "k").mapInArrow(_pretokenise(overlap), f"{fields}, head array<long>, tail array<long>"), path)
     while True:
-        met = materialize(stitches(chunks, overlap))
+        met = materialize(stitches(chunks))
         if met.where("at IS NULL").isEmpty():
             break
         # rows of two numbers each: the chunk with which each one is joined, itself where the two before it meet
         own = chunks.select("doc", "k").join(met.select("doc", "k", F.col("at").isNull().alias("apart")), ["doc", "k"], "left")
-        head = F.last(F.when(F.coalesce("apart", F.lit(False)), None).otherwise(F.col("k")), True).over(Window.partitionBy("doc").orderBy("k"))
-        heads = own.select("doc", "k", head.alias("head"))
-        apart = materialize(heads.join(heads.where("head < k").select("doc", "head").distinct(), ["doc", "head"]))
-        joined = chunks.join(apart, ["doc", "k"]).groupBy("doc", "head").applyInArrow(_join(overlap), chunks.schema)
+        root = F.last(F.when(F.coalesce("apart", F.lit(False)), None).otherwise(F.col("k")), True).over(Window.partitionBy("doc").orderBy("k"))
+        roots = own.select("doc", "k", root.alias("root"))
+        apart = materialize(roots.join(roots.where("root < k").select("doc", "root").distinct(), ["doc", "root"]))
+        joined = chunks.join(apart, ["doc", "k"]).groupBy("doc", "root").applyInArrow(_join(overlap), chunks.schema)
         new = shared_dir(texts.sparkSession)
         chunks, old = materialize(chunks.join(apart, ["doc", "k"], "left_anti").unionByName(joined), new), path
         discard(texts.sparkSession, old)
         path = new
     plan = chunks.select("doc", "k", (F.col("last") + 1).alias("next")).join(met.select("doc", "k", F.col("at").alias("begin")), ["doc", "k"], "left")
     plan = plan.join(met.select("doc", F.col("k").alias("next"), F.col("at").alias("end")), ["doc", "next"], "left")
-    return chunks.join(plan.select("doc", "k", F.coalesce("begin", F.lit(0)).alias("begin"), "end"), ["doc", "k"])
+    return chunks.drop("head", "tail").join(plan.select("doc", "k", F.coalesce("begin", F.lit(0)).alias("begin"), "end"), ["doc", "k"])
 
 
 def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text: str = "text") -> DataFrame:
