@@ -570,31 +570,42 @@ def test_descent_separates_and_is_optimal():
     rng = np.random.default_rng(0)
     rows = [np.unique(np.r_[0, rng.integers(10, 50, 5), 60 + i % 2]) for i in range(100)]
     y = np.array([1 if i % 2 else -1 for i in range(100)])
-    alpha, w = quality_classifier.descend(rows, y, np.zeros(100), np.zeros(quality_classifier.BUCKETS), np.ones(quality_classifier.BUCKETS), 300, 10.0)
-    assert all(np.sign(w[r].sum()) == s for r, s in zip(rows, y, strict=True))
-    # no duality gap: the dual objective equals the primal one
-    assert abs(hinge(rows, y, w, 10.0) - (alpha.sum() - 0.5 * w @ w)) < 0.01 * alpha.sum()
-
-
-@pytest.mark.parametrize("block", [4000, 30])
-def test_distributed_descent_reaches_the_optimum(spark, monkeypatch, block):
-    """A few rounds over several blocks close all but 0.5 % of the gap to the descent over all rows at once."""
-    monkeypatch.setattr(quality_classifier, "BLOCK_ROWS", block)
+    alpha, w, gap, _ = quality_classifier.descend(rows, y, np.ones(100), 10.0, 1e-3)
+    assert all(np.sign(w[r].sum()) == s for r, s in zip(rows, y, strict=True)) and gap <= 1e-3
+    best = hinge(rows, y, w, 10.0)
+    assert 0 <= best - (alpha.sum() - 0.5 * w @ w) <= 1e-3 * best  # the dual objective meets it
+    for _ in range(50):
+        assert hinge(rows, y, w + rng.normal(size=100) * 0.1, 10.0) > best * (1 - 1e-3)
+
+
+def test_descent_ends_by_its_gap_on_noisy_labels():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(np.r_[0, rng.integers(10, 90, 6), 95 + i % 2]) for i in range(600)]
+    y = np.array([(1 if i % 2 else -1) * (1 if rng.random() > 0.15 else -1) for i in range(600)])
+    exact = hinge(rows, y, quality_classifier.descend(rows, y, np.ones(100), 10.0, 1e-3)[1], 10.0)
+    for tolerance in (0.2, 0.02):
+        _, w, gap, passes = quality_classifier.descend(rows, y, np.ones(100), 10.0, tolerance)
+        assert gap <= tolerance and exact * (1 - 2e-3) <= hinge(rows, y, w, 10.0) <= exact / (1 - tolerance) and passes > 1
+    with pytest.raises(RuntimeError, match="gap"):
+        quality_classifier.descend(rows, y, np.ones(100), 10.0, 1e-6, 2)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_fit_is_the_descent_over_the_sample(spark, parts):
+    """However the rows are dealt; ratios are counted over all rows, also beyond the sample."""
     docs, labels = labelled(spark, 300)
-    train = quality_classifier.training_rows(docs, labels).orderBy("doc_id")
-    texts = [(r.text, r.label) for r in train.collect()]
+    train = quality_classifier.training_rows(docs, labels).repartition(parts)
+    n = train.count()
     ratio = quality_classifier.log_ratios(train)
-    rows, y = [quality_classifier.features(t.encode()) for t, _ in texts], np.array([2 * k - 1 for _, k in texts])
-    norms = [np.sqrt((ratio[r] ** 2).sum()) for r in rows]
-
-    def loss(w):
-        return 0.5 * w @ w + 10 * sum(max(0.0, 1 - s * (w[r] @ ratio[r]) / n) for r, s, n in zip(rows, y, norms, strict=True))
-
-    whole = quality_classifier.descend(rows, y, np.zeros(len(y)), np.zeros(quality_classifier.BUCKETS), ratio, 200, 10.0)[1]
-    model = quality_classifier.fit(train, rounds=6, passes=5)
-    w = np.divide(model.weights, ratio, out=np.zeros_like(ratio), where=ratio != 0)
-    nothing = loss(np.zeros(quality_classifier.BUCKETS))
-    assert loss(whole) <= loss(w) + 1e-6 and loss(w) - loss(whole) <= 0.005 * (nothing - loss(whole))
+    for rows, most_bytes in ((10_000, 10**9), (50, 10**9), (10_000, 4_000), (10_000, 1)):
+        model = quality_classifier.fit(train, rows, most_bytes)
+        order = sorted(train.select(F.xxhash64("doc_id", "text", F.lit(11)).alias("h"), "text", "label").collect())
+        size = np.cumsum([len(r.text.encode()) for r in order])
+        want = order[: max(1, min(rows, int((size <= most_bytes).sum())))]
+        assert model.n == len(want) <= n and 0 <= model.gap <= quality_classifier.TOLERANCE
+        feats = [quality_classifier.features(r.text.encode()) for r in want]
+        w = quality_classifier.descend(feats, np.array([2 * r.label - 1 for r in want]), ratio, 10.0)[1]
+        assert model.weights == pytest.approx(w * ratio)
 
 
 def lm_rows(spark):
