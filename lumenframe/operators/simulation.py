@@ -29,16 +29,25 @@ def add_artifact_direct(ts: DataFrame, onset: float, duration: float, kind: str,
 
 
 def artifact_scale(ts: DataFrame, window: int = 120) -> DataFrame:
-    """Median over adjacent windows of the peak-to-peak range, per trace."""
-    keys = trace_keys(ts)
-    ranges = ts.groupBy(*keys, F.floor(F.col("sample") / window).alias("_w")).agg((F.max("value") - F.min("value")).alias("_r"))
+    """Median of the peak-to-peak range over windows that are centred on every (window / 2)-th sample, per trace.
+
+    Only windows that lie wholly inside the record and have no gap count; a trace without any has no row.
+    """
+    keys, step = trace_keys(ts), max(window // 2, 1)
+    before, after = window // 2, window - 1 - window // 2
+    # the windows k * step - before ... k * step + after that hold a sample: three at most
+    lowest = F.greatest(F.ceil((F.col("sample") - after) / step), F.lit(0)).cast("long")
+    highest = F.floor((F.col("sample") + before) / step).cast("long")
+    inside = ts.where("value IS NOT NULL").select(*keys, "value", F.explode(F.filter(F.sequence(lowest, F.greatest(lowest, highest)), lambda k: k <= highest)).alias("_w"))
+    ranges = inside.groupBy(*keys, "_w").agg((F.max("value") - F.min("value")).alias("_r"), F.count("*").alias("_n")).where(F.col("_n") == window)
     return ranges.groupBy(*keys).agg(F.percentile("_r", 0.5).alias("scale"))
 
 
 def add_artifacts(ts: DataFrame, events: DataFrame, scale: float = 1.0, window: int = 120, auto: bool = True) -> DataFrame:
     """ts plus all events (onset, duration, trial_type, channel or NULL for all) that lie inside the record.
 
-    In auto mode an artefact is as high as the trace's median range. Events are few and broadcast;
+    In auto mode an artefact is as high as the trace's median range; values of traces too short to have one
+    become NULL. Events are few and broadcast;
     a spike is added to every sample, a baseline shift to those after its onset.
     """
     kinds = [r[0] for r in events.select("trial_type").distinct().limit(len(ARTIFACTS) + 1).collect()]
@@ -55,7 +64,7 @@ def add_artifacts(ts: DataFrame, events: DataFrame, scale: float = 1.0, window:
         shape = F.when(F.col("_k") == k, f(F.col("time"), F.col("_on"), F.col("_d"))).otherwise(shape)
     total = hit.groupBy(*keys, "sample", "time").agg(F.first("value").alias("value"), F.sum(shape).alias("_a"))
     if auto:
-        total = total.join(artifact_scale(ts, window), keys)
+        total = total.join(artifact_scale(ts, window), keys, "left")
     return total.withColumn("value", F.col("value") + scale * (F.col("scale") if auto else F.lit(1.0)) * F.coalesce("_a", F.lit(0.0))).select(*keys, "sample", "time", "value")
 
 

@@ -437,7 +437,8 @@ def add_bl_shift(spark, d):
     return simulation.add_artifact_direct(ts(spark, d), 1.5, 0.0, "bl_shift", 3.0)
 
 
-@query(f"WITH {TS}, g AS (SELECT {KEYS}, max(value) - min(value) AS g FROM ts GROUP BY {KEYS}, sample // 8) SELECT {KEYS}, {r('quantile_cont(g, 0.5)', 'scale')} FROM g GROUP BY {KEYS}")
+@query(f"""WITH {TS}, w AS (SELECT range AS k FROM range(0, (SELECT max(sample) // 4 + 2 FROM ts))),
+g AS (SELECT {KEYS}, k, max(value) - min(value) AS g FROM ts JOIN w ON sample BETWEEN k * 4 - 4 AND k * 4 + 3 GROUP BY {KEYS}, k HAVING count(*) = 8) SELECT {KEYS}, {r('quantile_cont(g, 0.5)', 'scale')} FROM g GROUP BY {KEYS}""")
 def artifact_scale(spark, d):
     return simulation.artifact_scale(ts(spark, d), 8)
 

@@ -9,23 +9,30 @@ from ..functions import transforms
 from ..operators import decomposition, geodesics, geometry, imaging
 from ..operators import landmarks as landmark_lines
 from .common import query, r
-from .tables import ADOT, COEF, FACES, GEO, adot, faces, geo, spectrum, ts
+from .tables import ADOT, CHANNELS, COEF, FACES, GEO, adot, channels, faces, geo, spectrum, ts
 
 ROT = transforms.m_trans([1.0, -2.0, 0.5]) @ transforms.m_rot([0.0, 0.0, np.pi / 2]) @ transforms.m_scale1(2.0)
 D2 = "(p.x-v.x)*(p.x-v.x)+(p.y-v.y)*(p.y-v.y)+(p.z-v.z)*(p.z-v.z)"
 
 
-@query(f"WITH {GEO}, d AS (SELECT p.label, v.vertex, {D2} AS d2 FROM geo p, geo v WHERE p.vertex % 50 = 0 AND v.vertex % 50 <> 0) SELECT label, arg_min(vertex, (d2, vertex)) AS vertex, {r('sqrt(min(d2))', 'distance')} FROM d GROUP BY 1")
+TURNED = "(-2*p.y+1-v.x)*(-2*p.y+1-v.x)+(2*p.x-2-v.y)*(2*p.x-2-v.y)+(2*p.z+0.5-v.z)*(2*p.z+0.5-v.z)"
+SNAP_SQL = f"WITH {GEO}, d AS (SELECT p.label, v.vertex, {TURNED} AS d2 FROM geo p, geo v WHERE p.vertex % 50 = 0) SELECT label, arg_min(vertex, (d2, vertex)) AS vertex, {r('sqrt(min(d2))', 'distance')} FROM d GROUP BY 1"
+
+
+def turned(spark, d):
+    """The points whose number divides by 50, elsewhere."""
+    return geometry.affine(geo(spark, d).where("vertex % 50 = 0"), ROT).drop("vertex")
+
+
+@query(SNAP_SQL)
 def surface_snap(spark, d):
-    """The points whose number divides by 50 against all other vertices."""
-    g = geo(spark, d)
-    return geometry.snap(g.where("vertex % 50 = 0").drop("vertex"), g.where("vertex % 50 <> 0").drop("label"))
+    """The query points against all vertices."""
+    return geometry.snap(turned(spark, d), geo(spark, d).drop("label"))
 
 
-@query(f"WITH {GEO}, d AS (SELECT p.label, v.vertex, {D2} AS d2 FROM geo p, geo v WHERE p.vertex % 50 = 0 AND v.vertex % 50 <> 0) SELECT label, arg_min(vertex, (d2, vertex)) AS vertex, {r('sqrt(min(d2))', 'distance')} FROM d GROUP BY 1")
+@query(SNAP_SQL)
 def surface_snap_cells(spark, d):
-    g = geo(spark, d)
-    return geometry.snap(g.where("vertex % 50 = 0").drop("vertex"), g.where("vertex % 50 <> 0").drop("label"), 0.05)
+    return geometry.snap(turned(spark, d), geo(spark, d).drop("label"), 0.05)
 
 
 @query(f"WITH {GEO} SELECT vertex, label, {r('-2 * y + 1', 'x')}, {r('2 * x - 2', 'y')}, {r('2 * z + 0.5', 'z')} FROM geo")
@@ -33,10 +40,10 @@ def affine_transform(spark, d):
     return geometry.affine(geo(spark, d), ROT)
 
 
-@query(f"WITH {GEO} SELECT label FROM geo WHERE vertex % 2 = 0 INTERSECT SELECT label FROM geo WHERE vertex % 3 = 0")
+@query(f"WITH {GEO}, {CHANNELS} SELECT label FROM geo INTERSECT SELECT detector FROM channels")
 def common_labels(spark, d):
-    g = geo(spark, d)
-    return geometry.common_labels(g.where("vertex % 2 = 0"), g.where("vertex % 3 = 0"))
+    """Points that are a channel's detector."""
+    return geometry.common_labels(geo(spark, d), channels(spark, d).select(F.col("detector").alias("label")))
 
 
 @query(f"WITH {GEO} SELECT vertex, label, {r('x')}, {r('y')}, {r('z')} FROM geo WHERE label NOT IN ('P1', 'P2') UNION ALL SELECT vertex, 'Q' || label, {r('x')}, {r('y')}, {r('z')} FROM geo")

@@ -328,3 +328,24 @@ def test_gvtd_thresholds(spark):
     assert got["default"] == pytest.approx(2 * mode - x.min()) and got["histogram_mode"] == pytest.approx(left(mode))
     assert 0.7 < quality.density_mode(g) < 1.3
     assert abs(got["parabolic_mode"] - got["histogram_mode"]) < 2
+
+
+def test_artifact_scale_by_centred_windows(spark):
+    """Against windows built by hand; gaps and ends do not count, and a short trace has no scale."""
+    rng = np.random.default_rng(5)
+    v = {"a": rng.normal(size=47), "b": rng.normal(size=30), "c": rng.normal(size=6)}
+    rows = [(c, 760.0, i, i / 10, None if (c, i) == ("b", 11) else float(x)) for c, xs in v.items() for i, x in enumerate(xs)]
+    ts = spark.createDataFrame(rows, "channel string, wavelength double, sample long, time double, value double")
+    for window in (8, 9):
+        want = {}
+        for c, xs in v.items():
+            xs = np.where((np.arange(len(xs)) == 11) & (c == "b"), np.nan, xs)
+            parts = [xs[i - window // 2 : i - window // 2 + window] for i in range(0, len(xs), window // 2) if i >= window // 2]
+            whole = [p.max() - p.min() for p in parts if len(p) == window and not np.isnan(p).any()]
+            if whole:
+                want[c] = np.median(whole)
+        got = {r.channel: r.scale for r in simulation.artifact_scale(ts, window).collect()}
+        assert got == pytest.approx(want) and set(got) == {"a", "b"}
+    events = spark.createDataFrame([(0.1, 0.2, "bl_shift", None)], "onset double, duration double, trial_type string, channel string")
+    out = simulation.add_artifacts(ts, events, window=8)
+    assert out.count() == 83 and out.where("channel = 'c' AND value IS NOT NULL").count() == 0
