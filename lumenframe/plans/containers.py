@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..core.scratch import scratch_dir
-from ..operators import geometry
+from ..operators import geometry, surfaces
 from ..sources import nifti, nirs, snirf
 from .common import query, r
 from .tables import TS, read, ts
@@ -156,3 +156,21 @@ def nirs_stim(spark, d):
 @query(f"WITH {NIRS}, f AS (SELECT DISTINCT file FROM ns) SELECT file, 'S' || i AS label, 'source' AS type, i * 1.5::DOUBLE AS x, 3.0::DOUBLE AS y, 0.25::DOUBLE AS z, 'mm' AS unit FROM f, range(1, 9) t(i) UNION ALL SELECT file, 'D' || i, 'detector', i * 1.5, 4.0, 0.25, 'mm' FROM f, range(1, 4) t(i)")
 def nirs_geometry(spark, d):
     return nirs_tables(spark, d)["geometry"].select("file", "label", "type", "x", "y", "z", "unit")
+
+
+DENSITY = "de AS (SELECT user_id % 12 AS i, event_id % 9 AS j, (event_id // 9) % 7 AS k, count(*)::DOUBLE AS value FROM events GROUP BY ALL)"
+
+
+def density(spark, d):
+    e = read(spark, d, "events")
+    return e.groupBy(F.pmod("user_id", F.lit(12)).alias("i"), F.pmod("event_id", F.lit(9)).alias("j"), F.pmod(F.floor(F.col("event_id") / 9), F.lit(7)).alias("k")).agg(F.count("*").cast("double").alias("value"))
+
+
+@query(f"""WITH {DENSITY}, g AS (SELECT i, j, k FROM range(-1, 13) a(i), range(-1, 10) b(j), range(-1, 8) c(k)), v AS (SELECT i, j, k, coalesce(value, 0) AS v FROM g LEFT JOIN de USING (i, j, k)),
+s AS (SELECT (SELECT avg(value) FROM de) AS level), n AS (SELECT c % 2 AS di, (c // 2) % 2 AS dj, c // 4 AS dk FROM range(1, 8) t(c)),
+x AS (SELECT a.i, a.j, a.k, di, dj, dk, a.v AS p, b.v AS q, level FROM v a, n, s JOIN v b ON b.i = a.i + di AND b.j = a.j + dj AND b.k = a.k + dk WHERE (a.v >= level) <> (b.v >= level))
+SELECT {r('i + di * (level - p) / (q - p)', 'x')}, {r('j + dj * (level - p) / (q - p)', 'y')}, {r('k + dk * (level - p) / (q - p)', 'z')} FROM x""")
+def isosurface_vertices(spark, d):
+    """The vertices of the surface at the mean count of events over a small volume."""
+    v = density(spark, d)
+    return surfaces.isosurface(v, v.agg(F.avg("value")).first()[0])[1].select("x", "y", "z")
