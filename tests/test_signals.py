@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.core import recording, schema, units
-from lumenframe.functions import basis, signal
+from lumenframe.functions import basis, signal, smoothing
 from lumenframe.operators import decomposition, epochs, glm, kernels, masks, optics, quality, simulation, stats, windows
 
 TS = "channel string, wavelength double, sample long, time double, value double"
@@ -209,7 +209,7 @@ def test_motion_kernels():
     assert abs(signal.spline_repair(shifted, mask, fs, 0.01)[-100:].mean() - clean[-100:].mean()) < 2.5
     cubic = (t - 30) ** 3
     assert signal.savgol(cubic, 21) == pytest.approx(cubic, abs=1e-6)
-    assert signal.smooth_spline(t[:50], t[:50], 1e-6) == pytest.approx(t[:50], abs=0.01)
+    assert smoothing.smooth_spline(t[:50], t[:50], 1e-6) == pytest.approx(t[:50], abs=0.01)
 
 
 def test_peaks_ar_and_resample():
