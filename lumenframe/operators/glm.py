@@ -20,15 +20,25 @@ def drift_regressors(times: DataFrame, order: int) -> DataFrame:
     return rows.select("sample", F.concat(F.lit("Drift "), F.col("k").cast("string")).alias("regressor"), F.pow((F.col("sample") + 1) / F.col("n"), F.col("k")).alias("value"))
 
 
-def stim_array(times: DataFrame, stim: DataFrame) -> DataFrame:
+def stim_array(times: DataFrame, stim: DataFrame, bucket: float = 10.0) -> DataFrame:
     """(sample, trial_type, value): the value of the latest event that covers a sample, else 0.
 
     An event starts at the first sample not before its onset and lasts at least one sample.
-    times: sample, time.
+    times: sample, time. Samples and events meet by buckets of so many seconds.
     """
-    begun = stim.join(times, times["time"] >= stim["onset"]).groupBy(*[stim[c] for c in ("event_id", "trial_type", "onset", "duration", "value")]).agg(F.min("sample").alias("s0"), F.min("time").alias("t0"))
-    span = begun.select("event_id", "trial_type", F.col("value").alias("v"), "s0", "onset", "duration")
-    hit = times.join(span, (F.col("sample") == F.col("s0")) | ((F.col("sample") > F.col("s0")) & (F.col("time") < F.col("onset") + F.col("duration"))))
+    number = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    at = times.select("sample", "time", number("time").alias("_b"))
+    e = stim.select("event_id", "trial_type", F.col("value").alias("v"), "onset", "duration", number("onset").alias("_b"))
+    same = at.join(e, "_b").where(F.col("time") >= F.col("onset")).groupBy("event_id").agg(F.min("sample").alias("s0"))
+    # an event after its bucket's last sample starts at the first sample of the next bucket that has any
+    firsts = at.groupBy(F.col("_b").alias("_next")).agg(F.min("sample").alias("s0"))
+    late = e.join(same, "event_id", "left_anti").join(firsts, F.col("_next") > F.col("_b")).groupBy("event_id").agg(F.min("s0").alias("s0"))
+    span = e.join(same.unionByName(late), "event_id")
+    first = span.select("event_id", "trial_type", "v", F.col("s0").alias("sample")).join(times.select("sample"), "sample")
+    end = F.greatest(F.floor((F.col("onset") + F.col("duration")) / bucket).cast("long"), F.col("_b"))
+    wide = span.withColumn("_b", F.explode(F.sequence("_b", end)))
+    later = at.join(wide, "_b").where((F.col("sample") > F.col("s0")) & (F.col("time") < F.col("onset") + F.col("duration")))
+    hit = first.select("sample", "trial_type", "event_id", "v").unionByName(later.select("sample", "trial_type", "event_id", "v"))
     on = hit.groupBy("sample", "trial_type").agg(F.max_by("v", "event_id").alias("value"))
     return times.select("sample").join(stim.select("trial_type").distinct()).join(on, ["sample", "trial_type"], "left").select("sample", "trial_type", F.coalesce("value", F.lit(0.0)).alias("value"))
 

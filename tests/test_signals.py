@@ -349,3 +349,20 @@ def test_artifact_scale_by_centred_windows(spark):
     events = spark.createDataFrame([(0.1, 0.2, "bl_shift", None)], "onset double, duration double, trial_type string, channel string")
     out = simulation.add_artifacts(ts, events, window=8)
     assert out.count() == 83 and out.where("channel = 'c' AND value IS NOT NULL").count() == 0
+
+
+def test_stim_array_by_buckets(spark):
+    """Against every event and sample, with gaps in time, events between samples, over buckets and after the end."""
+    rng = np.random.default_rng(6)
+    t = np.cumsum(rng.choice([0.1, 0.7, 3.0, 40.0], 300, p=[0.5, 0.4, 0.08, 0.02]))
+    events = [(i, float(o), float(d), float(i % 5 + 1), f"T{i % 3}") for i, (o, d) in enumerate(zip(rng.uniform(-5, t[-1] + 20, 40), rng.choice([0.0, 0.3, 12.0, 60.0], 40), strict=True))]
+    times = spark.createDataFrame([(i, float(x)) for i, x in enumerate(t)], "sample long, time double")
+    stim = spark.createDataFrame(events, "event_id long, onset double, duration double, value double, trial_type string")
+    want = {(i, k): 0.0 for i in range(300) for k in ("T0", "T1", "T2")}
+    for _, o, d, v, k in events:
+        begun = np.flatnonzero(t >= o)
+        for i in begun:
+            if i == begun[0] or t[i] < o + d:
+                want[int(i), k] = v
+    got = {(r.sample, r.trial_type): r.value for r in glm.stim_array(times, stim).collect()}
+    assert got == want
