@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.schema import spectral, trace_keys
+from ..core.scratch import stored
 
 
 #: Ranges of p that are ranked in tasks of their own.
@@ -16,10 +17,11 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", by: list[str] | None = None)
     """df with q: p times n over rank, made monotone from the right and clipped at 1. by: families of tests.
 
     Equal p share a q; a null p has none and does not count. Distinct p are ranked within ranges of p,
-    whose counts and least values (at most P_RANGES a family) make the ranks and minima whole.
+    whose counts and least values (at most P_RANGES a family) make the ranks and minima whole. The distinct p and
+    their ranks are stored, so that df is read twice and no more.
     """
     by = by or []
-    seen = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n"))
+    seen = stored(df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n")))
     cuts = sorted(set(seen.approxQuantile(p, [i / P_RANGES for i in range(1, P_RANGES)], 0.5 / P_RANGES)))
     part = seen.withColumn("_r", sum((F.when(F.col(p) > c, 1).otherwise(0) for c in cuts), F.lit(0)))
     families, inner = Window.partitionBy(*by), Window.partitionBy(*by, "_r").orderBy(p)
@@ -28,7 +30,7 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", by: list[str] | None = None)
     ranges = ranges.select(*by, "_r", before.alias("_before"), F.sum("_m").over(families).alias("_all"))
     both = _beside(part, ranges, [*by, "_r"])
     rank = F.col("_before") + F.sum("_n").over(inner.rowsBetween(Window.unboundedPreceding, 0))
-    raw = both.withColumn("_q", F.col(p) * F.col("_all") / rank)
+    raw = stored(both.withColumn("_q", F.col(p) * F.col("_all") / rank))
     least = raw.groupBy(*by, "_r").agg(F.min("_q").alias("_l"))
     least = least.select(*by, "_r", F.min("_l").over(families.orderBy("_r").rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
     q = F.least(F.min("_q").over(inner.rowsBetween(0, Window.unboundedFollowing)), "_after", F.lit(1.0))
