@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +41,72 @@ def measurement_variance(ts: DataFrame, bad_channels: list[str] | None = None, b
     return own.withColumn("bad", bad).withColumn("variance", F.when(F.col("bad"), fill).otherwise(F.col("variance"))).drop("bad")
 
 
+#: Channels of a block whose covariances with another block's one task computes, and cells that a block may have on average.
+BLOCK_CHANNELS, BLOCK_CELLS = 1024, 2_000_000
+
+
+def _block_covariances(dims: list[str], slab: int = 4_000_000):
+    """Covariances of the channels of two blocks, from sums over slabs of their common times."""
+
+    def run(key, table: pa.Table) -> pa.Table:
+        lo, hi = (k.as_py() for k in key[len(dims) :])
+        named = table.column("channel").combine_chunks().dictionary_encode("encode")
+        labels, c = named.dictionary, np.asarray(named.indices)
+        names, first = np.unique(c, return_index=True)
+        block = np.asarray(table.column("_block"))[first]
+        known = ~table.column("value").is_null().to_numpy()
+        v = table.column("value").to_numpy().astype(float)
+        wrong = known & np.isnan(v)
+        clean = np.where(known & ~wrong, v, 0.0)
+        mean = np.bincount(c, clean, len(names)) / np.maximum(np.bincount(c, known & ~wrong, len(names)), 1)
+        clean = np.where(known & ~wrong, clean - mean[c], 0.0)
+        times, t = np.unique(table.column("time").to_numpy(), return_inverse=True)
+        order = np.argsort(t, kind="stable")
+        width, left, right = max(1, slab // len(names)), np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        n, sa, sb, sab, met, bad = np.zeros((6, len(left), len(right)))
+        for start in range(0, len(times), width):
+            at = order[slice(*np.searchsorted(t[order], [start, start + width]))]
+            grid = lambda w, at=at, start=start: np.bincount(c[at] * width + t[at] - start, w, len(names) * width).reshape(len(names), width)
+            x, k, rows, nan = grid(clean[at]), grid(known[at]), grid(None).astype(float), grid(wrong[at]) if wrong[at].any() else None
+            n += k[left] @ k[right].T
+            sa += x[left] @ k[right].T
+            sb += k[left] @ x[right].T
+            sab += x[left] @ x[right].T
+            met += rows[left] @ rows[right].T
+            if nan is not None:
+                bad += nan[left] @ k[right].T + k[left] @ nan[right].T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cov = np.where(bad > 0, np.nan, (sab - sa * sb / n) / (n - 1))
+        i, j = np.nonzero(met)
+        one = pa.array(cov[i, j], mask=n[i, j] < 2)
+        a, b = labels.take(pa.array(left[i])), labels.take(pa.array(right[j]))
+        out = pa.table({"a": a, "b": b, "covariance": one})
+        out = pa.concat_tables([out, pa.table({"a": b, "b": a, "covariance": one})]) if lo != hi else out
+        for d, k in zip(dims, key, strict=False):
+            out = out.append_column(d, pa.repeat(k, len(out)))
+        return out.select([*dims, "a", "b", "covariance"])
+
+    # grouped functions tell their kind by whole annotations or none
+    run.__annotations__ = {}
+    return run
+
+
 def measurement_covariance(ts: DataFrame) -> DataFrame:
-    """Sample covariance (ddof 1) of each pair of channels, by spectral label; series are joined on time."""
-    by = [*spectral(ts), "time"]
-    a = ts.select(*by, F.col("channel").alias("a"), F.col("value").alias("va"))
-    b = ts.select(*by, F.col("channel").alias("b"), F.col("value").alias("vb"))
-    return a.join(b, by).groupBy(*spectral(ts), "a", "b").agg(F.covar_samp("va", "vb").alias("covariance"))
+    """Sample covariance (ddof 1) of each pair of channels, by spectral label; series are joined on time.
+
+    Channels are dealt into blocks by their hash, and a task takes two blocks: sums of products over slabs of times
+    are matrix products, so what travels is each series once a block, not once a channel. The pairs are the result.
+    """
+    dims, kinds = spectral(ts), dict(ts.dtypes)
+    cells = ts.select(*dims, "channel", "time", "value").where(F.col("time").isNotNull())
+    for d in dims:
+        cells = cells.where(F.col(d).isNotNull())
+    size = cells.agg(F.count("*").alias("n"), F.count_distinct(*dims, F.coalesce("channel", F.lit(0).cast(kinds["channel"]))).alias("traces"), F.approx_count_distinct("channel").alias("channels")).first()
+    each = max(1, min(BLOCK_CHANNELS, BLOCK_CELLS * max(size["traces"], 1) // max(size["n"], 1)))
+    blocks = -(-max(size["channels"], 1) // each)
+    keyed = cells.withColumn("_block", F.pmod(F.xxhash64("channel"), F.lit(blocks)))
+    pairs = keyed.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumns({"_lo": F.least("_block", "_o"), "_hi": F.greatest("_block", "_o")}).drop("_o")
+    return pairs.groupBy(*dims, "_lo", "_hi").applyInArrow(_block_covariances(dims), "".join(f"{d} {kinds[d]}, " for d in dims) + f"a {kinds['channel']}, b {kinds['channel']}, covariance double")
 
 
 def gvtd(od: DataFrame, fs: float, wavelength: float | None = None) -> DataFrame:
