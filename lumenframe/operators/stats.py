@@ -17,10 +17,10 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", by: list[str] | None = None)
     """df with q: p times n over rank, made monotone from the right and clipped at 1. by: families of tests.
 
     Equal p share a q; a null p has none and does not count. Distinct p are ranked within ranges of p,
-    whose counts and least values (at most P_RANGES a family) make the ranks and minima whole. The distinct p and
-    their ranks are stored, so that df is read twice and no more.
+    whose counts and least values (at most P_RANGES a family) make the ranks and minima whole. df is stored first: its q
+    is joined on p, and a p that is summed again over tasks may have another last bit. So are the distinct p and their ranks.
     """
-    by = by or []
+    by, df = by or [], stored(df)
     seen = stored(df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n")))
     cuts = sorted(set(seen.approxQuantile(p, [i / P_RANGES for i in range(1, P_RANGES)], 0.5 / P_RANGES)))
     part = seen.withColumn("_r", sum((F.when(F.col(p) > c, 1).otherwise(0) for c in cuts), F.lit(0)))
