@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ def motion_correct_pca(ts: DataFrame, mask: DataFrame, share: float = 0.97) -> D
 
     mask: (sample, mask), false where any channel moves. share below 1: as few components as reach
     that share of the variance; otherwise their number. Spark sums the Gram matrix of the z-scored
-    artefact samples; its decomposition is a small matrix on the driver.
+    artefact samples over the channels or, where these are fewer, over the samples; its decomposition is a small matrix
+    on the driver. Both give the same components; ValueError if channels and artefact samples are both too many.
     """
     keys = trace_keys(ts)
     name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
@@ -25,19 +28,56 @@ def motion_correct_pca(ts: DataFrame, mask: DataFrame, share: float = 0.97) -> D
     sd = F.stddev_pop("value").over(w)
     z = bad.withColumn("_mean", F.avg("value").over(w)).withColumn("_sd", F.when(sd == 0, 1.0).otherwise(sd)).withColumn("_z", (F.col("value") - F.col("_mean")) / F.col("_sd"))
     flat = z.select(F.col("_c").alias("channel"), "sample", F.col("_z").alias("value"))
-    labels = [r[0] for r in flat.select("channel").distinct().orderBy("channel").limit(decomposition.MAX_CHANNELS + 1).collect()]
+    few = lambda c: [r[0] for r in flat.select(c).distinct().orderBy(c).limit(decomposition.MAX_CHANNELS + 1).collect()]
+    labels, samples = few("channel"), few("sample")
     if not labels:
         return ts
-    lam, v = np.linalg.eigh(decomposition.dense(decomposition.cross_gram(flat, flat), labels, labels))
-    lam, v = lam[::-1], v[:, ::-1]
-    n = int(share) if share >= 1 else int(np.searchsorted(np.cumsum(lam) / max(lam.sum(), 1e-300), share)) + 1
-    weights = decomposition.weights_table(ts.sparkSession, labels, v[:, :n])
-    parts = decomposition.project(flat, weights).join(F.broadcast(weights), "component").groupBy(F.col("channel").alias("_c"), "sample").agg(F.sum(F.col("value") * F.col("weight")).alias("_p"))
+    if len(samples) < len(labels):
+        parts = _leading_by_samples(flat, samples, share)
+    else:
+        lam, v = np.linalg.eigh(decomposition.dense(decomposition.cross_gram(flat, flat), labels, labels))
+        weights = decomposition.weights_table(ts.sparkSession, labels, v[:, ::-1][:, : _count(lam[::-1], share)])
+        parts = decomposition.project(flat, weights).join(F.broadcast(weights), "component").groupBy(F.col("channel").alias("_c"), "sample").agg(F.sum(F.col("value") * F.col("weight")).alias("_p"))
     fixed = z.join(parts, ["_c", "sample"]).select("_c", "sample", ((F.col("_z") - F.col("_p")) * F.col("_sd") + F.col("_mean")).alias("_new"))
     out = named.join(fixed, ["_c", "sample"], "left").withColumn("value", F.coalesce("_new", "value")).drop("_new")
     return _stitch(out.join(mask.select("sample", "mask"), "sample"), keys)
 
 
+def _count(lam: np.ndarray, share: float) -> int:
+    return int(share) if share >= 1 else int(np.searchsorted(np.cumsum(lam) / max(lam.sum(), 1e-300), share)) + 1
+
+
+def _leading_by_samples(flat: DataFrame, samples: list[int], share: float) -> DataFrame:
+    """(_c, sample, _p): the part of each cell in the leading components, from the Gram matrix of the samples.
+
+    With the leading eigenvectors U of that matrix, the part is U U' times the channel's samples, so each channel
+    is projected by itself.
+    """
+    swapped = flat.select(F.col("sample").alias("channel"), F.col("channel").alias("sample"), "value")
+    lam, v = np.linalg.eigh(decomposition.dense(decomposition.cross_gram(swapped, swapped), samples, samples))
+    u = v[:, ::-1][:, : _count(lam[::-1], share)]
+    # of channels side by side, as many as make a matrix of bounded size
+    step = max(1, 1_000_000 // len(samples))
+
+    def run(batches):
+        known = pa.array(samples)
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                cells = part.column("cells").flatten()
+                at = cells.field("sample")
+                i = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("cells")).to_numpy())
+                k = pc.index_in(at, value_set=known).to_numpy()
+                z = np.zeros((part.num_rows, len(samples)))
+                value = cells.field("value").to_numpy(zero_copy_only=False)
+                some = ~np.isnan(value)
+                np.add.at(z, (i[some], k[some]), value[some])
+                yield pa.RecordBatch.from_arrays([part.column("_c").take(pa.array(i)), at, pa.array((z @ u @ u.T)[i, k])], names=["_c", "sample", "_p"])
+
+    rows = flat.groupBy(F.col("channel").alias("_c")).agg(F.collect_list(F.struct("sample", "value")).alias("cells"))
+    return rows.mapInArrow(run, "_c string, sample long, _p double")
+
+
 def _stitch(ts: DataFrame, keys: list[str]) -> DataFrame:
     """Each run starts where the one before ended: offsets of the jumps between runs, summed."""
     w = Window.partitionBy("_c").orderBy("sample")
