@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..core.scratch import discard, scratch_dir, stored
 from ..functions.eikonal import relax
-from .geometry import corners, edges
+from .geometry import corners, edges, interleaved
 
 BLOCK_FACES = 20_000
 DISTANCES = "block long, vertex long, distance double, seen double"
@@ -25,13 +25,7 @@ def morton(faces: DataFrame, bits: int = 10) -> Column:
     """A number that is near for near centroids, of faces with corner coordinates: the bits of the three coordinates in turn."""
     mean = {c: (F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3 for c in "xyz"}
     ends = faces.agg(*[f(mean[c]).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    code = F.lit(0).cast("long")
-    for k, c in enumerate("xyz"):
-        lo, hi = ends[f"lo{c}"] or 0.0, ends[f"hi{c}"] or 0.0
-        step = F.least(F.floor((mean[c] - lo) / ((hi - lo) or 1.0) * (1 << bits)), F.lit((1 << bits) - 1))
-        for b in range(bits):
-            code = code.bitwiseOR(F.shiftleft(F.shiftright(step, b).bitwiseAND(F.lit(1)).cast("long"), 3 * b + k))
-    return code
+    return interleaved(mean, ends, bits)
 
 
 def blocks_of(faces: DataFrame, vertices: DataFrame, block_faces: int = BLOCK_FACES, by: Column | None = None) -> DataFrame:

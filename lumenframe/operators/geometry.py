@@ -6,10 +6,12 @@ points: label, type, x, y, z. vertices: vertex, x, y, z. faces: face, a, b, c. V
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core.schema import CRSMismatchError
+from ..core.scratch import stored
 from ..functions import transforms
 
 
@@ -61,24 +63,109 @@ def squared(a: str = "", b: str = "_") -> Column:
     return sum(((F.col(f"{a}{c}") - F.col(f"{b}{c}")) ** 2 for c in "xyz"), F.lit(0.0))
 
 
+#: Targets of a block, and points that meet a block in one task, on average.
+BLOCK_POINTS, CHUNK_POINTS = 4096, 65_536
+
+
+def interleaved(at: dict[str, Column], ends: dict[str, float | None], bits: int = 10) -> Column:
+    """A number that is near for near places: the bits of three coordinates, scaled from lo to hi, in turn."""
+    code = F.lit(0).cast("long")
+    for k, c in enumerate("xyz"):
+        lo, hi = ends[f"lo{c}"] or 0.0, ends[f"hi{c}"] or 0.0
+        step = F.least(F.floor((at[c] - lo) / ((hi - lo) or 1.0) * (1 << bits)), F.lit((1 << bits) - 1))
+        for b in range(bits):
+            code = code.bitwiseOR(F.shiftleft(F.shiftright(step, b).bitwiseAND(F.lit(1)).cast("long"), 3 * b + k))
+    return code
+
+
+def _placed() -> Column:
+    return F.expr(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in "xyz"))
+
+
+def _probed(boxes: np.ndarray, first: bool):
+    """Points with the block that is nearest by its box or, once a distance is known, every other block that can hold a nearer target."""
+    number, low, high = boxes[:, 0].astype(np.int64), boxes[:, 1:4], boxes[:, 4:7]
+    step = max(1, 2_000_000 // len(boxes))
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                at = np.stack([batch.column(c).to_numpy() for c in "xyz"], 1)
+                gap = sum(np.maximum(np.maximum(low[None, :, k] - at[:, k, None], at[:, k, None] - high[None, :, k]), 0) ** 2 for k in range(3))
+                if first:
+                    i, b = np.arange(len(at)), gap.argmin(1)
+                else:
+                    near = gap <= batch.column("d2").to_numpy()[:, None] * (1 + 1e-9)
+                    near[np.arange(len(at)), np.searchsorted(number, batch.column("block").to_numpy())] = False
+                    i, b = np.nonzero(near)
+                rows = batch.select(["point", *"xyz"]).take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(number[b])], names=["point", *"xyz", "block"])
+
+    return run
+
+
+def _tile():
+    """Of each point of a tile its block's nearest target, of equally near ones the smallest."""
+
+    def run(key, points: pa.Table, targets: pa.Table) -> pa.Table:
+        targets = targets.sort_by("target")
+        p, t = ([np.asarray(x.column(c)) for c in "xyz"] for x in (points, targets))
+        best, d2, step = np.zeros(len(points), np.int64), np.zeros(len(points)), max(1, 500_000 // max(len(targets), 1))
+        for start in range(0, len(points), step):
+            x, y, z = ((p[k][start : start + step, None] - t[k][None]) ** 2 for k in range(3))
+            d = x + y + z
+            best[start : start + step] = d.argmin(1)
+            d2[start : start + step] = d.min(1)
+        out = points.select(["point", *"xyz", "block"])
+        return out.append_column("d2", pa.array(d2)).append_column("target", targets.column("target").take(pa.array(best)))
+
+    # grouped functions tell their kind by whole annotations or none
+    run.__annotations__ = {}
+    return run
+
+
+def nearest(points: DataFrame, targets: DataFrame, point: str, target: str) -> DataFrame:
+    """(point, target, d2): the nearest target of each point by x, y, z; ties go to the smaller target. Points without a place have none.
+
+    Targets are sorted along a curve into blocks, whose boxes (a row for each 4096 targets) go to the tasks. A point
+    first meets the block whose box is nearest, then those whose boxes are no further off than what it found: no
+    pair of point and target is ever a row. Targets in one place are one.
+    """
+    kinds = f"point {dict(points.dtypes)[point]}, x double, y double, z double, block long"
+    kind = dict(targets.dtypes)[target]
+    xyz = [F.col(c).cast("double").alias(c) for c in "xyz"]
+    every = points.select(F.col(point).alias("point"), *xyz)
+    t = stored(targets.select(F.col(target).alias("target"), *xyz).where(_placed()).groupBy(*"xyz").agg(F.min("target").alias("target")))
+    ends = t.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    empty = points.sparkSession.createDataFrame([], f"point {dict(points.dtypes)[point]}, target {kind}, d2 double").toDF(point, target, "d2")
+    if ends["lox"] is None:
+        return empty
+    lined = t.withColumn("_m", interleaved({c: F.col(c) for c in "xyz"}, ends)).repartitionByRange("_m").sortWithinPartitions("_m").drop("_m")
+    t = stored(lined.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_POINTS).cast("long")))
+    boxes = np.array([list(r) for r in t.groupBy("block").agg(*[f(c) for f in (F.min, F.max) for c in "xyz"]).orderBy("block").collect()], float)
+    p = stored(every.where(_placed()))
+    chunks = -(-max(p.count(), 1) // CHUNK_POINTS)
+
+    def met(probes: DataFrame) -> DataFrame:
+        at = stored(probes.withColumn("chunk", F.pmod(F.xxhash64("point", *"xyz"), F.lit(chunks))))
+        tiles = t.join(at.select("block", F.col("chunk").alias("_chunk")).distinct(), "block").select(*"xyz", "target", F.col("block").alias("_block"), "_chunk")
+        found = at.groupBy("block", "chunk").cogroup(tiles.groupBy("_block", "_chunk")).applyInArrow(_tile(), f"{kinds}, d2 double, target {kind}")
+        return stored(found)
+
+    near = met(p.mapInArrow(_probed(boxes, True), kinds))
+    more = met(near.select("point", *"xyz", "block", "d2").mapInArrow(_probed(boxes, False), kinds)) if len(boxes) > 1 else near
+    best = near.unionByName(more).groupBy("point").agg(F.min(F.struct("d2", "target")).alias("m")).select("point", "m.target", "m.d2")
+    lost = every.where(~_placed()).select("point").distinct().join(best.select("point"), "point", "left_anti")
+    return best.unionByName(lost.withColumns({"target": F.lit(None).cast(kind), "d2": F.lit(None).cast("double")})).toDF(point, target, "d2")
+
+
 def snap(points: DataFrame, vertices: DataFrame, cell: float | None = None) -> DataFrame:
     """(label, vertex, distance): the nearest vertex of each point; ties go to the smaller number.
 
-    Points are few (sensors) and stated by the caller, vertices many: one pass over the vertices
-    meets every point. With a cell size, vertices are first looked up in the point's own and adjacent
-    cells, and only points whose nearest hit could lie further off take the full pass.
+    cell is of no effect on the result, and blocks of vertices have made it needless; it is kept for callers.
     """
-    v = vertices.select("vertex", *[F.col(c).alias(f"_{c}") for c in "xyz"])
-    pick = F.min(F.struct(squared().alias("d2"), "vertex"))
-    full = lambda p: p.join(v).groupBy("label").agg(pick.alias("m"))
-    if cell is None:
-        return full(points.select("label", *"xyz")).select("label", "m.vertex", F.sqrt("m.d2").alias("distance"))
-    at = lambda c, o=0: (F.floor(F.col(c) / cell) + o).cast("long")
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    probes = points.select("label", *"xyz", F.explode(offsets).alias("o")).select("label", *"xyz", (at("x") + F.col("o.i")).alias("ci"), (at("y") + F.col("o.j")).alias("cj"), (at("z") + F.col("o.k")).alias("ck"))
-    near = probes.join(v.select("*", at("_x").alias("ci"), at("_y").alias("cj"), at("_z").alias("ck")), ["ci", "cj", "ck"]).groupBy("label").agg(pick.alias("m")).where(F.col("m.d2") <= cell * cell)
-    rest = full(points.select("label", *"xyz").join(near.select("label"), "label", "left_anti"))
-    return near.union(rest).select("label", "m.vertex", F.sqrt("m.d2").alias("distance"))
+    return nearest(points, vertices, "label", "vertex").select("label", "vertex", F.sqrt("d2").alias("distance"))
 
 
 def cart2sph(points: DataFrame) -> DataFrame:
