@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..core.schema import spectral
 from ..functions.linear_models import recursive, solve, student_quantile, student_two_sided
+from .geometry import nearest
 
 
 def drift_regressors(times: DataFrame, order: int) -> DataFrame:
@@ -75,9 +76,8 @@ def average_short_channels(ts_short: DataFrame) -> DataFrame:
 
 def closest_short_channel(long: DataFrame, short: DataFrame) -> DataFrame:
     """(channel, short_channel) by distance of midpoints (channel, x, y, z); ties go to the smaller name."""
-    s = F.broadcast(short.select(F.col("channel").alias("short_channel"), *[F.col(c).alias(f"s{c}") for c in "xyz"]))
-    d = sum(((F.col(c) - F.col(f"s{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    return long.join(s).groupBy("channel").agg(F.min_by("short_channel", F.struct(d.alias("d"), F.col("short_channel"))).alias("short_channel"))
+    found = nearest(long, short.withColumnRenamed("channel", "short_channel"), "channel", "short_channel")
+    return found.select("channel", "short_channel")
 
 
 def max_corr_short_channel(ts_long: DataFrame, ts_short: DataFrame) -> DataFrame:
