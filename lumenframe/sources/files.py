@@ -31,6 +31,22 @@ def shares(path: str, split_bytes: int, *suffixes: str) -> list[tuple[str, int,
     return [(p, k, n) for p, size in listed(path, *suffixes) for n in [max(1, -(-size // split_bytes))] for k in range(n)]
 
 
+#: Tasks below which files have tasks of their own, and what one task reads at most of several files.
+TASKS, PACK_FILES, PACK_BYTES = 64, 64, 32 << 20
+
+
+def packs(parts: list, sizes: list[int]) -> list[list]:
+    """parts in order, in runs: a task for each run, so that tasks are not as many as small files."""
+    most, out, room = min(PACK_FILES, max(1, len(parts) // TASKS)), [], 0
+    for part, size in zip(parts, sizes, strict=True):
+        if not out or len(out[-1]) == most or size > room:
+            out.append([])
+            room = PACK_BYTES
+        out[-1].append(part)
+        room -= size
+    return out
+
+
 class Ranges:
     """read(offset, n) and size of a file."""
 

@@ -4,7 +4,7 @@
     spark.read.format("nirs").option("table", "stim").load("folder or file")
 
 Tables: timeseries (default), measurements (indices from 0), geometry, stim, aux. A file is one task's, as its
-variables are compressed whole. SD3D is taken rather than SD; optodes are called S1, D1, L1 and so on with
+variables are compressed whole; small files share a task. SD3D is taken rather than SD; optodes are called S1, D1, L1 and so on with
 leading zeros; each nonzero sample of a stimulus column is an event of duration 0 and value 1. Errors raise when the
 table is read: positions that do not fit their number, a matrix that does not fit its times or measurements.
 """
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from . import mat5
-from .files import Ranges, listed, put
-from .snirf import Share
+from .files import Ranges, listed, packs, put
+from .snirf import Share, Shares
 
 TABLES = {
     "timeseries": "file string, channel string, source string, detector string, wavelength double, sample long, time double, value double",
@@ -73,12 +73,14 @@ class NirsReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table = options["path"], options.get("table", "timeseries")
 
-    def partitions(self) -> list[Share]:
-        return [Share(p, 0, 1) for p, _ in listed(self.path, ".nirs")]
+    def partitions(self) -> list[Shares]:
+        files = listed(self.path, ".nirs")
+        return [Shares(p) for p in packs([Share(f, 0, 1) for f, _ in files], [size for _, size in files])]
 
-    def read(self, share: Share) -> Iterator:
-        r = Ranges(share.file)
-        return getattr(self, self.table)(share.file, Nirs(r.read(0, r.size)))
+    def read(self, part: Shares) -> Iterator:
+        for share in part.shares:
+            r = Ranges(share.file)
+            yield from getattr(self, self.table)(share.file, Nirs(r.read(0, r.size)))
 
     def timeseries(self, file: str, n: Nirs) -> Iterator[pa.RecordBatch]:
         last = {(s, d, w): i for i, (s, d, w, _, _) in enumerate(n.columns)}  # of two columns for one cell the later one counts

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..core.recording import next_name
-from .files import Ranges, put, shares
+from .files import Ranges, listed, packs, put, shares
 from .hdf5 import File, Writer
 from .probe import DATA_TYPE_LABELS, DATA_TYPES
 
@@ -177,19 +177,29 @@ class Share(InputPartition):
         self.file, self.k, self.n = file, k, n
 
 
+class Shares(InputPartition):
+    """Shares of files that one task reads."""
+
+    def __init__(self, shares: list[Share]):
+        self.shares = shares
+
+
 class SnirfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.table = options.get("table", "timeseries")
         self.path, self.split = options["path"], int(options.get("splitbytes") or options.get("splitBytes") or SPLIT_BYTES)
 
-    def partitions(self) -> list[Share]:
-        return [Share(*s) for s in shares(self.path, self.split, ".snirf") if self.table in ("timeseries", "aux") or s[1] == 0]
+    def partitions(self) -> list[Shares]:
+        sizes = dict(listed(self.path, ".snirf"))
+        parts = [Share(*s) for s in shares(self.path, self.split, ".snirf") if self.table in ("timeseries", "aux") or s[1] == 0]
+        return [Shares(p) for p in packs(parts, [sizes[s.file] // s.n for s in parts])]
 
-    def read(self, share: Share) -> Iterator:
-        r = Ranges(share.file)
-        f = File(r.read, r.size)
-        for number, group in numbered(f.links(f.root), "nirs"):
-            yield from getattr(self, self.table)(share, number, Nirs(f, group))
+    def read(self, part: Shares) -> Iterator:
+        for share in part.shares:
+            r = Ranges(share.file)
+            f = File(r.read, r.size)
+            for number, group in numbered(f.links(f.root), "nirs"):
+                yield from getattr(self, self.table)(share, number, Nirs(f, group))
 
     def timeseries(self, share: Share, number: int, nirs: Nirs) -> Iterator[pa.RecordBatch]:
         schema = pa_schema("timeseries")
@@ -362,8 +372,10 @@ def _write(path: str):
         for batch in batches:
             small = [batch.column(c).to_pylist() for c in ("file", "nirs", "stage", "name", "sample", "time", "head")]
             columns, values = batch.column("columns"), batch.column("values")
+            at, to = (np.asarray(x.offsets).tolist() for x in (columns, values))
+            columns, values = np.asarray(columns.values), np.asarray(values.values)
             for i, row in enumerate(zip(*small, strict=True)):
-                yield row, columns[i].values, values[i].values
+                yield row, columns[at[i] : at[i + 1]], values[to[i] : to[i + 1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, file, out = cells(batches), None, None
@@ -372,7 +384,7 @@ def _write(path: str):
         def following(key):
             nonlocal held
             while (held := next(stream, None)) is not None and held[0][:4] == key and held[0][6] is None:
-                yield held[0][5], np.asarray(held[1]), np.asarray(held[2])
+                yield held[0][5], held[1], held[2]
 
         def done():
             size = put(f"{path}/{file}.snirf", out.finish())
