@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core.scratch import discard, scratch_dir, stored
@@ -100,21 +100,20 @@ def downhill(faces: DataFrame, distances: DataFrame) -> DataFrame:
 def geodesic_path(faces: DataFrame, distances: DataFrame, starts: DataFrame, longest: int = 1000) -> DataFrame:
     """(start, step, vertex): the way down from each start (vertex) to a source, in rounds that double the steps taken.
 
-    RuntimeError if a way has more than longest vertices.
+    A vertex without a lower neighbour has no jump, so a jump of so many steps is there only if the way is that
+    long: each place of a way is found once, and written once. RuntimeError if a way has more than longest vertices.
     """
-    jump = stored(downhill(faces, distances))
+    jump = stored(downhill(faces, distances).where("next <> vertex"))
     way = stored(starts.select(F.col("vertex").alias("start"), F.lit(0).cast("long").alias("step"), "vertex").distinct())
     width = 1
-    while True:
-        far = way.join(jump, "vertex").select("start", (F.col("step") + width).alias("step"), F.col("next").alias("vertex"))
-        far = stored(far.groupBy("start", "vertex").agg(F.min("step").alias("step")).join(way, ["start", "vertex"], "left_anti").select("start", "step", "vertex"))
+    while not jump.isEmpty():
+        far = stored(way.join(jump, "vertex").select("start", (F.col("step") + width).alias("step"), F.col("next").alias("vertex")))
         if far.isEmpty():
             break
-        way = stored(way.unionByName(far))
-        if way.groupBy("start").count().where(F.col("count") > longest).count():
+        if not far.where(F.col("step") >= longest).isEmpty():
             raise RuntimeError(f"a path has more than {longest} vertices")
+        way = way.unionByName(far)
         second = jump.select(F.col("vertex").alias("next"), F.col("next").alias("after"))
         jump = stored(jump.join(second, "next").select("vertex", F.col("after").alias("next")))
         width *= 2
-    by = Window.partitionBy("start").orderBy("step")
-    return way.withColumn("step", F.row_number().over(by).cast("long") - 1)
+    return way
