@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,17 +115,19 @@ def fit(ts: DataFrame, design: DataFrame, noise: str = "ols", ar_order: int = 30
     kinds = dict(ts.dtypes)
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for y, x in zip(pdf["y"], pdf["x"], strict=True):
-                b, cov, df, s2 = solve(np.asarray(y, float), np.vstack([np.asarray(r, float) for r in x]), noise, ar_order)
-                rows.append((b, np.sqrt(np.maximum(np.diag(cov), 0)), cov.reshape(-1), float(df), s2))
-            out = pdf[[*keys, "regressors"]].copy()
-            for i, name in enumerate(("params", "bse", "cov", "df_resid", "sigma2")):
-                out[name] = [r[i] for r in rows]
-            yield out
-
-    return traces.mapInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + RESULT)
+            for y, x in zip(batch.column("y"), batch.column("x"), strict=True):
+                # straight from the batch's buffers, a trace at a time
+                y, x = y.values.to_numpy(zero_copy_only=False), x.values
+                design = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+                b, cov, df, s2 = solve(y.astype(float), design.astype(float), noise, ar_order)
+                rows.append((b, np.sqrt(np.maximum(np.diag(cov), 0)), cov.reshape(-1), float(df), float(s2)))
+            kept = batch.select([*keys, "regressors"])
+            lists = [pa.array([r[i] for r in rows], pa.list_(pa.float64())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *lists, *[pa.array([r[i] for r in rows], pa.float64()) for i in (3, 4)]], names=[*kept.schema.names, "params", "bse", "cov", "df_resid", "sigma2"])
+
+    return traces.mapInArrow(run, "".join(f"{k} {kinds[k]}, " for k in keys) + RESULT)
 
 
 def recursive_coefficients(ts: DataFrame, design: DataFrame) -> DataFrame:
