@@ -26,12 +26,16 @@ def nearest_frames(ts: DataFrame, start: float, stop: float, fps: float) -> Data
 
 
 def colours(values: DataFrame, log_scale: bool = False, top: float | None = None) -> DataFrame:
-    """(..., r, g, b, a): values as bytes from grey to red, on a linear or logarithmic scale."""
+    """(..., r, g, b, a): values as bytes from grey to red, on a linear or logarithmic scale.
+
+    A byte that is half way is rounded up, also where the last bit of a mean, which hangs on the order of its sum,
+    has put it below.
+    """
     peak = values.agg(F.coalesce(F.lit(top), F.max("value")).alias("_top"))
     x = F.col("value") / F.col("_top")
     x = F.log1p(F.greatest(x, F.lit(0.0)) * 9) / F.log(F.lit(10.0)) if log_scale else x
     level = F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    byte = lambda c: F.round(c).cast("int")
+    byte = lambda c: F.round(F.round(c, 9)).cast("int")
     return values.join(F.broadcast(peak)).withColumns({"r": byte(180 + 75 * level), "g": byte(180 * (1 - level)), "b": byte(180 * (1 - level)), "a": F.lit(255)}).drop("_top")
 
 
