@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.schema import spectral
-from ..functions.linear_models import recursive, solve, student_quantile, student_two_sided
+from ..functions.linear_models import recursive, solve_many, student_quantile, student_two_sided
 from .geometry import nearest
 
 
@@ -116,13 +116,13 @@ def fit(ts: DataFrame, design: DataFrame, noise: str = "ols", ar_order: int = 30
 
     def run(batches):
         for batch in batches:
-            rows = []
+            ys, xs = [], []
             for y, x in zip(batch.column("y"), batch.column("x"), strict=True):
                 # straight from the batch's buffers, a trace at a time
                 y, x = y.values.to_numpy(zero_copy_only=False), x.values
-                design = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-                b, cov, df, s2 = solve(y.astype(float), design.astype(float), noise, ar_order)
-                rows.append((b, np.sqrt(np.maximum(np.diag(cov), 0)), cov.reshape(-1), float(df), float(s2)))
+                ys.append(y.astype(float))
+                xs.append(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).astype(float))
+            rows = [(b, np.sqrt(np.maximum(np.diag(cov), 0)), cov.reshape(-1), float(df), float(s2)) for b, cov, df, s2 in solve_many(ys, xs, noise, ar_order)]
             kept = batch.select([*keys, "regressors"])
             lists = [pa.array([r[i] for r in rows], pa.list_(pa.float64())) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*kept.columns, *lists, *[pa.array([r[i] for r in rows], pa.float64()) for i in (3, 4)]], names=[*kept.schema.names, "params", "bse", "cov", "df_resid", "sigma2"])
