@@ -17,7 +17,7 @@ from ..core.scratch import discard, scratch_dir, stored
 from ..functions.eikonal import relax
 from .geometry import corners, edges, interleaved
 
-BLOCK_FACES = 20_000
+BLOCK_FACES = 100_000
 DISTANCES = "block long, vertex long, distance double, seen double"
 
 
