@@ -2,7 +2,8 @@
 
 The cache is a Parquet table keyed by the digest of the content (SHA-256 of the text, null as
 empty; no other normalisation, as any would change counts) and the digest of the tokenizer file.
-Only distinct contents that it lacks are encoded, and their counts are appended; copies and later
+Only distinct contents that it lacks are encoded (by the ranks of the same vocabulary, whose ids are
+those of the library, where it has such a file), and their counts are appended; copies and later
 runs are served by a join. The missing digests are found first, over digests alone; only their texts
 are then fetched: with nothing missing no text is read twice or shuffled, few missing digests (at
 most ``FEW``) are broadcast to the texts, and of many the texts collapse by digest within each map
@@ -23,22 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, table, text_or_empty
-from .tokenizer_files import default_path, file_digest, library_encoder
+from .tokenizer_files import default_path, file_digest, id_encoder
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
-#: Texts that are encoded at once.
-ENCODE_BATCH = 64
 #: Missing digests (32 bytes each) up to which they travel to the texts.
 FEW = 200_000
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = library_encoder(path)
+        encode = id_encoder(path)
         for batch in batches:
-            texts, n = batch.column(1), []
-            for at in range(0, len(texts), ENCODE_BATCH):
-                n += [len(x.ids) for x in enc.encode_batch_fast(texts.slice(at, ENCODE_BATCH).to_pylist(), add_special_tokens=False)]
+            n = [len(encode(text.as_py())) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([file_digest(path)] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
     return run

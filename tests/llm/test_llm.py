@@ -9,6 +9,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from lumenframe.llm import (
     simhash,
     substring_dedup,
     token_counts,
+    tokenizer_files,
 )
 from lumenframe.llm.common import shared_dir
 from lumenframe.llm.tokenizer_files import default_path, library_encoder, rank_encoder
@@ -431,6 +433,19 @@ def test_token_counts_and_cache(spark, docs, texts, empty):
     assert token_counts.count_tokens(empty, shared_dir(spark)).count() == 0
 
 
+def test_token_counts_take_the_fast_way_to_the_same_ids(monkeypatch):
+    texts = ["", "one two", "<|endoftext|> <s></s>[UNK] ", " " * 5000 + "x" * 3000, "é\u3000\U0001f600\r\n\t", "1234567890" * 50]
+    want = [len(library_encoder(default_path()).encode(t, add_special_tokens=False).ids) for t in texts]
+
+    def refused(path):
+        raise AssertionError("the file has ranks")
+
+    for module in (token_counts, tokenizer_files):
+        monkeypatch.setattr(module, "library_encoder", refused, raising=False)
+    batch = pa.RecordBatch.from_arrays([pa.array([b"d"] * len(texts)), pa.array(texts)], names=["digest", "text"])
+    assert [n for out in token_counts._count(default_path())([batch]) for n in out.column("n_tokens").to_pylist()] == want
+
+
 @pytest.mark.parametrize("few", [0, 200_000])
 def test_token_cache_is_asked_before_the_texts(spark, monkeypatch, few):
     monkeypatch.setattr(token_counts, "FEW", few)
