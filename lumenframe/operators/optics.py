@@ -39,11 +39,15 @@ def channel_distances(channels: DataFrame, geo: DataFrame) -> DataFrame:
     return channels.select("channel", "source", "detector").distinct().join(at("source"), "source").join(at("detector"), "detector").select("channel", "source", "detector", F.sqrt(d2).alias("distance"))
 
 
+def marked_long(ts: DataFrame, distances: DataFrame, threshold: float) -> DataFrame:
+    """ts with long: whether the channel's distance (channel, distance) is the threshold or more; one pass over ts."""
+    return ts.join(distances.select("channel", (F.col("distance") >= threshold).alias("long")), "channel")
+
+
 def split_long_short(ts: DataFrame, geo: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(long, short): channels from the threshold on, and below it."""
-    d = channel_distances(ts, geo).select("channel", "distance")
-    both = ts.join(d, "channel")
-    return both.where(F.col("distance") >= threshold).drop("distance"), both.where(F.col("distance") < threshold).drop("distance")
+    """(long, short): channels from the threshold on, and below it. Who needs both tells them apart by marked_long."""
+    both = marked_long(ts, channel_distances(ts, geo), threshold)
+    return both.where("long").drop("long"), both.where("NOT long").drop("long")
 
 
 def extinction_coefficients(spectrum: DataFrame, wavelengths: list[float]) -> DataFrame:

@@ -58,10 +58,7 @@ def sd_dist(spark, d):
 
 @query(f"WITH {TS}, {GEO}, {CHANNELS}, {DIST} SELECT distance >= 0.2 AS long, {CELL}, {r('value')} FROM ts JOIN dist USING (channel)")
 def split_long_short(spark, d):
-    x = ts(spark, d).join(channels(spark, d), "channel")
-    long, short = optics.split_long_short(x, geo(spark, d), 0.2)
-    cols = ["channel", "wavelength", "sample", "time", "value"]
-    return long.select(F.lit(True).alias("long"), *cols).unionByName(short.select(F.lit(False).alias("long"), *cols))
+    return optics.marked_long(ts(spark, d), distances(spark, d), 0.2).select("long", "channel", "wavelength", "sample", "time", "value")
 
 
 @query(f"WITH {COEF} SELECT chromo, wavelength, {r('coef')} FROM coef")
