@@ -17,6 +17,8 @@ from .windows import standardize
 
 #: Channels up to which a Gram matrix may come to the driver.
 MAX_CHANNELS = 4096
+#: Samples whose vectors a task multiplies at once.
+TOGETHER = 512
 
 
 def _labels(ts: DataFrame) -> list[str]:
@@ -46,7 +48,8 @@ def _outer(rows: list, cols: list):
 
     def run(batches):
         left, right, g, n = pa.array(rows), pa.array(cols), np.zeros((len(rows), len(cols))), np.zeros((len(rows), len(cols)))
-        for batch in batches:
+        # some samples at a time, so that a task's matrices do not grow with its batches
+        for batch in (whole.slice(at, TOGETHER) for whole in batches for at in range(0, whole.num_rows, TOGETHER)):
             x, nx = matrix(batch.column("x"), batch.column("x_at"), left)
             y, ny = matrix(batch.column("y"), batch.column("y_at"), right)
             g += x.T @ y
