@@ -5,9 +5,11 @@ most frequent become symbols of their own, in classes of about equal mass; every
 symbol of its ending's class (by a checksum of its last bytes), so unknown words have a symbol too.
 ``HEAD`` and ``ENDINGS`` are the least numbers of both, which grow with the square root of the
 counted vocabulary. A gated recurrent unit reads symbols; the output is factored: softmax over
-classes, then, within a class of head words, softmax over its members, within an ending's class the
-counts with absolute discounting, whose discounted mass belongs to the words not seen in training
-(one event per class, as the base's unknown token is one event).
+groups of classes (about the square root of the classes' number, so that a token meets few scores
+whatever the vocabulary), then over the group's classes, then, within a class of head words, over
+its members, within an ending's class the counts with absolute discounting, whose discounted mass
+belongs to the words not seen in training (one event per class, as the base's unknown token is one
+event).
 
 Training is truncated backpropagation over windows of ``WINDOW`` tokens with the state carried
 from window to window and cleared where a document begins; each task trains on its own part of
@@ -18,14 +20,14 @@ token is trained on, and what pads the last lanes is masked. Scoring runs many d
 side, each in full with its state carried through.
 
 The static within-class terms need each word's count. The counts of the most frequent words after
-the head (at most ``MID``, by XXH64) are known to the encoding tasks, which sum their terms by
-document; rarer and unknown words leave as postings (one row per word and chunk of documents) and
-meet the counts in a join.
+the head (at most ``MID``) are known to the encoding tasks, which sum their terms by document;
+rarer and unknown words leave as postings (one row per word and chunk of documents) and meet the
+counts in a join.
 
 Defined results: a null or empty text is one end token; every row is scored by itself, whatever ids
 it shares; a row without an id is never learned from; a word of more than ``LONGEST`` bytes is never
-a head word; without any training document all tokens are unknown; an empty table gives an empty
-result; other columns are ignored.
+a head word and meets its count in the join; without any training document all tokens are unknown;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +39,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +48,9 @@ HEAD, HEAD_CLASSES, MEMBERS, ENDINGS, LAST = 2047, 40, 128, 32, 3
 #: Documents whose words are split at once, that share postings, and that are learned from together.
 SPLIT_DOCS, POSTING_DOCS, TOGETHER = 256, 5000, 4096
 HIDDEN, WINDOW, LANES, ROUNDS, RATE = 16, 16, 512, 3, 0.01
-#: Tokens whose output is computed at once.
-FLUSH = 1 << 14
-#: Words after the head whose counts (16 bytes each) travel to the encoding tasks; longest head word in bytes.
+#: Tokens scored and computed at once, documents scored side by side, parameters that stay in the cache.
+FLUSH, BLOCK, SIDE, CACHED = 1 << 16, 1 << 15, 1024, 1 << 14
+#: Words after the head that travel with their counts to the encoding tasks; longest word of these and of the head in bytes.
 MID, LONGEST = 1 << 17, 256
 ENCODED = "rn long, doc_id {id}, held_out boolean, n_tokens long, ids binary, known long, base double, score double, word binary, docs array<long>, times array<int>"
 
@@ -72,12 +73,12 @@ class Symbols:
     """Symbols 0 (end) and 1.. (head words by count), then one for each ending; and their classes.
 
     All head words fill classes of about equal mass of up to MEMBERS words, whose members the network
-    tells apart; a class is a run of symbols. tail, kinds and discount: by ending, what the words
+    tells apart; a class is a run of symbols, a group one of classes. tail, kinds and discount: by ending, what the words
     outside the head count, how many they are, and what is taken off each count of the class.
     """
 
     def __init__(self, head: list[bytes], counts: np.ndarray, tail: np.ndarray, kinds: np.ndarray | None = None, discount: np.ndarray | None = None):
-        self.index = {w: i + 1 for i, w in enumerate(head)}
+        self.head = pa.array(head, pa.binary())
         self.first_ending, self.endings = len(head) + 1, len(tail)
         self.n = self.first_ending + self.endings
         self.id_type = "<i2" if self.n < 1 << 15 else "<i4"
@@ -94,31 +95,43 @@ class Symbols:
         self.class_of[self.first_ending :] = self.n_soft + np.arange(self.endings)
         self.cuts = np.r_[0, np.cumsum(np.bincount(self.class_of[: self.first_ending]))]
         self.counts = np.concatenate([counts, tail]).astype(np.float64)
+        self.class_mass = np.bincount(self.class_of, self.counts + 0.5, self.n_classes)
+        # groups of about equal mass, of up to twice the classes that they would have on average
+        some, cuts, held = math.isqrt(self.n_classes), [0], 0.0
+        for c, mass in enumerate(self.class_mass):
+            if c > cuts[-1] and (held + mass > self.class_mass.sum() / some or c - cuts[-1] == 2 * some):
+                cuts, held = [*cuts, c], 0.0
+            held += mass
+        self.group_cuts = np.array([*cuts, self.n_classes])
+        self.group_of = np.repeat(np.arange(len(cuts), dtype=np.int16), np.diff(self.group_cuts))
         self.totals = tail
         self.discount = np.full(self.endings, 0.75) if discount is None else discount
         self.unseen = self.discount * (tail > 0 if kinds is None else kinds)
-        self.mid, self.mid_counts = np.empty(0, np.uint64), np.empty(0)
+        self.mid, self.mid_counts = pa.array([], pa.binary()), np.empty(0)
 
-    def know(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        """The counts of some words outside the head, by XXH64."""
-        order = np.argsort(hashes)
-        self.mid, self.mid_counts = hashes[order], counts[order].astype(np.float64)
+    def know(self, words: pa.Array, counts: np.ndarray) -> None:
+        """The counts of some words outside the head."""
+        self.mid, self.mid_counts = words, counts.astype(np.float64)
 
-    def static(self, names: list[bytes], of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def static(self, words: pa.Array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(is its count known, log10 of what the base has for it, log10 of its share of its class) of words; 0 for others."""
-        hit, base, term = np.zeros(len(names), bool), np.zeros(len(names)), np.zeros(len(names))
-        outside = np.flatnonzero(of >= self.first_ending)
-        if len(outside) and len(self.mid):
-            h = np.fromiter((xxhash.xxh64_intdigest(names[i], 42) for i in outside), np.uint64, len(outside))
-            at = np.minimum(np.searchsorted(self.mid, h), len(self.mid) - 1)
-            found = self.mid[at] == h
-            those, c, e = outside[found], self.mid_counts[at[found]], of[outside[found]].astype(np.int64) - self.first_ending
-            hit[those], base[those], term[those] = True, np.log10(c + 0.5), np.log10((c - self.discount[e]) / self.totals[e])
+        hit, base, term = np.zeros(len(words), bool), np.zeros(len(words)), np.zeros(len(words))
+        at = _places(words, self.mid)
+        those = np.flatnonzero(at >= 0)
+        c, e = self.mid_counts[at[those]], of[those].astype(np.int64) - self.first_ending
+        hit[those], base[those], term[those] = True, np.log10(c + 0.5), np.log10((c - self.discount[e]) / self.totals[e])
         return hit, base, term
 
-    def of_word(self, word: bytes) -> int:
-        s = self.index.get(word)
-        return s if s is not None else self.first_ending + zlib.crc32(word[-LAST:]) % self.endings
+    def of_words(self, words: pa.Array) -> np.ndarray:
+        """The symbol of each word (binary)."""
+        at = _places(words, self.head)
+        last = pc.binary_slice(words, -LAST).dictionary_encode()
+        endings = np.array([zlib.crc32(w) % self.endings for w in last.dictionary.to_pylist()], np.int64)
+        return np.where(at >= 0, at + 1, self.first_ending + endings[last.indices.to_numpy()]).astype(self.id_type)
+
+
+def _places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy()
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -157,9 +170,8 @@ def _encode(shared):
         for batch in _slices(batches, POSTING_DOCS):
             n = batch.num_rows
             size, codes, words = _codes(batch.column("text"))
-            names = words.to_pylist()
-            of = np.fromiter(map(sym.of_word, names), sym.id_type, len(names))
-            hit, base, term = sym.static(names, of)
+            of = sym.of_words(words)
+            hit, base, term = sym.static(words, of)
             doc = np.repeat(np.arange(n, dtype=np.int32), size)
             sums = [np.bincount(doc, x[codes], n) for x in (hit, base, term)]
             ids, ends = of[codes], np.cumsum(size)
@@ -183,15 +195,17 @@ def _encode(shared):
 class Network:
     """Parameters of the unit and the factored output; float32."""
 
-    SHAPES = ("inputs", "recurrent", "classes", "class_bias", "members", "member_bias")
+    SHAPES = ("inputs", "recurrent", "groups", "group_bias", "classes", "class_bias", "members", "member_bias")
 
     def __init__(self, sym: Symbols):
         rng, h = np.random.default_rng(5), HIDDEN
         scale = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         self.inputs, self.recurrent = scale(sym.n, 3 * h), scale(h, 3 * h)
-        self.classes, self.members = scale(h, sym.n_classes), scale(sym.first_ending, h)
-        mass = np.bincount(sym.class_of, sym.counts + 0.5, sym.n_classes)
-        self.class_bias = np.log(mass / mass.sum()).astype(np.float32)
+        self.classes, self.members = scale(sym.n_classes, h), scale(sym.first_ending, h)
+        self.groups, self.cuts = scale(len(sym.group_cuts) - 1, h), sym.group_cuts
+        mass = np.add.reduceat(sym.class_mass, self.cuts[:-1])
+        self.group_bias = np.log(mass / mass.sum()).astype(np.float32)
+        self.class_bias = np.log(sym.class_mass / sym.class_mass.sum()).astype(np.float32)
         self.member_bias = np.log(sym.counts[: sym.first_ending] + 0.5).astype(np.float32)
 
     def pack(self) -> bytes:
@@ -208,64 +222,113 @@ class Network:
     def step(self, x: np.ndarray, h: np.ndarray):
         """One token for many sequences: (state, gates, candidate, what enters it)."""
         n = HIDDEN
-        e = self.inputs[x]
-        gate = 0.5 + 0.5 * np.tanh(0.5 * (e[:, : 2 * n] + h @ self.recurrent[:, : 2 * n]))
+        e = self.inputs.take(x, 0)
+        gate = h @ self.recurrent[:, : 2 * n]
+        gate += e[:, : 2 * n]
+        # logistic: 1 / (1 + exp(-x)), where a float32 holds the exponential
+        np.negative(gate, out=gate)
+        np.minimum(gate, np.float32(80), out=gate)
+        np.exp(gate, out=gate)
+        gate += np.float32(1)
+        np.reciprocal(gate, out=gate)
         rh = gate[:, n:] * h
-        cand = np.tanh(e[:, 2 * n :] + rh @ self.recurrent[:, 2 * n :])
-        return h + gate[:, :n] * (cand - h), gate, cand, rh
-
-    def class_scores(self, h: np.ndarray) -> np.ndarray:
-        """Logits less their maximum; a row per class, so that sums and maxima run along tokens."""
-        z = self.classes.T @ h.T
-        z += self.class_bias[:, None]
-        z -= z.max(0)
-        return z
+        cand = rh @ self.recurrent[:, 2 * n :]
+        cand += e[:, 2 * n :]
+        np.tanh(cand, out=cand)
+        new = cand - h
+        new *= gate[:, :n]
+        new += h
+        return new, gate, cand, rh
 
     def class_log_probs(self, h: np.ndarray) -> np.ndarray:
-        """log P(class | h), a row per state."""
-        z = self.class_scores(h)
-        z -= np.log(np.exp(z).sum(0))
-        return z.T
-
-    def class_probs(self, h: np.ndarray) -> np.ndarray:
-        """P(class | h), a row per class."""
-        p = self.class_scores(h)
+        """log P(class | h) of every class, a row per state."""
+
+        def log_softmax(z):
+            z = z - z.max(1, keepdims=True)
+            return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+        group, z = log_softmax(h @ self.groups.T + self.group_bias), h @ self.classes.T + self.class_bias
+        return np.hstack([group[:, g, None] + log_softmax(z[:, a:b]) for g, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False))])
+
+
+def _choices(weights: np.ndarray, bias: np.ndarray, cuts: np.ndarray, h: np.ndarray, run: np.ndarray, item: np.ndarray, grads: tuple | None = None, dh: np.ndarray | None = None) -> np.ndarray:
+    """log P(item | its run, h), where run r is the rows cuts[r] up to cuts[r + 1]; adds gradients if asked.
+
+    h ends with a column of ones. Runs of one item and the run after the last are certain: 0.
+    """
+    out, width = np.zeros(len(h), np.float32), np.diff(cuts)
+    order = np.argsort(run, kind="stable")
+    order = order[np.append(width > 1, False)[run[order]]]
+    # the bias is a column of the weights; less its run's largest, no score exceeds what the state adds
+    w = np.column_stack([weights, bias - np.repeat(np.maximum.reduceat(bias, cuts[:-1]), width)])
+    wide, ones = float(np.abs(w).sum(1).max()) > 80, np.ones(width.max(), np.float32)
+    if grads is not None:
+        slope, back, place = np.zeros_like(w), np.zeros((len(order) + 1, HIDDEN), np.float32), np.full(len(h), len(order))
+        place[order] = np.arange(len(order))
+    for at in range(0, len(order), BLOCK):
+        own = order[at : at + BLOCK]
+        runs, ho = run[own], h.take(own, 0)
+        sizes = width[runs]
+        starts = np.cumsum(sizes) - sizes
+        p, total, parts = np.empty(starts[-1] + sizes[-1], np.float32), np.empty(len(own), np.float32), []
+        first = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+        for a, b, r in zip(first.tolist(), [*first[1:].tolist(), len(own)], runs[first].tolist(), strict=True):
+            rows = slice(cuts[r], cuts[r + 1])
+            z = p[starts[a] : starts[a] + (b - a) * width[r]].reshape(b - a, -1)
+            np.matmul(ho[a:b], w[rows].T, out=z)
+            if wide:
+                z -= z.max(1, keepdims=True)
+            parts.append((slice(a, b), rows, z))
+        chosen = starts + item[own]
+        term = p.take(chosen)
         np.exp(p, out=p)
-        p /= p.sum(0)
-        return p
-
-
-def _head_terms(net: Network, sym: Symbols, h: np.ndarray, y: np.ndarray, grads: dict | None = None, dh: np.ndarray | None = None) -> np.ndarray:
-    """log P(member | class, h) where the class is one of head words, by class; adds gradients if asked."""
-    out = np.zeros(len(y), np.float32)
-    cls = sym.class_of[y]
-    some = np.flatnonzero(cls < sym.n_soft)
-    some = some[np.argsort(cls[some], kind="stable")]
-    cut = np.flatnonzero(np.diff(cls[some])) + 1
-    for part in np.split(some, cut) if len(some) else ():
-        c = cls[part[0]]
-        own = slice(sym.cuts[c], sym.cuts[c + 1])
-        if own.stop - own.start == 1:
-            continue
-        hp, weights = h[part], net.members[own]
-        # a row per member, as class_scores has a row per class
-        z = weights @ hp.T
-        z += net.member_bias[own, None]
-        z -= z.max(0)
-        at = (sym.member[y[part]], np.arange(len(part)))
-        chosen = z[at]
-        p = np.exp(z, out=z)
-        total = p.sum(0)
-        out[part] = chosen - np.log(total)
+        for part, _, z in parts:
+            np.matmul(z, ones[: z.shape[1]], out=total[part])
+        out[own] = term - np.log(total)
         if grads is not None:
-            p /= total
-            p[at] -= 1
-            grads["members"][own] += p @ hp
-            grads["member_bias"][own] += p.sum(1)
-            dh[part] += p.T @ weights
+            # probabilities are p / total: the smaller arrays are divided
+            p[chosen] -= total
+            total = (1 / total)[:, None]
+            ho *= total
+            back_ = back[at : at + len(own)]
+            for part, rows, z in parts:
+                slope[rows] += z.T @ ho[part]
+                np.matmul(z, weights[rows], out=back_[part])
+            back_ *= total
+    if grads is not None:
+        grads[0][...] += slope[:, :-1]
+        grads[1][...] += slope[:, -1]
+        dh += back.take(place, 0)
     return out
 
 
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    out = np.ones((len(h), HIDDEN + 1), np.float32)
+    out[:, :-1] = h
+    return out
+
+
+def _class_terms(net: Network, sym: Symbols, h1: np.ndarray, y: np.ndarray, grads: dict | None = None, dh: np.ndarray | None = None) -> np.ndarray:
+    """log P(class of y | h): its group's, then its own within the group."""
+    cls, of = sym.class_of[y], (lambda *k: None if grads is None else tuple(grads[x] for x in k))
+    group = sym.group_of[cls]
+    out = _choices(net.groups, net.group_bias, np.array([0, len(net.groups)]), h1, np.zeros(len(y), np.int16), group, of("groups", "group_bias"), dh)
+    out += _choices(net.classes, net.class_bias, sym.group_cuts, h1, group, cls - sym.group_cuts[group], of("classes", "class_bias"), dh)
+    return out
+
+
+def _member_terms(net: Network, sym: Symbols, h1: np.ndarray, y: np.ndarray, grads: dict | None = None, dh: np.ndarray | None = None) -> np.ndarray:
+    """log P(member | class, h) where the class is one of head words; 0 elsewhere."""
+    cls = np.minimum(sym.class_of[y], sym.n_soft)
+    of = None if grads is None else (grads["members"], grads["member_bias"])
+    return _choices(net.members, net.member_bias, sym.cuts, h1, cls, sym.member[y], of, dh)
+
+
+def _head_terms(net: Network, sym: Symbols, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """_member_terms of states without the column of ones."""
+    return _member_terms(net, sym, _with_ones(h), y)
+
+
 def train_stream(net: Network, sym: Symbols, ids: np.ndarray, begins: np.ndarray, lanes: int, opt: dict) -> None:
     """Truncated backpropagation over one long stream of documents, cut into lanes that run side by side."""
     total, n, hid = len(ids), -(-len(ids) // lanes), HIDDEN
@@ -285,56 +348,71 @@ def train_stream(net: Network, sym: Symbols, ids: np.ndarray, begins: np.ndarray
         state = hs[steps].copy()
         h, y = hs[1:].reshape(-1, hid), y_all[:, at : at + steps].T.reshape(-1)
         grads = {k: np.zeros_like(getattr(net, k)) for k in net.SHAPES}
-        p = net.class_probs(h)
-        p[sym.class_of[y], np.arange(len(y))] -= 1
-        real = (place + np.arange(at, at + steps)[:, None] < total).reshape(-1)
-        if real.all():
-            dh_out = p.T @ net.classes.T
-            _head_terms(net, sym, h, y, grads, dh_out)
-        else:
-            p[:, ~real] = 0
-            dh_out = p.T @ net.classes.T
-            own = dh_out[real]
-            _head_terms(net, sym, h[real], y[real], grads, own)
+        real = np.flatnonzero((place + np.arange(at, at + steps)[:, None] < total).reshape(-1))
+        dh_out, every = np.zeros_like(h), len(real) == len(y)
+        own, of, wanted = (dh_out, h, y) if every else (dh_out[real], h[real], y[real])
+        of = _with_ones(of)
+        _class_terms(net, sym, of, wanted, grads, own)
+        _member_terms(net, sym, of, wanted, grads, own)
+        if not every:
             dh_out[real] = own
-        grads["classes"], grads["class_bias"] = h.T @ p.T, p.sum(1)
         dh_out = dh_out.reshape(steps, lanes, hid)
         dh, d_in = np.zeros((lanes, hid), np.float32), np.empty((steps, lanes, 3 * hid), np.float32)
         u = net.recurrent
         for t in reversed(range(steps)):
             before, gate, cand, rh = kept[t]
-            dh = dh + dh_out[t]
+            dh += dh_out[t]
             z, r = gate[:, :hid], gate[:, hid:]
-            d_cand = dh * z * (1 - cand * cand)
+            d, dz = d_in[t], dh * z
+            d_cand = cand * cand
+            np.subtract(1, d_cand, out=d_cand)
+            d_cand *= dz
             d_rh = d_cand @ u[:, 2 * hid :].T
-            d = d_in[t]
-            d[:, :hid] = dh * (cand - before) * z * (1 - z)
-            d[:, hid : 2 * hid] = d_rh * before * r * (1 - r)
+            # of a gate s, s * (1 - s)
+            slope = gate * gate
+            np.subtract(gate, slope, out=slope)
+            cand -= before
+            cand *= dh
+            np.multiply(cand, slope[:, :hid], out=d[:, :hid])
+            np.multiply(d_rh * before, slope[:, hid:], out=d[:, hid : 2 * hid])
             d[:, 2 * hid :] = d_cand
-            grads["recurrent"][:, : 2 * hid] += before.T @ d[:, : 2 * hid]
-            grads["recurrent"][:, 2 * hid :] += rh.T @ d_cand
-            dh = dh * (1 - z) + d_rh * r + d[:, : 2 * hid] @ u[:, : 2 * hid].T
+            dh -= dz
+            d_rh *= r
+            dh += d_rh
+            dh += d[:, : 2 * hid] @ u[:, : 2 * hid].T
             dh[b_all[:, at + t]] = 0
+        flat_in = d_in.reshape(-1, 3 * hid)
+        grads["recurrent"][:, : 2 * hid] = np.concatenate([k[0] for k in kept]).T @ flat_in[:, : 2 * hid]
+        grads["recurrent"][:, 2 * hid :] = np.concatenate([k[3] for k in kept]).T @ flat_in[:, 2 * hid :]
         x = x_all[:, at : at + steps].T.reshape(-1).astype(sym.id_type)
         order = np.argsort(x, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
-        grads["inputs"][x[order][cut]] = np.add.reduceat(d_in.reshape(-1, 3 * hid)[order], cut, axis=0)
-        _adam(net, grads, opt, 1 / max(int(real.sum()), 1))
+        grads["inputs"][x[order][cut]] = np.add.reduceat(flat_in[order], cut, axis=0)
+        _adam(net, grads, opt, 1 / max(len(real), 1))
 
 
 def _adam(net: Network, grads: dict, opt: dict, scale: float) -> None:
     opt["t"] = opt.get("t", 0) + 1
-    norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) * scale
-    scale = np.float32(scale * min(1.0, 1.0 / max(norm, 1e-9)))
+    norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) * scale
+    scale = np.float32(0.1 * scale * min(1.0, 1.0 / max(norm, 1e-9)))
     fix = np.float32(RATE * np.sqrt(1 - 0.99 ** opt["t"]) / (1 - 0.9 ** opt["t"]))
     for k, g in grads.items():
-        m, v = opt.setdefault(k, (np.zeros_like(g), np.zeros_like(g)))
-        g *= scale
-        m *= np.float32(0.9)
-        m += np.float32(0.1) * g
-        v *= np.float32(0.99)
-        v += np.float32(0.01) * g * g
-        getattr(net, k)[...] -= fix * m / (np.sqrt(v) + np.float32(1e-6))
+        moments = opt.setdefault(k, (np.zeros_like(g), np.zeros_like(g)))
+        flat = [a.reshape(-1) for a in (g, *moments, getattr(net, k))]
+        for at in range(0, g.size, CACHED):
+            # the block of g becomes a tenth of the scaled gradient, its square, then the step
+            g_, m, v, w = (a[at : at + CACHED] for a in flat)
+            g_ *= scale
+            m *= np.float32(0.9)
+            m += g_
+            g_ *= g_
+            v *= np.float32(0.99)
+            v += g_
+            np.sqrt(v, out=g_)
+            g_ += np.float32(1e-6)
+            np.divide(m, g_, out=g_)
+            g_ *= fix
+            w -= g_
 
 
 def _stream(batch: pa.RecordBatch, id_type: str) -> tuple[np.ndarray, np.ndarray]:
@@ -392,27 +470,29 @@ def score_sequences(net: Network, sym: Symbols, docs: list[np.ndarray]) -> np.nd
     order = np.argsort([-len(d) for d in docs], kind="stable")
     size = np.array([len(docs[i]) for i in order])
     out, ends = np.zeros(len(docs)), np.cumsum(size)
-    flat = np.concatenate([docs[i] for i in order]).astype(np.int64)
+    flat = np.concatenate([docs[i] for i in order]) if len(docs) else np.empty(0, np.int64)
     starts = ends - size
-    h, x = np.zeros((len(docs), HIDDEN), np.float32), np.zeros(len(docs), np.int64)
     held_h, held_y, held_d, n = [], [], [], 0
 
     def flush():
         hh, yy, dd = np.concatenate(held_h), np.concatenate(held_y), np.concatenate(held_d)
-        lp = net.class_log_probs(hh)[np.arange(len(yy)), sym.class_of[yy]] + _head_terms(net, sym, hh, yy)
+        hh = _with_ones(hh)
+        lp = _class_terms(net, sym, hh, yy) + _member_terms(net, sym, hh, yy)
         np.add(out, np.bincount(dd, lp, len(out)), out=out)
 
-    alive = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left").tolist()
-    for t, k in enumerate(alive):
-        h = net.step(x[:k], h[:k])[0]
-        x = flat[starts[:k] + t]
-        held_h.append(h)
-        held_y.append(x)
-        held_d.append(order[:k])
-        n += k
-        if n >= FLUSH:
-            flush()
-            held_h, held_y, held_d, n = [], [], [], 0
+    for a in range(0, len(docs), SIDE):
+        own, begin = size[a : a + SIDE], starts[a : a + SIDE]
+        h, x = np.zeros((len(own), HIDDEN), np.float32), np.zeros(len(own), flat.dtype)
+        for t, k in enumerate(np.searchsorted(-own, -np.arange(own[0]), "left").tolist()):
+            h = net.step(x[:k], h[:k])[0]
+            x = flat[begin[:k] + t]
+            held_h.append(h)
+            held_y.append(x)
+            held_d.append(order[a : a + k])
+            n += k
+            if n >= FLUSH:
+                flush()
+                held_h, held_y, held_d, n = [], [], [], 0
     if n:
         flush()
     return out
@@ -423,16 +503,16 @@ def _score(shared, flat):
         sym: Symbols = shared.value
         net = Network(sym).unpack(np.frombuffer(flat.value, np.float32))
         head = sym.counts[: sym.first_ending]
-        log_base, is_known = np.r_[np.log10(head + 0.5), np.zeros(sym.endings)], np.r_[head > 0, np.zeros(sym.endings)].astype(np.int64)
+        log_base, is_known = np.r_[np.log10(head + 0.5), np.zeros(sym.endings)], np.r_[head > 0, np.zeros(sym.endings)].astype(np.int8)
         # whole batches (Spark bounds their rows): the more documents side by side, the fewer steps
         for batch in batches:
             if not batch.num_rows:
                 continue
             docs = [np.frombuffer(b, sym.id_type) for b in batch.column("ids").to_pylist()]
             lp = score_sequences(net, sym, docs) / np.log(10)
-            of, size = np.concatenate(docs).astype(np.int64), np.array([len(d) for d in docs])
+            of, size = np.concatenate(docs), np.array([len(d) for d in docs])
             ends = np.cumsum(size)
-            base, known = np.add.reduceat(log_base[of], ends - size), np.add.reduceat(is_known[of], ends - size)
+            base, known = np.add.reduceat(log_base[of], ends - size), np.add.reduceat(is_known[of], ends - size, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rn", "doc_id", "held_out", "n_tokens")), pa.array(known + batch.column("known").to_numpy()), pa.array(base + batch.column("base").to_numpy()), pa.array(lp + batch.column("score").to_numpy())], names=["rn", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     return run
@@ -466,9 +546,9 @@ def log_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         if below > MID:
             break
         least = r["c"]
-    mid = tail.where(F.col("c") >= least).select(F.xxhash64("word").alias("h"), "c").toPandas() if least is not None else None
-    if mid is not None:
-        sym.know(mid["h"].to_numpy(np.int64).view(np.uint64), mid["c"].to_numpy())
+    if least is not None:
+        mid = tail.where((F.col("c") >= least) & (F.octet_length("word") <= LONGEST)).select("word", "c").toArrow().combine_chunks()
+        sym.know(pa.concat_arrays(mid["word"].chunks).cast(pa.binary()) if mid.num_rows else sym.mid, mid["c"].to_numpy())
     shared = ctx.broadcast(sym)
     encoded = materialize(rows.select("rn", "doc_id", "held_out", "text").mapInArrow(_encode(shared), ENCODED.format(id=kind)))
     flat = ctx.broadcast(train(encoded, sym, shared))

@@ -722,6 +722,92 @@ def test_scoring_is_the_same_alone_and_together():
     assert gated_lm.score_sequences(net, sym, docs) == pytest.approx(alone, rel=1e-4)
 
 
+def test_a_token_meets_few_scores_whatever_the_vocabulary():
+    """Groups, classes of one group and members together grow far slower than the classes; every class is in one group."""
+    met = []
+    for vocab in (1_000_000, 100_000_000):
+        head, endings = gated_lm.sizes_for(vocab)
+        sym = gated_lm.Symbols([f"w{i}".encode() for i in range(head)], 1e8 / np.arange(1, head + 2), np.full(endings, 1e5))
+        assert sym.group_cuts[0] == 0 and sym.group_cuts[-1] == sym.n_classes == len(sym.group_of) and (np.diff(sym.group_cuts) > 0).all()
+        assert (sym.group_cuts[sym.group_of] <= np.arange(sym.n_classes)).all() and (np.arange(sym.n_classes) < sym.group_cuts[sym.group_of + 1]).all()
+        met.append((sym.n_classes, len(sym.group_cuts) - 1 + np.diff(sym.group_cuts).max()))
+    assert met[1][0] > 7 * met[0][0] and met[1][1] < min(4 * met[0][1], met[1][0] / 6)
+
+
+@pytest.mark.parametrize("scale", [1, 300])
+def test_class_terms_are_the_class_distribution_and_its_gradients(scale):
+    """Also where weights are so large that exponentials need each token's maximum."""
+    sym = gated_lm.Symbols([f"w{i}".encode() for i in range(40)], np.arange(41, 0, -1.0), np.arange(1.0, gated_lm.ENDINGS + 1))
+    net, rng = gated_lm.Network(sym), np.random.default_rng(2)
+    net.classes *= scale
+    net.groups *= scale
+    net.members *= scale
+    y = np.tile(np.arange(sym.n), 2)
+    h = rng.normal(size=(len(y), gated_lm.HIDDEN)).astype(np.float32)
+    want = net.class_log_probs(h)
+    assert np.exp(want.astype(float)).sum(1) == pytest.approx(np.ones(len(y)), abs=1e-4)
+    h1 = gated_lm._with_ones(h)
+    assert gated_lm._class_terms(net, sym, h1, y) == pytest.approx(want[np.arange(len(y)), sym.class_of[y]], rel=1e-4, abs=1e-4 * scale)
+    assert np.isfinite(gated_lm._member_terms(net, sym, h1, y)).all()
+    if scale > 1:
+        return
+    for terms in (gated_lm._class_terms, gated_lm._member_terms):
+        grads, dh = {k: np.zeros_like(getattr(net, k)) for k in net.SHAPES}, np.zeros_like(h)
+        terms(net, sym, h1, y, grads, dh)
+        loss = lambda: -float(terms(net, sym, gated_lm._with_ones(h), y).astype(float).sum())  # noqa: E731,B023
+        for grad, value in [(dh, h), *((grads[k], getattr(net, k)) for k in ("groups", "group_bias", "classes", "class_bias", "members", "member_bias"))]:
+            at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+            if not grad[at]:
+                continue
+            old, eps = value[at], np.float32(0.02)
+            value[at] = old + eps
+            more = loss()
+            value[at] = old - eps
+            less = loss()
+            value[at] = old
+            assert (more - less) / (2 * float(eps)) == pytest.approx(float(grad[at]), rel=0.02)
+
+
+def test_training_gradients_agree_with_differences():
+    """Through the gates and the carried state, by the first moments of one step."""
+    sym = gated_lm.Symbols([f"w{i}".encode() for i in range(20)], np.full(21, 10.0), np.ones(gated_lm.ENDINGS))
+    ids = np.array([3, 5, 7, 9, 0, 3, 5, 2, 0], np.int64)
+    begins = np.r_[True, ids[:-1] == 0]
+
+    def fresh():
+        net, rng = gated_lm.Network(sym), np.random.default_rng(3)
+        for k in net.SHAPES:
+            getattr(net, k)[...] += rng.normal(0, 0.5, getattr(net, k).shape)
+        return net
+
+    def loss(net):
+        return -float(gated_lm.score_sequences(net, sym, [ids[:5], ids[5:]]).sum()) / len(ids)
+
+    gated_lm.train_stream(fresh(), sym, ids, begins, 1, opt := {})
+    picked, slopes = [], []
+    for k in gated_lm.Network.SHAPES:
+        for i in np.argsort(-np.abs(opt[k][0]).ravel())[:3]:
+            sides = []
+            for sign in (1, -1):
+                net = fresh()
+                getattr(net, k).reshape(-1)[i] += np.float32(sign * 0.01)
+                sides.append(loss(net))
+            slopes.append((sides[0] - sides[1]) / 0.02)
+            picked.append(float(opt[k][0].ravel()[i]))
+    # the step clips the gradient's norm, and the moment is a tenth of it
+    slopes, picked = np.array(slopes), np.array(picked)
+    factor = (slopes @ picked) / (picked @ picked)
+    assert factor >= 10 - 0.2 and slopes == pytest.approx(picked * factor, rel=0.05, abs=2e-3)
+
+
+def test_symbols_of_words():
+    words = [b"a", b"", b"zz", b"abcd", b"xbcd", b"\xff\xfe\xfd\xfc", b"b"]
+    for head in ([b"a", b"b"], []):
+        sym = gated_lm.Symbols(head, np.full(len(head) + 1, 5.0), np.ones(gated_lm.ENDINGS))
+        want = [head.index(w) + 1 if w in head else sym.first_ending + zlib.crc32(w[-gated_lm.LAST :]) % gated_lm.ENDINGS for w in words]
+        assert sym.of_words(pa.array(words, pa.binary())).tolist() == want
+
+
 # pipeline
 
 
