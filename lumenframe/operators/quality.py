@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.schema import along_time, spectral, trace, trace_keys
+from ..core.scratch import stored
 
 
 def sampling_rate(ts: DataFrame) -> DataFrame:
@@ -41,72 +45,109 @@ def measurement_variance(ts: DataFrame, bad_channels: list[str] | None = None, b
     return own.withColumn("bad", bad).withColumn("variance", F.when(F.col("bad"), fill).otherwise(F.col("variance"))).drop("bad")
 
 
-#: Channels of a block whose covariances with another block's one task computes, and cells that a block may have on average.
-BLOCK_CHANNELS, BLOCK_CELLS = 1024, 2_000_000
+#: Channels of a block, cells that it may have on average, blocks at least (if there are channels for them), and pairs in a batch of the result.
+BLOCK_CHANNELS, BLOCK_CELLS, LEAST_BLOCKS, BATCH_PAIRS = 1024, 2_000_000, 8, 1 << 16
+PACKED = ("channels", "at", "times", "values")
 
 
-def _block_covariances(dims: list[str], slab: int = 4_000_000):
-    """Covariances of the channels of two blocks, from sums over slabs of their common times."""
+def _packed_block(dims: list[str]):
+    """The cells of a block's channels as one row: its channels, and by cell the channel's place, the time and the value less the channel's mean."""
 
     def run(key, table: pa.Table) -> pa.Table:
-        lo, hi = (k.as_py() for k in key[len(dims) :])
         named = table.column("channel").combine_chunks().dictionary_encode("encode")
-        labels, c = named.dictionary, np.asarray(named.indices)
-        names, first = np.unique(c, return_index=True)
-        block = np.asarray(table.column("_block"))[first]
-        known = ~table.column("value").is_null().to_numpy()
-        v = table.column("value").to_numpy().astype(float)
-        wrong = known & np.isnan(v)
-        clean = np.where(known & ~wrong, v, 0.0)
-        mean = np.bincount(c, clean, len(names)) / np.maximum(np.bincount(c, known & ~wrong, len(names)), 1)
-        clean = np.where(known & ~wrong, clean - mean[c], 0.0)
-        times, t = np.unique(table.column("time").to_numpy(), return_inverse=True)
-        order = np.argsort(t, kind="stable")
-        width, left, right = max(1, slab // len(names)), np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        n, sa, sb, sab, met, bad = np.zeros((6, len(left), len(right)))
-        for start in range(0, len(times), width):
-            at = order[slice(*np.searchsorted(t[order], [start, start + width]))]
-            grid = lambda w, at=at, start=start: np.bincount(c[at] * width + t[at] - start, w, len(names) * width).reshape(len(names), width)
-            x, k, rows, nan = grid(clean[at]), grid(known[at]), grid(None).astype(float), grid(wrong[at]) if wrong[at].any() else None
-            n += k[left] @ k[right].T
-            sa += x[left] @ k[right].T
-            sb += k[left] @ x[right].T
-            sab += x[left] @ x[right].T
-            met += rows[left] @ rows[right].T
-            if nan is not None:
-                bad += nan[left] @ k[right].T + k[left] @ nan[right].T
-        with np.errstate(invalid="ignore", divide="ignore"):
-            cov = np.where(bad > 0, np.nan, (sab - sa * sb / n) / (n - 1))
-        i, j = np.nonzero(met)
-        one = pa.array(cov[i, j], mask=n[i, j] < 2)
-        a, b = labels.take(pa.array(left[i])), labels.take(pa.array(right[j]))
-        out = pa.table({"a": a, "b": b, "covariance": one})
-        out = pa.concat_tables([out, pa.table({"a": b, "b": a, "covariance": one})]) if lo != hi else out
-        for d, k in zip(dims, key, strict=False):
-            out = out.append_column(d, pa.repeat(k, len(out)))
-        return out.select([*dims, "a", "b", "covariance"])
+        at, v = named.indices.to_numpy(), table.column("value").to_numpy()
+        known = np.isfinite(v)
+        mean = np.bincount(at[known], v[known], len(named.dictionary)) / np.maximum(np.bincount(at[known], minlength=len(named.dictionary)), 1)
+        values = pa.array(v - mean[at], mask=table.column("value").combine_chunks().is_null().to_numpy(zero_copy_only=False))
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (named.dictionary, named.indices, table.column("time").combine_chunks(), values)]
+        return pa.table([*(pa.array([k.as_py()], table.schema.field(d).type) for d, k in zip([*dims, "_block"], key, strict=True)), *lists], names=[*dims, "_block", *PACKED])
 
     # grouped functions tell their kind by whole annotations or none
     run.__annotations__ = {}
     return run
 
 
+def _pair_covariances(dims: list[str], slab: int = 4_000_000):
+    """Covariances of the channels of two packed blocks, from sums over slabs of their times; a row and its mirror image if the blocks differ."""
+
+    def sums(row: dict[str, pa.Array], sides: list[str]) -> list[np.ndarray]:
+        names = [len(row[s + "channels"]) for s in sides]
+        sizes = [len(row[s + "at"]) for s in sides]
+        times, t = np.unique(np.concatenate([row[s + "times"].to_numpy(zero_copy_only=False) for s in sides]), return_inverse=True)
+        t, parts, width = np.split(t, np.cumsum(sizes)[:-1]), [], max(1, min(slab // sum(names), len(times)))
+        for s, own in zip(sides, t, strict=True):
+            # a slab's cells lie together
+            order = np.argsort(own, kind="stable")
+            v = row[s + "values"].to_numpy(zero_copy_only=False)[order]
+            missing = row[s + "values"].is_null().to_numpy(zero_copy_only=False)[order]
+            wrong = ~missing & ~np.isfinite(v)
+            parts.append((row[s + "at"].to_numpy()[order].astype(np.int64), own[order], np.where(missing | wrong, 0.0, v), ~missing, wrong))
+        n, sa, sb, sab, met, bad = np.zeros((6, names[0], names[-1]))
+        whole = all(known.all() for *_, known, _ in parts)
+        for start in range(0, len(times), width):
+            grids = []
+            for k, (at, own, clean, known, wrong) in zip(names, parts, strict=True):
+                cut = slice(*np.searchsorted(own, [start, start + width]))
+                cell, held = at[cut] * width + own[cut] - start, k * width
+                grid = lambda w, cell=cell, held=held, k=k: np.bincount(cell, w, held).astype(float).reshape(k, width)
+                rows = grid(None)
+                grids.append((grid(clean[cut]), rows if whole else grid(known[cut]), rows, grid(wrong[cut]) if wrong[cut].any() else None))
+            (x, k, rows, nan), (x_, k_, rows_, nan_) = grids[0], grids[-1]
+            n += k @ k_.T
+            sa += x @ k_.T
+            sb += k @ x_.T
+            sab += x @ x_.T
+            met += 0 if whole else rows @ rows_.T
+            for left, right in ((nan, k_), (k, nan_)):
+                if left is not None and right is not None:
+                    bad += left @ right.T
+        return [n, sa, sb, sab, n if whole else met, bad]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                lo, hi = (batch.column(f"{s}_block")[r].as_py() for s in ("", "_"))
+                row = {c: batch.column(c)[r].values for c in batch.schema.names if c.lstrip("_") in PACKED}
+                mine, other = row["channels"], row["_channels"]
+                n, sa, sb, sab, met, bad = sums(row, ["", "_"] if lo != hi else [""])
+                step = max(1, BATCH_PAIRS // len(other))
+                for a in range(0, len(mine), step):
+                    some = slice(a, a + step)
+                    i, j = np.nonzero(met[some])
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        cov = np.where(bad[some] > 0, np.nan, (sab[some] - sa[some] * sb[some] / n[some]) / (n[some] - 1))
+                    one = pa.array(cov[i, j], mask=n[some][i, j] < 2)
+                    pair = mine.take(pa.array(i + a)), other.take(pa.array(j))
+                    label = [pa.repeat(batch.column(d)[r], len(i)) for d in dims]
+                    for x, y in (pair, pair[::-1])[: 1 + (lo != hi)]:
+                        yield pa.RecordBatch.from_arrays([*label, x, y, one], names=[*dims, "a", "b", "covariance"])
+
+    return run
+
+
 def measurement_covariance(ts: DataFrame) -> DataFrame:
     """Sample covariance (ddof 1) of each pair of channels, by spectral label; series are joined on time.
 
-    Channels are dealt into blocks by their hash, and a task takes two blocks: sums of products over slabs of times
-    are matrix products, so what travels is each series once a block, not once a channel. The pairs are the result.
+    Channels are dealt into blocks by their hash, and a block's series are packed and stored once. Each pair of blocks
+    has a task that reads both, so no series is copied for every block that it meets: sums of products over slabs of
+    times are matrix products, and the pairs leave in batches. The pairs are the result.
     """
     dims, kinds = spectral(ts), dict(ts.dtypes)
-    cells = ts.select(*dims, "channel", "time", "value").where(F.col("time").isNotNull())
+    cells = ts.select(*dims, "channel", "time", F.col("value").cast("double").alias("value")).where(F.col("time").isNotNull())
     for d in dims:
         cells = cells.where(F.col(d).isNotNull())
-    size = cells.agg(F.count("*").alias("n"), F.count_distinct(*dims, F.coalesce("channel", F.lit(0).cast(kinds["channel"]))).alias("traces"), F.approx_count_distinct("channel").alias("channels")).first()
-    each = max(1, min(BLOCK_CHANNELS, BLOCK_CELLS * max(size["traces"], 1) // max(size["n"], 1)))
-    blocks = -(-max(size["channels"], 1) // each)
-    keyed = cells.withColumn("_block", F.pmod(F.xxhash64("channel"), F.lit(blocks)))
-    pairs = keyed.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumns({"_lo": F.least("_block", "_o"), "_hi": F.greatest("_block", "_o")}).drop("_o")
-    return pairs.groupBy(*dims, "_lo", "_hi").applyInArrow(_block_covariances(dims), "".join(f"{d} {kinds[d]}, " for d in dims) + f"a {kinds['channel']}, b {kinds['channel']}, covariance double")
+    size = cells.agg(F.count("*").alias("n"), F.approx_count_distinct("channel").alias("channels")).first()
+    channels = max(size["channels"], 1)
+    each = max(1, min(BLOCK_CHANNELS, BLOCK_CELLS * channels // max(size["n"], 1), -(-channels // LEAST_BLOCKS)))
+    blocks = -(-channels // each)
+    label = "".join(f"{d} {kinds[d]}, " for d in dims)
+    keyed = cells.withColumn("_block", F.pmod(F.xxhash64("channel"), F.lit(blocks)).cast("int"))
+    packed = stored(keyed.groupBy(*dims, "_block").applyInArrow(_packed_block(dims), f"{label}_block int, channels array<{kinds['channel']}>, at array<int>, times array<{kinds['time']}>, values array<double>"))
+    one = packed.repartitionById(blocks, "_block")
+    two = one.select(*[F.col(c).alias(f"_{c}") for c in one.columns])
+    same = functools.reduce(Column.__and__, [F.col(d) == F.col(f"_{d}") for d in dims], F.col("_block") <= F.col("__block"))
+    met = one.join(two.hint("shuffle_replicate_nl"), same).drop(*[f"_{d}" for d in dims])
+    return met.mapInArrow(_pair_covariances(dims), f"{label}a {kinds['channel']}, b {kinds['channel']}, covariance double")
 
 
 def gvtd(od: DataFrame, fs: float, wavelength: float | None = None) -> DataFrame:
